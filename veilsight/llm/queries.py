@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, toxicity
+from . import language_id, mpeg_audio, quality_classifier, quality_rules, store, toxicity, url_filter
 from .training import fold
 
 
@@ -35,7 +35,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_toxicity, op10_language_id)}
+RULES = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    counted = store.table(quality_rules.statistics(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "stats"), "stats")
+    return quality_rules.judge(counted).select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in quality_rules.FIELDS], "base_failed", "kept", "distance")
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    read = mpeg_audio.with_features(docs.withColumn("media", mpeg_audio.to_media("text")))
+    return read.select("doc_id", "n_bytes", *[f"audio.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+
+
+_ALL = (op1_quality_classifier, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_filter": url_filter.oracle(RULES)}
