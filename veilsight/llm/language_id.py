@@ -30,13 +30,16 @@ TRAIN_CHARS = 50_000
 def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> SubwordModel:
     """``keep`` is a condition over ``docs`` that says which rows may be learned from."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    sample = (
+    usable = (
         docs.where(F.lit(True) if keep is None else keep)
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .select("doc_id", "text", "lang")
-        .withColumn("_o", order)
+        .select("doc_id", "text", "lang", order.alias("_o"))
     )
-    picked = sample.orderBy("_o", "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang").collect()
+    # the hash that the sample ends at, from hashes alone; texts leave their tasks only below it
+    last = usable.select("_o").orderBy("_o").limit(rows).agg(F.max("_o")).first()[0]
+    picked = []
+    if last is not None:
+        picked = usable.where(F.col("_o") <= last).orderBy("_o", "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang").collect()
     learn = [r for k, r in enumerate(picked) if k % 8 != 7]
     model = fit([r[0] for r in learn], [r[1] for r in learn], lower=True, epochs=3)
     back = [r for k, r in enumerate(picked) if k % 8 == 7]
