@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mpeg_audio, quality_classifier, quality_rules, store, toxicity, url_filter
+from . import jaccard_join, language_id, mpeg_audio, quality_classifier, quality_rules, store, toxicity, url_filter
 from .training import fold
 
 
@@ -54,7 +54,11 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", *[f"audio.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
 
 
-_ALL = (op1_quality_classifier, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op10_language_id)
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_ALL = (op1_quality_classifier, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op8_jaccard_join, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those that SQL can express.
