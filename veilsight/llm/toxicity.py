@@ -185,7 +185,7 @@ class _Adam:
         value[k] -= self.rate * fix * m[k] / (np.sqrt(v[k]) + 1e-6)
 
 
-def _learn(model: ToxicModel, read: Read, begin: np.ndarray, length: np.ndarray, y: np.ndarray, adam: _Adam) -> float:
+def _learn(model: ToxicModel, read: Picked, begin: np.ndarray, length: np.ndarray, y: np.ndarray, adam: _Adam) -> float:
     """One step of back-propagation through time over a batch of windows."""
     n, steps, h_ = len(begin), int(length.max(initial=1)), HIDDEN
     at = np.minimum(begin[:, None] + np.arange(steps), max(0, len(read.word) - 1))
@@ -266,44 +266,90 @@ def _learn(model: ToxicModel, read: Read, begin: np.ndarray, length: np.ndarray,
     return float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
 
 
+@dataclass
+class Picked:
+    """The words of some windows, one after the other, as ``_learn`` reads them."""
+
+    word: np.ndarray
+    gram: list[np.ndarray]
+    cuts: list[np.ndarray]
+    begin: np.ndarray
+    length: np.ndarray
+
+
+def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
+    return np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def _reads(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Read]]:
+    """The texts in short runs, so that the features of only one run are in memory."""
+    for i, j in runs(offsets, RUN_BYTES):
+        yield i, Read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def _pick(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> Picked:
+    """The windows with these (sorted) numbers."""
+    words, grams, sizes, lengths, seen = [], [[], []], [[], []], [], 0
+    for _, read in _reads(data, offsets):
+        _, begin, length = read.windows()
+        mine = chosen[np.searchsorted(chosen, seen) : np.searchsorted(chosen, seen + len(begin))] - seen
+        seen += len(begin)
+        begin, length = begin[mine], length[mine]
+        at = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        words.append(read.word[at])
+        lengths.append(length)
+        for k in range(2):
+            size = read.cuts[k][at + 1] - read.cuts[k][at]
+            pos = np.repeat(read.cuts[k][at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            grams[k].append(read.gram[k][pos])
+            sizes[k].append(size)
+    length = np.concatenate(lengths)
+    cuts = [np.append(0, np.cumsum(np.concatenate(x))) for x in sizes]
+    return Picked(np.concatenate(words), [np.concatenate(g) for g in grams], cuts, np.cumsum(length) - length, length)
+
+
 def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3, epochs: int = 2, batch: int = 128, rate: float = 0.01) -> ToxicModel:
     model = _fresh(seed)
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         model.constant = 0.5 if not len(y) else float(y[0])
         return model
-    raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    read = Read(np.concatenate(raw), offsets)
-    owner, begin, length = read.windows()
+    data, offsets = _texts(texts)
     rng = np.random.default_rng(seed)
     # how typical a hashed word is of toxic documents: log of smoothed document rates
-    text_of = np.repeat(np.arange(read.n), np.diff(read.first))
-    pairs = np.unique(np.stack([text_of, read.word]), axis=1)
+    has = np.zeros((2, 1 << WORD_BITS), np.int64)
+    for i, read in _reads(data, offsets):
+        key = np.unique(np.repeat(np.arange(read.n), np.diff(read.first)) << WORD_BITS | read.word)
+        for label in range(2):
+            has[label] += np.bincount(key[y[i + (key >> WORD_BITS)] == label] & (1 << WORD_BITS) - 1, minlength=1 << WORD_BITS)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    has1 = np.bincount(pairs[1][y[pairs[0]] == 1], minlength=1 << WORD_BITS)
-    has0 = np.bincount(pairs[1][y[pairs[0]] == 0], minlength=1 << WORD_BITS)
-    odds = np.log((has1 + 0.5) / (n1 + 1)) - np.log((has0 + 0.5) / (n0 + 1))
-    odds[has1 < max(3, n1 // 100)] = 0
-    word_score = np.append(odds[read.word], 0)
-    score = np.array([word_score[b : b + k].max(initial=-9) for b, k in zip(begin, length, strict=True)])
+    odds = np.log((has[1] + 0.5) / (n1 + 1)) - np.log((has[0] + 0.5) / (n0 + 1))
+    odds[has[1] < max(3, n1 // 100)] = 0
     adam, losses = _Adam(rate), []
     for turn in range(rounds):
+        owners, scores = [], []
+        for i, read in _reads(data, offsets):
+            owner, begin, length = read.windows()
+            owners.append(owner + i)
+            if turn:
+                x = model.inputs(read)
+                scores += [model.run(x, begin[k : k + BATCH], length[k : k + BATCH]) for k in range(0, len(owner), BATCH)]
+            else:
+                of_word = odds[read.word]
+                scores.append(np.array([of_word[b : b + k].max(initial=-9) for b, k in zip(begin, length, strict=True)]))
+        owner, score = np.concatenate(owners), np.concatenate(scores)
         order = np.lexsort((score, owner))
-        last = np.append(np.flatnonzero(owner[order][1:] != owner[order][:-1]), len(order) - 1)
-        worst = order[last]  # each document's
-        spare = rng.choice(np.flatnonzero(y[owner] == 0), min(int((y[owner] == 0).sum()), 2 * read.n), replace=False)
-        bad = worst[y[owner[worst]] == 1]
-        clean = np.unique(np.concatenate([worst[y[owner[worst]] == 0], spare]))
-        bad = np.tile(bad, max(1, len(clean) // (4 * max(1, len(bad)))))
-        pick = np.concatenate([bad, clean])
+        worst = order[np.append(np.flatnonzero(owner[order][1:] != owner[order][:-1]), len(order) - 1)]  # each document's
+        spare = rng.choice(np.flatnonzero(y[owner] == 0), min(int((y[owner] == 0).sum()), 2 * len(y)), replace=False)
+        chosen = np.unique(np.concatenate([worst, spare]))
+        picked, label = _pick(data, offsets, chosen), y[owner[chosen]]
+        bad, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+        pick = np.concatenate([np.tile(bad, max(1, len(clean) // (4 * max(1, len(bad))))), clean])
         for _ in range(epochs):
             rng.shuffle(pick)
-            losses.append(np.mean([_learn(model, read, begin[k], length[k], y[owner[k]].astype(np.float32), adam) for k in (pick[i : i + batch] for i in range(0, len(pick), batch))]))
+            losses.append(np.mean([_learn(model, picked, picked.begin[k], picked.length[k], label[k].astype(np.float32), adam) for k in (pick[i : i + batch] for i in range(0, len(pick), batch))]))
         adam.rate *= 0.5
-        if turn + 1 < rounds:
-            x = model.inputs(read)
-            score = np.concatenate([model.run(x, begin[k : k + BATCH], length[k : k + BATCH]) for k in range(0, len(owner), BATCH)])
     model.trained = {"documents": len(y), "windows": len(owner), "losses": [round(float(v), 4) for v in losses]}
     return model
 
@@ -313,14 +359,11 @@ def calibrate(model: ToxicModel, texts: list[str], labels: list[int], steps: int
     y = np.array(labels, np.float64)
     if model.constant is not None or not len(y) or y.min() == y.max():
         return
-    raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     model.scale = (1.0, 0.0)
-    p = np.clip(model.probabilities(np.concatenate(raw), offsets), 1e-9, 1 - 1e-9)
+    p = np.clip(model.probabilities(*_texts(texts)), 1e-9, 1 - 1e-9)
     z = np.log(p / (1 - p))
-    a, b, soft = 1.0, 0.0, (y * y.sum() + 1 - y) / (y * y.sum() + 2 - y)
+    a, b = 1.0, 0.0
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    del soft
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         w = np.maximum(q * (1 - q), 1e-6)
