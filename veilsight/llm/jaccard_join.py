@@ -302,7 +302,7 @@ def _roots(sets: DataFrame, n: int, percent: int) -> DataFrame:
     grouped = ordered.select("key", "n_shingles", "items", "n_items").join(groups, "key")
     size = grouped.groupBy("root").agg(F.sum("n_items").alias("tokens"), F.count(F.lit(1)).alias("members"))
     grouped = grouped.join(size.where("members > 1"), "root")
-    small = grouped.where(F.col("tokens") <= GROUP_TOKENS).select(F.col("root").alias("block"), "key", "n_shingles", "items", F.lit(0).alias("side"))
+    small = grouped.where(F.col("tokens") <= GROUP_TOKENS).select(F.col("root").alias("block"), "key", "n_shingles", "items")
     links = _walk(small, n, percent)
     big = size.where((F.col("members") > 1) & (F.col("tokens") > GROUP_TOKENS))
     if big.isEmpty():
@@ -328,7 +328,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     pairs = placed.join(near, (F.col("root") == F.col("r2")) & F.col("g2").between(F.col("grade") - 1, F.col("grade") + 1))
     pairs = pairs.withColumn("q2", F.explode(F.sequence(F.lit(0), F.col("p2") - 1)))
     me, other = F.struct("grade", "part"), F.struct(F.col("g2").alias("grade"), F.col("q2").alias("part"))
-    return pairs.select(F.xxhash64("root", F.least(me, other), F.greatest(me, other)).alias("block"), "key", "n_shingles", "items", F.when(me <= other, 0).otherwise(1).alias("side"))
+    return pairs.select(F.xxhash64("root", F.least(me, other), F.greatest(me, other)).alias("block"), "key", "n_shingles", "items")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -351,33 +351,26 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _walk(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Runs each block's tree; key -> root within the block, for linked sets."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        block = None
-        for batch in batches:
-            for b, key, m, items, side in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if b != block and held:
-                    yield from done(held)
-                    held = []
-                block = b
-                held.append((key, m, items, side))
-        if held:
-            yield from done(held)
-
-    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        held = list({h[0]: h for h in held}.values())
-        keys = [h[0] for h in held]
-        roots = link([np.frombuffer(h[2], np.uint64).reshape(-1, 2) for h in held], [h[1] for h in held], percent)
-        linked = [(k, keys[r]) for k, r in zip(keys, roots, strict=True)]
-        members: dict[int, int] = {}
-        for _, r in linked:
-            members[r] = members.get(r, 0) + 1
-        linked = [x for x in linked if members[x[1]] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in linked], pa.int64()), pa.array([r for _, r in linked], pa.int64())], ["key", "root"])
-
-    return rows.repartition(n, "block").sortWithinPartitions("block", "key").mapInArrow(walk, "key bigint, root bigint")
+    """Runs each block's tree; key -> root within the block, for linked sets.
+
+    Many blocks are dealt together to one bin, and a bin to one call."""
+
+    def walk(table):
+        block, key, size = (np.array(table.column(c)) for c in ("block", "key", "n_shingles"))
+        items = table.column("items").to_pylist()
+        order = np.lexsort((key, block))
+        turn = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
+        found_keys, found_roots = [], []
+        for part in np.split(order, turn[1:]):
+            part = part[np.append(True, key[part][1:] != key[part][:-1])]
+            roots = np.array(link([np.frombuffer(items[i], np.uint64).reshape(-1, 2) for i in part.tolist()], size[part].tolist(), percent))
+            linked = np.bincount(roots, minlength=len(part))[roots] > 1
+            found_keys.append(key[part][linked])
+            found_roots.append(key[part][roots][linked])
+        return pa.table({"key": np.concatenate(found_keys), "root": np.concatenate(found_roots)})
+
+    dealt = rows.select(F.pmod(F.xxhash64("block"), F.lit(4 * n)).alias("bin"), "block", "key", "n_shingles", "items")
+    return dealt.groupBy("bin").applyInArrow(walk, "key bigint, root bigint")
 
 
 def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[int]:
