@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mpeg_audio, quality_classifier, quality_rules, store, toxicity, url_filter
+from . import jaccard_join, language_id, mixing, mpeg_audio, packing, quality_classifier, quality_rules, store, token_files, toxicity, url_filter
 from .training import fold
 
 
@@ -21,6 +21,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    target = store.new_path(spark, "tokens")
+    token_files.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), target, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digests(spark, target)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", mixing.n_words("text").alias("size"), "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, keep=fold("doc_id", 5) != 0)
@@ -58,7 +71,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-_ALL = (op1_quality_classifier, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op8_jaccard_join, op10_language_id)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("size"))
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+_ALL = (op1_quality_classifier, op2_token_files, op3_packing, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op8_jaccard_join, op9_mixing, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those that SQL can express.
