@@ -44,7 +44,7 @@ RUN_BYTES = 1 << 20
 #: Shingles of one bucket held by one task: buckets are added as the input grows.
 BUCKET_BYTES = 8 << 20
 #: Shingles that a task gathers before it hands them on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Most shingles of one prefix tree.
 GROUP_TOKENS = 2_000_000
 #: Most bits of the filter over keys.

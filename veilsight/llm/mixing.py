@@ -32,6 +32,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 150
 MOST = 2
 GROUP = 2000
+#: Fractions that the landing rounds together, beside the two that a flight leaves.
+LANDING = 10
 
 
 def n_words(text: str | Column = "text") -> Column:
@@ -87,17 +89,15 @@ def _move(p: list[float], rows: list[int], u: tuple[float, ...], draw: float) ->
 
 
 def landing(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Rounds the last fractions: the number of documents is held first, then chance decides."""
+    """Rounds the last fractions (``LANDING`` and two at most): of all ways to round them, one whose
+    total size and number of documents are nearest to what the fractions give."""
     p = p.astype(float).copy()
-    rng = np.random.default_rng(seed)
-    live = [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
-    while len(live) >= 2:
-        rows = p.tolist()
-        _move(rows, live[:2], (1.0, -1.0), float(rng.random()))
-        p = np.array(rows)
-        live = [i for i in live if 1e-9 < p[i] < 1 - 1e-9]
-    for i in live:
-        p[i] = float(rng.random() < p[i])
+    live = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    if len(live):
+        ways = (np.arange(1 << len(live))[:, None] >> np.arange(len(live)) & 1).astype(float)
+        off = np.abs((ways - p[live]) @ size[live]) + 0.25 * max(1.0, float(size[live].mean())) * np.abs((ways - p[live]).sum(axis=1))
+        best = np.flatnonzero(off <= off.min() + 1e-9)
+        p[live] = ways[best[np.random.default_rng(seed).integers(len(best))]]
     return np.round(p)
 
 

@@ -11,9 +11,9 @@ A shard is a range of ids; its blocks are rows of a Parquet table that Spark wri
 reads, so token files can be wherever Spark's other files are.  The rank table (one row an id of
 the vocabulary) and the shards' totals (one row a shard) are beside it.
 
-Encoding splits a text before single spaces that stand between two characters
-other than white space: byte-level vocabularies without a normalizer never join across those, so pieces
-are encoded once and kept (up to ``CACHE`` of them) with the same ids as whole texts.
+Encoding splits a text where byte-level vocabularies without a normalizer never join (before
+a single space or newline between two characters, and before punctuation after a letter), so a task encodes each distinct piece once and keeps its ids (up to ``CACHE`` pieces, by 64-bit hash and length).
+Other vocabularies get whole texts.
 
 Edge cases: null texts are empty and have the end id alone; rows with equal ids keep an
 order given by their ids' checksum; null document ids come first; an empty table makes an empty file.
@@ -21,7 +21,6 @@ order given by their ids' checksum; null document ids come first; an empty table
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,14 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .arrays import Laid, runs, utf8
 
 END_ID = 2
-CACHE = 400_000
+CACHE = 1_000_000
+RUN_BYTES = 1 << 20
 BLOCK_IDS = 1 << 20
 
-#: A space between two characters that no definition of white space has.
-_CUT = re.compile("(?<=[!-~¡-ᙿ]) (?=[!-~¡-ᙿ])")
-
 _LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.int64)
 
 
@@ -65,32 +63,122 @@ def unpack_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+_ASCII = np.zeros(256, bool)
+_ASCII[0x21:0x7F] = True
+_FIRST = _ASCII.copy()  # a byte that starts a character that is surely not white space
+_FIRST[0xC3:0xE1] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b',.!?;:)"')] = True
+
+
+def _last(at: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is surely not white space."""
+    last, before = buf[at - 1], buf[at - 2]
+    return _ASCII[last] | ((last >= 0x80) & (before >= 0xC3) & (before <= 0xDF))
+
+
+def _cuts(laid: Laid) -> np.ndarray:
+    """Places inside texts at which byte-level vocabularies always part: before a single space
+    between two characters, around a single newline between two, and before a punctuation
+    mark after a Latin letter."""
+    buf = laid.buf
+    edge = np.zeros(len(buf), bool)
+    edge[laid.begin - 1] = edge[-1] = True
+    space = np.flatnonzero((buf == 0x20) & ~edge)
+    space = space[_last(space, buf) & _FIRST[buf[space + 1]]]
+    line = np.flatnonzero(buf == 0x0A)
+    line = line[_last(line, buf) & _FIRST[buf[line + 1]]]
+    mark = np.flatnonzero(_MARK[buf])
+    x, w = buf[mark - 1], buf[mark - 2]
+    mark = mark[_LETTER[x] | ((w == 0xC3) & (x >= 0x80) & (x < 0xC0) & (x != 0x97) & (x != 0xB7))]
+    return np.concatenate([space, line, line + 1, mark])
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 class Encoder:
-    """Encodes whole texts piece by piece."""
+    """Encodes whole texts by their distinct pieces, which it keeps with their ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        cut = []
-        for t in texts:
-            parts = _CUT.split(t or "")
-            cut.append([parts[0], *(" " + p for p in parts[1:])] if len(parts) > 1 else parts)
-        known = self.known
-        new = [p for p in {p for parts in cut for p in parts} if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({p for parts in cut for p in parts})
-            for a in range(0, len(new), 20_000):
-                some = new[a : a + 20_000]
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+        self.tokenizer = t = Tokenizer.from_file(path)
+        kind = repr(t.pre_tokenizer)
+        # only byte-level vocabularies that leave texts as they are have pieces on their own
+        self.splits = t.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind
+        special = {i: len(a.content.encode()) for i, a in t.get_added_tokens_decoder().items()}
+        vocab = t.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that an id stands for
+        for token, i in vocab.items():
+            self.width[i] = special.get(i, len(token))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, and how many each text has."""
+        laid = Laid(data, offsets)
+        buf = laid.buf
+        starts, ends = laid.begin, laid.end
+        if self.splits:
+            cut = _cuts(laid)
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        keys, first, number = np.unique(laid.span_hash(starts, ends) + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
+        if len(self.slots) + len(keys) > CACHE:
+            self._clear()
+        slot = np.array([self.slots.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            found = self._encode_new([buf[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            size = np.array([len(x) for x in found], np.int64)
+            k, more = len(self.slots), int(size.sum())
+            slot[new] = np.arange(k, k + len(new))
+            self.begin = _room(self.begin, k + len(new))
+            self.count = _room(self.count, k + len(new))
+            self.flat = _room(self.flat, self.used + more)
+            self.begin[k : k + len(new)] = self.used + np.cumsum(size) - size
+            self.count[k : k + len(new)] = size
+            self.flat[self.used : self.used + more] = np.concatenate(found)
+            self.used += more
+            self.slots.update(zip(keys[new].tolist(), slot[new].tolist(), strict=True))
+        piece = slot[number.ravel()]
+        size = self.count[piece].astype(np.int64)
+        begin = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.begin[piece] - begin, size) + np.arange(int(size.sum()))]
+        upto = np.append(0, np.cumsum(size))
+        return ids, upto[np.searchsorted(starts, laid.end, "right")] - upto[np.searchsorted(starts, laid.begin)]
+
+    def _encode_new(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece.  Pieces without white space but a first space are encoded a few hundred
+        at a time, those without that space after a newline; their ends are found by their bytes."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        side, alone = [], []
+        for i, p in enumerate(pieces):
+            ok = self.splits and len(p) > 1 and (_ASCII[p[-1]] or (p[-1] >= 0x80 and 0xC3 <= p[-2] <= 0xDF)) and (p[0] == 0x20 or _FIRST[p[0]])
+            (side if ok else alone).append(i)
+        for k in range(0, len(side), 500):
+            some = side[k : k + 500]
+            text = [pieces[i] if pieces[i][0] == 0x20 else b"\n" + pieces[i] for i in some]
+            ids = np.array(self.tokenizer.encode(b"".join(text).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            upto, bound = np.cumsum(self.width[ids]), np.cumsum([len(x) for x in text])
+            cut = np.searchsorted(upto, bound)
+            first = [x[0] == 0x0A for x in text]
+            begin = np.append(0, cut[:-1] + 1)
+            if len(ids) and upto[-1] == bound[-1] and (upto[cut] == bound).all() and all(self.width[ids[b]] == 1 for b, f in zip(begin.tolist(), first, strict=True) if f):
+                for i, b, c, f in zip(some, begin.tolist(), cut.tolist(), first, strict=True):
+                    out[i] = ids[b + f : c + 1]
+            else:
+                alone += some
+        if alone:
+            for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -99,18 +187,22 @@ _encoders: dict[str, Encoder] = {}
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and the ids of the whole text, the end id last, as 32-bit numbers in bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(part.column(1).to_pylist())]
-                blobs = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "crc", "n_tokens", "ids"])
+            data, offsets = utf8(batch.column(1))
+            for a, b in runs(offsets, RUN_BYTES):
+                ids, size = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                upto = np.cumsum(size)
+                ids = np.insert(ids, upto, end_id).astype("<u4")
+                upto = np.append(0, upto + np.arange(1, b - a + 1))
+                held = ids.astype("<u2") if int(ids.max(initial=0)) < 1 << 16 else ids
+                blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((upto * held.itemsize).astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
+                crc = [zlib.crc32(ids[i:j]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(crc, pa.int64()), pa.array(np.diff(upto)), blobs], ["doc_id", "crc", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, crc bigint, n_tokens bigint, ids binary")
 
