@@ -116,8 +116,13 @@ def _decider(last: bool, level: int):
         # like sizes stand together, the largest first, so that what is left over is small
         order = np.lexsort((turn, -size))
         seed = (int(np.bitwise_xor.reduce(turn)) % (1 << 63)) + level
-        p = flight(np.array(table.column("p"))[order], size[order], seed)
-        p = landing(p, size[order], seed + 1) if last else p
+        p, size_ = np.array(table.column("p"))[order], size[order]
+        # at the last level some fractions, not of the largest sizes, are left to the landing
+        fly = np.ones(len(p), bool)
+        if last:
+            fly[np.linspace(len(p) // 4, len(p) - 1, min(LANDING, len(p))).astype(int)] = False
+        p[fly] = flight(p[fly], size_[fly], seed)
+        p = landing(p, size_, seed + 1) if last else p
         rows = table.take(pa.array(order))
         return pa.table({"doc_id": rows["doc_id"], "source": rows["source"], "size": rows["size"], "p": pa.array(p, pa.float64()), "groups": rows["groups"]})
 
