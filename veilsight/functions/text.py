@@ -84,14 +84,14 @@ def spans(text: Column, pattern: str) -> Column:
     clean = F.translate(text, OPEN + CLOSE, "  ")
     parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1)
     empty = F.array().cast("array<struct<raw:string,start:int,end:int>>")
-    start = F.struct(F.length(F.element_at(parts, 1)).alias("at"), empty.alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         raw = F.substring_index(part, CLOSE, 1)
         here = F.struct(raw.alias("raw"), acc["at"].alias("start"), (acc["at"] + F.length(raw)).alias("end"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.array_append(acc["found"], here).alias("found"))
+        hit = part.contains(CLOSE)  # all parts but the first
+        return F.struct((acc["at"] + F.length(part) - hit.cast("int")).alias("at"), F.when(hit, F.array_append(acc["found"], here)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
 
 
 CARD_RUN = r"(?<![\p{L}\p{N}_])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])(?![\p{L}\p{N}_])"

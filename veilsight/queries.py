@@ -5,6 +5,264 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import spec
+from .functions import text as T
+from .functions import validators as V
+from .operators import conversation, coverage, findings, incremental
+from .operators.detect import detect
+from .plans import scan
+from .sources import json_leaves, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL that several queries share: card runs without lookaround, by whole runs of digits
+
+_DIGITS_OF = "regexp_replace(r, '[ -]', '', 'g')"
+_LUHN = "list_sum([CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END ELSE CAST(d[i] AS INT) END FOR i IN range(1, length(d) + 1)]) % 10 = 0"
+
+
+def _brand_sql() -> str:
+    cases = []
+    for b in spec.BRANDS:
+        for p in b.prefixes:
+            low, _, high = p.partition("-")
+            cases.append(f"WHEN left(d, {len(low)}) BETWEEN '{low}' AND '{high or low}' THEN CASE WHEN length(d) IN {tuple([*b.lengths, 0])} THEN '{b.name}' END")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _cards_sql(table: str, key: str, text: str) -> str:
+    """Plain and printed runs of 13 to 19 digits that pass checksum and issuer, as a CTE ``cards``."""
+    words = lambda ts: "|".join(t.replace(".", "\\.") for t in ts)
+    return f"""
+runs AS (SELECT {key}, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]*[0-9](?:[ -]?[0-9])*[\\p{{L}}\\p{{N}}_]*')) AS r FROM {table}),
+digits AS (SELECT {key}, r, {_DIGITS_OF} AS d FROM runs WHERE regexp_full_match(r, '[0-9](?:[ -]?[0-9])*')),
+checked AS (SELECT *, {_LUHN} AS luhn, {_brand_sql()} AS brand FROM digits WHERE length(d) BETWEEN 13 AND 19),
+cards AS (SELECT *, length(list_distinct(string_split(d, ''))) <= {spec.CARD_TEST_DISTINCT} OR d IN {spec.CARD_TESTS} AS test FROM checked WHERE luhn AND brand IS NOT NULL)"""
+
+
+@query()
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the first findings of all documents, by severity, number of values and id."""
+    found = scan.documents(_read(spark, sf_dir, "documents"), "doc_id")
+    return findings.top(found).select("doc_id", "cls", "severity", "count", "occurrences", "confidence", "n_high", "n_medium", "n_low", F.array_join("via", ",").alias("via"), "id")
+
+
+ORACLE["top_findings"] = f"""
+WITH {_cards_sql("documents", "doc_id", "text")}
+SELECT doc_id, 'card' AS cls, 'high' AS severity, count(DISTINCT d) AS count, count(*) AS occurrences, 'medium' AS confidence, 0::BIGINT AS n_high, count(*) AS n_medium,
+  0::BIGINT AS n_low, 'shape' AS via, left(sha256('doc_id=' || doc_id || '|class=card'), 32) AS id
+FROM cards WHERE NOT test GROUP BY doc_id ORDER BY count DESC, id LIMIT 5000"""
+
+
+@query(f"""
+WITH {_cards_sql("pages", "page_id", "html")}
+SELECT page_id, count(DISTINCT d) AS values, count(*) AS occurrences FROM cards WHERE NOT test GROUP BY page_id""")
+def page_card_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect(_read(spark, sf_dir, "pages").select("page_id", "html"), text="html").where((F.col("cls") == "card") & (F.col("status") == "finding"))
+    return found.groupBy("page_id").agg(F.count_distinct("value_key").alias("values"), F.count(F.lit(1)).alias("occurrences"))
+
+
+@query(f"""
+WITH {_cards_sql("documents", "doc_id", "text")}
+SELECT brand, length(d) AS digits, count(*) AS numbers, count(DISTINCT d) AS values FROM cards GROUP BY brand, length(d)""")
+def card_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers of all documents by brand and length."""
+    docs = _read(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]{4}"))
+    raw = docs.select(F.explode(F.transform(T.spans(F.col("text"), T.CARD_RUN), lambda s: V.card_head(s["raw"]))).alias("head")).where("head is not null")
+    d = F.regexp_replace("head", "[ -]", "")
+    return raw.select(V.card_brand(d).alias("brand"), F.length(d).alias("digits"), d.alias("_d")).groupBy("brand", "digits").agg(F.count(F.lit(1)).alias("numbers"), F.count_distinct("_d").alias("values"))
+
+
+@query("""
+SELECT source, lang, count(*) AS items, count(*) FILTER (regexp_matches(text, '[0-9]') OR regexp_matches(lower(text), '(^|[^a-z0-9_])(zero|oh|one|two|three|four|five|six|seven|eight|nine)([^a-z0-9_]|$)')) AS candidates,
+  sum(length(text))::BIGINT AS chars FROM documents GROUP BY source, lang""")
+def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with something to look at, by source and language."""
+    return scan.coverage(_read(spark, sf_dir, "documents"), ["source", "lang"])
+
+
+@query(f"""
+WITH {_cards_sql("documents", "doc_id", "text")}
+SELECT source, lang, 'card' AS cls, count(*) AS locations, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, count(*) AS n FROM cards WHERE NOT test GROUP BY doc_id) JOIN documents USING (doc_id) GROUP BY source, lang""")
+def findings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations and occurrences by source, language and class."""
+    found = detect(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    rows = findings.summarize(found, ["doc_id", "source", "lang"])
+    return rows.groupBy("source", "lang", "cls").agg(F.count(F.lit(1)).alias("locations"), F.sum("occurrences").alias("occurrences"))
+
+
+@query("""
+SELECT source, count(*) AS documents, sum(CASE WHEN md5(text) <> '' AND first_id <> doc_id THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM (SELECT *, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents) GROUP BY source""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of an earlier document by source."""
+    rows = incremental.duplicates(_read(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("duplicate_of").alias("copies"))
+
+
+@query("SELECT doc_id, source, n_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5")
+def first_n_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first items of each directory."""
+    return incremental.first_per(_read(spark, sf_dir, "documents"), "source", ["doc_id"], 5).select("doc_id", "source", "n_chars", "rank")
+
+
+@query("""
+WITH t AS (SELECT doc_id, n_chars, sum(n_chars) OVER w AS total_size, row_number() OVER w AS position FROM documents WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id, n_chars, total_size::BIGINT AS total_size, position::BIGINT AS position FROM t
+WHERE doc_id < coalesce((SELECT min(doc_id) FROM t WHERE position > 1 AND (position > 700 OR total_size > 1000000)), 9223372036854775807)""")
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a budget of items and characters takes, up to the first that doesn't fit."""
+    items = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return incremental.admit(items, "doc_id", "n_chars", 700, 1_000_000).select("doc_id", "n_chars", "total_size", F.col("position").cast("long").alias("position"))
+
+
+@query("""
+SELECT page_id, (list_reduce(list_prepend(2166136261::HUGEINT, [unicode(c)::HUGEINT FOR c IN string_split(url, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 100)::INT AS bucket
+FROM pages""")
+def stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable sampling bucket of every url."""
+    return _read(spark, sf_dir, "pages").select("page_id", T.sample_point(F.col("url")).alias("bucket"))
+
+
+@query("""
+WITH p AS (SELECT event_id, e.key AS name, e.value AS v FROM events, json_each(props) AS e)
+SELECT name, '/' || name AS pointer, count(*) AS leaves, count(DISTINCT trim(v::VARCHAR, '"')) AS values FROM p GROUP BY name""")
+def event_props_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars of the events' JSON by pointer."""
+    rows = json_leaves.leaves(_read(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props")
+    return rows.groupBy("name", "pointer").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("text").alias("values"))
+
+
+@query("""
+SELECT "column", count(*) AS cells, sum(length(v))::BIGINT AS chars, count(DISTINCT v) AS values FROM (
+  SELECT 'c_name' AS "column", c_name AS v FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer) GROUP BY "column" """)
+def table_cell_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable cells of a table by column; doubles aren't read."""
+    rows = tables.cells(_read(spark, sf_dir, "customer"), ["c_custkey"])
+    return rows.groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"), F.count_distinct("text").alias("values"))
+
+
+@query("""
+SELECT turn, conv_id, role, 'q' AS kind, (SELECT string_agg(p.text, chr(10) ORDER BY p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn BETWEEN c.turn - 2 AND c.turn) AS context FROM conversations c""")
+def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the words of the two turns before it (C11)."""
+    return conversation.context(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.lit("q").alias("kind"), "context")
+
+
+@query("""
+SELECT conv_id, turn, speaker, CASE WHEN regexp_matches(lower(text), '\\?') OR regexp_matches(lower(text), '(^|[^a-z0-9_])(press|pressing|reply|say|enter|type|select|choose|dial|menu)([^a-z0-9_]|$)') THEN 1 ELSE 0 END AS question
+FROM (SELECT *, CASE role WHEN 'user' THEN 'customer' ELSE 'bot' END AS speaker FROM conversations)""")
+def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that are a menu or a question."""
+    speaker = F.when(F.col("role") == "user", "customer").otherwise("bot")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", speaker.alias("speaker"), conversation.is_menu_or_question(F.col("text")).cast("int").alias("question"))
+
+
+_TALK = [
+    ("c1", 0, "bot", "Please say your card number."), ("c1", 1, "customer", "4539 1488 0343 6467"),
+    ("c2", 0, "bot", "Please enter your nine digit social security number"), ("c2", 1, "customer", "two one nine oh nine nine nine nine eight"),
+    ("c3", 0, "agent", "What is your pin?"), ("c3", 1, "customer", "it is 12345"), ("c4", 0, "customer", "my ssn is 219 09 9998"),
+    ("c5", 0, "bot", "What is your date of birth?"), ("c5", 1, "bot", "Sorry, I didn't get that."), ("c5", 2, "customer", "01/31/1985"),
+    ("c6", 0, "bot", "Account number please"), ("c6", 1, "customer", "12345"), ("c6", 2, "customer", "678"),
+]
+
+
+@query("""
+SELECT * FROM (VALUES ('c1', 1, 1, 'card', 'prompt', 'high'), ('c2', 1, 1, 'us_ssn', 'prompt', 'high'), ('c3', 1, 1, 'pin', 'prompt', 'high'), ('c4', 0, 0, 'us_ssn', 'context', 'high'),
+  ('c5', 2, 2, 'dob', 'prompt', 'high'), ('c6', 1, 2, 'account_number', 'prompt', 'high')) AS t(conv_id, turn, end_turn, cls, via, confidence)""")
+def conversation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of made-up conversations, which the given ones lack."""
+    return conversation.classify(spark.createDataFrame(_TALK, "conv_id string, turn int, speaker string, text string"))
+
+
+_NUMBERS = ["4539148803436467", "4111111111111111", "6221260000000000", "378282246310005", "219099998", "078051120", "000123456", "666123456", "912701234", "912661234", "01311985", "02301985", "013185", "12", "", "4539148803436468"]
+
+
+@query(
+    "WITH n AS (SELECT unnest(["
+    + ",".join(f"'{d}'" for d in _NUMBERS)
+    + f"""]) AS d)
+SELECT d AS number, length(d) > 0 AND ({_LUHN}) AS luhn, CASE WHEN length(d) BETWEEN 13 AND 19 THEN {_brand_sql()} END AS brand,
+  length(d) = 9 AND left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' AS ssn,
+  length(d) = 9 AND left(d, 1) = '9' AND (substr(d, 4, 2) BETWEEN '50' AND '65' OR substr(d, 4, 2) BETWEEN '70' AND '88' OR substr(d, 4, 2) BETWEEN '90' AND '92' OR substr(d, 4, 2) BETWEEN '94' AND '99') AS itin,
+  coalesce(CASE length(d) WHEN 6 THEN try_strptime(left(d, 4) || '19' || right(d, 2), '%m%d%Y') WHEN 8 THEN try_strptime(d, '%m%d%Y') END IS NOT NULL, false) AS birth
+FROM n"""
+)
+def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validators over a list of made-up numbers."""
+    d = F.col("number")
+    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "number string")
+    return rows.select("number", V.luhn_valid(d).alias("luhn"), V.card_brand(d).alias("brand"), V.ssn_valid(d).alias("ssn"), V.itin_valid(d).alias("itin"), V.date_digits(d, 2026).alias("birth"))
+
+
+_FIELDS = ["createdAt", "updated_at", "startTime", "hire_date", "birthDate", "dob_date", "name", "eventTimestamp", "date", "", "card_number"]
+
+
+@query("SELECT * FROM (VALUES " + ",".join(f"('{n}', {v})" for n, v in zip(_FIELDS, (True, True, True, True, False, False, False, True, True, False, False), strict=True)) + ") AS t(name, timestamp_like)")
+def timestamp_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names of points in time."""
+    return spark.createDataFrame([(n,) for n in _FIELDS], "name string").select("name", T.timestamp_name(F.col("name")).alias("timestamp_like"))
+
+
+@query("""
+SELECT o_orderstatus AS class, count(*) AS objects, sum(floor(o_totalprice))::BIGINT AS bytes, sum(CASE WHEN o_orderpriority LIKE '1%' THEN floor(o_totalprice) ELSE 0 END)::BIGINT AS planned FROM orders GROUP BY o_orderstatus""")
+def class_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and bytes by storage class, and those to be read."""
+    rows = _read(spark, sf_dir, "orders").withColumn("bytes_", F.floor("o_totalprice").cast("long"))
+    return coverage.inventory(rows, "o_orderstatus", "bytes_", F.col("o_orderpriority").startswith("1")).withColumnRenamed("o_orderstatus", "class")
+
+
+@query("""
+SELECT o_orderstatus AS status, NULL::VARCHAR AS reason, NULL::VARCHAR AS kind, count(*) AS stores, sum(o_custkey)::BIGINT AS backlog FROM orders GROUP BY 1
+UNION ALL SELECT NULL, o_orderpriority, NULL, count(*), sum(o_custkey)::BIGINT FROM orders GROUP BY 2
+UNION ALL SELECT NULL, NULL, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END, count(*), sum(o_custkey)::BIGINT FROM orders GROUP BY 3""")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status, by reason and by kind in one pass (A10)."""
+    o = _read(spark, sf_dir, "orders")
+    stores = o.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("reason"), F.when(F.col("o_totalprice") > 100000, "big").otherwise("small").alias("kind"), F.col("o_custkey").alias("backlog"))
+    return coverage.summary(stores)
+
+
+@query("""
+SELECT l.doc_id AS key, CASE WHEN i.doc_id IS NULL THEN 'read' WHEN i.n_chars <> l.n_chars + (l.doc_id % 7 = 0)::INT THEN 'read' WHEN i.doc_id % 5 = 0 THEN 'rescan' ELSE 'skip' END AS decision
+FROM documents l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 > 0) i USING (doc_id)""")
+def change_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second pass reads: new and changed items, and those that an older reader read."""
+    docs = _read(spark, sf_dir, "documents")
+    listing = docs.select(F.col("doc_id").alias("key"), (F.col("n_chars") + (F.col("doc_id") % 7 == 0).cast("int")).alias("marker"), F.lit(0).alias("modified"))
+    index = docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("marker"), F.when(F.col("doc_id") % 5 == 0, "v1").otherwise("v2").alias("profile"))
+    return incremental.decide(listing, index, "v2").select("key", "decision")
+
+
+@query("SELECT count(*) AS gone FROM documents WHERE doc_id % 4 = 1")
+def forget_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index rows that a listing no longer has."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+    return incremental.absent(docs, docs.where("key % 4 <> 1")).agg(F.count(F.lit(1)).alias("gone"))
+
+
+@query("""
+SELECT s_name AS name, kind, NOT (s_name LIKE '%3') AND (kind <> 'a' OR s_name LIKE '%1%') AS allowed FROM (SELECT s_name, CASE WHEN s_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS kind FROM supplier)""")
+def allow_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow and deny rules over stores."""
+    stores = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 0, "a").otherwise("b").alias("kind"))
+    return incremental.allowed(stores, allow=[("a", "*1*")], deny=[("*", "*3")])
