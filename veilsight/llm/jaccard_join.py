@@ -102,13 +102,17 @@ def _buckets(spark: SparkSession, df: DataFrame) -> int:
 
 
 PARTS = "bucket int, keys binary, sizes binary, items binary"
+SLOTS = "slot int, keys binary, counts binary, items binary"
 
 
 class _Parts:
-    """Gathers sets and hands them on by bucket of the shingles' range."""
+    """Gathers sets and hands them on by bucket of the shingles' range.
 
-    def __init__(self, n: int):
-        self.n, self.keys, self.cuts, self.items, self.held = n, [], [], [], 0
+    The bucket and the low 32 bits of a shingle tell all but a few in 2**38 apart, which is enough to
+    count; with ``wide``, all 48 bits go along."""
+
+    def __init__(self, n: int, wide: bool = False):
+        self.n, self.wide, self.keys, self.cuts, self.items, self.held = n, wide, [], [], [], 0
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> None:
         self.keys.append(keys)
@@ -124,7 +128,8 @@ class _Parts:
         owner = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
         bucket = (items * np.uint64(self.n) >> np.uint64(48)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
-        bucket, owner, items = bucket[order], owner[order], items[order]
+        bucket, owner = bucket[order], owner[order]
+        items = items[order] if self.wide else (items[order] & _LOW32).astype(np.uint32)
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         rows = {"bucket": [], "keys": [], "sizes": [], "items": []}
         for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
@@ -133,20 +138,21 @@ class _Parts:
             rows["bucket"].append(int(bucket[a]))
             rows["keys"].append(keys[own[turn]].tobytes())
             rows["sizes"].append(np.diff(np.append(turn, b - a)).astype(np.uint32).tobytes())
-            rows["items"].append((items[a:b] & _LOW32).astype(np.uint32).tobytes())
+            rows["items"].append(items[a:b].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("keys", "sizes", "items")]], ["bucket", "keys", "sizes", "items"])
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a bucket, and its distinct (item, key number) pairs sorted by both."""
-    join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t)
-    keys, sizes, items = join("keys", np.uint64), join("sizes", np.uint32), join("items", np.uint32)
-    keys, number = np.unique(keys, return_inverse=True)
-    pairs = items.astype(np.uint64) << np.uint64(32) | np.repeat(number.astype(np.uint64), sizes)
-    pairs.sort()
-    if len(pairs):
-        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
-    return keys, pairs >> np.uint64(32), (pairs & _LOW32).astype(np.int64)
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(column)), kind)
+
+
+def _slots(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The numbers of the keys by the slot that they are gathered in."""
+    slot = (mix(keys) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    cut = np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])) if len(keys) else []
+    for part in np.split(order, cut[1:]) if len(keys) else []:
+        yield int(slot[part[0]]), part
 
 
 def _frequency(items: np.ndarray) -> np.ndarray:
@@ -156,18 +162,31 @@ def _frequency(items: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
-def _shared_keys(parts: DataFrame, percent: int) -> DataFrame:
+def _shared_keys(parts: DataFrame, percent: int, n: int) -> DataFrame:
     """Keys of the sets of which enough shingles are in another set too."""
 
-    def count(table: pa.Table) -> pa.Table:
-        keys, items, number = _unpack(table)
-        alone = _frequency(items) == 1
-        own, size = np.bincount(number[alone], minlength=len(keys)), np.bincount(number, minlength=len(keys))
-        return pa.table({"key": keys.view(np.int64), "own": own.astype(np.int32), "size": size.astype(np.int32)})
-
-    by_key = parts.groupBy("bucket").applyInArrow(count, "key bigint, own int, size int").groupBy("key").agg(F.sum("own").alias("own"), F.sum("size").alias("size"))
-    # one more than the bound: two shingles of a set may, rarely, look like one inside a bucket
-    return by_key.where(F.lit(100) * (F.col("own") - 1) <= F.lit(100 - percent) * F.col("size")).select("key")
+    def count(table):
+        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
+        items = _joined(table, "items", np.uint32).astype(np.uint64) << np.uint64(32)
+        items |= np.repeat(number.astype(np.uint64), _joined(table, "sizes", np.uint32))
+        items.sort()
+        if len(items):
+            items = items[np.append(True, items[1:] != items[:-1])]
+        number = (items & _LOW32).astype(np.int64)
+        alone = _frequency(items >> np.uint64(32)) == 1
+        counts = np.stack([np.bincount(number[alone], minlength=len(keys)), np.bincount(number, minlength=len(keys))], axis=1).astype(np.uint32)
+        rows = [(slot, keys[k].tobytes(), counts[k].tobytes(), b"") for slot, k in _slots(keys, n)]
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())))})
+
+    def total(table):
+        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
+        counts = _joined(table, "counts", np.uint32).reshape(-1, 2)
+        own, size = (np.bincount(number, counts[:, i], len(keys)) for i in range(2))
+        # one more than the bound: two shingles of a set may, rarely, look like one inside a bucket
+        enough = 100 * (own - 1) <= (100 - percent) * size
+        return pa.table({"key": keys[enough].view(np.int64)})
+
+    return parts.groupBy("bucket").applyInArrow(count, SLOTS).groupBy("slot").applyInArrow(total, "key bigint")
 
 
 def _filter(keys: DataFrame) -> tuple[int, dict[int, bytes]]:
@@ -207,7 +226,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     n = _buckets(spark, narrow.select("text"))
-    shared = store.table(_shared_keys(_shingled(narrow.select("text"), k, n), percent), "shared")
+    shared = store.table(_shared_keys(_shingled(narrow.select("text"), k, n), percent, n), "shared")
     bits, pages = _filter(shared)
     page_of = spark.sparkContext.broadcast(pages)  # at most FILTER_BITS bits
 
@@ -253,51 +272,49 @@ def _prefix(n: np.ndarray | int, percent: int):
 
 def _roots(sets: DataFrame, n: int, percent: int) -> DataFrame:
     """key -> root for the sets that are linked to another."""
-    spark = sets.sparkSession
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Parts(n)
+        out = _Parts(n, wide=True)
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            items = [np.frombuffer(b, np.uint64) for b in blobs]
+            items = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
             if items:
                 out.add(np.array(batch.column(0)).view(np.uint64), np.array([len(x) for x in items]), np.concatenate(items))
             if out.held >= FLUSH:
                 yield from out.flush()
         yield from out.flush()
 
-    def ranked(key, table):
-        """For each key, those of the bucket's items that another key has too, with their frequency."""
-        keys, items, number = _unpack(table)
-        often = _frequency(items)
+    def rank(table):
+        """For each key the items of the bucket that another key has too, below their frequency."""
+        keys, sizes, items = _joined(table, "keys", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "items", np.uint64)
+        number = np.repeat(np.arange(len(keys)), sizes)
+        order = np.argsort(items, kind="stable")
+        often = np.empty(len(items), np.int64)
+        often[order] = _frequency(items[order])
         keep = often > 1
-        value = items[keep] | np.uint64(key[0].as_py()) << np.uint64(32)
-        order = np.argsort(number[keep], kind="stable")
-        number, value, often = number[keep][order], value[order], often[keep][order]
-        cuts = np.searchsorted(number, np.arange(len(keys) + 1))
-        have = np.flatnonzero(np.diff(cuts))
-        pairs = np.stack([often.astype(np.uint64), value], axis=1)
-        return pa.table({"key": keys[have].view(np.int64), "items": pa.array([pairs[cuts[i] : cuts[i + 1]].tobytes() for i in have.tolist()], pa.binary())})
-
-    parts = sets.select("key", "items").mapInArrow(split, PARTS)
-    shared = parts.groupBy("bucket").applyInArrow(ranked, "key bigint, items binary").groupBy("key").agg(F.collect_list("items").alias("lists"))
-    sized = sets.select(F.col("key").alias("_key"), "n_shingles").dropDuplicates(["_key"])
-
-    @F.arrow_udf("struct<items:binary,prefix:array<string>,n_items:int>")
-    def order(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lists, size in parts:
-            rows = []
-            for blobs, m in zip(lists.to_pylist(), size.to_pylist(), strict=True):
-                pairs = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                first = _prefix(m, percent) - (m - len(pairs))  # rarer ones, of this set alone, come before
-                ok = first > 0
-                rows.append({"items": np.ascontiguousarray(pairs).tobytes() if ok else b"", "prefix": [f"{b:x}" for _, b in pairs[:first].tolist()] if ok else [], "n_items": len(pairs) if ok else 0})
-            yield pa.array(rows, pa.struct([("items", pa.binary()), ("prefix", pa.list_(pa.string())), ("n_items", pa.int32())]))
-
-    ordered = shared.join(sized, F.col("key") == F.col("_key")).select("key", "n_shingles", order("lists", "n_shingles").alias("o"))
-    ordered = store.table(ordered.where("o.n_items > 0").select("key", "n_shingles", "o.items", "o.prefix", "o.n_items"), "ordered")
-    edges = store.table(ordered.select("key", F.explode("prefix").alias("token")).select("key", F.xxhash64("token").alias("token")), "edges")
+        items = (np.minimum(often, 0xFFFF).astype(np.uint64) << np.uint64(48) | items)[keep]
+        kept = np.bincount(number[keep], minlength=len(keys))
+        cuts = np.append(0, np.cumsum(kept))
+        counts = np.stack([sizes, kept], axis=1).astype(np.uint32)
+        rows = [(slot, keys[k].tobytes(), counts[k].tobytes(), b"".join(items[cuts[i] : cuts[i + 1]].tobytes() for i in k.tolist())) for slot, k in _slots(keys, n)]
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())))})
+
+    def gather(table):
+        """Each key's items in the common order, rarest first, and its prefix."""
+        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
+        counts, items = _joined(table, "counts", np.uint32).reshape(-1, 2), _joined(table, "items", np.uint64)
+        size = np.bincount(number, counts[:, 0], len(keys)).astype(np.int64)
+        owner = np.repeat(number, counts[:, 1])
+        order = np.lexsort((items, owner))
+        items, kept = items[order], np.bincount(owner, minlength=len(keys))
+        cuts = np.append(0, np.cumsum(kept))
+        first = _prefix(size, percent) - (size - kept)  # rarer ones, of one set alone, come before
+        rows = [(int(keys[i].view(np.int64)), int(size[i]), items[cuts[i] : cuts[i + 1]].tobytes(), items[cuts[i] : cuts[i] + min(first[i], kept[i])].view(np.int64), int(kept[i])) for i in np.flatnonzero((first > 0) & (kept > 0)).tolist()]
+        kinds = (("key", pa.int64()), ("n_shingles", pa.int64()), ("items", pa.binary()), ("prefix", pa.list_(pa.int64())), ("n_items", pa.int64()))
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds)})
+
+    parts = sets.select("key", "items").dropDuplicates(["key"]).mapInArrow(split, PARTS)
+    ordered = parts.groupBy("bucket").applyInArrow(rank, SLOTS).groupBy("slot").applyInArrow(gather, "key bigint, n_shingles bigint, items binary, prefix array<bigint>, n_items bigint")
+    ordered = store.table(ordered, "ordered")
+    edges = store.table(ordered.select("key", F.explode("prefix").alias("token")), "edges")
     groups = connected(edges)
     grouped = ordered.select("key", "n_shingles", "items", "n_items").join(groups, "key")
     size = grouped.groupBy("root").agg(F.sum("n_items").alias("tokens"), F.count(F.lit(1)).alias("members"))
@@ -363,7 +380,7 @@ def _walk(rows: DataFrame, n: int, percent: int) -> DataFrame:
         found_keys, found_roots = [], []
         for part in np.split(order, turn[1:]):
             part = part[np.append(True, key[part][1:] != key[part][:-1])]
-            roots = np.array(link([np.frombuffer(items[i], np.uint64).reshape(-1, 2) for i in part.tolist()], size[part].tolist(), percent))
+            roots = np.array(link([np.frombuffer(items[i], np.uint64) for i in part.tolist()], size[part].tolist(), percent))
             linked = np.bincount(roots, minlength=len(part))[roots] > 1
             found_keys.append(key[part][linked])
             found_roots.append(key[part][roots][linked])
@@ -376,8 +393,8 @@ def _walk(rows: DataFrame, n: int, percent: int) -> DataFrame:
 def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[int]:
     """For each set the number of its class's first set.
 
-    ``sets`` are arrays of (frequency, shingle) rows in that order; ``sizes`` also count
-    the shingles that no other set has."""
+    ``sets`` are sorted arrays of shingles with their frequency in the high bits; ``sizes`` also
+    count the shingles that no other set has."""
     n = len(sets)
     parent = list(range(n))
 
@@ -389,12 +406,7 @@ def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> li
 
     # shingles as ranks in the common order
     cuts = np.append(0, np.cumsum([len(s) for s in sets]))
-    flat = np.concatenate(sets) if n else np.zeros((0, 2), np.uint64)
-    order = np.lexsort((flat[:, 1], flat[:, 0]))
-    step = np.ones(len(order), np.int64)
-    step[1:] = (flat[order[1:]] != flat[order[:-1]]).any(axis=1)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(step) - 1
+    _, rank = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
     seqs = [rank[cuts[i] : cuts[i + 1]] for i in range(n)]
     tree = Tree(seqs, sizes)
     starts: dict[int, list[int]] = {}
