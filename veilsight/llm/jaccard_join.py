@@ -315,7 +315,10 @@ def _roots(sets: DataFrame, n: int, percent: int) -> DataFrame:
     ordered = parts.groupBy("bucket").applyInArrow(rank, SLOTS).groupBy("slot").applyInArrow(gather, "key bigint, n_shingles bigint, items binary, prefix array<bigint>, n_items bigint")
     ordered = store.table(ordered, "ordered")
     edges = store.table(ordered.select("key", F.explode("prefix").alias("token")), "edges")
-    groups = connected(edges)
+    # a token's keys hang together by its smallest; most tokens say the same as another
+    low = edges.groupBy("token").agg(F.min("key").alias("low"))
+    star = store.table(edges.join(low, "token").where("key <> low").select("key", F.col("low").alias("token")).distinct(), "star")
+    groups = connected(star.union(star.select(F.col("token").alias("key"), "token")))
     grouped = ordered.select("key", "n_shingles", "items", "n_items").join(groups, "key")
     size = grouped.groupBy("root").agg(F.sum("n_items").alias("tokens"), F.count(F.lit(1)).alias("members"))
     grouped = grouped.join(size.where("members > 1"), "root")
