@@ -239,3 +239,61 @@ def test_changes(spark):
     now = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([(1, "x", 1, False), (1, "y", 2, False), (2, "b", 1, True), (3, "n", 1, False)], "k int, v string, seq int, deleted boolean")
     assert sorted(tuple(r) for r in logs.apply_changes(now, changes, ["k"], "seq").collect()) == [(1, "y"), (3, "n")]
+
+
+def test_transcripts(spark):
+    import json
+
+    from veilsight.sources import transcripts
+
+    call = {"Participants": [{"ParticipantId": "p1", "ParticipantRole": "AGENT"}], "Transcript": [{"Content": "Your PIN?", "ParticipantId": "p1", "BeginOffsetMillis": 0, "EndOffsetMillis": 900}, {"Content": "1234", "ParticipantId": "p2", "BeginOffsetMillis": 1000, "EndOffsetMillis": 1500}]}
+    chat = {"Transcript": [{"Content": "joined", "Type": "EVENT"}, {"Content": "hi", "Type": "MESSAGE", "ParticipantRole": "CUSTOMER", "AbsoluteTime": "2026-01-01T00:00:01Z"}]}
+    docs = spark.createDataFrame([("a", json.dumps(call)), ("b", json.dumps(chat)), ("c", "no json"), ("d", None)], "conv_id string, doc string")
+    rows = [(r.conv_id, r.turn, r.speaker, r.channel, r.begin_ms, r.pointer) for r in transcripts.contact_turns(docs).orderBy("conv_id", "turn").collect()]
+    assert rows == [("a", 0, "agent", "speech", 0, "/Transcript/0/Content"), ("a", 1, "customer", "speech", 1000, "/Transcript/1/Content"), ("b", 1, "customer", "chat", 1767225601000, "/Transcript/1/Content")]
+    assert [(r.conv_id, r.cls, r.confidence) for r in conversation.classify(transcripts.contact_turns(docs)).collect()] == [("a", "pin", "high")]
+    lex = [json.dumps({"sessionId": "s", "timestamp": t, "inputMode": "Text", "inputTranscript": x, "messages": [{"content": m}]}) for t, x, m in (("2026-01-01T00:00:09Z", "1234", "thanks"), ("2026-01-01T00:00:01Z", "hello", "your pin please"))]
+    turns = transcripts.bot_turns(spark.createDataFrame(list(enumerate(lex)), "n int, doc string")).orderBy("turn").collect()
+    assert [(t.speaker, t.text) for t in turns] == [("customer", "hello"), ("bot", "your pin please"), ("customer", "1234"), ("bot", "thanks")]
+    flow = json.dumps({"ContactFlowModuleType": "GetUserInput", "ContactId": "x", "Parameters": {"Text": "Enter your PIN"}, "Results": "1234"})
+    assert [(t.speaker, t.channel, t.text) for t in transcripts.flow_turns(spark.createDataFrame([("x", flow), ("y", "{}")], "conv_id string, doc string")).orderBy("turn").collect()] == [("bot", "speech", "Enter your PIN"), ("customer", "dtmf", "1234")]
+    leaves = spark.createDataFrame([("l", 0, "p1?"), ("l", 1, "11"), ("l", 2, "p2?"), ("l", 3, "22"), ("m", 0, "33")], "list_id string, ord int, text string")
+    pairs = transcripts.answers(leaves, F.col("text").endswith("?"), F.col("text").rlike("^[0-9]+$"))
+    assert {r.text: r.prompt for r in pairs.collect()} == {"11": "p1?", "22": "p2?", "33": None}
+
+
+def test_archives(spark):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    from veilsight.sources import archives
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "one")
+        f.writestr("d/b.txt", "two")
+    t = io.BytesIO()
+    with tarfile.open(fileobj=t, mode="w") as f:
+        info = tarfile.TarInfo("c.txt")
+        info.size = 5
+        f.addfile(info, io.BytesIO(b"three"))
+    rows = [("z", z.getvalue()), ("t", t.getvalue()), ("g", gzip.compress(b"four")), ("tg", gzip.compress(t.getvalue())), ("n", b"plain"), ("e", None), ("bad", b"PK\x03\x04broken")]
+    files_ = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    got = sorted((r.path, r.entry, None if r.content is None else bytes(r.content), r.skipped) for r in archives.entries(files_).collect())
+    assert got == [("bad", "", None, "unreadable"), ("g", "", b"four", None), ("t", "c.txt", b"three", None), ("tg", "c.txt", b"three", None), ("z", "a.txt", b"one", None), ("z", "d/b.txt", b"two", None)]
+    assert {r.skipped for r in archives.entries(files_.where("path = 'z'"), max_entries=1).collect()} == {None, "entries"}
+
+
+def test_csv(spark, tmp_path):
+    from veilsight.operators import export
+
+    row = {c: "x" for c in export.CSV_COLUMNS} | {"finding_id": "0" * 32, "severity": "low", "count": 1, "occurrences": 2, "store": "=cmd()", "location": "card 4539148803436467", "console_link": "https://a.example/b"}
+    frame = spark.createDataFrame([row, row | {"finding_id": "1" * 32, "severity": "high", "console_link": "javascript:1"}])
+    rows = export.csv_rows(frame).collect()
+    assert [r.severity for r in rows] == ["high", "low"] and rows[0].store == "'=cmd()" and rows[0].location == "card ################" and [r.console_link for r in rows] == ["", "https://a.example/b"]
+    export.write_csv(frame, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == list(export.CSV_COLUMNS)
+    sizes = spark.range(10).select("id", F.lit(60).alias("n"))
+    assert [r.part for r in export.parts(sizes, "id", "n", 100).orderBy("id").collect()] == [0, 1, 1, 2, 2, 3, 4, 4, 5, 5]
