@@ -41,6 +41,12 @@ WORD_DIM, CHAR_DIM = 8, 8
 WORD_BITS, CHAR_BITS = 15, 15
 RUN_BYTES = 1 << 19
 BATCH = 1024
+#: Training steps of each round at least, however few the documents.
+LEAST_STEPS = 150
+#: Share of a toxic window's other words that are swapped for clean ones in each step.
+SWAP = 0.95
+#: Clean windows drawn for each round, beside every clean document's worst (two a document, if that is more).
+SPARE = 8000
 
 #: What words are made of, after lower-casing; all other bytes count as spaces.
 LETTER = np.zeros(256, bool)
@@ -168,7 +174,7 @@ def _fresh(seed: int) -> ToxicModel:
     rng = np.random.default_rng(seed)
     f = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
     cells = [{"w": f(WORD_DIM + CHAR_DIM, 3 * HIDDEN, s=0.4), "u": f(HIDDEN, 3 * HIDDEN, s=0.3), "b": np.zeros(3 * HIDDEN, np.float32)} for _ in range(2)]
-    return ToxicModel(f(1 << WORD_BITS, WORD_DIM, s=0.1), f(1 << CHAR_BITS, CHAR_DIM, s=0.1), cells, f(2, HIDDEN, s=0.3), f(2, HIDDEN, s=0.5))
+    return ToxicModel(f(1 << WORD_BITS, WORD_DIM, s=0.005), f(1 << CHAR_BITS, CHAR_DIM, s=0.02), cells, f(2, HIDDEN, s=0.3), f(2, HIDDEN, s=0.5))
 
 
 class _Adam:
@@ -185,10 +191,12 @@ class _Adam:
         value[k] -= self.rate * fix * m[k] / (np.sqrt(v[k]) + 1e-6)
 
 
-def _learn(model: ToxicModel, read: Picked, begin: np.ndarray, length: np.ndarray, y: np.ndarray, adam: _Adam) -> float:
-    """One step of back-propagation through time over a batch of windows."""
+def _learn(model: ToxicModel, read: Picked, begin: np.ndarray, length: np.ndarray, y: np.ndarray, adam: _Adam, swap: np.ndarray | None = None) -> float:
+    """One step of back-propagation through time over a batch of windows.
+
+    ``swap`` has, for each word of each window, the word that stands in for it."""
     n, steps, h_ = len(begin), int(length.max(initial=1)), HIDDEN
-    at = np.minimum(begin[:, None] + np.arange(steps), max(0, len(read.word) - 1))
+    at = np.minimum(begin[:, None] + np.arange(steps), max(0, len(read.word) - 1)) if swap is None else swap
     inside = (np.arange(steps) < length[:, None]).astype(np.float32)
     flat = at.ravel()
     used, back = np.unique(flat, return_inverse=True)
@@ -309,6 +317,20 @@ def _pick(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> Picked:
     return Picked(np.concatenate(words), [np.concatenate(g) for g in grams], cuts, np.cumsum(length) - length, length)
 
 
+def _swapped(picked: Picked, rows: np.ndarray, label: np.ndarray, clean: np.ndarray, typical: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Places of the words to learn from: in toxic windows most words that aren't typical of toxic
+    documents are swapped for a clean window's, so that the network can't learn them by heart."""
+    steps = int(picked.length[rows].max(initial=1))
+    last = max(0, len(picked.word) - 1)
+    at = np.minimum(picked.begin[rows][:, None] + np.arange(steps), last)
+    if not len(clean) or not len(picked.word):
+        return at
+    donor = rng.choice(clean, len(rows))
+    other = np.minimum(picked.begin[donor][:, None] + np.arange(steps) % np.maximum(picked.length[donor], 1)[:, None], last)
+    swap = (label[rows] == 1)[:, None] & ~typical[at] & (rng.random(at.shape) < SWAP) & (picked.length[donor] > 0)[:, None]
+    return np.where(swap, other, at)
+
+
 def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3, epochs: int = 2, batch: int = 128, rate: float = 0.01) -> ToxicModel:
     model = _fresh(seed)
     y = np.array(labels, np.int64)
@@ -325,7 +347,7 @@ def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3,
             has[label] += np.bincount(key[y[i + (key >> WORD_BITS)] == label] & (1 << WORD_BITS) - 1, minlength=1 << WORD_BITS)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = np.log((has[1] + 0.5) / (n1 + 1)) - np.log((has[0] + 0.5) / (n0 + 1))
-    odds[has[1] < max(3, n1 // 100)] = 0
+    odds[has[1] < max(4, n1 // 100)] = 0
     adam, losses = _Adam(rate), []
     for turn in range(rounds):
         owners, scores = [], []
@@ -341,14 +363,15 @@ def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3,
         owner, score = np.concatenate(owners), np.concatenate(scores)
         order = np.lexsort((score, owner))
         worst = order[np.append(np.flatnonzero(owner[order][1:] != owner[order][:-1]), len(order) - 1)]  # each document's
-        spare = rng.choice(np.flatnonzero(y[owner] == 0), min(int((y[owner] == 0).sum()), 2 * len(y)), replace=False)
+        spare = rng.choice(np.flatnonzero(y[owner] == 0), min(int((y[owner] == 0).sum()), max(SPARE, 2 * len(y))), replace=False)
         chosen = np.unique(np.concatenate([worst, spare]))
         picked, label = _pick(data, offsets, chosen), y[owner[chosen]]
+        typical = odds[picked.word] > 1
         bad, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
         pick = np.concatenate([np.tile(bad, max(1, len(clean) // (4 * max(1, len(bad))))), clean])
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(pick)))):
             rng.shuffle(pick)
-            losses.append(np.mean([_learn(model, picked, picked.begin[k], picked.length[k], label[k].astype(np.float32), adam) for k in (pick[i : i + batch] for i in range(0, len(pick), batch))]))
+            losses.append(np.mean([_learn(model, picked, picked.begin[k], picked.length[k], label[k].astype(np.float32), adam, _swapped(picked, k, label, clean, typical, rng)) for k in (pick[i : i + batch] for i in range(0, len(pick), batch))]))
         adam.rate *= 0.5
     model.trained = {"documents": len(y), "windows": len(owner), "losses": [round(float(v), 4) for v in losses]}
     return model
