@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from . import spec
 from .functions import text as T
 from .functions import validators as V
-from .operators import conversation, coverage, findings, incremental
+from .operators import conversation, coverage, export, findings, incremental
 from .operators.detect import detect
 from .plans import scan
-from .sources import json_leaves, tables
+from .sources import json_leaves, tables, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -266,3 +266,102 @@ def allow_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow and deny rules over stores."""
     stores = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 0, "a").otherwise("b").alias("kind"))
     return incremental.allowed(stores, allow=[("a", "*1*")], deny=[("*", "*3")])
+
+
+@query("""
+SELECT a.o_orderkey AS id, least(count(b.o_orderkey), 20)::INT AS n_linked, min(b.o_orderkey) AS first_linked
+FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus <> b.o_orderstatus GROUP BY a.o_orderkey""")
+def linked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the same place and class from other sources."""
+    o = _read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), F.col("o_custkey").alias("place"), F.col("o_orderpriority").alias("cls"))
+    return findings.link(rows, ["place"]).select("id", F.coalesce(F.size("linked"), F.lit(0)).alias("n_linked"), F.try_element_at("linked", F.lit(1)).alias("first_linked"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS calls, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of several calls added up, with the last call's fields."""
+    runs = _read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("last_type"), F.lit(1).alias("calls"))
+    return coverage.merge(runs, ["user_id"], ["calls"], ["last_type"], order="event_id")
+
+
+@query("""
+SELECT conv_id, turn, prompt FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt FROM conversations)
+WHERE role = 'user'""")
+def prompt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer with the nearest prompt before it (J16, an as-of join)."""
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("list_id"), F.col("turn").alias("ord"), "text", "role")
+    return transcripts.answers(rows, F.col("role") == "assistant", F.col("role") == "user").select(F.col("list_id").alias("conv_id"), F.col("ord").alias("turn"), "prompt")
+
+
+@query("""
+WITH b AS (SELECT page_id, url, (list_reduce(list_prepend(2166136261::HUGEINT, [unicode(c)::HUGEINT FOR c IN string_split(url, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 100)::INT AS bucket FROM pages)
+SELECT page_id, bucket < CASE WHEN url LIKE '%.org/%' THEN 10 WHEN url LIKE 'https:%' THEN 80 ELSE 50 END AS sampled FROM b""")
+def sampled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable samples by the first rule that fits a key."""
+    return incremental.sample_share(_read(spark, sf_dir, "pages").select("page_id", "url"), "url", [("*.org/*", 10), ("https:*", 80)], 50).select("page_id", "sampled")
+
+
+@query("SELECT doc_id, ((sum(n_chars) OVER (ORDER BY doc_id) - 1) // 200000)::BIGINT AS part FROM documents")
+def push_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows cut into parts of bounded size."""
+    return export.parts(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars").select("doc_id", "part")
+
+
+@query("""
+WITH r AS (SELECT * FROM (VALUES ('f1', '1-URGENT'), ('f1', '2-HIGH'), ('f2', '2-HIGH'), ('f2', '5-LOW')) AS t(framework, cls))
+SELECT framework, count(DISTINCT o_orderkey) AS locations, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END) AS unencrypted FROM orders JOIN r ON o_orderpriority = cls GROUP BY framework""")
+def scope_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations, and those not encrypted, by framework."""
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("cls"), (F.col("o_orderstatus") == "F").alias("encrypted"))
+    return coverage.scope(rows, [("f1", ("1-URGENT", "2-HIGH")), ("f2", ("2-HIGH", "5-LOW"))])
+
+
+@query("""
+SELECT o_orderstatus AS class, o_orderstatus = 'P' AS fallback, round(sum(o_custkey)::DOUBLE / 1073741824 * CASE o_orderstatus WHEN 'F' THEN 2.0 ELSE 1.0 END + count(*)::DOUBLE / 1000 * CASE o_orderstatus WHEN 'F' THEN 0.5 ELSE 0.25 END, 4) AS cost
+FROM orders GROUP BY o_orderstatus""")
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading each class would cost, with a default region's price where one is missing."""
+    rows = _read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("class")).agg(F.count(F.lit(1)).alias("objects"), F.sum("o_custkey").alias("planned"))
+    prices = spark.createDataFrame([("F", "r2", 2.0, 0.5), ("O", "r2", 1.0, 0.25), ("P", "r1", 1.0, 0.25), ("O", "r1", 9.0, 9.0)], "class string, region string, per_gib double, per_1000 double")
+    return coverage.cost(rows, prices, "class", F.lit("r2"), "r1").select("class", "fallback", "cost")
+
+
+@query("SELECT source, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars, count(*) - 1 AS older FROM documents GROUP BY source")
+def latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest item of each group and how many are older."""
+    return incremental.latest(_read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id")
+
+
+_SPOKEN = {
+    "four five uh three nine": "4539",
+    "double five triple oh seven": "550007",
+    "January first, nineteen eighty five": "1985-01-01",
+    "4 5 3 9, 1 4 8 8": "45391488",
+    "123456789#": "123456789",
+    "on 7/4/1981 1 2": "on 7/4/1981 12",
+    "nothing here": "nothing here",
+}
+
+
+@query("SELECT * FROM (VALUES " + ",".join(f"('{a}', '{b}')" for a, b in _SPOKEN.items()) + ") AS t(said, value)")
+def spoken_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up turns with their digits."""
+    return spark.createDataFrame([(s,) for s in _SPOKEN], "said string").select("said", T.digits_of_speech(F.col("said")).alias("value"))
+
+
+@query("""
+SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS lines, list_aggregate([length(l) FOR l IN string_split(text, chr(10))], 'max')::INT AS longest FROM documents""")
+def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lines."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.length(x)).alias("n"))
+    return rows.select("doc_id", F.size("n").cast("long").alias("lines"), F.array_max("n").alias("longest"))
+
+
+@query(f"""
+WITH {_cards_sql("documents", "doc_id", "text")}, f AS (SELECT source, count(DISTINCT d) AS n, count(*) AS o FROM cards JOIN documents USING (doc_id) WHERE NOT test GROUP BY source, doc_id)
+SELECT source, 'card' AS classes, sum(n)::BIGINT AS values, count(*) AS locations FROM f GROUP BY source""")
+def report_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values, locations and classes of each store."""
+    found = findings.summarize(detect(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["source", "doc_id"])
+    return findings.by_store(found, ["source"]).select("source", F.array_join("classes", ",").alias("classes"), "values", "locations")
