@@ -297,3 +297,45 @@ def test_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == list(export.CSV_COLUMNS)
     sizes = spark.range(10).select("id", F.lit(60).alias("n"))
     assert [r.part for r in export.parts(sizes, "id", "n", 100).orderBy("id").collect()] == [0, 1, 1, 2, 2, 3, 4, 4, 5, 5]
+
+
+def test_vendor_reports(spark):
+    import json
+
+    from veilsight.sources import vendor
+
+    doc = {"classificationDetails": {"result": {"sensitiveData": [{"detections": [{"type": "CREDIT_CARD_NUMBER", "count": 2}, {"type": "CREDIT_CARD_MAGNETIC_STRIPE", "count": 3}, {"type": "NAME", "count": 1}]}], "customDataIdentifiers": {"detections": [{"name": "CREDIT_CARD_NUMBER", "count": -4}]}}}}
+    rows = vendor.findings(spark.createDataFrame([("a", json.dumps(doc)), ("b", "{}"), ("c", None)], "location string, doc string")).collect()
+    assert sorted((r.location, r.cls, r.vendor_type, r["count"]) for r in rows if r.vendor_type) == [("a", "other", "NAME", 1), ("a", "other", "custom:CREDIT_CARD_NUMBER", 0)]
+    assert [(r.cls, r["count"], r.severity) for r in rows if not r.vendor_type] == [("card", 5, "high")]
+
+
+def test_raw_and_office(spark):
+    import io
+    import zipfile
+
+    from veilsight.sources import archives
+
+    raw = b"\x00\x01card 4539148803436467\x00\xffno digits here\x02" + "wide 12345".encode("utf-16-le") + b"\x00\x01ab1"
+    got = spark.createDataFrame([(bytearray(raw),), (None,)], "c binary").select(files.printable_runs(F.col("c"))).collect()
+    assert got[0][0] == "card 4539148803436467\nwide 12345" and got[1][0] in (None, "")
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("word/document.xml", "<w:body><w:p><w:t>SSN &amp; more</w:t></w:p><w:p><w:t>219-09-9998</w:t></w:p></w:body>")
+        f.writestr("word/styles.xml", "<x>skip</x>")
+    doc = spark.createDataFrame([("a.docx", bytearray(z.getvalue()))], "path string, content binary")
+    text = files.office_text(archives.entries(doc))
+    assert text.first().text == "SSN & more\n219-09-9998\n"
+    assert [(r.cls, r.confidence) for r in detect(text).collect()] == [("us_ssn", "high")]
+
+
+def test_rescans_and_tables(spark):
+    stale = spark.range(100).select("id", F.lit(10).alias("n"))
+    assert incremental.rescans(stale, "id", "n", 40, 10_000).count() == 10 and incremental.rescans(stale, "id", "n", 400, 200).count() == 5
+    assert incremental.rescans(stale, "id", "n", 40, 10_000, percent=0).count() == 0
+    listing = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "1")], "key string, marker string")
+    index = spark.sql("SELECT * FROM VALUES ('a', '1', date'2026-01-08'), ('b', '0', date'2026-01-08'), ('c', null, date'2026-01-08'), ('d', '1', date'2026-01-01') AS t(key, marker, read_at)")
+    got = incremental.table_changes(listing, index, F.lit("2026-01-09").cast("date"))
+    assert {r.key for r in got.where("decision = 'skip'").collect()} == {"a"}
+    rows = spark.createDataFrame([("x", "f", 8), ("y", "f", 0), ("z", "f", 4), ("w", "g", 16)], "key string, fingerprint string, flags int")
+    assert [tuple(r) for r in incremental.by_fingerprint(rows).collect()] == [("f", "y")]

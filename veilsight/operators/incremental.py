@@ -114,3 +114,26 @@ def latest(items: DataFrame, group: str, at: str) -> DataFrame:
     """The latest item of each group, and how many older ones there are."""
     whole = F.struct(*items.columns)
     return items.groupBy(group).agg(F.max_by(whole, F.col(at)).alias("_r"), (F.count(F.lit(1)) - 1).alias("older")).select("_r.*", "older")
+
+
+def rescans(stale: DataFrame, order: str, size: str, max_items: int, max_bytes: int, percent: int = 25) -> DataFrame:
+    """The stale items that a pass reads again: in order, within a share of its budget; the rest are backlog."""
+    share = max(0, min(100, percent))
+    items = max(1, max_items * share // 100) if share and max_items else 0
+    taken = admit(stale, order, size, items, max_bytes * share // 100)
+    return taken.limit(0) if not items else taken
+
+
+def table_changes(listing: DataFrame, index: DataFrame, now: Column, max_days: int = 7) -> DataFrame:
+    """Adds ``decision`` to tables (key, marker): skip those whose marker is as it was and that were
+    read less than ``max_days`` ago (index: key, marker, read_at); read the others, and those without a marker."""
+    known = index.select(F.col("key").alias("_key"), F.col("marker").alias("_marker"), F.col("read_at").alias("_at"))
+    rows = listing.join(known, F.col("key") == F.col("_key"), "left")
+    same = (F.col("marker") == F.col("_marker")) & (F.datediff(now, F.col("_at")) < max_days)
+    return rows.withColumn("decision", F.when(same, "skip").otherwise("read")).drop("_key", "_marker", "_at")
+
+
+def by_fingerprint(index: DataFrame) -> DataFrame:
+    """fingerprint -> key of the first readable item that is nobody's copy (flags: 8 copy, 16 unreadable)."""
+    good = index.where((F.col("flags").bitwiseAND(F.lit(24)) == 0) & F.col("fingerprint").isNotNull())
+    return good.groupBy("fingerprint").agg(F.min("key").alias("key"))

@@ -52,3 +52,31 @@ def units(files: DataFrame, max_bytes: int = 20 << 20) -> DataFrame:
     rows = files.withColumn("kind", F.when(~big, sniff(F.col("content")))).withColumn("disguised", disguised(named(F.col("path")), F.col("kind")))
     skipped = F.when(big, "too_large").when(F.col("kind") != "text", F.concat(F.lit("kind_"), F.col("kind")))
     return rows.select("path", "length", "kind", "disguised", skipped.alias("skipped"), F.when(skipped.isNull(), F.decode("content", "UTF-8")).alias("text"))
+
+
+#: Most characters of printable text kept of one block of bytes.
+BLOCK_CHARS = 64 << 10
+
+
+def printable_runs(content: Column) -> Column:
+    """Runs of six or more printable characters (ASCII, then UTF-16LE) that could hold a value, one a line."""
+    raw = F.decode(content, "ISO-8859-1")
+    plain = F.regexp_extract_all(raw, F.lit(r"([\x20-\x7E\t]{6,})"), 1)
+    wide = F.transform(F.regexp_extract_all(raw, F.lit(r"((?:[\x20-\x7E]\x00){6,})"), 1), lambda r: F.replace(r, F.lit("\x00"), F.lit("")))
+    kept = F.filter(F.concat(plain, wide), lambda r: r.rlike(r"[0-9]|(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b"))
+    return F.left(F.array_join(kept, "\n"), F.lit(BLOCK_CHARS))
+
+
+def office_text(entries: DataFrame) -> DataFrame:
+    """path and text of office documents, from the rows that ``archives.entries`` gives of them.
+
+    Paragraphs and rows are lines, cells are parted by tabs; shared strings of a workbook come
+    as lines of their own.  Parts with a document type declaration are left out."""
+    part = F.col("entry").rlike(r"^(?:word/(?:document|header[0-9]*|footer[0-9]*|footnotes|comments)\.xml|ppt/(?:slides|notesSlides)/[^/]+\.xml|xl/sharedStrings\.xml|xl/worksheets/[^/]+\.xml)$")
+    xml = F.decode("content", "UTF-8")
+    text = F.regexp_replace(xml, r"</(?:w:p|a:p|si|row|x:row)>", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"</(?:c|w:tc)>|<w:tab/>", "\t"), r"<[^>]*>", "")
+    for mark, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(ch))
+    rows = entries.where(part & F.col("content").isNotNull() & ~xml.contains("<!DOCTYPE")).select("path", "entry", text.alias("text"))
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "text"))), lambda p: p["text"]), "\n").alias("text"))
