@@ -192,35 +192,37 @@ def judge(docs: DataFrame, s: str = "stats", least: int = LEAST, cutoff: float =
     spark = docs.sparkSession
     names = [f"_x{i}" for i in range(DIM)]
     rows = docs.select("lang", "source", *[v.alias(n) for v, n in zip(vector(s), names, strict=True)])
-    keys = store.table(groups(rows, least).coalesce(1), "keys")
+    keys = store.table(groups(rows, least), "keys")
     n_groups = keys.count()
-    near = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
+    few = n_groups <= BROADCAST_GROUPS
+    near = F.broadcast if few else (lambda df: df)
+    one = (lambda df: df.coalesce(1)) if few else (lambda df: df)  # few groups make one small file
     at = lambda df: df.join(near(keys.withColumnsRenamed({"lang": "_l", "source": "_s"})), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
     keyed = at(rows)
     x = [F.col(n) for n in names]
     # centre and spread of each statistic
     middle = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(c, 0.5, 2000).alias(f"m{i}") for i, c in enumerate(x)])
-    middle = store.table(middle.coalesce(1), "middle")
+    middle = store.table(one(middle), "middle")
     off = [F.abs(c - F.col(f"m{i}")) for i, c in enumerate(x)]
     spread = keyed.join(near(middle), "key").groupBy("key").agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"a{i}") for i, c in enumerate(off)])
-    start = store.table(middle.join(spread, "key").coalesce(1), "start")
+    start = store.table(one(middle.join(spread, "key")), "start")
     z = [(c - F.col(f"m{i}")) / (1.4826 * F.col(f"a{i}") + FLOOR) for i, c in enumerate(x)]
     norm = F.sqrt(sum((c * c for c in z), F.lit(0.0)) + 1e-12)
     known = keyed.join(near(start), "key")
     # first start: distance in scaled coordinates; second: scatter of signs, then Mahalanobis
     signs = known.groupBy("key").agg(*_moments([c / norm for c in z], F.lit(1)))
-    signs = store.table(signs.withColumn("sign", estimate("n", "sums", "products")).select("key", "sign").coalesce(1), "signs")
+    signs = store.table(one(signs.withColumn("sign", estimate("n", "sums", "products")).select("key", "sign")), "signs")
     known = known.join(near(signs), "key")
     d = [norm * norm, _distance(z, "sign")]
     made = [middle, start, signs, keys]
     last = None
     for step in range(STEPS + 1):
         cut = known.groupBy("key").agg(*[F.percentile_approx(c, SUPPORT, 2000).alias(f"q{k}") for k, c in enumerate(d)])
-        cut = store.table(cut.coalesce(1), "cut")
+        cut = store.table(one(cut), "cut")
         inside = known.join(near(cut), "key")
         sums = inside.groupBy("key").agg(*[F.struct(*_moments(x, d[k] <= F.col(f"q{k}"))).alias(f"s{k}") for k in range(2)])
         now = sums.select("key", *[estimate(f"s{k}.n", f"s{k}.sums", f"s{k}.products").alias(f"e{k}") for k in range(2)])
-        now = store.table(now.coalesce(1), "estimates")
+        now = store.table(one(now), "estimates")
         made += [cut, now]
         known = keyed.join(near(now), "key")
         d = [_distance(x, f"e{k}") for k in range(2)]
@@ -231,7 +233,7 @@ def judge(docs: DataFrame, s: str = "stats", least: int = LEAST, cutoff: float =
     better = F.when(F.col("e1.logdet") < F.col("e0.logdet"), F.col("e1")).otherwise(F.col("e0"))
     best = now.select("key", better.alias("e"))
     scale = keyed.join(near(best), "key").groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.percentile_approx(_distance(x, "e"), 0.5, 2000) / _chi2_median(DIM)).alias("scale"))
-    final = store.table(best.join(scale, "key").join(keys, "key").select("lang", "source", "e", "size", "scale").coalesce(1), "final")
+    final = store.table(one(best.join(scale, "key").join(keys, "key").select("lang", "source", "e", "size", "scale")), "final")
     final = final.withColumnsRenamed({"lang": "_l", "source": "_s", "e": "_e", "size": "_size", "scale": "_scale"})
     for t in made:
         store.drop(t)

@@ -29,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/veilsight-{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` and reads it again: a cut in the lineage that outlives executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._veilsight_path = path
     return out

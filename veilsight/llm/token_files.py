@@ -12,7 +12,8 @@ reads, so token files can be wherever Spark's other files are.  The rank table (
 the vocabulary) and the shards' totals (one row a shard) are beside it.
 
 Encoding splits a text where byte-level vocabularies without a normalizer never join (before
-a single space or newline between two characters, and before punctuation after a letter), so a task encodes each distinct piece once and keeps its ids (up to ``CACHE`` pieces, by 64-bit hash and length).
+a single space or newline between two characters, and before punctuation after a letter), so a task encodes each distinct piece once and keeps its ids (up to about ``CACHE`` pieces, by 64-bit hash and length; those
+seen once go first).
 Other vocabularies get whole texts.
 
 Edge cases: null texts are empty and have the end id alone; rows with equal ids keep an
@@ -21,6 +22,7 @@ order given by their ids' checksum; null document ids come first; an empty table
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +35,13 @@ from . import store
 from .arrays import Laid, runs, utf8
 
 END_ID = 2
-CACHE = 1_000_000
+CACHE = 600_000
 RUN_BYTES = 1 << 20
 BLOCK_IDS = 1 << 20
+#: Bytes of ids from which a shard is one of more.
+SHARD_BYTES = 64 << 20
 
-_LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.int64)
+_LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -54,7 +58,7 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    at = np.cumsum(length) - length
+    at = np.cumsum(length, dtype=np.int64) - length
     raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)).astype(np.uint32)
     out = raw[at]
     for k in (1, 2, 3):
@@ -106,6 +110,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = t = Tokenizer.from_file(path)
         kind = repr(t.pre_tokenizer)
         # only byte-level vocabularies that leave texts as they are have pieces on their own
@@ -115,12 +120,23 @@ class Encoder:
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that an id stands for
         for token, i in vocab.items():
             self.width[i] = special.get(i, len(token))
-        self._clear()
-
-    def _clear(self) -> None:
         self.slots: dict[int, int] = {}
+        self.keys, self.uses = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.begin, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
 
+    def _forget(self) -> None:
+        """Drops the pieces that one run only has had, or all if that leaves too many."""
+        k = len(self.slots)
+        keep = np.flatnonzero(self.uses[:k] > 1)
+        keep = keep if len(keep) < CACHE // 2 else keep[:0]
+        size = self.count[keep].astype(np.int64)
+        upto = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.begin[keep] - upto, size) + np.arange(int(size.sum()))]
+        self.keys[: len(keep)], self.begin[: len(keep)], self.count[: len(keep)], self.uses[: len(keep)] = self.keys[keep], upto, size, 1
+        self.flat[: len(ids)] = ids
+        self.used = len(ids)
+        self.slots = dict(zip(self.keys[: len(keep)].tolist(), range(len(keep)), strict=True))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and how many each text has."""
         laid = Laid(data, offsets)
@@ -131,22 +147,24 @@ class Encoder:
             starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         keys, first, number = np.unique(laid.span_hash(starts, ends) + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
         if len(self.slots) + len(keys) > CACHE:
-            self._clear()
+            self._forget()
         slot = np.array([self.slots.get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            found = self._encode_new([buf[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            size = np.array([len(x) for x in found], np.int64)
-            k, more = len(self.slots), int(size.sum())
+            flat, begin, size = self._encode_new(buf, starts[first[new]], ends[first[new]])
+            k, more = len(self.slots), len(flat)
             slot[new] = np.arange(k, k + len(new))
             self.begin = _room(self.begin, k + len(new))
             self.count = _room(self.count, k + len(new))
             self.flat = _room(self.flat, self.used + more)
-            self.begin[k : k + len(new)] = self.used + np.cumsum(size) - size
+            self.keys, self.uses = _room(self.keys, k + len(new)), _room(self.uses, k + len(new))
+            self.keys[k : k + len(new)], self.uses[k : k + len(new)] = keys[new], 0
+            self.begin[k : k + len(new)] = self.used + begin
             self.count[k : k + len(new)] = size
-            self.flat[self.used : self.used + more] = np.concatenate(found)
+            self.flat[self.used : self.used + more] = flat
             self.used += more
             self.slots.update(zip(keys[new].tolist(), slot[new].tolist(), strict=True))
+        self.uses[slot] += 1
         piece = slot[number.ravel()]
         size = self.count[piece].astype(np.int64)
         begin = np.cumsum(size) - size
@@ -154,31 +172,51 @@ class Encoder:
         upto = np.append(0, np.cumsum(size))
         return ids, upto[np.searchsorted(starts, laid.end, "right")] - upto[np.searchsorted(starts, laid.begin)]
 
-    def _encode_new(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece.  Pieces without white space but a first space are encoded a few hundred
-        at a time, those without that space after a newline; their ends are found by their bytes."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        side, alone = [], []
-        for i, p in enumerate(pieces):
-            ok = self.splits and len(p) > 1 and (_ASCII[p[-1]] or (p[-1] >= 0x80 and 0xC3 <= p[-2] <= 0xDF)) and (p[0] == 0x20 or _FIRST[p[0]])
-            (side if ok else alone).append(i)
-        for k in range(0, len(side), 500):
-            some = side[k : k + 500]
-            text = [pieces[i] if pieces[i][0] == 0x20 else b"\n" + pieces[i] for i in some]
-            ids = np.array(self.tokenizer.encode(b"".join(text).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-            upto, bound = np.cumsum(self.width[ids]), np.cumsum([len(x) for x in text])
-            cut = np.searchsorted(upto, bound)
-            first = [x[0] == 0x0A for x in text]
-            begin = np.append(0, cut[:-1] + 1)
-            if len(ids) and upto[-1] == bound[-1] and (upto[cut] == bound).all() and all(self.width[ids[b]] == 1 for b, f in zip(begin.tolist(), first, strict=True) if f):
-                for i, b, c, f in zip(some, begin.tolist(), cut.tolist(), first, strict=True):
-                    out[i] = ids[b + f : c + 1]
+    def _in_turn(self, items: list, text_of) -> Iterator[tuple]:
+        """Each item with the ids of its text, a few at a time: the library's results are large."""
+        for a in range(0, len(items), 16):
+            some = items[a : a + 16]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([text_of(x) for x in some], add_special_tokens=False), strict=True):
+                yield x, np.array(e.ids, np.uint32)
+
+    def _encode_new(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some pieces: all ids, and where each piece's begin and how many they are.
+
+        Pieces without white space but a first space are encoded a few hundred at a time,
+        those without that space after a newline; their ends are found by their bytes."""
+        begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        size = ends - starts
+        head, last, before = buf[starts], buf[ends - 1], buf[ends - 2]
+        ok = (size > 1) & (_ASCII[last] | ((last >= 0x80) & (before >= 0xC3) & (before <= 0xDF))) & ((head == 0x20) | _FIRST[head])
+        side = np.flatnonzero(ok) if self.splits else np.zeros(0, np.int64)
+        alone = [np.flatnonzero(~ok)] if self.splits else [np.arange(len(starts))]
+        line = (head[side] != 0x20).astype(np.int64)
+        length = size[side] + line
+        upto = np.cumsum(length)
+        text = np.full(int(upto[-1]) if len(side) else 0, 0x0A, np.uint8)
+        step = np.arange(int(size[side].sum())) - np.repeat(np.cumsum(size[side]) - size[side], size[side])
+        text[np.repeat(upto - length + line, size[side]) + step] = buf[np.repeat(starts[side], size[side]) + step]
+        flat, used = [], 0
+        chunks = [(a, min(a + 500, len(side)), int(upto[a - 1]) if a else 0) for a in range(0, len(side), 500)]
+        said = lambda x: text[x[2] : int(upto[x[1] - 1])].tobytes().decode("utf-8", "replace")
+        for (a, b, low), ids in self._in_turn(chunks, said):
+            reach, bound = np.cumsum(self.width[ids]), upto[a:b] - low
+            cut = np.searchsorted(reach, bound)
+            first = np.append(0, cut[:-1] + 1)
+            if len(ids) and reach[-1] == bound[-1] and (reach[cut] == bound).all() and (self.width[ids[first[line[a:b] == 1]]] == 1).all():
+                begin[side[a:b]] = used + first + line[a:b]
+                count[side[a:b]] = cut + 1 - first - line[a:b]
+                flat.append(ids)
+                used += len(ids)
             else:
-                alone += some
-        if alone:
-            for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, np.uint32)
-        return out
+                alone.append(side[a:b])
+        rest = np.concatenate(alone)
+        if len(rest):
+            for i, ids in self._in_turn(rest.tolist(), lambda i: buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")):
+                begin[i], count[i] = used, len(ids)
+                flat.append(ids)
+                used += len(ids)
+        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), begin, count
 
 
 _encoders: dict[str, Encoder] = {}
@@ -218,13 +256,10 @@ def ranking(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.bincount(_wide(blob, n))
-                if len(part) > len(total):
-                    part[: len(total)] += total
-                    total = part
-                else:
-                    total[: len(part)] += part
+            ids = [_wide(blob, n) for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            part = np.bincount(np.concatenate(ids) if ids else np.zeros(0, np.int64), minlength=len(total))
+            part[: len(total)] += total
+            total = part
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have], pa.int64())], ["id", "n"])
 
@@ -239,13 +274,14 @@ FIELDS = ["shard", "begin", "doc_ids", "sizes", "count", "control", "data"]
 def write(docs: DataFrame, target: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes token files of ``docs`` (doc_id, text) in ascending order of doc_id."""
     spark = docs.sparkSession
-    ids = store.table(encoded(docs, tokenizer, end_id), "ids")
+    ids = store.table(encoded(docs, tokenizer, end_id), "ids", "zstd")
     ranks = ranking(ids)
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(ranks)), pa.int64()), "id": pa.array(ranks, pa.int64())})).coalesce(1).write.parquet(f"{target}/ranks")
     of = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
     of[ranks] = np.arange(len(ranks), dtype=np.uint32)
     table_of = spark.sparkContext.broadcast(of)  # at most as many numbers as the vocabulary has ids
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +310,7 @@ def write(docs: DataFrame, target: str, tokenizer: str, end_id: int = END_ID, pa
     ranged = ids.repartitionByRange(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
     numbered = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
     schema = f"shard int, begin bigint, doc_ids array<{kind}>, sizes binary, count bigint, control binary, data binary"
-    numbered.mapInArrow(block, schema).write.parquet(f"{target}/blocks")
+    numbered.mapInArrow(block, schema).write.option("compression", "zstd").parquet(f"{target}/blocks")
     store.drop(ids)
 
 
