@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from veilsight import queries
 from veilsight.functions import text as T
 from veilsight.functions import validators as V
-from veilsight.operators import conversation, coverage, findings, incremental
+from veilsight.operators import conversation, coverage, export, findings, incremental
 from veilsight.operators.detect import detect
 from veilsight.plans import scan
-from veilsight.sources import files, json_leaves, tables
+from veilsight.sources import files, json_leaves, tables, tagged
 from veilsight.streaming import logs
 
 SF = "/root/testdata/sf0.001"
@@ -339,3 +339,72 @@ def test_rescans_and_tables(spark):
     assert {r.key for r in got.where("decision = 'skip'").collect()} == {"a"}
     rows = spark.createDataFrame([("x", "f", 8), ("y", "f", 0), ("z", "f", 4), ("w", "g", 16)], "key string, fingerprint string, flags int")
     assert [tuple(r) for r in incremental.by_fingerprint(rows).collect()] == [("f", "y")]
+
+
+def test_tagged_values(spark):
+    item = '{"a/b": {"S": "x"}, "n": {"N": "5"}, "z": {"S": ""}, "o": {"BOOL": true}, "u": {"NULL": true}, "m": {"M": {"l": {"L": [{"M": {"k": {"S": "q"}, "d": {"N": 7}}}, {"S": "s"}]}}}, "s": {"NS": ["1", "2"]}, "bad": 3}'
+    df = spark.createDataFrame([(1, item), (2, None), (3, "no json"), (4, "[1]"), (5, ""), (6, "{}")], "id int, doc string")
+    got = tagged.leaves(df, ["id"], "doc").orderBy("id", "ord").collect()
+    assert [(r.id, r.pointer, r.path, r.name, r.text, r.list_id, r.position) for r in got] == [
+        (1, "/a~1b", "a/b", "a/b", "x", None, None),
+        (1, "/n", "n", "n", "5", None, None),
+        (1, "/z", "z", "z", "", None, None),
+        (1, "/m/l/0/k", "m.l[].k", "k", "q", "/m/l", 0),
+        (1, "/m/l/0/d", "m.l[].d", "d", "7", "/m/l", 0),
+        (1, "/m/l/1", "m.l[]", "l", "s", "/m/l", 1),
+        (1, "/s/0", "s[]", "s", "1", "/s", 0),
+        (1, "/s/1", "s[]", "s", "2", "/s", 1),
+    ]
+    assert got[3].fields == {"k": "q", "d": "7"}
+    deep = '{"a": ' + '{"M": {"b": ' * 40 + '{"S": "x"}' + "}}" * 40 + "}"
+    assert tagged.leaves(spark.createDataFrame([(1, deep)], "id int, doc string"), ["id"], "doc").count() == 0
+    assert tagged.leaves(df.limit(0), ["id"], "doc").count() == 0
+
+
+@pytest.mark.parametrize("path, pointers", [("m", ["/m/l/0/k", "/m/l/1/k"]), ("m.l[].k", ["/m/l/0/k", "/m/l/1/k"]), ("m.l[k=q].k", ["/m/l/0/k"]), ("m.l[k=q, k=r]", []), ("m.l.k", []), ("m.l[].k.x", [])])
+def test_attribute_paths(spark, path, pointers):
+    df = spark.createDataFrame([('{"m": {"M": {"l": {"L": [{"M": {"k": {"S": "q"}}}, {"M": {"k": {"S": "r"}}}]}}}}',)], "doc string")
+    rows = tagged.leaves(df, [], "doc")
+    assert [r.pointer for r in rows.where(tagged.covers(path, F.col("steps"))).orderBy("ord").collect()] == pointers
+
+
+@pytest.mark.parametrize("path", ["", "[]", ".a", "a..b", "a.", "a[b", "a]b", "a[b]", "a[=c]"])
+def test_bad_attribute_paths(spark, path):
+    with pytest.raises(ValueError):
+        tagged.covers(path, F.col("steps"))
+
+
+def test_stale_without_records(spark):
+    schema = "scheme string, adapter string, adapter_v string, readers map<string,string>, unread array<string>, sniffer_v string, detected string, standalone_v string, classes map<string,string>, conversation_v string, flags int"
+    now = {"scheme": "2", "sniffer": "1", "standalone": "1", "conversation": "1"}
+    rows = [
+        ("2", "gone", "0", None, None, "1", "text", "1", None, "1", 0),
+        ("1", "store", "0", None, None, "1", "text", "1", None, "1", 0),
+        ("2", "store", None, None, None, "1", "text", "1", None, "1", 0),
+        ("2", "store", "1", {"rtf": "1"}, None, "1", "text", "1", None, "1", 0),
+        ("2", "store", "1", None, None, "0", "text", "1", None, "1", 4),
+        ("2", "store", "1", None, None, "1", "text", "1", None, "1", 1),
+        ("2", "store", "1", None, None, "1", "text", "1", {"card": "1"}, None, 3),
+    ]
+    got = incremental.stale_reason(spark.createDataFrame(rows, schema).coalesce(1), now, {"store": "1"}, {"text": "1"}, {"card": "1"})
+    assert [r.stale for r in got.collect()] == [None, None, "adapter", "reader", "sniffer", "standalone", "conversation"]
+
+
+def test_grants_refuse_unknown(spark):
+    df = spark.createDataFrame([("a", "SELECT"), ("b", None), ("c", " insert"), ("c", "select"), ("c", "INSERT")], "principal string, privilege string")
+    assert sorted(map(tuple, incremental.write_grants(df, ["select"]).collect())) == [("b", ["UNKNOWN"]), ("c", ["INSERT"])]
+
+
+def test_gaps_of_nothing(spark):
+    df = spark.createDataFrame([(None, 0), ({"large": 2}, None)], "skipped map<string,int>, partial int")
+    assert [tuple(r) for r in coverage.gaps(df, ["skipped"], ["partial"]).collect()] == [("skipped", "large", 2)]
+    assert coverage.gaps(df.limit(0), ["skipped"], ["partial"]).count() == 0
+
+
+def test_findings_document(spark):
+    import json
+
+    df = spark.createDataFrame([("b", "low", 1), ("a", "high", 2)], "id string, severity string, count int")
+    got = json.loads(export.document(findings.top(df), {"schema": "1"}).first()[0])
+    assert got == {"schema": "1", "findings": [{"id": "a", "severity": "high", "count": 2}, {"id": "b", "severity": "low", "count": 1}]}
+    assert json.loads(export.document(findings.top(df.limit(0)), {"schema": "1"}).first()[0]) == {"schema": "1", "findings": []}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,23 @@ def scope(findings: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]) -> Da
     pairs = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(c).alias("cls")) for f, classes in rules for c in classes])
     hit = findings.select("id", "encrypted", F.explode(F.filter(pairs, lambda p: p["cls"] == F.col("cls"))).alias("p"))
     return hit.groupBy("p.framework").agg(F.count_distinct("id").alias("locations"), F.count_distinct(F.when(~F.col("encrypted"), F.col("id"))).alias("unencrypted"))
+
+
+def _gap(kind: str, entry: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), entry["key"].alias("reason"), entry["value"].cast("long").alias("n"))
+
+
+def gaps(runs: DataFrame, maps: Sequence[str] = ("skipped", "not_allowed", "archived"), counters: Sequence[str] = ("unreadable", "kms_denied", "partial", "sampled_out")) -> DataFrame:
+    """What wasn't read and why, over all runs: kind (the column), reason (a map's key; null for a counter) and n.
+
+    All columns become rows of one scan and one sum.  Null maps and counters add nothing, and a sum of 0 has no row."""
+    of_map = [F.transform(F.map_entries(m), partial(_gap, m)) for m in maps]
+    of_counter = F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(None).cast("string").alias("reason"), F.col(c).cast("long").alias("n")) for c in counters])
+    empty = F.slice(of_counter, 1, 0) if counters else F.array().cast("array<struct<kind:string,reason:string,n:bigint>>")
+    each = runs.select(F.explode(F.concat(*[F.coalesce(m, empty) for m in of_map], of_counter if counters else empty)).alias("g")).select("g.*")
+    return each.groupBy("kind", "reason").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def profile_counts(index: DataFrame, keys: Sequence[str] = ("profile", "flags")) -> DataFrame:
+    """How many items each component profile has read, by flags."""
+    return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))

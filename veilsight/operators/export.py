@@ -35,3 +35,11 @@ def write_csv(findings: DataFrame, path: str) -> None:
 def parts(rows: DataFrame, order: str, size: str, limit: int = 200_000) -> DataFrame:
     """Adds ``part``: rows in order, cut where the running size passes a multiple of ``limit``."""
     return running_total(rows, order, [size]).withColumn("part", F.floor((F.col(f"total_{size}") - 1) / limit).cast("long")).drop(f"total_{size}")
+
+
+def document(ranked: DataFrame, head: dict[str, str]) -> DataFrame:
+    """One row, ``document``: the findings document as JSON, of findings that ``findings.top`` has cut to its fixed number."""
+    rows = ranked.withColumn("_at", F.monotonically_increasing_id())
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct(*ranked.columns).alias("f")))), lambda x: x["f"])
+    made = rows.agg(listed.alias("findings"))
+    return made.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], "findings")).alias("document"))

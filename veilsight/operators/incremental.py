@@ -137,3 +137,40 @@ def by_fingerprint(index: DataFrame) -> DataFrame:
     """fingerprint -> key of the first readable item that is nobody's copy (flags: 8 copy, 16 unreadable)."""
     good = index.where((F.col("flags").bitwiseAND(F.lit(24)) == 0) & F.col("fingerprint").isNotNull())
     return good.groupBy("fingerprint").agg(F.min("key").alias("key"))
+
+
+#: Flags of an index row: read as text, as a conversation, and not what its name claims.
+TEXT, CONVERSATION, DISGUISED = 1, 2, 4
+
+
+def stale_reason(index: DataFrame, now: dict[str, str], adapters: dict[str, str], readers: dict[str, str], classes: dict[str, str], reads: Sequence[str] = ()) -> DataFrame:
+    """Adds ``stale`` to index rows: the first component that has changed and could change the result, else null.
+
+    Rows have scheme, adapter, adapter_v, readers (map name to version), unread (array of kinds),
+    sniffer_v, detected, standalone_v, classes (map), conversation_v and flags.  ``now`` has the present
+    scheme, sniffer, standalone and conversation; ``reads`` the kinds that can be read now.  In order: adapter
+    (under the same scheme), reader, new_reader, sniffer (where the kind was unknown or disputed), standalone
+    (engine or any class, for texts), conversation.  Null maps and arrays are empty."""
+    lookup = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.expr("cast(map() as map<string, string>)")
+    flag = lambda n: F.col("flags").bitwiseAND(F.lit(n)) != 0
+    differs = lambda c, v: ~F.col(c).eqNullSafe(F.lit(v))
+    current, known, latest_classes = lookup(adapters), lookup(readers), lookup(classes)
+    adapter = current[F.col("adapter")].isNotNull() & ~F.col("adapter_v").eqNullSafe(current[F.col("adapter")]) & (F.col("scheme") == now["scheme"])
+    reader = F.exists(F.map_entries("readers"), lambda e: ~F.coalesce(known[e["key"]] == e["value"], F.lit(False)))
+    new_reader = F.arrays_overlap("unread", F.array(*[F.lit(k) for k in reads]).cast("array<string>"))
+    sniffer = differs("sniffer_v", now["sniffer"]) & (F.col("detected").isNull() | (F.col("detected") == "binary") | flag(DISGUISED))
+    had = F.coalesce(F.col("classes"), F.expr("cast(map() as map<string, string>)"))
+    new_class = F.exists(F.map_entries(latest_classes), lambda e: ~F.coalesce(F.element_at(had, e["key"]) == e["value"], F.lit(False)))
+    standalone = flag(TEXT) & (differs("standalone_v", now["standalone"]) | new_class)
+    spoken = flag(CONVERSATION) & differs("conversation_v", now["conversation"])
+    reason = F.when(adapter, "adapter").when(reader, "reader").when(new_reader, "new_reader").when(sniffer, "sniffer").when(standalone, "standalone").when(spoken, "conversation")
+    return index.withColumn("stale", reason)
+
+
+def write_grants(grants: DataFrame, reads: Sequence[str], principal: str = "principal", privilege: str = "privilege") -> DataFrame:
+    """Principals that hold more than reading: each with ``writes``, its privileges outside the list ``reads``.
+
+    A list of what may be held, so an unknown or null privilege refuses; case and outer spaces don't matter."""
+    name = F.upper(F.trim(F.coalesce(F.col(privilege), F.lit("unknown"))))
+    rows = grants.select(F.col(principal), name.alias("_p")).where(~F.col("_p").isin(*[r.upper() for r in reads]))
+    return rows.groupBy(principal).agg(F.array_sort(F.collect_set("_p")).alias("writes"))

@@ -13,7 +13,7 @@ from .functions import validators as V
 from .operators import conversation, coverage, export, findings, incremental
 from .operators.detect import detect
 from .plans import scan
-from .sources import json_leaves, tables, transcripts
+from .sources import json_leaves, tables, tagged, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -365,3 +365,69 @@ def report_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values, locations and classes of each store."""
     found = findings.summarize(detect(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["source", "doc_id"])
     return findings.by_store(found, ["source"]).select("source", F.array_join("classes", ",").alias("classes"), "values", "locations")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of typed values: an answer to a prompt in a list of steps, and a set."""
+    orders, s = _read(spark, sf_dir, "orders"), lambda c: F.struct(F.col(c).cast("string").alias("S"))
+    step = lambda kind, *more: F.struct(F.struct(F.struct(F.lit(kind).alias("S")).alias("kind"), *more).alias("M"))
+    steps = F.array(step("say", s("o_orderpriority").alias("text"), F.struct(F.lit(None).cast("string").alias("S")).alias("digits")), step("keyed", F.struct(F.lit(None).cast("string").alias("S")).alias("text"), s("o_custkey").alias("digits")))
+    number, members = F.struct(F.col("o_orderkey").cast("string").alias("N")), F.struct(F.array("o_orderstatus", F.lit("x")).alias("SS"))
+    return orders.select("o_orderkey", F.to_json(F.struct(number.alias("id"), F.struct(F.lit(True).alias("BOOL")).alias("open"), F.struct(steps.alias("L")).alias("steps"), members.alias("tags"))).alias("doc"))
+
+
+@query("""
+WITH l AS (SELECT 'id' AS path, o_orderkey::VARCHAR AS t FROM orders UNION ALL SELECT 'steps[].kind', 'say' FROM orders UNION ALL SELECT 'steps[].text', o_orderpriority FROM orders
+UNION ALL SELECT 'steps[].kind', 'keyed' FROM orders UNION ALL SELECT 'steps[].digits', o_custkey::VARCHAR FROM orders UNION ALL SELECT 'tags[]', o_orderstatus FROM orders UNION ALL SELECT 'tags[]', 'x' FROM orders)
+SELECT path, count(*) AS leaves, sum(length(t))::BIGINT AS chars, min(t) AS least FROM l GROUP BY path""")
+def tagged_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings and numbers of items of typed values, by path."""
+    return tagged.leaves(_items(spark, sf_dir), ["o_orderkey"], "doc").groupBy("path").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.length("text")).alias("chars"), F.min("text").alias("least"))
+
+
+@query("SELECT o_orderkey, '/steps/1/digits' AS pointer, o_custkey::VARCHAR AS keyed, o_orderpriority AS prompt FROM orders")
+def keyed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed values by attribute path, each with the prompt before it in its list."""
+    leaves = tagged.leaves(_items(spark, sf_dir), ["o_orderkey"], "doc")
+    says, keyed = tagged.covers("steps[kind=say].text", F.col("steps")), tagged.covers("steps[kind=keyed].digits", F.col("steps"))
+    rows = leaves.where(says | keyed).select("o_orderkey", F.concat_ws(" ", "o_orderkey", "list_id").alias("list_id"), tagged.ordered().alias("ord"), "text", "pointer", says.alias("says"), keyed.alias("keyed"))
+    return transcripts.answers(rows, F.col("says"), F.col("keyed")).select("o_orderkey", "pointer", F.col("text").alias("keyed"), "prompt")
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'adapter' WHEN o_orderkey % 11 = 0 THEN 'reader' WHEN o_orderkey % 13 = 0 THEN 'new_reader'
+WHEN o_orderkey % 3 = 0 AND (o_orderstatus = 'P' OR o_custkey % 8 >= 4) THEN 'sniffer' WHEN o_custkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'standalone'
+WHEN o_custkey % 4 >= 2 AND o_orderkey % 17 = 0 THEN 'conversation' END AS stale, count(*) AS items FROM orders GROUP BY 1""")
+def stale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why an item must be read again: the first component that changed."""
+    k = F.col("o_orderkey")
+    old = lambda n: F.when(k % n == 0, "0").otherwise("1")
+    index = _read(spark, sf_dir, "orders").select(
+        F.lit("2").alias("scheme"), F.lit("store").alias("adapter"), old(7).alias("adapter_v"), F.create_map(F.lit("text"), old(11)).alias("readers"),
+        F.array(F.when(k % 13 == 0, "pdf").otherwise("media")).alias("unread"), old(3).alias("sniffer_v"), F.when(F.col("o_orderstatus") == "P", "binary").otherwise("text").alias("detected"),
+        F.lit("1").alias("standalone_v"), F.create_map(F.lit("card"), old(5)).alias("classes"), old(17).alias("conversation_v"), (F.col("o_custkey") % 8).alias("flags"))
+    now = {"scheme": "2", "sniffer": "1", "standalone": "1", "conversation": "1"}
+    return incremental.stale_reason(index, now, {"store": "1"}, {"text": "1"}, {"card": "1"}, ["pdf"]).groupBy("stale").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("""
+SELECT kind, reason, sum(n)::BIGINT AS n FROM (SELECT 'skipped' AS kind, o_orderstatus AS reason, o_custkey AS n FROM orders UNION ALL SELECT 'archived', o_orderpriority, 1 FROM orders
+UNION ALL SELECT 'unreadable', NULL, o_orderkey % 3 FROM orders) GROUP BY kind, reason HAVING sum(n) <> 0""")
+def report_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What wasn't read, by reason."""
+    runs = _read(spark, sf_dir, "orders").select(F.create_map("o_orderstatus", "o_custkey").alias("skipped"), F.create_map("o_orderpriority", F.lit(1)).alias("archived"), (F.col("o_orderkey") % 3).alias("unreadable"))
+    return coverage.gaps(runs, ["skipped", "archived"], ["unreadable"])
+
+
+@query("SELECT o_orderpriority AS profile, o_custkey % 4 AS flags, count(*) AS items FROM orders GROUP BY ALL")
+def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by the versions that read them."""
+    return coverage.profile_counts(_read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("profile"), (F.col("o_custkey") % 4).alias("flags")))
+
+
+@query("""
+SELECT c_nationkey AS principal, string_agg(DISTINCT upper(c_mktsegment), ',' ORDER BY upper(c_mktsegment)) AS writes FROM customer WHERE upper(c_mktsegment) NOT IN ('BUILDING', 'MACHINERY') GROUP BY c_nationkey""")
+def write_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principals that hold more than a list of reads."""
+    grants = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("principal"), F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("privilege"))
+    return incremental.write_grants(grants, ["building", "machinery"]).select("principal", F.array_join("writes", ",").alias("writes"))
