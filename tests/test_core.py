@@ -382,9 +382,9 @@ def test_stale_without_records(spark):
         ("1", "store", "0", None, None, "1", "text", "1", None, "1", 0),
         ("2", "store", None, None, None, "1", "text", "1", None, "1", 0),
         ("2", "store", "1", {"rtf": "1"}, None, "1", "text", "1", None, "1", 0),
-        ("2", "store", "1", None, None, "0", "text", "1", None, "1", 4),
-        ("2", "store", "1", None, None, "1", "text", "1", None, "1", 1),
-        ("2", "store", "1", None, None, "1", "text", "1", {"card": "1"}, None, 3),
+        ("2", "store", "1", None, None, "0", "text", "1", None, "1", 1),
+        ("2", "store", "1", None, None, "1", "text", "1", None, "1", 4),
+        ("2", "store", "1", None, None, "1", "text", "1", {"card": "1"}, None, 7),
     ]
     got = incremental.stale_reason(spark.createDataFrame(rows, schema).coalesce(1), now, {"store": "1"}, {"text": "1"}, {"card": "1"})
     assert [r.stale for r in got.collect()] == [None, None, "adapter", "reader", "sniffer", "standalone", "conversation"]

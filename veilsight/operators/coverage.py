@@ -72,3 +72,34 @@ def gaps(runs: DataFrame, maps: Sequence[str] = ("skipped", "not_allowed", "arch
 def profile_counts(index: DataFrame, keys: Sequence[str] = ("profile", "flags")) -> DataFrame:
     """How many items each component profile has read, by flags."""
     return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))
+
+
+# Storage classes that can't be read as they are, and the names of archive tiers
+ARCHIVED = ("GLACIER", "DEEP_ARCHIVE")
+TIERS = {
+    "ARCHIVE": "INTELLIGENT_TIERING_ARCHIVE_ACCESS",
+    "ARCHIVE_ACCESS": "INTELLIGENT_TIERING_ARCHIVE_ACCESS",
+    "DEEP_ARCHIVE": "INTELLIGENT_TIERING_DEEP_ARCHIVE_ACCESS",
+    "DEEP_ARCHIVE_ACCESS": "INTELLIGENT_TIERING_DEEP_ARCHIVE_ACCESS",
+}
+
+
+def storage_class(platform: Column, listed: Column, tier: Column, restored: Column) -> Column:
+    """The class an object is filed under, by platform (s3, azure, gcs), from its listing.
+
+    ``tier`` is the access tier or the archive status; ``restored`` says that a restored copy can be read."""
+    name = F.upper(F.coalesce(F.nullif(listed, F.lit("")), F.lit("STANDARD")))
+    by_tier = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.upper(F.coalesce(tier, F.lit("")))]
+    s3 = F.when(name.isin(*ARCHIVED) & F.coalesce(restored, F.lit(False)), F.concat(name, F.lit("_RESTORED"))).when(name == "INTELLIGENT_TIERING", F.coalesce(by_tier, name)).otherwise(name)
+    given = F.trim(F.coalesce(listed, F.lit("")))
+    azure = F.when(F.lower(tier).startswith("rehydrate-pending"), "Archive").when(given == "", "Premium").otherwise(F.concat(F.upper(F.substring(given, 1, 1)), F.lower(F.substring(given, 2, 1 << 20))))
+    return F.when(platform == "azure", azure).when(platform == "gcs", name).otherwise(s3)
+
+
+def storage_rule(platform: Column, cls: Column, instant: bool = False, cold: bool = False, archive: bool = False) -> Column:
+    """Why objects of a class aren't read; null where they are.  The settings allow instant-access
+    archives (s3), cold tiers (azure) and archives (gcs)."""
+    s3 = F.when((cls == "GLACIER_IR") & F.lit(not instant), "archive_class").when(cls.isin(*ARCHIVED, *set(TIERS.values())), "needs_restore")
+    azure = F.when((cls == "Cold") & F.lit(not cold), "cold_tier").when(cls == "Archive", "needs_rehydration")
+    gcs = F.when((cls == "ARCHIVE") & F.lit(not archive), "archive_class")
+    return F.when(platform == "azure", azure).when(platform == "gcs", gcs).otherwise(s3)

@@ -139,8 +139,8 @@ def by_fingerprint(index: DataFrame) -> DataFrame:
     return good.groupBy("fingerprint").agg(F.min("key").alias("key"))
 
 
-#: Flags of an index row: read as text, as a conversation, and not what its name claims.
-TEXT, CONVERSATION, DISGUISED = 1, 2, 4
+#: Fixed values, the flags of an index row: not what its name claims, read as a conversation, read as text.
+DISGUISED, CONVERSATION, TEXT = 1, 2, 4
 
 
 def stale_reason(index: DataFrame, now: dict[str, str], adapters: dict[str, str], readers: dict[str, str], classes: dict[str, str], reads: Sequence[str] = ()) -> DataFrame:

@@ -396,7 +396,7 @@ def keyed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'adapter' WHEN o_orderkey % 11 = 0 THEN 'reader' WHEN o_orderkey % 13 = 0 THEN 'new_reader'
-WHEN o_orderkey % 3 = 0 AND (o_orderstatus = 'P' OR o_custkey % 8 >= 4) THEN 'sniffer' WHEN o_custkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'standalone'
+WHEN o_orderkey % 3 = 0 AND (o_orderstatus = 'P' OR o_custkey % 2 = 1) THEN 'sniffer' WHEN o_custkey % 8 >= 4 AND o_orderkey % 5 = 0 THEN 'standalone'
 WHEN o_custkey % 4 >= 2 AND o_orderkey % 17 = 0 THEN 'conversation' END AS stale, count(*) AS items FROM orders GROUP BY 1""")
 def stale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why an item must be read again: the first component that changed."""
@@ -431,3 +431,104 @@ def write_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principals that hold more than a list of reads."""
     grants = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("principal"), F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("privilege"))
     return incremental.write_grants(grants, ["building", "machinery"]).select("principal", F.array_join("writes", ",").alias("writes"))
+
+
+_STORED = [
+    ("s3", None, None, None, "STANDARD", None),
+    ("s3", "glacier", None, False, "GLACIER", "needs_restore"),
+    ("s3", "GLACIER", None, True, "GLACIER_RESTORED", None),
+    ("s3", "GLACIER_IR", None, None, "GLACIER_IR", "archive_class"),
+    ("s3", "INTELLIGENT_TIERING", "archive_access", None, "INTELLIGENT_TIERING_ARCHIVE_ACCESS", "needs_restore"),
+    ("s3", "INTELLIGENT_TIERING", None, None, "INTELLIGENT_TIERING", None),
+    ("azure", "cold", None, None, "Cold", "cold_tier"),
+    ("azure", "Hot", None, None, "Hot", None),
+    ("azure", "Hot", "rehydrate-pending-to-hot", None, "Archive", "needs_rehydration"),
+    ("azure", "", None, None, "Premium", None),
+    ("gcs", "archive", None, None, "ARCHIVE", "archive_class"),
+    ("gcs", None, None, None, "STANDARD", None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ",".join("(" + ",".join("NULL" if v is None else f"'{v}'" for v in (r[0], r[4], r[5])) + ")" for r in _STORED) + ") AS t(platform, cls, reason)")
+def storage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storage classes by listing, and why objects of them aren't read."""
+    rows = spark.createDataFrame([r[:4] for r in _STORED], "platform string, listed string, tier string, restored boolean")
+    named = rows.select("platform", coverage.storage_class(F.col("platform"), F.col("listed"), F.col("tier"), F.col("restored")).alias("cls"))
+    return named.withColumn("reason", coverage.storage_rule(F.col("platform"), F.col("cls")))
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS cls, CASE WHEN o_orderkey % 3 > 0 THEN 'old' ELSE 'new' END AS first_seen FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, o_orderpriority, 'old' FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 2 > 0 AND o_orderkey % 5 > 0""")
+def replaced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings after a pass over some of the locations."""
+    at, rows = F.col("o_orderkey"), _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cls"))
+    old, new = rows.where(at % 3 > 0).withColumn("first_seen", F.lit("old")), rows.where(at % 2 == 0).withColumn("first_seen", F.lit("new"))
+    return findings.replace(old, new, rows.where((at % 2 == 0) | (at % 5 == 0)), ["o_orderkey", "cls"])
+
+
+@query("""
+WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, first_id AS duplicate_of, 'card' AS cls FROM d WHERE doc_id <> first_id AND first_id % 2 = 0""")
+def copied_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first item's findings for its copies."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.where(F.col("doc_id") % 2 == 0).select("doc_id", F.lit("card").alias("cls"))
+    return incremental.copy_findings(found, incremental.duplicates(docs, F.col("text"), "doc_id").select("doc_id", "duplicate_of"), "doc_id").select("doc_id", "duplicate_of", "cls")
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 > 0 AND date_diff('day', o_orderdate::DATE, DATE '1997-01-01') < 700 THEN 'skip' ELSE 'read' END AS decision, count(*) AS tables FROM orders GROUP BY 1""")
+def tables_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose marker has changed, is missing or was read too long ago."""
+    orders, marker = _read(spark, sf_dir, "orders"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus"))
+    index = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("marker"), F.col("o_orderdate").alias("read_at"))
+    return incremental.table_changes(orders.select(F.col("o_orderkey").alias("key"), marker.alias("marker")), index, F.lit("1997-01-01").cast("date"), 700).groupBy("decision").agg(F.count(F.lit(1)).alias("tables"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, row_number() OVER w AS position, sum(n_chars) OVER w AS total_size FROM documents WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id FROM t WHERE doc_id < coalesce((SELECT min(doc_id) FROM t WHERE position > 1 AND (position > 200 OR total_size > 250000)), 9223372036854775807)""")
+def rescan_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stale items that a quarter of a pass's budget reads again."""
+    return incremental.rescans(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 800, 1_000_000).select("doc_id")
+
+
+@query("SELECT md5(text) AS fingerprint, min(doc_id) AS key FROM documents WHERE doc_id % 32 < 8 AND text IS NOT NULL GROUP BY 1")
+def first_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first readable item of each content that is nobody's copy (H1, H2, H9)."""
+    return incremental.by_fingerprint(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.md5(F.col("text").cast("binary")).alias("fingerprint"), (F.col("doc_id") % 32).cast("int").alias("flags")))
+
+
+@query("""
+SELECT o_custkey, o_orderpriority AS cls, count(*) AS count, sum(o_orderkey % 7)::BIGINT AS occurrences, CASE max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
+  string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS via FROM orders GROUP BY o_custkey, o_orderpriority""")
+def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a location read apart, as one finding a class."""
+    s = F.col("o_orderstatus")
+    parts = _read(spark, sf_dir, "orders").select(
+        "o_custkey", F.col("o_orderpriority").alias("cls"), F.lit(1).alias("count"), (F.col("o_orderkey") % 7).alias("occurrences"), F.when(s == "F", "high").when(s == "O", "medium").otherwise("low").alias("confidence"),
+        *[F.lit(0).alias(n) for n in ("n_high", "n_medium", "n_low")], F.array(s).alias("via"))
+    return findings.merge_parts(parts, ["o_custkey"]).select("o_custkey", "cls", "count", "occurrences", "confidence", F.array_join("via", ",").alias("via"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey AS k, l_returnflag AS cls, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), f AS (SELECT l_orderkey AS k, l_returnflag AS cls, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL),
+b AS (SELECT cls, coalesce(t.n, 0) AS t, coalesce(f.n, 0) AS f, least(coalesce(t.n, 0), coalesce(f.n, 0)) AS hit FROM t FULL JOIN f USING (k, cls)),
+s AS (SELECT cls, sum(hit)::BIGINT AS tp, sum(f - hit)::BIGINT AS fp, sum(t - hit)::BIGINT AS fn FROM b GROUP BY cls)
+SELECT cls, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM s""")
+def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 by class."""
+    count = lambda rows: rows.groupBy("l_orderkey", F.col("l_returnflag").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    items = _read(spark, sf_dir, "lineitem")
+    return findings.score(count(items.where("l_linenumber <= 3")), count(items.where("l_linenumber >= 2")), ["l_orderkey"])
+
+
+@query("""
+SELECT CASE WHEN e > 0 AND r = 0 THEN 'failed' WHEN e > 0 OR b > 0 THEN 'partial' WHEN r = 0 AND s > 0 THEN 'skipped' WHEN r > 0 THEN 'scanned' ELSE 'empty' END AS status, count(*) AS stores
+FROM (SELECT o_custkey % 3 AS r, o_orderkey % 2 AS e, o_custkey % 5 AS s, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS b FROM orders) GROUP BY 1""")
+def settled_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores by the status that their counters give."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    status = coverage.settle(c % 3, k % 2, c % 5, F.when(k % 7 == 0, 1).otherwise(0))
+    return _read(spark, sf_dir, "orders").select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("stores"))
