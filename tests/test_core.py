@@ -408,3 +408,15 @@ def test_findings_document(spark):
     got = json.loads(export.document(findings.top(df), {"schema": "1"}).first()[0])
     assert got == {"schema": "1", "findings": [{"id": "a", "severity": "high", "count": 2}, {"id": "b", "severity": "low", "count": 1}]}
     assert json.loads(export.document(findings.top(df.limit(0)), {"schema": "1"}).first()[0]) == {"schema": "1", "findings": []}
+
+
+def test_html_report(spark, tmp_path):
+    rows = spark.createDataFrame([("<b>", 2, None), ("4111111111111111", 1, "a&'\"")], "store string, count int, note string")
+    export.write_html("Report <1>", [("Stores", rows.repartition(3), ["count"]), ("None", rows.limit(0), ["count"])], str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r"), wholetext=True).collect()]
+    assert len(lines) == 1
+    got = lines[0].splitlines()
+    assert got[0].endswith("<title>Report &lt;1&gt;</title><h1>Report &lt;1&gt;</h1>")
+    assert got[1] == "<h2>Stores</h2><table><tr><th>store</th><th>count</th><th>note</th></tr>"
+    assert "4111111111111111" not in got[2] and got[2].endswith("<td>1</td><td>a&amp;&#x27;&quot;</td></tr>")
+    assert got[3:] == ["<tr><td>&lt;b&gt;</td><td>2</td><td></td></tr>", "</table>", "<h2>None</h2><table><tr><th>store</th><th>count</th><th>note</th></tr>", "</table>", "</html>"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +46,35 @@ def document(ranked: DataFrame, head: dict[str, str]) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct(*ranked.columns).alias("f")))), lambda x: x["f"])
     made = rows.agg(listed.alias("findings"))
     return made.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], "findings")).alias("document"))
+
+
+def escaped(value: Column) -> Column:
+    """A value as HTML text, with long digit runs masked; null is empty."""
+    text = F.coalesce(T.redact(value.cast("string")), F.lit(""))
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def html(title: str, sections: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """A report as lines of HTML (section, place, line) in order of section and place.
+
+    sections: (heading, rows, columns to sort by); each becomes a table of all its rows.  Lines stay rows
+    of a DataFrame, so a report of any length is written by Spark; ``write_html`` makes it one file."""
+    first = sections[0][1].sparkSession
+    says = lambda k, at, text: first.createDataFrame([(k, at, text)], "section int, place long, line string")
+    plain = lambda text: text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    out = [says(-1, 0, f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{plain(title)}</title><h1>{plain(title)}</h1>')]
+    for k, (heading, rows, order) in enumerate(sections):
+        head = "".join(f"<th>{plain(c)}</th>" for c in rows.columns)
+        out.append(says(k, -1, f"<h2>{plain(heading)}</h2><table><tr>{head}</tr>"))
+        cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.col(f"`{c}`")), F.lit("</td>")) for c in rows.columns], F.lit("</tr>"))
+        # after a range sort, ids rise with the partitions and within them
+        out.append(rows.orderBy(*order).select(F.lit(k).alias("section"), F.monotonically_increasing_id().alias("place"), cells.alias("line")))
+        out.append(says(k, (1 << 63) - 1, "</table>"))
+    out.append(says(len(sections), 0, "</html>"))
+    return reduce(DataFrame.unionByName, out).orderBy("section", "place")
+
+
+def write_html(title: str, sections: Sequence[tuple[str, DataFrame, Sequence[str]]], path: str) -> None:
+    html(title, sections).select("line").coalesce(1).write.mode("overwrite").text(path)

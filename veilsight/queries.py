@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spec
@@ -532,3 +532,12 @@ def settled_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     status = coverage.settle(c % 3, k % 2, c % 5, F.when(k % 7 == 0, 1).otherwise(0))
     return _read(spark, sf_dir, "orders").select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("stores"))
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY n DESC, source) AS at, '<tr><td>' || source || '</td><td>' || n || '</td></tr>' AS line FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines of a table of stores (S3)."""
+    stores = _read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    lines = export.html("Stores", [("Stores", stores, [F.col("n").desc(), F.col("source")])]).where("line like '<tr>%'")
+    return lines.withColumn("at", F.row_number().over(Window.partitionBy("section").orderBy("place")).cast("long")).select("at", "line")
