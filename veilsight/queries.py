@@ -13,7 +13,8 @@ from .functions import validators as V
 from .operators import conversation, coverage, export, findings, incremental
 from .operators.detect import detect
 from .plans import scan
-from .sources import json_leaves, tables, tagged, transcripts
+from .sources import files, json_leaves, tables, tagged, transcripts, vendor
+from .streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -541,3 +542,95 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = _read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     lines = export.html("Stores", [("Stores", stores, [F.col("n").desc(), F.col("source")])]).where("line like '<tr>%'")
     return lines.withColumn("at", F.row_number().over(Window.partitionBy("section").orderBy("place")).cast("long")).select("at", "line")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """Made-up rows as SQL."""
+    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ",".join("(" + ",".join(map(said, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+_PLACED = [
+    ({"type": "s3_object", "bucket": "b", "key": "k.zip", "archiveEntry": "a.csv", "column": "c"}, "s3", "b", "k.zip > a.csv > column c"),
+    ({"type": "s3_object", "bucket": "b", "key": "k", "catalog": "t"}, "glue_table", "b", "k"),
+    ({"type": "rds_column", "cluster": "x", "database": "d", "table": "t", "column": "c"}, "rds", "x", "d.t.c"),
+    ({"type": "blob_object", "account": "a", "container": "", "blob": "p"}, "azure_blob", "a", "p"),
+    ({"type": "store_field", "service": "redshift", "store": "s", "table": "t"}, "redshift", "s", "t"),
+    ({"type": "queue", "b": "2", "a": "1"}, "queue", "", "a=1, b=2"),
+    ({}, "", "", ""),
+]
+
+
+@query(_values([r[1:] for r in _PLACED], "kind, store, location"))
+def report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, store and location of findings, by their resources."""
+    return spark.createDataFrame([(r[0],) for r in _PLACED], "r map<string,string>").select(findings.place(F.col("r")).alias("p")).select("p.*")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey::VARCHAR AS id, o_custkey, o_orderstatus AS source, CASE WHEN o_orderpriority LIKE '5%' THEN 'other' ELSE 'card' END AS cls FROM orders),
+o AS (SELECT a.id, len(list(b.id) FILTER (b.id IS NOT NULL)) AS n, min(b.id) AS first_id FROM f a LEFT JOIN f b ON a.o_custkey = b.o_custkey AND a.source <> b.source
+  AND ((a.cls = 'other' AND a.source = 'O' AND b.cls <> 'other') OR (a.cls <> 'other' AND b.cls = 'other' AND b.source = 'O')) GROUP BY a.id)
+SELECT id, least(coalesce(n, 0), 20)::INT AS links, first_id FROM o""")
+def loose_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of no class linked by their place with those of other sources."""
+    cls = F.when(F.col("o_orderpriority").startswith("5"), "other").otherwise("card")
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_custkey", F.col("o_orderstatus").alias("source"), cls.alias("cls"))
+    return findings.link_loose(rows, ["o_custkey"], ["O"]).select("id", F.size("linked_by_place").alias("links"), F.get("linked_by_place", F.lit(0)).alias("first_id"))
+
+
+_FILES = [
+    ("a.pdf", "255044462D312E34", "pdf", 0),
+    ("a.txt", "504B030400", "zip", 1),
+    ("b.csv", "612C620A", "text", 0),
+    ("c.docx", "504B030400", "zip", 0),
+    ("d.png", "612C620A", "text", 1),
+    ("e", "00010203", "binary", 0),
+    ("f.txt", "", "empty", 0),
+]
+
+
+@query(_values([(r[0], r[2], r[3]) for r in _FILES], "path, kind, hidden"))
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by their first bytes, and those that aren't what their name claims."""
+    rows = spark.createDataFrame([r[:2] for r in _FILES], "path string, x string").withColumn("kind", files.sniff(F.unhex("x")))
+    return rows.select("path", "kind", files.disguised(files.named(F.col("path")), F.col("kind")).cast("int").alias("hidden"))
+
+
+_LOGGED = [('{"a": 1}', '{"a": 1}'), ('INFO {"a": 1}', '{"a": 1}'), ("INFO {a", "INFO {a"), ("plain", "plain"), ("", "")]
+
+
+@query(_values(_LOGGED, "message, text"))
+def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines, or the JSON that they end in."""
+    return spark.createDataFrame([(m,) for m, _ in _LOGGED], "message string").select("message", logs.message_text(F.col("message")).alias("text"))
+
+
+@query("""
+SELECT 'd' || o_orderkey AS location, CASE o_orderstatus WHEN 'F' THEN 'card' ELSE 'other' END AS cls, CASE o_orderstatus WHEN 'F' THEN NULL ELSE 'TYPE_' || o_orderstatus END AS vendor_type, o_custkey AS count FROM orders
+UNION ALL SELECT 'd' || o_orderkey, 'other', 'custom:mine', 2 FROM orders""")
+def vendor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another scanner's reports as findings."""
+    kind = F.when(F.col("o_orderstatus") == "F", "CREDIT_CARD_NUMBER").otherwise(F.concat(F.lit("TYPE_"), F.col("o_orderstatus")))
+    known = F.struct(F.array(F.struct(kind.alias("type"), F.col("o_custkey").alias("count"))).alias("detections"))
+    own = F.struct(F.array(F.struct(F.lit("mine").alias("name"), F.lit(2).alias("count"))).alias("detections"))
+    doc = F.to_json(F.struct(F.struct(F.struct(F.array(known).alias("sensitiveData"), own.alias("customDataIdentifiers")).alias("result")).alias("classificationDetails")))
+    return vendor.findings(_read(spark, sf_dir, "orders").select(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("location"), doc.alias("doc"))).select("location", "cls", "vendor_type", "count")
+
+
+_CELLS = [("plain", "plain"), ("=1+1", "'=1+1"), ("+x", "'+x"), ("-x", "'-x"), ("@x", "'@x"), (None, "")]
+
+
+@query(_values(_CELLS, "value, cell"))
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that no spreadsheet reads as formulas."""
+    return spark.createDataFrame([(v,) for v, _ in _CELLS], "value string").select("value", export.cell(F.col("value")).alias("cell"))
+
+
+@query("""
+SELECT o_orderkey::VARCHAR AS conv_id, 0 AS turn, 'bot' AS speaker, 'speech' AS channel, o_orderpriority AS text FROM orders
+UNION ALL SELECT o_orderkey::VARCHAR, 1, 'customer', 'dtmf', o_custkey::VARCHAR FROM orders""")
+def flow_log_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow log events as a prompt and its keyed answer."""
+    doc = F.to_json(F.struct(F.lit("GetInput").alias("ContactFlowModuleType"), F.lit("c").alias("ContactId"), F.struct(F.col("o_orderpriority").alias("Text")).alias("Parameters"), F.col("o_custkey").cast("string").alias("Results")))
+    return transcripts.flow_turns(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("conv_id"), doc.alias("doc"))).select("conv_id", "turn", "speaker", "channel", "text")
