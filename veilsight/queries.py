@@ -597,13 +597,14 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "kind", files.disguised(files.named(F.col("path")), F.col("kind")).cast("int").alias("hidden"))
 
 
-_LOGGED = [('{"a": 1}', '{"a": 1}'), ('INFO {"a": 1}', '{"a": 1}'), ("INFO {a", "INFO {a"), ("plain", "plain"), ("", "")]
+_LOGGED = [('{"a": 1}', "json", '{"a": 1}'), ('INFO {"a": 1}', "head", "INFO "), ('INFO {"a": 1}', "json", '{"a": 1}'), ("INFO {a", "line", "INFO {a"), ("plain", "line", "plain"), ("", "line", ""), (None, "line", None)]
 
 
-@query(_values(_LOGGED, "message, text"))
+@query(_values(_LOGGED, "message, form, text"))
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines, or the JSON that they end in."""
-    return spark.createDataFrame([(m,) for m, _ in _LOGGED], "message string").select("message", logs.message_text(F.col("message")).alias("text"))
+    """Log lines, cut where they end in JSON."""
+    lines = spark.createDataFrame([(m,) for m in dict.fromkeys(r[0] for r in _LOGGED)], "message string")
+    return lines.select("message", F.explode(logs.parts(F.col("message"))).alias("p")).select("message", "p.form", "p.text")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.detect import detect
@@ -11,16 +11,19 @@ from ..operators.detect import detect
 LATE, PASS = "2 minutes", "24 hours"
 
 
-def message_text(message):
-    """The JSON part of a log line where it has one, else the line."""
+def parts(message: Column) -> Column:
+    """A log line's parts (form, text): the JSON that it is or ends in and what is before it, else the line."""
     at = F.instr(message, "{")
     tail = message.substr(at, F.length(message))
-    return F.when((at > 0) & F.try_parse_json(tail).isNotNull(), tail).otherwise(message)
+    part = lambda form, text: F.struct(F.lit(form).alias("form"), text.alias("text"))
+    ends = (at > 0) & F.try_parse_json(tail).isNotNull()
+    return F.when(F.try_parse_json(message).isNotNull() | (ends & (at == 1)), F.array(part("json", message))).when(ends, F.array(part("head", message.substr(F.lit(1), at - 1)), part("json", tail))).otherwise(F.array(part("line", message)))
 
 
 def found(events: DataFrame, text: str = "message", ts: str = "ts") -> DataFrame:
-    """Detections of a stream (or table) of events, by the event's columns."""
-    return detect(events.withColumn(text, message_text(F.col(text))), text=text)
+    """Detections of a stream (or table) of events, by the event's columns and the part (``form``) they are in."""
+    each = events.withColumn("_part", F.explode(parts(F.col(text)))).withColumn("form", F.col("_part.form")).withColumn(text, F.col("_part.text")).drop("_part")
+    return detect(each, text=text)
 
 
 def counts(events: DataFrame, by: list[str], text: str = "message", ts: str = "ts", late: str = LATE, length: str = PASS) -> DataFrame:
