@@ -191,6 +191,15 @@ def test_audio_parser():
         mpeg_audio.decode(b"")
 
 
+def test_audio_payload_like_a_tag():
+    for n in (64, 128, 192, 1344, 1408):  # 1408: over one whole frame
+        for back in range(3, min(n, 300) + 1):
+            raw = b"a" * (n - back) + b"TAG" + b"b" * (back - 3)
+            media = mpeg_audio.encode(raw)
+            s = mpeg_audio.parse(media)
+            assert mpeg_audio.decode(media, s) == raw and s.skipped == s.resyncs == 0, (n, back)
+
+
 # ---- 8: near duplicates
 
 

@@ -8,7 +8,8 @@ frame's offset, so durations and seek points are exact rather than estimated.
 
 ``encode`` stores any bytes as a variable-bitrate layer III stream: silent frames, whose side
 information claims no audio bits, carry the bytes in the room that is left (ancillary data); a tag
-holds their number and CRC-32, and the first frame a Xing table.  ``decode`` gives them back.
+holds their number and CRC-32, and the first frame a Xing table.  An empty ID3v1 tag ends the stream,
+so that payload in its last bytes is never taken for one.  ``decode`` gives them back.
 
 Edge cases: null or empty media parse as a stream without frames; unreadable bytes are
 skipped and counted; equal media give equal features; other columns are kept.
@@ -39,6 +40,8 @@ BITRATES = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 
 OWNER = b"payload\x00"
+#: An ID3v1 tag without title, artist, album, year, comment or genre.
+LAST = b"TAG" + bytes(124) + b"\xff"
 
 
 @dataclass(frozen=True)
@@ -251,7 +254,7 @@ def encode(payload: bytes) -> bytes:
         at = k * n // 100
         toc.append(min(255, 256 * ends[at] // total))
     table = b"Xing" + struct.pack(">III", 15, n, total) + bytes(toc) + struct.pack(">I", 0)
-    return b"".join([tag, head, table + bytes(room - len(table)), *frames])
+    return b"".join([tag, head, table + bytes(room - len(table)), *frames, LAST])
 
 
 def decode(data: bytes, stream: Stream | None = None) -> bytes:
