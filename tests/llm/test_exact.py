@@ -103,6 +103,20 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, size long, source string, cluster long")).count() == 0
 
 
+def test_packing_parts_near_copies(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"]), f"s{i}") for i in range(8)] + [(20 + i, f"alone{i} " * 9, f"s{i}") for i in range(3)]
+    rows += [(30, None, "s"), (31, None, "s"), (32, " ", "s"), (33, " ", "t"), (None, "x y z", "s"), (None, "x y z", "t"), (0, rows[0][1], "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = queries.op3_packing(spark, f"file://{tmp_path}").toPandas()
+    assert len(out) == len(rows)
+    near = out[out.doc_id < 20]
+    assert len(near) == 9 and near.bin.nunique() == 9 and (near.cluster == 0).all()
+    for few in (out[out.doc_id.isin([32, 33])], out[out.doc_id.isna()]):
+        assert few.bin.nunique() == len(few) == 2 and few.cluster.nunique() == 1
+    assert out[out.doc_id.isin([30, 31])].cluster.isna().all() and out[out.doc_id.between(20, 29)].cluster.nunique() == 3
+
+
 # ---- 5: urls
 
 

@@ -30,8 +30,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster is a class of near copies (``jaccard_join``); texts without words, and classes without an id, are
+    clusters of byte-equal texts."""
     docs = _read(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", mixing.n_words("text").alias("size"), "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster")))
+    classes = jaccard_join.classes(docs).where("n_shingles > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("component_id").cast("long").alias("component")).dropDuplicates(["_d", "_h"])
+    sizes = docs.select("doc_id", mixing.n_words("text").alias("size"), "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"))
+    found = sizes.join(classes, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h")), "left")
+    units = store.table(found.select("doc_id", "size", "source", F.coalesce("component", "hash").alias("cluster")), "units")
+    return packing.pack(units)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
