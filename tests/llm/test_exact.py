@@ -175,6 +175,13 @@ def test_outliers(spark):
     assert quality_rules.judge(quality_rules.statistics(docs.limit(0))).count() == 0
 
 
+def test_repeated_lines_are_outliers(spark):
+    rows = [(i, "en", "s", (80, 400, 0, 0, 0, 9)) for i in range(150)] + [(150, "en", "s", (80, 400, 0, 6, 0, 9))]
+    counted = spark.createDataFrame(rows, f"doc_id long, lang string, source string, stats {quality_rules.KIND}")
+    out = {r.doc_id: r for r in quality_rules.judge(counted).collect()}
+    assert not out[150].base_failed and [i for i, r in out.items() if not r.kept] == [150]
+
+
 # ---- 7: audio
 
 

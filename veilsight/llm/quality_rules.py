@@ -6,7 +6,7 @@ which the text has twice or more.  ``judge`` turns the counts into a vector of t
 and estimates its location and scatter by the minimum covariance determinant, for each language
 and source: from two deterministic starts (a diagonal one from medians and deviations, and the
 scatter of signs), concentration steps keep the ``SUPPORT`` share of rows nearest to the
-estimate, until the determinants no longer fall; the start with the smaller determinant wins.
+estimate, until no group's determinants fall any more; the start with the smaller determinant wins.
 A document whose Mahalanobis distance, scaled by its group's median distance, is over the cutoff is rejected.
 
 The steps are Spark aggregations over the counts, so a group of any size is reduced on
@@ -20,6 +20,7 @@ least scatter, so they never divide by zero; all columns are kept.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,17 @@ KIND = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",n_lines:bigint>"
 
 SUPPORT = 0.75
 LEAST = 100
-STEPS = 4
+#: Most concentration steps; groups that still move after them are warned of.
+STEPS = 30
+#: Least change of a log determinant that counts as one.
+MOVES = 1e-4
 #: Least standard deviation of a transformed rate: differences below it are nobody's fault.
 FLOOR = 0.05
-#: Scaled squared distance from which a document is rejected.
-CUTOFF = 500.0
+DIM = 4
+#: Scaled squared distance from which a document is rejected: what 0.1 % of the good documents (quality 1,
+#: base limits kept) of sf0.1 are over.  Good documents have longer tails than normal ones: the chi-square
+#: quantile for that rate, 18.5, would reject 1.7 % of them.
+CUTOFF = 88.0
 #: Broadcast estimates up to this many groups; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 
@@ -124,9 +131,6 @@ def vector(s: str) -> list[Column]:
     ]
 
 
-DIM = 4
-
-
 def _chi2_median(p: int) -> float:
     return p * (1 - 2 / (9 * p)) ** 3
 
@@ -215,7 +219,7 @@ def judge(docs: DataFrame, s: str = "stats", least: int = LEAST, cutoff: float =
     known = known.join(near(signs), "key")
     d = [norm * norm, _distance(z, "sign")]
     made = [middle, start, signs, keys]
-    last = None
+    last, moving = None, 0
     for step in range(STEPS + 1):
         cut = known.groupBy("key").agg(*[F.percentile_approx(c, SUPPORT, 2000).alias(f"q{k}") for k, c in enumerate(d)])
         cut = store.table(one(cut), "cut")
@@ -226,10 +230,14 @@ def judge(docs: DataFrame, s: str = "stats", least: int = LEAST, cutoff: float =
         made += [cut, now]
         known = keyed.join(near(now), "key")
         d = [_distance(x, f"e{k}") for k in range(2)]
-        total = now.agg(F.sum(F.col("e0.logdet") + F.col("e1.logdet"))).first()[0]
-        if step and (total is None or abs(total - last) < 1e-6 * max(1.0, abs(total))):
-            break
-        last = total
+        if last is not None:
+            was = last.select("key", F.col("e0.logdet").alias("l0"), F.col("e1.logdet").alias("l1"))
+            moving = now.join(near(was), "key").where((F.abs(F.col("e0.logdet") - F.col("l0")) > MOVES) | (F.abs(F.col("e1.logdet") - F.col("l1")) > MOVES)).count()
+            if not moving:
+                break
+        last = now
+    if moving:
+        warnings.warn(f"{moving} groups haven't converged after {STEPS} steps", stacklevel=2)
     better = F.when(F.col("e1.logdet") < F.col("e0.logdet"), F.col("e1")).otherwise(F.col("e0"))
     best = now.select("key", better.alias("e"))
     scale = keyed.join(near(best), "key").groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.percentile_approx(_distance(x, "e"), 0.5, 2000) / _chi2_median(DIM)).alias("scale"))
