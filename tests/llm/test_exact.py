@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -86,8 +87,8 @@ def naive(size, source, cluster, capacity, per_source):
 
 def test_best_fit_is_tightest():
     rng = random.Random(2)
-    for _ in range(60):
-        n = rng.randint(0, 80)
+    for turn in range(80):
+        n = rng.randint(0, 80) if turn < 60 else 1500  # several runs of bins
         size = sorted((rng.randint(0, 50) for _ in range(n)), reverse=True)
         source, cluster = [rng.randint(0, 3) for _ in range(n)], [rng.randint(-1, 6) for _ in range(n)]
         assert packing.best_fit(size, source, cluster, 60, 2) == naive(size, source, cluster, 60, 2)
@@ -95,14 +96,32 @@ def test_best_fit_is_tightest():
 
 def test_pack(spark):
     rows = [(i, n, f"s{i % 2}", i % 4) for i, n in enumerate([0, 1, 50, 99, 100, 101, 250, 7, 7])] + [(3, 99, "s1", 3)] * 2 + [(None, 5, None, None), (20, 0, None, 1)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, size long, source string, cluster long"), capacity=100, shard_words=300).toPandas()
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, size long, source string, cluster long"), capacity=100, per_source=2, shard_words=300).toPandas()
     assert out["size"].sum() == sum(r[1] for r in rows) and len(out) == sum(max(1, -(-r[1] // 100)) for r in rows)
     for _, b in out.groupby("bin"):
-        assert b["size"].sum() <= 100 and b.source.fillna("-").value_counts().max() <= packing.PER_SOURCE and not b.cluster.dropna().duplicated().any()
-        assert sorted(b.offset) == list(np.cumsum([0, *b.sort_values("offset", kind="stable")["size"].tolist()])[:-1]) or (b["size"] == 0).any()
+        assert b["size"].sum() <= 100 and b.source.fillna("-").value_counts().max() <= 2 and not b.cluster.dropna().duplicated().any()
+        by = b.sort_values(["offset", "size"])
+        assert by.offset.tolist() == list(np.cumsum([0, *by["size"].tolist()])[:-1])
     assert packing.pack(spark.createDataFrame([], "doc_id long, size long, source string, cluster long")).count() == 0
 
 
+def test_many_short_texts_of_one_source():
+    began = time.process_time()
+    for sources in (1, 2):
+        n = 50_000
+        source = [i % sources for i in range(n)]
+        bins = packing.best_fit([20] * n, source, [-1] * n, 4096, 2)
+        assert max(collections.Counter(zip(bins, source, strict=True)).values()) == 2 and max(bins) == n // (2 * sources) - 1
+    # one cluster that all pieces are of
+    assert len(set(packing.best_fit([20] * 20_000, [0] * 20_000, [0] * 20_000, 4096, 500))) == 20_000
+    assert time.process_time() - began < 20
+
+
+def test_few_sources_fill_bins(spark):
+    items = spark.range(20_000).select(F.col("id").alias("doc_id"), (20 + F.col("id") % 30).alias("size"), F.lit("one").alias("source"), F.lit(None).cast("long").alias("cluster"))
+    assert packing.fill(packing.pack(items)).first().share > 0.9
+
+
 def test_packing_parts_near_copies(spark, tmp_path):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[:-1], f"end{i}"]), f"s{i}") for i in range(8)] + [(20 + i, f"alone{i} " * 9, f"s{i}") for i in range(3)]

@@ -113,6 +113,19 @@ class Laid:
         return mix((h[ends] - h[starts]) * _table("down", RADIX_INV, len(self.buf))[starts])
 
 
+def char_grams(laid: Laid, space: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of characters inside words, word ends included: first byte, first byte of the
+    second character, and bucket of each.  ``space`` has, for each byte, whether it parts words."""
+    at = np.flatnonzero(laid.buf & 0xC0 != 0x80)  # where characters start
+    ok = np.flatnonzero(inner_ok(space[at], n))
+    ends = np.append(at, len(laid.buf))[ok + n]
+    starts = at[ok]
+    h = laid.prefix()
+    key = (h[ends] - h[starts]) * _table("down", RADIX_INV, len(laid.buf))[starts]
+    key = (key ^ (key >> np.uint64(29))) * np.uint64((0xBF58476D1CE4E5B9 * (2 * n + 1) & MASK64) | 1)
+    return starts, at[ok + 1], (key >> np.uint64(64 - bits)).astype(np.intp)
+
+
 def window_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each ``k`` consecutive entries; entry i covers i .. i+k-1."""
     n = len(hashes) - k + 1
@@ -125,28 +138,8 @@ def window_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def gram_keys(buf: np.ndarray, n: int) -> np.ndarray:
-    """For n of 2 to 4, the n bytes from each position as one 32-bit number."""
-    m = len(buf) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint32)
-    b = buf.astype(np.uint32)
-    out = b[:m].copy()
-    for j in range(1, n):
-        out |= b[j : j + m] << np.uint32(8 * j)
-    return out
-
-
-def bucket32(keys: np.ndarray, bits: int, salt: int) -> np.ndarray:
-    """Buckets of 32-bit keys by multiply and shift."""
-    x = (keys ^ np.uint32(salt)) * np.uint32(0x9E3779B1)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x85EBCA77)
-    return x >> np.uint32(32 - bits)
-
-
 def inner_ok(space: np.ndarray, n: int) -> np.ndarray:
-    """Positions whose n bytes have no space but at the ends: subwords with bounds."""
+    """Positions whose n characters have no space but at the ends: subwords with bounds."""
     m = len(space) - n + 1
     if m <= 0:
         return np.zeros(0, bool)

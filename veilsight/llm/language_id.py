@@ -19,31 +19,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .arrays import utf8
 from .subword import SubwordModel, fit, sharpen
+from .training import TRAIN_BYTES, fitted
 
-#: Most documents that the model is trained on, and their greatest length.
+#: Most documents that the model is trained on (and at most ``TRAIN_BYTES`` of text).
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 50_000
 
 
-def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> SubwordModel:
+def fit_texts(texts: list[str], langs: list[str]) -> SubwordModel:
+    """Learns from seven texts of eight and calibrates on the others."""
+    held = [k % 8 == 7 for k in range(len(texts))]  # a sample comes in hash order
+    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
+    model = fit(pick(texts, False), pick(langs, False), lower=True, epochs=3)
+    sharpen(model, pick(texts, True), pick(langs, True))
+    return model
+
+
+def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> SubwordModel:
     """``keep`` is a condition over ``docs`` that says which rows may be learned from."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    usable = (
-        docs.where(F.lit(True) if keep is None else keep)
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .select("doc_id", "text", "lang", order.alias("_o"))
-    )
+    usable = docs.where(F.lit(True) if keep is None else keep).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # the hash that the sample ends at, from hashes alone; texts leave their tasks only below it
-    last = usable.select("_o").orderBy("_o").limit(rows).agg(F.max("_o")).first()[0]
-    picked = []
-    if last is not None:
-        picked = usable.where(F.col("_o") <= last).orderBy("_o", "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang").collect()
-    learn = [r for k, r in enumerate(picked) if k % 8 != 7]
-    model = fit([r[0] for r in learn], [r[1] for r in learn], lower=True, epochs=3)
-    back = [r for k, r in enumerate(picked) if k % 8 == 7]
-    sharpen(model, [r[0] for r in back], [r[1] for r in back])
+    last = usable.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    place = F.struct(order.alias("o"), F.col("doc_id").cast("string").alias("d"), F.xxhash64("text").alias("t"), F.col("lang").alias("l"))
+    picked = usable.where(order <= F.lit(last)).select(place.alias("place"), "text", F.col("lang").alias("label"))
+    sample = store.table(picked, "sample")
+    model = fitted(sample, rows, max_bytes, fit_texts)
+    store.drop(sample)
     return model
 
 

@@ -19,28 +19,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .arrays import utf8
 from .subword import SubwordModel, fit, sharpen
-from .training import labelled_sample
+from .training import TRAIN_BYTES, fitted, labelled
 
-#: Most labelled documents that the model is trained on, and their greatest length.
+#: Most labelled documents that the model is trained on (and at most ``TRAIN_BYTES`` of text).
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 50_000
 THRESHOLD = 0.7
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> SubwordModel:
-    """``keep`` (a condition over ``labels``) says which labels may be learned."""
-    sample = labelled_sample(docs, labels, "quality", F.lit(True) if keep is None else keep, rows, max_chars)
-    held = [k % 8 == 7 for k in range(len(sample))]  # the sample comes in hash order
-    learn = [s for s, h in zip(sample, held, strict=True) if not h]
-    model = fit([t for t, _ in learn], [y for _, y in learn])
-    back = [s for s, h in zip(sample, held, strict=True) if h]
-    sharpen(model, [t for t, _ in back], [y for _, y in back])
+def fit_texts(texts: list[str], labels: list[int]) -> SubwordModel:
+    """Learns from seven texts of eight and calibrates on the others."""
+    held = [k % 8 == 7 for k in range(len(texts))]  # a sample comes in hash order
+    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
+    model = fit(pick(texts, False), pick(labels, False))
+    sharpen(model, pick(texts, True), pick(labels, True))
     model.temperature = float(np.clip(model.temperature, 0.5, 2.0))
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> SubwordModel:
+    """``keep`` (a condition over ``labels``) says which labels may be learned."""
+    sample = store.table(labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, rows), "sample")
+    model = fitted(sample, rows, max_bytes, fit_texts)
+    store.drop(sample)
+    return model
+
+
 def score(docs: DataFrame, model: SubwordModel, column: str = "score", text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the table's buckets
 

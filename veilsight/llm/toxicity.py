@@ -2,12 +2,12 @@
 
 A text's words are its runs of letters and digits (ASCII letters lower-cased; bytes of
 other scripts count as letters).  A word's input is a learned row for the hashed word,
-beside the mean of learned rows for its byte 3-grams and 4-grams, ends included.
-Overlapping windows of ``window`` words, one each ``stride`` words until the text ends,
-run through a forward and a backward gated recurrent layer; attention weights pool the states,
+beside the mean of learned rows for its character 3-grams and 4-grams, ends included.
+Overlapping windows of ``WINDOW`` words, one each ``STRIDE`` words until the text ends (so any
+17 words in a row stand whole in one), run through a forward and a backward gated recurrent layer; attention weights pool the states,
 and a logistic output scores the window.  A document's score is that of its worst window.
 
-Training is numpy on the driver, over a bounded sample of labelled documents.  A label
+Training is numpy in one task, over a bounded sample of labelled documents.  A label
 speaks of a document, so the windows that teach are chosen: from a toxic document those with
 the words most typical of toxic documents in the sample, then again those that the network itself
 finds worst; from a clean one its worst by either, and others at random.
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Laid, bucket32, gram_keys, inner_ok, runs, utf8
-from .training import labelled_sample
+from . import store
+from .arrays import LOWER, Laid, char_grams, runs, utf8
+from .training import TRAIN_BYTES, fitted, labelled
 
-#: Most labelled documents that the network is trained on, and their greatest length.
+#: Most labelled documents that the network is trained on (and at most ``TRAIN_BYTES`` of text).
 TRAIN_ROWS = 5000
-TRAIN_CHARS = 50_000
 THRESHOLD = 0.5
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 8, 8
 WORD_BITS, CHAR_BITS = 15, 15
@@ -140,14 +140,10 @@ class Read:
         starts, ends = laid.bounds(~space)
         self.first = laid.first_of(starts)
         self.word = (laid.span_hash(starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.intp)
-        at, key = [], []
-        for k in (3, 4):
-            ok = np.flatnonzero(inner_ok(space, k))
-            at.append(ok)
-            key.append(bucket32(gram_keys(laid.buf, k)[ok], CHAR_BITS, 0x2545F491 * k & 0xFFFFFFFF))
-        # an n-gram belongs to the word with its second byte
-        self.gram = [k.astype(np.intp) for k in key]
-        self.cuts = [np.append(np.searchsorted(a + 1, starts), len(a)) for a in at]
+        found = [char_grams(laid, space, k, CHAR_BITS) for k in (3, 4)]
+        # an n-gram belongs to the word with its second character
+        self.gram = [bucket for _, _, bucket in found]
+        self.cuts = [np.append(np.searchsorted(second, starts), len(second)) for _, second, _ in found]
 
     def mean_rows(self, table: np.ndarray) -> np.ndarray:
         total = np.zeros((len(self.word), table.shape[1]), np.float32)
@@ -400,13 +396,20 @@ def calibrate(model: ToxicModel, texts: list[str], labels: list[int], steps: int
         model.scale = (float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> ToxicModel:
+def fit_texts(texts: list[str], labels: list[int]) -> ToxicModel:
+    """Learns from five texts of six and calibrates on the others."""
+    held = [k % 6 == 5 for k in range(len(texts))]  # a sample comes in hash order
+    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
+    model = fit(pick(texts, False), pick(labels, False))
+    calibrate(model, pick(texts, True), pick(labels, True))
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> ToxicModel:
     """``keep`` (a condition over ``labels``) says which labels may be learned."""
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if keep is None else keep, rows, max_chars)
-    learn = [s for k, s in enumerate(sample) if k % 6 != 5]  # the sample comes in hash order
-    back = [s for k, s in enumerate(sample) if k % 6 == 5]
-    model = fit([t for t, _ in learn], [y for _, y in learn])
-    calibrate(model, [t for t, _ in back], [y for _, y in back])
+    sample = store.table(labelled(docs, labels, "toxic", F.lit(True) if keep is None else keep, rows), "sample")
+    model = fitted(sample, rows, max_bytes, fit_texts)
+    store.drop(sample)
     return model
 
 

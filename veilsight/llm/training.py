@@ -1,10 +1,27 @@
-"""Bounded, repeatable training samples for the learned operators."""
+"""Bounded, repeatable training samples for the learned operators, and training away from the driver.
+
+A sample is bounded by rows and by bytes of text: the rows come in the order of a hash of their
+id, and the sample ends before the text that would take it over ``max_bytes`` (its first text is in
+whatever its length).  Texts in it are whole, and no length is left out of it.
+
+Training runs in one task on an executor, which reads the sample from a written table; the driver gets the
+model alone.  A lost executor costs that task.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
+#: Most bytes of text in a sample.
+TRAIN_BYTES = 24 << 20
+
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
@@ -12,23 +29,43 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts with ``keep`` true, for training on the driver.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int) -> DataFrame:
+    """text and label of documents that the first ``rows`` usable labels speak of, with their order.
 
-    The rows are those with the smallest hash of their id, so the sample is the same
-    in each run and doesn't depend on order or partitions.  Texts longer than
-    ``max_chars`` aren't trained on.  Labels other than 0 and 1, null texts and null
-    ids are left out.
-    """
+    Labels other than 0 and 1, null texts and null ids are left out."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("training"))
     known = (
-        labels.select("doc_id", F.col(label).cast("int").alias("_label"))
-        .where(F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1) & keep)
-        .orderBy(order, "doc_id", "_label")
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
+        .orderBy(order, "doc_id", "label")
         .limit(rows)
     )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # `known` holds at most `rows` pairs of numbers, whatever the input's size
-    joined = texts.join(F.broadcast(known), "doc_id")
-    picked = joined.orderBy(order, "doc_id", F.xxhash64("text"), "_label").limit(rows).select("text", "_label")
-    return [(r[0], r[1]) for r in picked.collect()]
+    return texts.join(F.broadcast(known), "doc_id").select(F.struct(order.alias("o"), F.col("doc_id").cast("string").alias("d"), F.xxhash64("text").alias("t"), F.col("label").alias("l")).alias("place"), "text", "label")
+
+
+def fitted(sample: DataFrame, rows: int, max_bytes: int, fit: Callable[[list[str], list], object]):
+    """What ``fit`` makes of the sample's first texts and labels (columns place, text, label)."""
+    # at most `rows` places and lengths
+    sizes = sample.select("place", F.octet_length("text").alias("n")).orderBy("place").limit(rows).collect()
+    total, last = 0, 0
+    for last, r in enumerate(sizes):
+        total += r["n"]
+        if total > max_bytes and last:
+            break
+    else:
+        last = len(sizes)
+    if not last:
+        return fit([], [])
+    end = sizes[last - 1]["place"]
+    within = sample.where(F.col("place") <= F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, sample.schema["place"].dataType.fields, strict=True)]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_ = sorted((tuple(p.values()), t, y) for b in batches for p, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))[:last]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows_], [y for _, _, y in rows_]))], pa.binary())], ["model"])
+
+    made = store.table(within.repartition(1).mapInArrow(learn, "model binary"), "model")
+    model = pickle.loads(made.first()[0])
+    store.drop(made)
+    return model
