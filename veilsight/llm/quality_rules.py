@@ -4,28 +4,31 @@
 space), their code points, symbols, repeated lines, and words that stand in an eight-word window
 which the text has twice or more.  ``judge`` turns the counts into a vector of transformed rates
 and estimates its location and scatter by the minimum covariance determinant, for each language
-and source: from two deterministic starts (a diagonal one from medians and deviations, and the
-scatter of signs), concentration steps keep the ``SUPPORT`` share of rows nearest to the
-estimate, until no group's determinants fall any more; the start with the smaller determinant wins.
-A document whose Mahalanobis distance, scaled by its group's median distance, is over the cutoff is rejected.
+and source: from medians and median deviations, concentration steps keep the ``SUPPORT`` share of rows
+nearest to the estimate, until no group's determinant changes any more.  A document is rejected if its
+Mahalanobis distance, scaled by its group's median distance, is over the chi-square quantile of ``ALONE``.
 
-The steps are Spark aggregations over the counts, so a group of any size is reduced on
-the map side and no group is ever in one task.  Groups of fewer than ``LEAST`` rows are pooled by
-language, and those still smaller into one; a pooled group smaller than that rejects nothing.
+Each group's moments are shrunk towards its language's as if ``PRIOR`` typical rows of the language were in it,
+and the language's in the same way towards those of all rows, so a group of any size has an estimate of its own
+and none switches from one rule to another.
+
+A concentration step is one Spark aggregation: moments by group and by a grid of distances, reduced on the
+map side, whose running sums up to the support's edge are the next estimate.  No group is ever in one
+task, and as quantiles are read from counts on fixed grids, verdicts don't depend on partitions.
 
 Edge cases: a null or empty text has counts of 0 and fails the base limits; null languages
 and sources are groups of their own; equal rows get equal verdicts; constant statistics have a
-least scatter, so they never divide by zero; all columns are kept.
+least scatter, so they never divide by zero; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -40,18 +43,17 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 KIND = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",n_lines:bigint>"
 
 SUPPORT = 0.75
-LEAST = 100
-#: Most concentration steps; groups that still move after them are warned of.
-STEPS = 30
+#: Rows of the wider group that each group is shrunk by.
+PRIOR = 30
 #: Least change of a log determinant that counts as one.
-MOVES = 1e-4
+MOVES = 1e-3
 #: Least standard deviation of a transformed rate: differences below it are nobody's fault.
-FLOOR = 0.05
+FLOOR = 0.15
 DIM = 4
-#: Scaled squared distance from which a document is rejected: what 0.1 % of the good documents (quality 1,
-#: base limits kept) of sf0.1 are over.  Good documents have longer tails than normal ones: the chi-square
-#: quantile for that rate, 18.5, would reject 1.7 % of them.
-CUTOFF = 88.0
+#: Share of a normal group's rows that are let be.
+ALONE = 0.9999
+#: Grids: width for medians of rates, and steps a power of e for distances.
+WIDTH, FINE = 1 / 512, 16
 #: Broadcast estimates up to this many groups; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 
@@ -131,31 +133,31 @@ def vector(s: str) -> list[Column]:
     ]
 
 
-def _chi2_median(p: int) -> float:
-    return p * (1 - 2 / (9 * p)) ** 3
+def chi2_quantile(share: float, dim: int = DIM) -> float:
+    """Wilson and Hilferty's approximation (within 1 % for the shares used here)."""
+    z = NormalDist().inv_cdf(share)
+    return dim * (1 - 2 / (9 * dim) + z * (2 / (9 * dim)) ** 0.5) ** 3
 
 
-def _solve(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> list[dict]:
-    """Mean, inverse scatter and log determinant of each row's sums."""
-    out = []
-    tri = np.tril_indices(DIM)
-    for k, s, q in zip(n, sums, products, strict=True):
-        mean = s / max(k, 1)
-        cov = np.zeros((DIM, DIM))
-        cov[tri] = q / max(k, 1)
-        cov = cov + np.tril(cov, -1).T - np.outer(mean, mean) + np.eye(DIM) * FLOOR**2
-        out.append({"mean": mean.tolist(), "inv": np.linalg.inv(cov).ravel().tolist(), "logdet": float(np.linalg.slogdet(cov)[1])})
-    return out
+def solve(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse scatter and its log determinant from a count, sums and (lower) sums of products."""
+    mean, cov, tri = np.asarray(sums) / max(n, 1e-9), np.zeros((DIM, DIM)), np.tril_indices(DIM)
+    cov[tri] = np.asarray(products) / max(n, 1e-9)
+    cov = cov + np.tril(cov, -1).T - np.outer(mean, mean) + np.eye(DIM) * FLOOR**2
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
-def _estimates(n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
-    """One row a group: a small matrix each."""
-    rows = _solve(np.array(n.to_pylist(), float), np.array(sums.to_pylist(), float).reshape(len(n), DIM), np.array(products.to_pylist(), float).reshape(len(n), -1))
-    return pa.array(rows, pa.struct([("mean", pa.list_(pa.float64())), ("inv", pa.list_(pa.float64())), ("logdet", pa.float64())]))
+_ESTIMATE = "struct<mean:array<double>,inv:array<double>,logdet:double>"
 
 
-def estimate(n: str, sums: str, products: str) -> Column:
-    return F.arrow_udf(_estimates, "struct<mean:array<double>,inv:array<double>,logdet:double>")(n, sums, products)
+def _solved(n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
+    """One row a group: a small matrix each."""
+    rows = []
+    for k, a, b in zip(n.to_pylist(), sums.to_pylist(), products.to_pylist(), strict=True):
+        mean, inv, logdet = solve(k, a, b)
+        # rounded, so that the order in which sums were added can't move a verdict
+        rows.append({"mean": np.round(mean, 9).tolist(), "inv": np.round(inv, 6).ravel().tolist(), "logdet": round(logdet, 6)})
+    return pa.array(rows, pa.struct([("mean", pa.list_(pa.float64())), ("inv", pa.list_(pa.float64())), ("logdet", pa.float64())]))
 
 
 def _distance(x: list[Column], e: str) -> Column:
@@ -167,93 +169,94 @@ def _distance(x: list[Column], e: str) -> Column:
     return total
 
 
-def _moments(x: list[Column], when: Column) -> list[Column]:
-    """Aggregates for ``estimate``: count, sums and sums of products of the rows that count."""
-    w = when.cast("double")
-    return [
-        F.sum(w).alias("n"),
-        F.array(*[F.sum(w * x[i]) for i in range(DIM)]).alias("sums"),
-        F.array(*[F.sum(w * x[i] * x[j]) for i, j in zip(*np.tril_indices(DIM), strict=True)]).alias("products"),
-    ]
+_TRI = list(zip(*np.tril_indices(DIM), strict=True))
+_MOMENTS = ["n", *[f"s{i}" for i in range(DIM)], *[f"p{i}_{j}" for i, j in _TRI]]
 
 
-def groups(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """The key whose estimate holds for each language and source."""
-    by = rows.groupBy("lang", "source").count()
-    small = F.col("count") < least
-    pooled = by.where(small).groupBy("lang").agg(F.sum("count").alias("pool"))
-    return (
-        by.join(pooled.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .select("lang", "source", F.when(~small, F.to_json(F.array("lang", "source"))).when(F.col("pool") >= least, F.to_json(F.array("lang"))).otherwise("all").alias("key"))
-    )
+def _moments(x: list[Column]) -> list[Column]:
+    terms = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in _TRI]]
+    return [F.sum(t).alias(c) for t, c in zip(terms, _MOMENTS, strict=True)]
+
+
+def _middle(counts: DataFrame, by: list[str], bin_: str, share: float) -> DataFrame:
+    """For each group of ``counts`` (by, bin, rows) the bin up to which ``share`` of its rows lie."""
+    order = Window.partitionBy(*by).orderBy(bin_)
+    run = counts.select(*by, bin_, F.sum("rows").over(order).alias("_upto"), F.sum("rows").over(Window.partitionBy(*by)).alias("_all"))
+    return run.where(F.col("_upto") >= share * F.col("_all")).groupBy(*by).agg(F.min(bin_).alias("edge"))
 
 
-def judge(docs: DataFrame, s: str = "stats", least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds base_failed, distance (null where its group is too small) and kept.
+def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float = PRIOR) -> DataFrame:
+    """Adds base_failed, distance and kept.
 
     ``docs`` has the struct ``s`` of ``statistics``; it is read once for each step, so it
     should be a written table rather than a plan that counts words."""
-    spark = docs.sparkSession
-    names = [f"_x{i}" for i in range(DIM)]
-    rows = docs.select("lang", "source", *[v.alias(n) for v, n in zip(vector(s), names, strict=True)])
-    keys = store.table(groups(rows, least), "keys")
-    n_groups = keys.count()
-    few = n_groups <= BROADCAST_GROUPS
+    x = [F.col(f"_x{i}") for i in range(DIM)]
+    # null-safe keys: a null language or source is told from any text by the JSON around it
+    named = lambda df: df.select("*", F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}).alias("_lang"), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("_key"))
+    rows = named(docs.select("lang", "source", *[v.alias(f"_x{i}") for i, v in enumerate(vector(s))]))
+    groups = store.table(rows.groupBy("_lang", "_key").agg(F.count(F.lit(1)).alias("size")), "groups")
+    few = groups.count() <= BROADCAST_GROUPS
     near = F.broadcast if few else (lambda df: df)
     one = (lambda df: df.coalesce(1)) if few else (lambda df: df)  # few groups make one small file
-    at = lambda df: df.join(near(keys.withColumnsRenamed({"lang": "_l", "source": "_s"})), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
-    keyed = at(rows)
-    x = [F.col(n) for n in names]
-    # centre and spread of each statistic
-    middle = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(c, 0.5, 2000).alias(f"m{i}") for i, c in enumerate(x)])
-    middle = store.table(one(middle), "middle")
+
+    def medians(values: list[Column], rows: DataFrame, name: str) -> DataFrame:
+        """Medians of each group, shrunk towards the language's, and these towards those of all."""
+        bins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(v / WIDTH).cast("int").alias("bin")) for i, v in enumerate(values)]))
+        counts = store.table(rows.select("_lang", "_key", bins.alias("b")).groupBy("_lang", "_key", "b.i", "b.bin").agg(F.count(F.lit(1)).alias("rows")), "counts")
+        value = ((F.col("edge") + 0.5) * WIDTH).alias("v")
+        total = lambda by: counts.groupBy(*by, "i", "bin").agg(F.sum("rows").alias("rows"))
+        every = _middle(total([]), ["i"], "bin", 0.5).select("i", value.alias("va"))
+        lang = _middle(total(["_lang"]), ["_lang", "i"], "bin", 0.5).select("_lang", "i", value.alias("vl"))
+        own = _middle(counts, ["_lang", "_key", "i"], "bin", 0.5).select("_lang", "_key", "i", value)
+        size = groups.select("_key", "size", F.sum("size").over(Window.partitionBy("_lang")).alias("in_lang"))
+        wide = (F.col("in_lang") * F.col("vl") + prior * F.col("va")) / (F.col("in_lang") + prior)
+        got = own.join(lang, ["_lang", "i"]).join(every, "i").join(size, "_key").select("_key", "i", ((F.col("size") * F.col("v") + prior * wide) / (F.col("size") + prior)).alias("v"))
+        out = store.table(one(got.groupBy("_key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(DIM)])), name)
+        store.drop(counts)
+        return out
+
+    middle = medians(x, rows, "m")
     off = [F.abs(c - F.col(f"m{i}")) for i, c in enumerate(x)]
-    spread = keyed.join(near(middle), "key").groupBy("key").agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"a{i}") for i, c in enumerate(off)])
-    start = store.table(one(middle.join(spread, "key")), "start")
-    z = [(c - F.col(f"m{i}")) / (1.4826 * F.col(f"a{i}") + FLOOR) for i, c in enumerate(x)]
-    norm = F.sqrt(sum((c * c for c in z), F.lit(0.0)) + 1e-12)
-    known = keyed.join(near(start), "key")
-    # first start: distance in scaled coordinates; second: scatter of signs, then Mahalanobis
-    signs = known.groupBy("key").agg(*_moments([c / norm for c in z], F.lit(1)))
-    signs = store.table(one(signs.withColumn("sign", estimate("n", "sums", "products")).select("key", "sign")), "signs")
-    known = known.join(near(signs), "key")
-    d = [norm * norm, _distance(z, "sign")]
-    made = [middle, start, signs, keys]
-    last, moving = None, 0
-    for step in range(STEPS + 1):
-        cut = known.groupBy("key").agg(*[F.percentile_approx(c, SUPPORT, 2000).alias(f"q{k}") for k, c in enumerate(d)])
-        cut = store.table(one(cut), "cut")
-        inside = known.join(near(cut), "key")
-        sums = inside.groupBy("key").agg(*[F.struct(*_moments(x, d[k] <= F.col(f"q{k}"))).alias(f"s{k}") for k in range(2)])
-        now = sums.select("key", *[estimate(f"s{k}.n", f"s{k}.sums", f"s{k}.products").alias(f"e{k}") for k in range(2)])
-        now = store.table(one(now), "estimates")
-        made += [cut, now]
-        known = keyed.join(near(now), "key")
-        d = [_distance(x, f"e{k}") for k in range(2)]
-        if last is not None:
-            was = last.select("key", F.col("e0.logdet").alias("l0"), F.col("e1.logdet").alias("l1"))
-            moving = now.join(near(was), "key").where((F.abs(F.col("e0.logdet") - F.col("l0")) > MOVES) | (F.abs(F.col("e1.logdet") - F.col("l1")) > MOVES)).count()
-            if not moving:
-                break
-        last = now
-    if moving:
-        warnings.warn(f"{moving} groups haven't converged after {STEPS} steps", stacklevel=2)
-    better = F.when(F.col("e1.logdet") < F.col("e0.logdet"), F.col("e1")).otherwise(F.col("e0"))
-    best = now.select("key", better.alias("e"))
-    scale = keyed.join(near(best), "key").groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.percentile_approx(_distance(x, "e"), 0.5, 2000) / _chi2_median(DIM)).alias("scale"))
-    final = store.table(one(best.join(scale, "key").join(keys, "key").select("lang", "source", "e", "size", "scale")), "final")
-    final = final.withColumnsRenamed({"lang": "_l", "source": "_s", "e": "_e", "size": "_size", "scale": "_scale"})
+    spread = medians(off, rows.join(near(middle), "_key"), "a")
+    start = middle.join(spread, "_key").select("_key", F.struct(F.array(*[F.col(f"m{i}") for i in range(DIM)]).alias("mean"), F.array(*[(1 / ((1.4826 * F.col(f"a{i}")) ** 2 + FLOOR**2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]).alias("inv"), F.lit(float("inf")).alias("logdet")).alias("e"))
+    now = store.table(one(start), "estimates")
+    made = [middle, spread, groups]
+    while True:
+        bin_ = F.floor(F.log(_distance(x, "e") + 1e-3) * FINE).cast("int").alias("bin")
+        cells = store.table(rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(*_moments(x)), "cells")
+        edge = _middle(cells.withColumnRenamed("n", "rows"), ["_lang", "_key"], "bin", SUPPORT)
+        inside = cells.join(edge, ["_lang", "_key"]).where(F.col("bin") <= F.col("edge")).groupBy("_lang", "_key").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+        lang = inside.groupBy("_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in _MOMENTS])
+        every = inside.groupBy(F.lit(1).alias("_all")).agg(*[F.sum(c).alias(f"a_{c}") for c in _MOMENTS])
+        wide = {c: F.col(f"l_{c}") + prior * F.col(f"a_{c}") / F.col("a_n") for c in _MOMENTS}
+        own = {c: F.col(c) + prior * wide[c] / wide["n"] for c in _MOMENTS}
+        sums = inside.join(lang, "_lang").withColumn("_all", F.lit(1)).join(F.broadcast(every), "_all")  # one row
+        new = sums.select("_key", own["n"].alias("n"), F.array(*[own[f"s{i}"] for i in range(DIM)]).alias("sums"), F.array(*[own[f"p{i}_{j}"] for i, j in _TRI]).alias("products"))
+        new = new.select("_key", F.arrow_udf(_solved, _ESTIMATE)("n", "sums", "products").alias("e")).join(now.select("_key", F.col("e.logdet").alias("was")), "_key")
+        # a step can't raise a group's determinant but by what it is shrunk with; then it has come to rest
+        after = store.table(one(new.select("_key", "e", ((F.col("was") - F.col("e.logdet")) > MOVES).alias("moved"))), "estimates")
+        store.drop(cells)
+        made.append(now)
+        now = after.select("_key", "e")
+        if after.where("moved").isEmpty():
+            made.append(after)
+            break
+    bin_ = F.floor(F.log(_distance(x, "e") + 1e-3) * FINE).cast("int").alias("bin")
+    counts = rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(F.count(F.lit(1)).alias("rows"))
+    half = _middle(counts, ["_lang", "_key"], "bin", 0.5).join(groups.select("_key", "size"), "_key")
+    # rows whose typical distance is below what chance gives aren't blown up by it
+    scale = F.greatest((F.col("size") * F.exp((F.col("edge") + 0.5) / FINE) / chi2_quantile(0.5) + prior) / (F.col("size") + prior), F.lit(1.0))
+    final = store.table(one(half.select("_key", scale.alias("_scale")).join(now, "_key").withColumnRenamed("e", "_e")), "final")
     for t in made:
         store.drop(t)
-    joined = docs.join(near(final), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    # rows whose typical distance is below what chance gives aren't blown up by it
-    distance = F.when(F.col("_size") >= least, _distance(vector(s), "_e") / F.greatest(F.col("_scale"), F.lit(1.0)))
     return (
-        joined.withColumn("base_failed", base_failed(s))
-        .withColumn("distance", distance)
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
-        .drop("_l", "_s", "_e", "_size", "_scale")
+        named(docs.drop("base_failed", "distance", "kept"))
+        .join(near(final), "_key", "left")
+        .withColumn("base_failed", base_failed(s))
+        .withColumn("distance", _distance(vector(s), "_e") / F.col("_scale"))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(alone)))
+        .drop("_lang", "_key", "_e", "_scale")
     )
 
 
-__all__ = ["statistics", "judge", "counts", "vector", "groups", "base_failed"]
+__all__ = ["statistics", "judge", "counts", "vector", "base_failed", "chi2_quantile", "solve"]
