@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -139,6 +140,13 @@ def test_packing_parts_near_copies(spark, tmp_path):
 # ---- 5: urls
 
 
+def test_soft_terms_are_weighed():
+    found = lambda u: sum(url_filter.DEFAULT_VOCABULARY.soft[t] for t in url_filter.hits(u, url_filter.DEFAULT_VOCABULARY)[1])
+    assert found("http://free-free.example.org/win") == 1.0 and found("http://free.example.org/win/cash") == 1.5
+    assert found("http://poker.example.org/Bonus") == 1.75 and found("http://pokers.example.org/xbonus") == 0
+    assert url_filter.hits("http://a.example.org/xXx", url_filter.DEFAULT_VOCABULARY) == (1, {})
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net/en", "https://b.example.com/de/1#t", "http://x.org/fr/", "http://x.org/FR/", "http://net", "http://net/", "ftp://casino.example.org/a", "http://casinos.example.org/", "http://cheap-pills.example.org/", "http://cheap.example.org/", "HTTP://XXX.example.org", "http://a?b://c/d"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, None, 1)], "page_id long, url string, host int")
@@ -240,6 +248,56 @@ def test_audio_payload_like_a_tag():
             assert mpeg_audio.decode(media, s) == raw and s.skipped == s.resyncs == 0, (n, back)
 
 
+def test_audio_checksums_of_all_layers():
+    rng = random.Random(5)
+
+    def plain_crc(bits):
+        c = 0xFFFF
+        for bit in bits:
+            top = c >> 15 ^ bit
+            c = c << 1 & 0xFFFF ^ (0x8005 if top else 0)
+        return c
+
+    as_bits = lambda raw: [b >> k & 1 for b in raw for k in range(7, -1, -1)]
+    #: layer II, MPEG 1, stereo at 192 kbit/s: 4 bits in 11 subbands, 3 in 12, 2 in 7, for two channels
+    for layer, index, mode, nbal in ((2, 10, 0, [4] * 11 + [3] * 12 + [2] * 7), (1, 10, 0, [4] * 32), (1, 10, 0x50, [4] * 32)):
+        word = 0xFFE00000 | 3 << 19 | (4 - layer) << 17 | index << 12 | mode
+        h = mpeg_audio.header(word)
+        body = bytes(rng.randbytes(h.length - 6))
+        bits, used, more = as_bits(body), 0, 0
+        shared = 8 if mode else 32  # mode extension 1: subbands 8 and up are shared
+        for sb, n in enumerate(nbal):
+            for _ in range(2 if sb < shared else 1):
+                more += 2 * any(bits[used : used + n])
+                used += n
+        covered = used + (more if layer == 2 else 0)
+        crc = plain_crc(as_bits(word.to_bytes(4, "big")[2:]) + bits[:covered])
+        frame = word.to_bytes(4, "big") + crc.to_bytes(2, "big") + body
+        good, bad = mpeg_audio.parse(frame * 3), mpeg_audio.parse(frame[:6] + bytes([body[0] ^ 128]) + frame[7:])
+        assert (good.checked, good.bad, len(good.audio)) == (3, 0, 3) and (bad.checked, bad.bad) == (1, 1), (layer, mode)
+
+
+def test_audio_duration_and_offsets(spark):
+    texts = [None, "", "TAG" * 60, "ID3 Xing VBRI " * 200, "x" * 5000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").withColumn("media", mpeg_audio.to_media("text"))
+    for r in mpeg_audio.with_features(docs).collect():
+        assert r.audio.error is None and r.audio.payload_bytes == len(mpeg_audio.padded((r.text or "").encode()))
+        assert len(r.audio.offsets) == r.audio.frames and all(r.media[o] == 255 and r.media[o + 1] >> 5 == 7 for o in r.audio.offsets)
+        assert Fraction(r.audio.duration) == Fraction(1152 * r.audio.frames, 44100)
+    assert mpeg_audio.with_features(docs.limit(0)).count() == 0
+    # two rates in one stream
+    low, high = (0xFFE00000 | 3 << 19 | 1 << 17 | 1 << 16 | 9 << 12 | r << 10 for r in (2, 0))
+    frames = [w.to_bytes(4, "big") + bytes(mpeg_audio.header(w).length - 4) for w in (low, high)]
+    s = mpeg_audio.parse(frames[0] * 2 + frames[1] * 3)
+    assert s.duration == Fraction(2 * 1152, 32000) + Fraction(3 * 1152, 44100)
+    # damage: the payload is missing, the row isn't
+    media = bytearray(mpeg_audio.encode(b"y" * 640))
+    media[-400] ^= 1
+    broken = spark.createDataFrame([(bytes(media), 1), (None, 2)], "media binary, audio int")
+    rows = mpeg_audio.with_features(broken).collect()
+    assert rows[0].audio.payload_sha256 is None and rows[0].audio.error == "payload damaged" and rows[1].audio.frames == 0
+
+
 # ---- 8: near duplicates
 
 

@@ -3,8 +3,9 @@
 ``parse`` reads a stream of layer I, II or III frames of MPEG 1, 2 or 2.5: it
 skips and reads ID3v2 and ID3v1 tags, finds frame headers (and finds them again
 after damage: a header counts if its frame ends at another header like it, or at the stream's
-end), verifies each protected frame's CRC-16, reads a Xing, Info or VBRI table, and keeps every
-frame's offset, so durations and seek points are exact rather than estimated.
+end), verifies the CRC-16 of each protected frame of any layer, reads a Xing, Info or VBRI table, and keeps
+every frame's offset, so durations and seek points are exact rather than estimated.  A change of the
+sample rate within a stream counts frame by frame.
 
 ``encode`` stores any bytes as a variable-bitrate layer III stream: silent frames, whose side
 information claims no audio bits, carry the bytes in the room that is left (ancillary data); a tag
@@ -12,11 +13,13 @@ holds their number and CRC-32, and the first frame a Xing table.  An empty ID3v1
 so that payload in its last bytes is never taken for one.  ``decode`` gives them back.
 
 Edge cases: null or empty media parse as a stream without frames; unreadable bytes are
-skipped and counted; equal media give equal features; other columns are kept.
+skipped and counted; a damaged payload is null, with the reason in ``error``, and the other rows go on;
+equal media give equal features; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import struct
 import zlib
@@ -95,19 +98,64 @@ def _crc_table() -> list[int]:
 
 
 _CRC = _crc_table()
-_crcs: dict[bytes, int] = {}
+_crcs: dict[tuple[bytes, int], int] = {}
 
 
-def crc16(data: bytes) -> int:
-    """CRC of a frame's last two header bytes and its side information."""
-    if data not in _crcs:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC of a frame's last two header bytes and of what a layer protects after them, of which the first
+    ``bits`` count (all of them by default)."""
+    bits = 8 * len(data) if bits is None else bits
+    key = (data[: -(-bits // 8)], bits)
+    if key not in _crcs:
         c = 0xFFFF
-        for b in data:
+        for b in data[: bits // 8]:
             c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+        for k in range(bits % 8):
+            top = c >> 15 ^ data[bits // 8] >> (7 - k) & 1
+            c = (c << 1 & 0xFFFF) ^ (0x8005 if top & 1 else 0)
         if len(_crcs) >= 1 << 16:
             _crcs.clear()
-        _crcs[data] = c
-    return _crcs[data]
+        _crcs[key] = c
+    return _crcs[key]
+
+
+# Fixed values of the same standards: bits of a layer II allocation, as (bits, subbands) from the lowest.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def protected_bits(h: Header, mode: int, after: bytes) -> int:
+    """How many bits after the CRC it covers.  ``mode`` is the header's last byte; ``after`` what follows the CRC."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    bound = 4 * (mode >> 4 & 3) + 4 if mode >> 6 == 1 else 32  # joint stereo shares the subbands above
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 2 * bound + 32 - bound)
+    each = h.kbps // channels
+    if h.version != 1:
+        table = "low"
+    elif each <= 48:
+        table = "d" if h.rate == 32000 else "c"
+    else:
+        table = "a" if each <= 80 or h.rate == 48000 else "b"
+    number, left = int.from_bytes(after, "big"), 8 * len(after)
+    used, selections, subband = 0, 0, 0
+    for bits, count in ALLOCATION[table]:
+        for _ in range(count):
+            for _ in range(channels if subband < bound else 1):
+                used += bits
+                if used > left:
+                    return left
+                if number >> (left - used) & (1 << bits) - 1:
+                    selections += 2 * (1 if subband < bound else channels)  # two bits of scale factor selection
+            subband += 1
+    return used + selections
 
 
 @dataclass
@@ -126,8 +174,11 @@ class Stream:
 
     @property
     def duration(self) -> Fraction:
-        """Seconds, exactly (the sample rate of the first frame holds for all)."""
-        return Fraction(self.samples, self.headers[0].rate) if self.headers else Fraction(0)
+        """Seconds, exactly."""
+        at = collections.Counter()
+        for k in self.audio:
+            at[self.headers[k].rate] += self.headers[k].samples
+        return sum((Fraction(n, rate) for rate, n in at.items()), Fraction(0))
 
     def seek(self, sample: int) -> int:
         """Offset of the frame that holds a sample."""
@@ -200,9 +251,11 @@ def parse(data: bytes | None) -> Stream:
             at, lost = nxt, True
             continue
         lost, like = False, (h.version, h.layer, h.rate)
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            if crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != data[at + 4] << 8 | data[at + 5]:
+            after = data[at + 6 : min(at + h.length, at + 6 + (h.side if h.layer == 3 else 64))]
+            covered = min(8 * len(after), protected_bits(h, data[at + 3], after))
+            if crc16(data[at + 2 : at + 4] + after, 16 + covered) != data[at + 4] << 8 | data[at + 5]:
                 out.bad += 1
         first = not out.headers
         out.offsets.append(at)
@@ -299,11 +352,19 @@ def to_media(text: str | Column = "text") -> Column:
     return store(F.col(text) if isinstance(text, str) else text)
 
 
+_READ = {
+    "payload_bytes": ("bigint", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("bigint", pa.int64()), "media_bytes": ("bigint", pa.int64()), "media_sha256": ("string", pa.string()),
+    "feature": ("string", pa.string()), "frames": ("bigint", pa.int64()), "samples": ("bigint", pa.int64()), "rate": ("bigint", pa.int64()), "duration": ("string", pa.string()),
+    "offsets": ("array<bigint>", pa.list_(pa.int64())), "error": ("string", pa.string()),
+}
+
+
 def with_features(df: DataFrame, media: str | Column = "media") -> DataFrame:
-    """Adds ``audio``: what is read from each media value."""
-    kind = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int64())])
+    """Adds ``audio``: what is read from each media value, with the exact duration as a fraction of
+    seconds and the offset of every audio frame to seek by."""
+    kind = pa.struct([(name, arrow) for name, (_, arrow) in _READ.items()])
 
-    @F.arrow_udf("struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string,frames:bigint,samples:bigint,rate:bigint>")
+    @F.arrow_udf("struct<" + ",".join(f"{name}:{sql}" for name, (sql, _) in _READ.items()) + ">")
     def read(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             rows = []
@@ -311,9 +372,13 @@ def with_features(df: DataFrame, media: str | Column = "media") -> DataFrame:
                 m = m.as_py() or b""
                 s = parse(m)
                 row = {"media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "feature": feature(s), "frames": len(s.audio), "samples": s.samples, "rate": s.headers[0].rate if s.headers else 0}
+                row |= {"duration": str(s.duration), "offsets": [s.offsets[k] for k in s.audio]}
                 if s.tags.get("PRIV", b"").startswith(OWNER):
-                    p = decode(m, s)
-                    row |= {"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-64:])}
+                    try:
+                        p = decode(m, s)
+                        row |= {"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-64:])}
+                    except ValueError as e:
+                        row["error"] = str(e)
                 rows.append(row)
             yield pa.array(rows, kind)
 

@@ -1,7 +1,8 @@
 """Tables in the folder that driver and executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that is
-unset, as in tests on one machine, a temporary folder of this process is named instead.
+unset and Spark runs in this process alone (a local master), a temporary folder is named
+instead; on a cluster that is an error, as other machines wouldn't see such a folder.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ def folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="veilsight-"))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

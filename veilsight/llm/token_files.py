@@ -114,7 +114,7 @@ class Encoder:
         self.tokenizer = t = Tokenizer.from_file(path)
         kind = repr(t.pre_tokenizer)
         # only byte-level vocabularies that leave texts as they are have pieces on their own
-        self.splits = t.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind
+        self.splits = t.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         special = {i: len(a.content.encode()) for i, a in t.get_added_tokens_decoder().items()}
         vocab = t.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that an id stands for
@@ -331,12 +331,10 @@ def _decoded(spark: SparkSession, target: str, value_field: str, digest: bool) -
     ranks = spark.read.parquet(f"{target}/ranks").orderBy("rank").collect()
     id_of = spark.sparkContext.broadcast(np.array([r[1] for r in ranks], np.uint32))  # the vocabulary's size at most
     # one total a shard; a shard's ids start after those of the shards before
-    totals = sorted((r[0], r[1]) for r in blocks.groupBy("shard").agg(F.sum("count")).collect())
-    before, total = {}, 0
-    for shard, count in totals:
-        before[shard] = total
-        total += count
-    starts = spark.sparkContext.broadcast(before)
+    totals = blocks.groupBy("shard").agg(F.sum("count")).collect()
+    counts = np.zeros(1 + max((r[0] for r in totals), default=0), np.int64)
+    counts[[r[0] for r in totals]] = [r[1] for r in totals]
+    starts = spark.sparkContext.broadcast(np.cumsum(counts) - counts)  # eight bytes for each SHARD_BYTES of ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +344,7 @@ def _decoded(spark: SparkSession, target: str, value_field: str, digest: bool) -
                 ends = np.cumsum(size)
                 cut = [ids[e - m : e] for e, m in zip(ends.tolist(), size.tolist(), strict=True)]
                 value = pa.array([zlib.crc32(x) for x in cut], pa.int64()) if digest else pa.array([x.astype(np.int64) for x in cut], pa.list_(pa.int64()))
-                first = starts.value[shard.as_py()] + begin.as_py()
+                first = int(starts.value[shard.as_py()]) + begin.as_py()
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first + ends - size), pa.array(size), value], ["doc_id", "start", "n_tokens", last])
 
     return blocks.select(*FIELDS).mapInArrow(decode, schema)

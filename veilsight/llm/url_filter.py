@@ -4,8 +4,8 @@ A rule names a host and a path prefix and blocks or allows; it fits the host and
 its subdomains, and the longest fitting rule decides.  Where no rule fits, an
 Aho-Corasick automaton counts vocabulary terms in the lower-cased url.  A hit counts if
 no ASCII letter or digit stands directly before or after it.  Strict terms block at one hit;
-soft terms have weights, and the weights of the distinct soft terms found block from
-``limit`` on (with weights of 1, several distinct hits).
+soft terms have weights of 0.5 to 1, and the weights of the distinct soft terms found block from
+``limit`` on, so it takes two terms at least.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and, if null,
 no hits, so it is allowed; an empty url is allowed; equal urls get equal verdicts; all
@@ -39,15 +39,18 @@ class Rule:
 class Vocabulary:
     strict: tuple[str, ...]
     soft: Mapping[str, float]
-    limit: float = 2.0
+    limit: float = 1.5
 
 
+#: Soft terms by weight: those that are rarely innocent count twice the others that must come together.
+_SOFT = {
+    1.0: ("adult", "sexy", "nude", "nudes", "bets", "betting", "jackpot", "slots", "poker", "pills", "crack", "cracked", "keygen", "torrent", "torrents", "spam", "dating", "webcam", "webcams", "lottery", "roulette", "payday", "steroids"),
+    0.75: ("sex", "bet", "x", "hot", "bonus", "loan", "loans", "cheap", "deal", "deals", "singles", "vape", "leaked", "serial", "spins"),
+    0.5: ("win", "free", "click", "cash", "earn", "discount", "coupon", "coupons", "promo"),
+}
 DEFAULT_VOCABULARY = Vocabulary(
-    strict=("porn", "porno", "xxx", "casino", "nsfw", "hentai", "camgirls", "escort", "escorts", "viagra", "warez", "malware", "phishing"),
-    soft={
-        t: 1.0
-        for t in ("adult", "sex", "sexy", "nude", "x", "bet", "bets", "betting", "win", "jackpot", "slots", "poker", "pills", "crack", "keygen", "torrent", "spam", "free", "cheap", "deal", "deals", "hot", "dating", "loan", "loans", "bonus")
-    },
+    strict=("porn", "porno", "pornography", "xxx", "xxxvideos", "casino", "nsfw", "hentai", "camgirl", "camgirls", "escort", "escorts", "viagra", "cialis", "warez", "malware", "phishing", "milf", "bestiality"),
+    soft={term: weight for weight, terms in _SOFT.items() for term in terms},
 )
 
 
