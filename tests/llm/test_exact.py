@@ -325,7 +325,7 @@ def brute_classes(rows):
     return collections.Counter((d, len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("blocks", [2_000_000, 300])
+@pytest.mark.parametrize("blocks", [400_000, 2000, 300])
 def test_classes_match_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", blocks)
     rng = random.Random(8)
@@ -352,6 +352,26 @@ def test_one_of_each(spark):
     assert jaccard_join.classes(docs.limit(0)).count() == 0
 
 
+def test_a_common_shingle_is_counted_in_runs():
+    # two runs: in the first two sets share shingle 5, in the second a set has it too
+    n = 4
+    sets = [{1: [5, 7, 9], 2: [5, 8]}, {3: [5, 6], 1: [5, 7, 9]}]
+    rows = []
+    for run in sets:
+        made = jaccard_join._Run(n)
+        for key, items in run.items():
+            made.add(np.array([key], np.uint64), np.array([len(items)]), np.array(items, np.uint64) << np.uint64(40))
+        rows += [b for batch in made.flush() for b in batch.to_pylist()]
+    entries = [x for r in rows for x in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["items"], np.uint32).tolist(), strict=True)]
+    # 5, 7, 9, 8 in the first run, 5, 6, 7, 9 in the second; 5 is marked in both
+    assert len(entries) == 8 and sum(k == 0 for k, _ in entries) == 2
+    said = collections.Counter()
+    for r in rows:
+        for key, (shared, size) in zip(np.frombuffer(r["sets"], np.uint64).tolist(), np.frombuffer(r["sizes"], np.uint32).reshape(-1, 2).tolist(), strict=True):
+            said[key, shared, size] += 1
+    assert said == {(1, 1, 3): 2, (2, 1, 2): 1, (3, 1, 2): 1}
+
+
 # ---- 9: mixing
 
 

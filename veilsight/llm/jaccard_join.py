@@ -5,29 +5,36 @@ one; without words it is empty and linked with nothing), as 48-bit hashes.  Two
 when ``100 * intersection >= percent * union``.  No candidate is left out and none sampled:
 
 1. Equal sets share one key, so copies are one set from here on.
-2. A set linked to another shares at least ``percent`` of its shingles with it.  Shingles are counted
-   in buckets of the hash range; sets with too many shingles of their own drop out.
-3. Among the sets left, shingles are ordered by how many sets have them, rarest first.  Linked sets
-   share one of their first ``n - ceil(percent * n / 100) + 1`` shingles (their prefix), so
+2. A set linked to another shares at least ``percent`` of its shingles with it.  A task first looks for
+   shingles that two of its own sets have; of each such shingle it sends one marker, of the others their set,
+   to the bucket of the hash range.  So a shingle that a third of all documents have meets as one entry a
+   run of documents.  Sets with too many shingles of their own drop out.
+3. Among the sets left, shingles are ordered by how many sets have them, rarest first (counted in runs
+   again).  Linked sets share one of their first ``n - ceil(percent * n / 100) + 1`` shingles (their prefix), so
    sets joined by chains of shared prefix shingles form groups, and every link is inside a group.
 4. Each group is stored as a path-compressed prefix tree of its ordered sets.  For each set the
    tree is walked, sharing partial overlaps among all sets below a node, and a subtree is left once
    the shingles that remain can't bring the overlap to what the sizes ask for.
    Subtrees already known to be in the set's own class are skipped: they can't change it.
-5. A group over ``GROUP_TOKENS`` is cut into blocks by size, and each two blocks that sizes
-   allow are walked together, so that no task holds more; their classes are then merged.
+5. A group over ``GROUP_TOKENS`` is first cut into parts that are walked one by one, then the classes' first sets
+   are.  Prefix shingles whose sets are all in one class by then can't add a link and are dropped; what still
+   hangs together by the others forms new, smaller groups.  Those that are still too large are cut into
+   blocks by size, and each two blocks that sizes allow are walked together.  A large group of near copies thus
+   costs each set a walk or two, and no task holds more than a group.
 
 Only distinct sets leave their tasks, as packed arrays; texts are never shuffled.  A
-filter of fixed size over the keys left after step 2 saves most sets the way to step 3; an exact
-join follows it, so that the filter's mistakes cost time only.
+filter of fixed size (``FILTER_BITS``, whatever the input) over the keys left after step 2 saves most sets the way
+to step 3; an exact join follows it, so that the filter's mistakes cost time only.
 
 Edge cases: null or empty texts, and those of white space alone, have 0 shingles and are a class
 of their own; rows with equal ids stay separate rows; a class's id is its smallest document id, null
-if all are null; an empty table gives an empty result; all columns are kept.
+if all are null; an empty table gives an empty result; ``classes`` returns doc_id, text_hash, n_shingles and
+component_id whatever other columns there are, ``one_of_each`` keeps all columns as they were.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +53,9 @@ BUCKET_BYTES = 8 << 20
 #: Shingles that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Most shingles of one prefix tree.
-GROUP_TOKENS = 2_000_000
-#: Most bits of the filter over keys.
-FILTER_BITS = 1 << 30
+GROUP_TOKENS = 400_000
+#: Bits of the filter over keys, at most.
+FILTER_BITS = 1 << 27
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _LOW32 = np.uint64((1 << 32) - 1)
@@ -96,50 +103,35 @@ def set_keys(cuts: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buckets(spark: SparkSession, df: DataFrame) -> int:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 1)))
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-PARTS = "bucket int, keys binary, sizes binary, items binary"
-SLOTS = "slot int, keys binary, counts binary, items binary"
+def _measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """A frame and its size as Spark sees it; one whose size Spark can't tell is written first."""
+    if _size(df) > 1 << 60:
+        df = store.table(df, "texts")
+    return df, _size(df)
 
 
-class _Parts:
-    """Gathers sets and hands them on by bucket of the shingles' range.
+def _buckets(spark: SparkSession, size: int) -> int:
+    return min((1 << 31) - 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 1))
 
-    The bucket and the low 32 bits of a shingle tell all but a few in 2**38 apart, which is enough to
-    count; with ``wide``, all 48 bits go along."""
 
-    def __init__(self, n: int, wide: bool = False):
-        self.n, self.wide, self.keys, self.cuts, self.items, self.held = n, wide, [], [], [], 0
+def _bucket(items: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each shingle: equal ranges of its high 32 bits."""
+    return ((items >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-    def add(self, keys: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.cuts.append(sizes)
-        self.items.append(items)
-        self.held += len(items)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
-            return
-        keys, sizes, items = np.concatenate(self.keys), np.concatenate(self.cuts), np.concatenate(self.items)
-        self.keys, self.cuts, self.items, self.held = [], [], [], 0
-        owner = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
-        bucket = (items * np.uint64(self.n) >> np.uint64(48)).astype(np.uint16)
-        order = np.argsort(bucket, kind="stable")
-        bucket, owner = bucket[order], owner[order]
-        items = items[order] if self.wide else (items[order] & _LOW32).astype(np.uint32)
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        rows = {"bucket": [], "keys": [], "sizes": [], "items": []}
-        for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
-            own = owner[a:b]
-            turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            rows["bucket"].append(int(bucket[a]))
-            rows["keys"].append(keys[own[turn]].tobytes())
-            rows["sizes"].append(np.diff(np.append(turn, b - a)).astype(np.uint32).tobytes())
-            rows["items"].append(items[a:b].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("keys", "sizes", "items")]], ["bucket", "keys", "sizes", "items"])
+def _cut(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the stretches of a sorted array."""
+    edge = np.flatnonzero(_new(bucket)).tolist()
+    for a, b in zip(edge, [*edge[1:], len(bucket)][: len(edge)], strict=True):
+        yield int(bucket[a]), a, b
+
+
+def _table(rows: list[tuple], kinds: tuple[tuple[str, pa.DataType], ...]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds)})
 
 
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -150,43 +142,106 @@ def _slots(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The numbers of the keys by the slot that they are gathered in."""
     slot = (mix(keys) % np.uint64(n)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
-    cut = np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])) if len(keys) else []
-    for part in np.split(order, cut[1:]) if len(keys) else []:
-        yield int(slot[part[0]]), part
+    for s, a, b in _cut(slot[order]):
+        yield s, order[a:b]
+
+
+def _new(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins in a sorted array."""
+    return np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+
+
+_SENT = (("bucket", pa.int32()), ("run", pa.int64()), ("keys", pa.binary()), ("items", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()))
+SENT = "bucket int, run bigint, keys binary, items binary, sets binary, sizes binary"
 
 
-def _frequency(items: np.ndarray) -> np.ndarray:
-    """For each of some sorted items, how often it is there."""
-    edge = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(items)))
-    return np.repeat(size, size)
+class _Run:
+    """Gathers sets and hands on what other runs must know of them.
 
+    A row has, for a bucket, the low 32 bits of shingles (``items``) and the set of each (``keys``), or 0 where
+    two sets of this run have the shingle.  ``sets`` and ``sizes`` have each set once, in any of the rows: (shingles
+    shared within the run, all shingles).  Bucket and low bits of two shingles may agree, which can only make a
+    shingle look shared: no set is lost by it."""
 
-def _shared_keys(parts: DataFrame, percent: int, n: int) -> DataFrame:
+    def __init__(self, n: int):
+        self.n, self.keys, self.sizes, self.items, self.held = n, [], [], [], 0
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.sizes.append(sizes)
+        self.items.append(items)
+        self.held += len(items)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        keys, sizes, items = np.concatenate(self.keys), np.concatenate(self.sizes).astype(np.int64), np.concatenate(self.items)
+        self.keys, self.sizes, self.items, self.held = [], [], [], 0
+        owner = np.repeat(np.arange(len(keys)), sizes)
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        first = _new(items)
+        many = np.diff(np.append(np.flatnonzero(first), len(items)))
+        shared = np.bincount(owner[np.repeat(many, many) > 1], minlength=len(keys))
+        # by value, hence by bucket; a set is in a run once, so a shingle's owners differ
+        items, owner, many = items[first], owner[first], many
+        names = np.where(many > 1, np.uint64(0), keys[owner])
+        bucket, run = _bucket(items, self.n), int.from_bytes(os.urandom(8), "little", signed=True)
+        home = np.argsort(keys, kind="stable")
+        cuts = list(_cut(bucket))
+        ends = np.linspace(0, len(keys), len(cuts) + 1).astype(int).tolist()
+        low = (items & _LOW32).astype(np.uint32)
+        counts = np.stack([shared, sizes], axis=1).astype(np.uint32)
+        rows = [(k, run, names[a:b].tobytes(), low[a:b].tobytes(), keys[home[e:f]].tobytes(), counts[home[e:f]].tobytes()) for (k, a, b), e, f in zip(cuts, ends[:-1], ends[1:], strict=True)]
+        yield from _table(rows, _SENT).to_batches()
+
+
+def _shared_keys(sent: DataFrame, percent: int, n: int) -> DataFrame:
     """Keys of the sets of which enough shingles are in another set too."""
+    kinds = (("slot", pa.int32()), ("runs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()))
 
     def count(table):
-        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
-        items = _joined(table, "items", np.uint32).astype(np.uint64) << np.uint64(32)
-        items |= np.repeat(number.astype(np.uint64), _joined(table, "sizes", np.uint32))
-        items.sort()
-        if len(items):
-            items = items[np.append(True, items[1:] != items[:-1])]
-        number = (items & _LOW32).astype(np.int64)
-        alone = _frequency(items >> np.uint64(32)) == 1
-        counts = np.stack([np.bincount(number[alone], minlength=len(keys)), np.bincount(number, minlength=len(keys))], axis=1).astype(np.uint32)
-        rows = [(slot, keys[k].tobytes(), counts[k].tobytes(), b"") for slot, k in _slots(keys, n)]
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())))})
+        keys, items = _joined(table, "keys", np.uint64), _joined(table, "items", np.uint32)
+        length = [len(x.as_py()) // 4 for x in table.column("items")]
+        run = np.repeat(np.array(table.column("run")), length)
+        order = np.lexsort((keys, items))
+        keys, items, run = keys[order], items[order], run[order]
+        first = _new(items)
+        group = np.cumsum(first) - 1
+        # shared: a marker, or two sets
+        several = np.zeros(int(first.sum()), bool)
+        several[group[keys == 0]] = True
+        several[group[1:][(keys[1:] != keys[:-1]) & ~first[1:]]] = True
+        hit = several[group] & (keys != 0)
+        said = [_joined(table, "sets", np.uint64), _joined(table, "sizes", np.uint32).reshape(-1, 2)]
+        runs_of = np.repeat(np.array(table.column("run")), [len(x.as_py()) // 8 for x in table.column("sets")])
+        k = np.concatenate([keys[hit], said[0]])
+        r = np.concatenate([run[hit], runs_of])
+        c = np.concatenate([np.stack([np.ones(int(hit.sum()), np.uint32), np.zeros(int(hit.sum()), np.uint32)], axis=1), said[1]])
+        return _table(_by_slot(k, r, c, n), kinds)
 
     def total(table):
-        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
-        counts = _joined(table, "counts", np.uint32).reshape(-1, 2)
-        own, size = (np.bincount(number, counts[:, i], len(keys)) for i in range(2))
-        # one more than the bound: two shingles of a set may, rarely, look like one inside a bucket
-        enough = 100 * (own - 1) <= (100 - percent) * size
-        return pa.table({"key": keys[enough].view(np.int64)})
+        keys, run, counts = _summed(_joined(table, "keys", np.uint64), _joined(table, "runs", np.int64), _joined(table, "counts", np.uint32).reshape(-1, 2))
+        # each run that has the set gives its whole count
+        enough = 100 * counts[:, 0].astype(np.int64) >= percent * counts[:, 1].astype(np.int64)
+        return pa.table({"key": np.unique(keys[enough & (counts[:, 1] > 0)]).view(np.int64)})
+
+    return sent.groupBy("bucket").applyInArrow(count, "slot int, runs binary, keys binary, counts binary").groupBy("slot").applyInArrow(total, "key bigint")
+
 
-    return parts.groupBy("bucket").applyInArrow(count, SLOTS).groupBy("slot").applyInArrow(total, "key bigint")
+def _summed(keys: np.ndarray, run: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts added up by set and run."""
+    if not len(keys):
+        return keys, run, counts.astype(np.uint32)
+    order = np.lexsort((run, keys))
+    keys, run, counts = keys[order], run[order], counts[order]
+    edge = np.flatnonzero(_new(keys) | _new(run))
+    return keys[edge], run[edge], np.add.reduceat(counts.astype(np.int64), edge, axis=0).astype(np.uint32)
+
+
+def _by_slot(keys: np.ndarray, run: np.ndarray, counts: np.ndarray, n: int) -> list[tuple]:
+    keys, run, counts = _summed(keys, run, counts)
+    return [(slot, run[x].tobytes(), keys[x].tobytes(), counts[x].tobytes()) for slot, x in _slots(keys, n)]
 
 
 def _filter(keys: DataFrame) -> tuple[int, dict[int, bytes]]:
@@ -202,7 +257,7 @@ def _filter(keys: DataFrame) -> tuple[int, dict[int, bytes]]:
 
 def _shingled(docs: DataFrame, k: int, n: int) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = _Parts(n), set()
+        out, seen = _Run(n), set()
         for batch in batches:
             for _, cuts, shingles in shingle_sets(*utf8(batch.column(0)), k):
                 keys, size = set_keys(cuts, shingles), np.diff(cuts)
@@ -214,18 +269,19 @@ def _shingled(docs: DataFrame, k: int, n: int) -> DataFrame:
                 out.add(keys[new], size[new], shingles[np.repeat(new, size)])
                 if out.held >= FLUSH:
                     yield from out.flush()
-                if len(seen) > 2_000_000:
-                    seen.clear()
+                    if len(seen) > 2_000_000:
+                        seen.clear()
         yield from out.flush()
 
-    return docs.mapInArrow(parts, PARTS)
+    return docs.mapInArrow(parts, SENT)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """One row a document: its id, ``text_hash``, n_shingles and component_id."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    n = _buckets(spark, narrow.select("text"))
+    narrow, size = _measured(narrow)
+    n = _buckets(spark, size)
     shared = store.table(_shared_keys(_shingled(narrow.select("text"), k, n), percent, n), "shared")
     bits, pages = _filter(shared)
     page_of = spark.sparkContext.broadcast(pages)  # at most FILTER_BITS bits
@@ -270,67 +326,147 @@ def _prefix(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _roots(sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """key -> root for the sets that are linked to another."""
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Parts(n, wide=True)
+_KEPT = (("run", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("items", pa.binary()))
+_ASKED = (("bucket", pa.int32()), ("run", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()))
+
+
+def _ordered(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Each set's shingles that another set has too, in the common order (rarest first), and its prefix of them.
+
+    Sets are kept in runs; a run asks each bucket once for the frequencies of its distinct shingles, so that
+    no shingle brings more than an entry a run to one task."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, items, held = [], [], [], 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((int.from_bytes(os.urandom(8), "little", signed=True), np.array(keys, np.int64).tobytes(), np.array(sizes, np.uint32).tobytes(), b"".join(items)), _KEPT, strict=True)], [c for c, _ in _KEPT])
+
         for batch in batches:
-            items = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
-            if items:
-                out.add(np.array(batch.column(0)).view(np.uint64), np.array([len(x) for x in items]), np.concatenate(items))
-            if out.held >= FLUSH:
-                yield from out.flush()
-        yield from out.flush()
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                sizes.append(len(x) // 8)
+                items.append(x)
+                held += len(x) // 8
+                if held >= FLUSH // 4:
+                    yield done()
+                    keys, sizes, items, held = [], [], [], 0
+        if keys:
+            yield done()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                items, counts = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+                rows = [(k, run, items[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, a, b in _cut(_bucket(items, n))]
+                yield from _table(rows, _ASKED).to_batches()
+
+    def answer(table):
+        items, counts = _joined(table, "items", np.uint64), _joined(table, "counts", np.uint32)
+        distinct, number = np.unique(items, return_inverse=True)
+        often = np.bincount(number, counts, len(distinct)).astype(np.int64)[number]
+        cuts = np.append(0, np.cumsum([len(x.as_py()) // 8 for x in table.column("items")]))
+        # below its frequency, as far as 16 bits go; a shingle of one set alone isn't told
+        tagged = np.minimum(often, 0xFFFF).astype(np.uint64) << np.uint64(48) | items
+        rows = [(run, tagged[a:b][often[a:b] > 1].tobytes()) for run, a, b in zip(table.column("run").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return _table(rows, (("run", pa.int64()), ("tagged", pa.binary())))
+
+    kinds = (("key", pa.int64()), ("n_shingles", pa.int64()), ("items", pa.binary()), ("prefix", pa.list_(pa.int64())), ("n_items", pa.int64()))
+
+    def place(mine, told):
+        tagged = np.sort(_joined(told, "tagged", np.uint64) & _LOW48) if told.num_rows else np.zeros(0, np.uint64)
+        full = _joined(told, "tagged", np.uint64) if told.num_rows else tagged
+        full = full[np.argsort(full & _LOW48, kind="stable")]
+        rows = []
+        for keys, sizes, items in zip(mine.column("keys").to_pylist(), mine.column("sizes").to_pylist(), mine.column("items").to_pylist(), strict=True):
+            keys, sizes, items = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(items, np.uint64)
+            at = np.searchsorted(tagged, items)
+            found = at < len(tagged)
+            found[found] = tagged[at[found]] == items[found]
+            owner = np.repeat(np.arange(len(keys)), sizes)[found]
+            got = full[at[found]]
+            order = np.lexsort((got, owner))
+            got, kept = got[order], np.bincount(owner, minlength=len(keys))
+            cuts = np.append(0, np.cumsum(kept))
+            first = _prefix(sizes, percent) - (sizes - kept)  # rarer ones, of one set alone, come before
+            rows += [(int(keys[i]), int(sizes[i]), got[cuts[i] : cuts[i + 1]].tobytes(), got[cuts[i] : cuts[i] + min(first[i], kept[i])].view(np.int64), int(kept[i])) for i in np.flatnonzero((first > 0) & (kept > 0)).tolist()]
+        return _table(rows, kinds)
+
+    runs_ = store.table(sets.select("key", "items").dropDuplicates(["key"]).mapInArrow(keep, "run bigint, keys binary, sizes binary, items binary"), "runs")
+    told = runs_.select("run", "items").mapInArrow(ask, "bucket int, run bigint, items binary, counts binary").groupBy("bucket").applyInArrow(answer, "run bigint, tagged binary")
+    out = runs_.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(place, "key bigint, n_shingles bigint, items binary, prefix array<bigint>, n_items bigint")
+    out = store.table(out, "ordered")
+    store.drop(runs_)
+    return out
 
-    def rank(table):
-        """For each key the items of the bucket that another key has too, below their frequency."""
-        keys, sizes, items = _joined(table, "keys", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "items", np.uint64)
-        number = np.repeat(np.arange(len(keys)), sizes)
-        order = np.argsort(items, kind="stable")
-        often = np.empty(len(items), np.int64)
-        often[order] = _frequency(items[order])
-        keep = often > 1
-        items = (np.minimum(often, 0xFFFF).astype(np.uint64) << np.uint64(48) | items)[keep]
-        kept = np.bincount(number[keep], minlength=len(keys))
-        cuts = np.append(0, np.cumsum(kept))
-        counts = np.stack([sizes, kept], axis=1).astype(np.uint32)
-        rows = [(slot, keys[k].tobytes(), counts[k].tobytes(), b"".join(items[cuts[i] : cuts[i + 1]].tobytes() for i in k.tolist())) for slot, k in _slots(keys, n)]
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())))})
-
-    def gather(table):
-        """Each key's items in the common order, rarest first, and its prefix."""
-        keys, number = np.unique(_joined(table, "keys", np.uint64), return_inverse=True)
-        counts, items = _joined(table, "counts", np.uint32).reshape(-1, 2), _joined(table, "items", np.uint64)
-        size = np.bincount(number, counts[:, 0], len(keys)).astype(np.int64)
-        owner = np.repeat(number, counts[:, 1])
-        order = np.lexsort((items, owner))
-        items, kept = items[order], np.bincount(owner, minlength=len(keys))
-        cuts = np.append(0, np.cumsum(kept))
-        first = _prefix(size, percent) - (size - kept)  # rarer ones, of one set alone, come before
-        rows = [(int(keys[i].view(np.int64)), int(size[i]), items[cuts[i] : cuts[i + 1]].tobytes(), items[cuts[i] : cuts[i] + min(first[i], kept[i])].view(np.int64), int(kept[i])) for i in np.flatnonzero((first > 0) & (kept > 0)).tolist()]
-        kinds = (("key", pa.int64()), ("n_shingles", pa.int64()), ("items", pa.binary()), ("prefix", pa.list_(pa.int64())), ("n_items", pa.int64()))
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds)})
-
-    parts = sets.select("key", "items").dropDuplicates(["key"]).mapInArrow(split, PARTS)
-    ordered = parts.groupBy("bucket").applyInArrow(rank, SLOTS).groupBy("slot").applyInArrow(gather, "key bigint, n_shingles bigint, items binary, prefix array<bigint>, n_items bigint")
-    ordered = store.table(ordered, "ordered")
-    edges = store.table(ordered.select("key", F.explode("prefix").alias("token")), "edges")
-    # a token's keys hang together by its smallest; most tokens say the same as another
-    low = edges.groupBy("token").agg(F.min("key").alias("low"))
-    star = store.table(edges.join(low, "token").where("key <> low").select("key", F.col("low").alias("token")).distinct(), "star")
-    groups = connected(star.union(star.select(F.col("token").alias("key"), "token")))
-    grouped = ordered.select("key", "n_shingles", "items", "n_items").join(groups, "key")
-    size = grouped.groupBy("root").agg(F.sum("n_items").alias("tokens"), F.count(F.lit(1)).alias("members"))
-    grouped = grouped.join(size.where("members > 1"), "root")
-    small = grouped.where(F.col("tokens") <= GROUP_TOKENS).select(F.col("root").alias("block"), "key", "n_shingles", "items")
-    links = _walk(small, n, percent)
-    big = size.where((F.col("members") > 1) & (F.col("tokens") > GROUP_TOKENS))
-    if big.isEmpty():
+
+def _edges(ordered: DataFrame) -> DataFrame:
+    """key, token: chains of these hang together just as the sets' prefixes do.
+
+    Of the sets of a run that have a shingle, one alone is joined with the shingle, the others with that one."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = np.repeat(np.array(batch.column(0)), np.diff(np.array(lists.offsets)))
+            tokens = np.array(lists.flatten())
+            order = np.lexsort((keys, tokens))
+            keys, tokens = keys[order], tokens[order]
+            first = _new(tokens)
+            low = keys[first][np.cumsum(first) - 1] if len(keys) else keys
+            near = np.unique(np.stack([keys[~first], low[~first]], axis=1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[first], near[:, 0]])), pa.array(np.concatenate([tokens[first], near[:, 1]])), pa.array(np.append(np.zeros(int(first.sum()), bool), np.ones(len(near), bool)))], ["key", "token", "near"])
+
+    found = store.table(ordered.select("key", "prefix").mapInArrow(reduce, "key bigint, token bigint, near boolean"), "edges")
+    # a shingle's sets hang together by its smallest; most shingles say the same as another
+    told = found.where("not near").select("key", "token")
+    low = told.groupBy("token").agg(F.min("key").alias("low"))
+    far = told.join(low, "token").where("key <> low").select("key", F.col("low").alias("token"))
+    star = store.table(far.union(found.where("near").select("key", "token")).distinct(), "star")
+    return star.union(star.select(F.col("token").alias("key"), "token"))
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of two sets and more with their group's root and size: small ones, and large ones."""
+    grouped = rows.drop("root").join(groups, "key")
+    size = grouped.groupBy("root").agg(F.sum("n_items").alias("tokens"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    out = grouped.join(size, "root")
+    return out.where(F.col("tokens") <= GROUP_TOKENS), out.where(F.col("tokens") > GROUP_TOKENS)
+
+
+def _both(links: DataFrame) -> DataFrame:
+    """Links (key, root) as edges of ``connected``."""
+    return links.select("key", F.col("root").alias("token")).union(links.select(F.col("root").alias("key"), F.col("root").alias("token"))).distinct()
+
+
+def _roots(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """key -> root for the sets that are linked to another."""
+    ordered = _ordered(sets, n, percent)
+    small, large = _grouped(ordered.drop("prefix"), connected(_edges(ordered)))
+    block = lambda rows, by: rows.select(by.alias("block"), "key", "n_shingles", "items")
+    links = _walk(block(small, F.col("root")), n, percent)
+    large = store.table(large.select("key", "root", "n_shingles", "items", "n_items", "tokens"), "large")
+    if large.isEmpty():
         return links
-    blocks = _blocks(grouped.where(F.col("tokens") > GROUP_TOKENS), percent)
-    found = store.table(_walk(blocks, n, percent), "links")
-    both = found.select("key", F.col("root").alias("token")).union(found.select(F.col("root").alias("key"), F.col("root").alias("token"))).distinct()
-    return links.union(connected(both))
+    # parts first, then the classes' first sets
+    parts = F.ceil(F.col("tokens") / F.lit(0.8 * GROUP_TOKENS)).cast("int")
+    within = store.table(_walk(block(large, F.xxhash64("root", F.pmod(F.xxhash64("key"), parts))), n, percent), "within")
+    named = large.join(within.withColumnRenamed("root", "cls"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+    heads, many = _grouped(named.where(F.col("cls") == F.col("key")).drop("cls", "tokens"), large.select("key", "root"))
+    across = _walk(block(heads.unionByName(many.withColumn("root", F.xxhash64("root", F.pmod(F.xxhash64("key"), F.ceil(F.col("tokens") / F.lit(0.8 * GROUP_TOKENS)).cast("int"))))), F.col("root")), n, percent)
+    known = store.table(within.union(across), "known")
+    classes_ = connected(_both(known))
+    # shingles that sets of two classes have
+    told = ordered.join(large.select("key"), "key", "left_semi").select("key", "prefix").join(classes_.withColumnRenamed("root", "cls"), "key", "left")
+    told = told.select("key", F.coalesce("cls", "key").alias("cls"), F.explode("prefix").alias("token"))
+    live = told.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
+    left = store.table(told.join(live, "token").groupBy("key").agg(F.collect_list("token").alias("prefix")), "left")
+    if left.isEmpty():
+        return links.union(classes_)
+    rest, blocks = _grouped(large.drop("tokens"), connected(_edges(left)))
+    found = _walk(block(rest, F.col("root")), n, percent)
+    found = store.table(found.union(_walk(_blocks(blocks, percent), n, percent)), "links")
+    return links.union(connected(_both(known.union(found))))
 
 
 def _blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -420,15 +556,17 @@ def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> li
         for t in mine:
             starts.setdefault(t, []).append(i)
     mark = np.zeros(int(rank.max(initial=-1)) + 1, bool)
+    dead: set[int] = set()  # shingles whose sets are all in one class
     stamp = [-1] * len(tree.label)
     for i in sorted(range(n), key=lambda i: (sizes[i], i)):
         # subtrees with a set that shares a prefix shingle and isn't in this set's class yet
         mine, any_ = find(i), False
         for t in prefixes[i]:
             row = starts[t]
-            if len(row) > 1:
+            if len(row) > 1 and t not in dead:
                 live = [j for j in row if find(j) != mine]
                 if not live:
+                    dead.add(t)
                     continue
                 for j in live:
                     v = tree.leaf[j]
