@@ -384,10 +384,38 @@ def test_flight_keeps_totals():
         assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and q.min() > -1e-9 and q.max() < 1 + 1e-9
 
 
-def test_shares():
-    got = mixing.shares([("b", 100), (None, 100), ("a", 100)])
-    assert {k: float(v) for k, v in got.items()} == {"a": 200.0, "b": 83 + 1 / 3, None: 166 + 2 / 3} or sum(got.values()) == 450
-    assert sum(got.values()) == 450 and max(got.values()) <= 200
+def plain_targets(sizes, weights=(3, 1, 2), budget=150, most=2):
+    """Targets by the rule as it is told: the excess of a full source goes to the others by weight."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    out, open_, left = {}, set(order), Fraction(budget * sum(sizes.values()), 100)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: Fraction(most * sizes[s]) for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"b": 100, None: 100, "a": 100}, {"a": 1, "b": 10**6, "é": 3, "Z": 500, None: 7}, {"x": 5}, {"x": 0, "y": 0}, {f"s{i}": (i * 7919) % 1000 for i in range(60)}])
+def test_targets_match_plain_sharing(spark, sizes):
+    units = spark.createDataFrame([(i, s, n, 1) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long, n long")
+    got = {r.source: (r.source_size, r.target) for r in mixing.targets(units).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s][0] == sizes[s] and abs(got[s][1] - float(want[s])) <= 1e-9 * max(1, sizes[s]) for s in want)
+
+
+def test_many_alike_documents_are_numbered_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    docs = spark.createDataFrame([(None, f"w{i} x", "s") for i in range(40)] + [(1, "a b", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("text").count().collect()
+    uses = {r.doc_id: (r.n, r.whole, r.extra) for r in mixing.uses(docs.select("doc_id", "source", mixing.n_words("text").alias("size"))).collect()}
+    n, whole, extra = uses[None]
+    many = collections.Counter(r["count"] for r in got if r.text.startswith("w"))
+    assert many == +collections.Counter({whole + 1: extra, whole: n - extra if whole else 0})
 
 
 @pytest.mark.parametrize("group", [2000, 20])

@@ -9,8 +9,11 @@ size, number of documents) until one of them is 0 or 1, so both totals stay as t
 group leaves at most two fractions; these form new groups, level by level, until one group a
 source is left, and only its last fractions are rounded (the landing).
 
+The landing takes the rounding whose totals are nearest to the fractions', whatever the inclusion
+probabilities of those few documents are.
+
 Groups hold about ``GROUP`` rows dealt by hash, so a source of any size is split; only ids, sizes and
-probabilities are shuffled.  All choices come from hashes of the rows, so reruns agree.
+probabilities are shuffled, and however many sources there are, none is listed on the driver.  All choices come from hashes of the rows, so reruns agree.
 
 Edge cases: null sources are a source, the last in order; null and empty texts have
 size 0 and a source of size 0 a target of 0; rows alike in id, source and size are counted
@@ -20,6 +23,7 @@ together and get uses that differ by one at most; an empty table gives an empty
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +44,6 @@ def n_words(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shares(sizes: list[tuple[str | None, int]], weights=WEIGHTS, budget: int = BUDGET, most: int = MOST) -> dict[str | None, Fraction]:
-    """Each source's target.  ``sizes``: total size by source."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size, out = dict(order), {}
-    left, open_ = Fraction(budget * sum(size.values()), 100), [s for s, _ in order]
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] > most * size[s] * total]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: Fraction(most * size[s]) for s in over}
-        left -= sum(most * size[s] for s in over)
-        open_ = [s for s in open_ if s not in set(over)]
-    return out
-
-
 def flight(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """Moves probabilities until at most two are fractions; sum(p) and sum(p * size) hold."""
     p = p.astype(float).copy()
@@ -101,13 +88,37 @@ def landing(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.round(p)
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``number``, from 0 in this order; rows are cut into ranges, whose counts are added up first."""
+    cut = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    cut = store.table(cut, "ranges")  # ranges are of a sample, so they are made once
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    start = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    return cut.join(start, "_range").withColumn("number", F.col("_start") + F.row_number().over(own) - 1).drop("_range", "_start")
+
+
 def targets(units: DataFrame, weights=WEIGHTS, budget: int = BUDGET, most: int = MOST) -> DataFrame:
-    """One row a source: total size, target and number of rows.  Sources, unlike
-    documents, are listed on the driver."""
-    rows = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.count(F.lit(1)).alias("rows")).collect()
-    goal = shares([(r[0], r[1]) for r in rows], weights, budget, most)
-    made = [(r[0], r[1], float(goal[r[0]]), float(goal[r[0]] / r[1]) if r[1] else 0.0, r[2]) for r in rows]
-    return units.sparkSession.createDataFrame(made, "source string, source_size long, target double, uses double, source_rows long")
+    """One row a source: total size, target, uses (target over size) and number of rows.
+
+    Sources below a level have their most, the others share what is left by weight; the level rises until
+    it closes no more sources.  A round is one sum over the sources, of which the driver gets one row."""
+    rows = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = store.table(numbered(rows, F.col("source").isNull(), F.col("source")).withColumn("weight", weight), "sources")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, closed = 0.0, -1
+    while True:
+        under = F.col("source_size") < F.lit(level) * F.col("weight")
+        r = rows.agg(F.coalesce(F.sum(F.when(under, F.col("source_size"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(~under, F.col("weight"))), F.lit(0)).alias("w"), F.count_if(under).alias("n")).first()
+        left = Fraction(budget * total, 100) - most * r["s"]
+        if r["n"] == closed or not r["w"]:
+            break
+        level, closed = float(left / (most * r["w"])), r["n"]
+    share = float(left / r["w"]) if r["w"] else 0.0
+    target = F.when(under, F.lit(float(most)) * F.col("source_size")).otherwise(F.lit(share) * F.col("weight"))
+    target = F.least(target, F.lit(float(most)) * F.col("source_size"))
+    return rows.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("uses"), "source_rows")
 
 
 def _decider(last: bool, level: int):
@@ -179,8 +190,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     rows = sized.join(plan, on)
     times = F.col("whole") + F.col("extra")
     if not found.where("n > 1").isEmpty():
-        several = rows.where("n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("text"))))
-        rows = rows.where("n = 1").withColumn("_k", F.lit(1)).unionByName(several)
+        # documents alike in id, source and size are numbered within cells of about GROUP, after those of the cells before
+        several = rows.where("n > 1").withColumn("_cell", F.pmod(F.xxhash64("text"), F.ceil(F.col("n") / F.lit(float(GROUP))).cast("long")))
+        key = ["_d", "_s", "_z", "_cell"]
+        ahead = Window.partitionBy("_d", "_s", "_z").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        start = several.groupBy(*key).count().select(*[F.col(c).alias(f"{c}2") for c in key], F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
+        several = several.join(start, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in key]))
+        several = several.withColumn("_k", F.col("_start") + F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))).drop("_start", "_cell", *[f"{c}2" for c in key])
+        rows = rows.where("n = 1").withColumn("_k", F.lit(1).cast("long")).unionByName(several)
         times = F.col("whole") + (F.col("_k") <= F.col("extra")).cast("long")
     copies = rows.withColumn("_times", times).where("_times > 0")
     return copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
