@@ -161,8 +161,11 @@ def test_conversation_parts(spark):
         ("b", 2, "customer", "0343 6467", "speech", 60_000, 61_000),
     ]
     turns = spark.createDataFrame(talk, "conv_id string, turn int, speaker string, text string, channel string, begin_ms long, end_ms long")
-    got = sorted(tuple(r) for r in conversation.classify(turns).collect())
-    assert got[0] == ("a", 1, 3, "card", "prompt", "high") and all(r[5] == "low" for r in got[1:]) and len(got) == 2
+    got = sorted(conversation.classify(turns).collect(), key=lambda r: (r.conv_id, r.turn))
+    assert (got[0].conv_id, got[0].turn, got[0].end_turn, got[0].cls, got[0].via, got[0].confidence) == ("a", 1, 3, "card", "prompt", "high")
+    assert [tuple(p) for p in got[0].parts] == [(1, 0, 8, 0, 9), (3, 0, 8, 0, 9)]
+    # the other halves were a minute apart
+    assert [(r.turn, r.end_turn, r.confidence) for r in got[1:]] == [(1, 1, "low")]
 
 
 def test_running_totals(spark):

@@ -6,15 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import spec
-from .validators import luhn_valid, valid_date
+from . import spoken
+from .validators import luhn_valid
 
 #: Bounds of a word in ASCII terms; Java's own bound counts accented letters.
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def words(terms: tuple[str, ...], escape: bool = True) -> str:
-    """A pattern for any of the terms as whole words, whatever the case."""
-    body = "|".join((t.replace(".", r"\.") if escape else t) for t in terms)
+    """A pattern for any of the terms as whole words, whatever the case and the white space between them."""
+    body = "|".join((t.replace(".", r"\.") if escape else t).replace(" ", r"[ \t\r\n]+") for t in terms)
     return f"(?i){LEFT}(?:{body}){RIGHT}"
 
 
@@ -44,10 +45,10 @@ def humanize(name: Column) -> Column:
 
 
 def timestamp_name(name: Column) -> Column:
-    """Whether a field is named like a point in time, so that it holds no date of birth."""
-    parts = F.filter(F.split(F.lower(humanize(name)), "[^a-z0-9]+"), lambda w: w != "")
-    last = F.try_element_at(parts, F.lit(-1)).isin("at", "time", "timestamp", "created", "updated", "date")
-    return F.coalesce(last & ~name.rlike("(?i)birth|dob|born"), F.lit(False))
+    """Whether a field is named like a point in time, so that it holds no date of birth: its last word says so,
+    and none speaks of birth."""
+    last = F.regexp_extract(F.lower(humanize(name)), "([a-z0-9]+)[^a-z0-9]*$", 1)
+    return F.coalesce(last.isin(*spec.TIMESTAMP_WORDS) & ~F.lower(name).rlike("birth|dob|born"), F.lit(False))
 
 
 def is_label(value: Column) -> Column:
@@ -94,7 +95,7 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
 
 
-CARD_RUN = r"(?<![\p{L}\p{N}_])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])(?![\p{L}\p{N}_])"
+CARD_RUN = spec.CARD_WRITTEN.replace(r"\w", r"[\p{L}\p{N}_]")
 _REDACT_CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 
 
@@ -124,66 +125,13 @@ def _mask_long(text: Column) -> Column:
 
 def redaction_markers(text: Column) -> Column:
     """How many marks of an earlier redaction, like [SSN], a text has."""
-    names = "PII|SSN|CREDIT_DEBIT_NUMBER|CREDIT_DEBIT_CVV|CREDIT_DEBIT_EXPIRY|PIN|BANK_ACCOUNT_NUMBER|BANK_ROUTING|NAME|ADDRESS|EMAIL|PHONE|DATE_TIME|AGE|USERNAME|PASSWORD|US_SOCIAL_SECURITY_NUMBER|REDACTED(?::[^\\]\\n]{1,120})?"
+    names = "|".join([*spec.REDACTION_MARKS, "REDACTED(?::[^\\]\\n]{1,120})?"])
     return F.regexp_count(text, F.lit(rf"\[(?:{names})\]"))
 
 
-_UNIT = "|".join(w for w in spec.NUMBER_WORDS if w != "zero")
-_TWO = f"(?:(?:{'|'.join(spec.TENS)})(?:[- ]+(?:{_UNIT}))?|{'|'.join(spec.TEENS)}|{_UNIT})"
-_DAY = f"(?:[0-9]{{1,2}}(?:st|nd|rd|th)?|(?:(?:twenty|thirty)[- ]+)?(?:{'|'.join(spec.ORDINALS)})|{_TWO})"
-_YEAR = f"(?:(?:19|20)[0-9]{{2}}|two thousand(?:[- ]+(?:and[- ]+)?{_TWO})?|(?:nineteen|twenty)[- ]+(?:(?:oh|o)[- ]+(?:{_UNIT})|{_TWO}|hundred))"
-_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "september" else "sep(?:t(?:ember)?)?" for m in spec.MONTHS) + ")"
-SPOKEN_DATE = f"(?i){LEFT}(?:{_MONTH}\\.?,? +(?:the +)?{_DAY},? +{_YEAR}|(?:the +)?{_DAY} +(?:day +)?(?:of +)?{_MONTH}\\.?,? +{_YEAR}){RIGHT}"
-
-
-def _said(phrase: Column) -> Column:
-    """The number that words or digits say: sums of tens, teens, units and ordinals."""
-    table = {**{k: v for k, v in spec.NUMBER_WORDS.items()}, **spec.TEENS, **spec.TENS, **spec.ORDINALS}
-    lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    words_ = F.regexp_extract_all(F.lower(phrase), F.lit("([a-z]+)"), 1)
-    total = F.aggregate(words_, F.lit(0), lambda n, w: n + F.coalesce(F.try_element_at(lookup, w), F.lit(0)))
-    return F.when(phrase.rlike("[0-9]"), F.regexp_extract(phrase, "([0-9]+)", 1).try_cast("int")).otherwise(total)
-
-
-def _iso(raw: Column) -> Column:
-    """A spoken date as yyyy-mm-dd; null if it is none."""
-    name = F.regexp_extract(F.lower(raw), f"{LEFT}({_MONTH}){RIGHT}", 1)
-    month = F.array_position(F.array(*[F.lit(m[:3]) for m in spec.MONTHS]), F.left(name, F.lit(3))).cast("int")
-    said = F.regexp_extract(raw, f"(?i){LEFT}({_YEAR})$", 1)
-    low = F.lower(said)
-    rest = F.regexp_replace(low, "^(?:two thousand|nineteen|twenty)[- ]*(?:and[- ]+)?", "")
-    year = F.when(said.rlike("[0-9]"), said.try_cast("int")).when(low.startswith("two thousand"), 2000 + _said(rest)).when(low.startswith("nineteen"), 1900 + _said(rest)).otherwise(2000 + _said(rest))
-    front = raw.substr(F.lit(1), F.length(raw) - F.length(said))
-    day = _said(F.regexp_replace(front, f"(?i){LEFT}{_MONTH}{RIGHT}", " "))
-    return F.when(year.between(1900, 2099) & valid_date(year, month, day), F.format_string("%04d-%02d-%02d", year, month, day))
-
-
-def spoken_dates(text: Column) -> Column:
-    """Dates in words, with the month's name, as yyyy-mm-dd."""
-    pieces = F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), f"({SPOKEN_DATE})", f"{OPEN}$1{CLOSE}"), OPEN, -1)
-    one = lambda p: F.when(p.contains(CLOSE), F.concat(F.coalesce(_iso(F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, -1))).otherwise(p)
-    return F.when(text.rlike(f"(?i){LEFT}{_MONTH}"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
-
-
 def digits_of_speech(text: Column) -> Column:
-    """The value of a spoken or keyed turn: dates in words become numbers, number words, repeats and keypad
-    ends become digits, fillers and separators between digits go.  Offsets are not kept."""
-    out = F.regexp_replace(text, "(?<=[0-9])[#*](?![A-Za-z0-9])", "")
-    out = spoken_dates(out)
-    for word, digit in spec.NUMBER_WORDS.items():
-        out = F.regexp_replace(out, f"(?i){LEFT}{word}{RIGHT}", str(digit))
-    out = F.regexp_replace(out, f"(?i)(?<={LEFT}(?:double|triple) )(?:oh|o){RIGHT}", "0")
-    for word, times in spec.MULTIPLIERS.items():
-        out = F.regexp_replace(out, f"(?i){LEFT}{word} ([0-9]){RIGHT}", "$1" * times)
-    for _ in range(2):
-        out = F.regexp_replace(out, f"(?i)(?<=[0-9] ){LEFT}(?:oh|o){RIGHT}|{LEFT}(?:oh|o){RIGHT}(?= [0-9])", "0")
-    fillers = "|".join(spec.FILLERS)
-    out = F.regexp_replace(out, f"(?i)(?<=[0-9])[ ,.]+(?:(?:{fillers})[ ,.]+)+(?=[0-9])", " ")
-    # dates keep their separators, and what stands next to them: marked, then put back
-    dates = r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2}))(?![0-9])"
-    pieces = F.split(F.regexp_replace(F.translate(out, OPEN + CLOSE, "  "), dates, f"{OPEN}$1{CLOSE}"), OPEN, -1)
-    close = lambda t: F.regexp_replace(t, r"(?<=[0-9])[ \-.,]+(?=[0-9])", "")
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.contains(CLOSE), F.concat(F.substring_index(p, CLOSE, 1), close(F.substring_index(p, CLOSE, -1)))).otherwise(close(p))), "")
+    """The text of a spoken or keyed turn with its digits read out."""
+    return spoken.tokens(text)["text"]
 
 
 def confidence_rank(c: Column) -> Column:

@@ -192,7 +192,7 @@ SELECT * FROM (VALUES ('c1', 1, 1, 'card', 'prompt', 'high'), ('c2', 1, 1, 'us_s
   ('c5', 2, 2, 'dob', 'prompt', 'high'), ('c6', 1, 2, 'account_number', 'prompt', 'high')) AS t(conv_id, turn, end_turn, cls, via, confidence)""")
 def conversation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of made-up conversations, which the given ones lack."""
-    return conversation.classify(spark.createDataFrame(_TALK, "conv_id string, turn int, speaker string, text string"))
+    return conversation.classify(spark.createDataFrame(_TALK, "conv_id string, turn int, speaker string, text string"), 2026).select("conv_id", "turn", "end_turn", "cls", "via", "confidence")
 
 
 _NUMBERS = ["4539148803436467", "4111111111111111", "6221260000000000", "378282246310005", "219099998", "078051120", "000123456", "666123456", "912701234", "912661234", "01311985", "02301985", "013185", "12", "", "4539148803436468"]

@@ -62,6 +62,26 @@ JOIN_SECONDS, JOIN_INTERVENING, CONTEXT_TURNS = 15, 3, 2
 # A time of day, which makes the date before it a timestamp.
 TIME_OF_DAY = r"(?:t|[ \t]+)[0-9]{1,2}:[0-9]{2}(?::[0-9]{2,})*(?:[ \t]*(?:am|pm))?(?:z|[ \t]*(?:utc|gmt)|[ \t]*[+-][0-9]{2}:?[0-9]{2})?(?![0-9])"
 
+# How stored values are written (patterns of the ``re`` syntax that Java and Python share).
+CARD_WRITTEN = r"(?<!\w)(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])(?!\w)"
+NINE_WRITTEN = r"(?<!\w)(?:[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}|[0-9]{9})(?!\w)"
+MONTH_WRITTEN = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+DATES_WRITTEN = (
+    "(?<![0-9])[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})(?![0-9])",
+    "(?<![0-9])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9])",
+    rf"(?i:\b(?:{MONTH_WRITTEN})\.?\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}}\b)",
+    rf"(?i:\b[0-9]{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{MONTH_WRITTEN})\.?,?\s+[0-9]{{4}}\b)",
+)
+# Groups of digits that cards are printed in, marks of earlier redaction, last words of names of points in time.
+CARD_GROUPS = "4-4-4-[1-4]|4-4-4-4-[1-3]|4-6-5|4-6-4"
+REDACTION_MARKS = (
+    "PII", "SSN", "CREDIT_DEBIT_NUMBER", "CREDIT_DEBIT_CVV", "CREDIT_DEBIT_EXPIRY", "PIN", "BANK_ACCOUNT_NUMBER", "BANK_ROUTING", "NAME", "ADDRESS", "EMAIL", "PHONE",
+    "DATE_TIME", "AGE", "USERNAME", "PASSWORD", "US_SOCIAL_SECURITY_NUMBER",
+)
+TIMESTAMP_WORDS = ("at", "time", "timestamp", "created", "updated", "date")
+# Characters of a text from which it is read in pieces.
+CHUNK_CHARS = 64 << 10
+
 # Published sample numbers.
 SSN_DUMMIES = ("078051120", "219099999", "123456789", "111111111")
 ITIN_TESTS = ("987654320", "987654321", "987654322", "987654323", "987654324", "987654325", "987654326", "987654327", "987654328", "987654329")
