@@ -202,6 +202,84 @@ def test_outliers(spark):
     assert quality_rules.judge(quality_rules.statistics(docs.limit(0))).count() == 0
 
 
+def plain_verdicts(rows):
+    """distance and verdict of (id, lang, source, counts), by loops over groups in numpy."""
+    q = quality_rules
+
+    def vector(c):
+        n, chars, symbols, dup, repeat, lines = c
+        w, ln = max(n, 1), max(lines, 1)
+        return [np.log((chars + 8) / (w + 1)), np.arcsinh(20 * symbols / (w + 20)), np.arcsinh(2 * dup / (ln + 4)), np.arcsinh(2 * repeat / (w + 20))]
+
+    x = np.array([vector(r[3]) for r in rows])
+    keys = [(r[1], r[2]) for r in rows]
+    groups = {k: np.array([i for i, o in enumerate(keys) if o == k]) for k in set(keys)}
+    langs = {k: np.array([i for i, o in enumerate(keys) if o[0] == k]) for k in {k[0] for k in keys}}
+
+    def edge(values, share):
+        v = np.sort(values)
+        return v[int(np.ceil(share * len(v) - 1e-9)) - 1]
+
+    def medians(off):
+        half = lambda rows_, j: (edge(np.floor(off[rows_, j] / q.WIDTH), 0.5) + 0.5) * q.WIDTH
+        out = {}
+        for k, rows_ in groups.items():
+            in_lang = langs[k[0]]
+            out[k] = []
+            for j in range(4):
+                wide = (len(in_lang) * half(in_lang, j) + q.PRIOR * half(np.arange(len(off)), j)) / (len(in_lang) + q.PRIOR)
+                out[k].append((len(rows_) * half(rows_, j) + q.PRIOR * wide) / (len(rows_) + q.PRIOR))
+        return {k: np.array(v) for k, v in out.items()}
+
+    m = medians(x)
+    a = medians(np.abs(x - np.array([m[k] for k in keys])))
+    e = {k: (m[k], np.diag(1 / ((1.4826 * a[k]) ** 2 + q.FLOOR**2)), np.inf) for k in groups}
+    bins = lambda: np.array([np.floor(np.log((x[i] - e[k][0]) @ e[k][1] @ (x[i] - e[k][0]) + 1e-3) * q.FINE) for i, k in enumerate(keys)])
+    tri = np.tril_indices(4)
+    moments = lambda i: np.array([len(i), *x[i].sum(axis=0), *(x[i][:, tri[0]] * x[i][:, tri[1]]).sum(axis=0)])
+    while True:
+        b = bins()
+        own = {k: moments(i[b[i] <= edge(b[i], q.SUPPORT)]) for k, i in groups.items()}
+        every = sum(own.values())
+        new = {}
+        for k in groups:
+            lang = sum(v for o, v in own.items() if o[0] == k[0])
+            wide = lang + q.PRIOR * every / every[0]
+            t = own[k] + q.PRIOR * wide / wide[0]
+            mean, inv, logdet = q.solve(t[0], t[1:5], t[5:])
+            new[k] = (mean, inv, round(logdet, 6))
+        moved = any(e[k][2] - new[k][2] > q.MOVES for k in groups)
+        e = new
+        if not moved:
+            break
+    b = bins()
+    out = {}
+    for k, i in groups.items():
+        scale = max(1.0, (len(i) * np.exp((edge(b[i], 0.5) + 0.5) / q.FINE) / q.chi2_quantile(0.5) + q.PRIOR) / (len(i) + q.PRIOR))
+        for j in i:
+            d = (x[j] - e[k][0]) @ e[k][1] @ (x[j] - e[k][0]) / scale
+            n, repeat = rows[j][3][0], rows[j][3][4]
+            out[rows[j][0]] = (d, not (n < 20 or 100 * repeat > 30 * n) and d <= q.chi2_quantile(q.ALONE))
+    return out
+
+
+def test_verdicts_match_plain_estimates(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        n = rng.randint(15, 300)
+        odd = rng.random() < 0.08
+        rows.append((i, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None]), (n, n * rng.randint(4, 6), rng.randint(0, 3) + odd * n, rng.randint(0, 1) + odd * 5, rng.choice([0, 0, 0, 8]), rng.randint(1, 12))))
+    rows += [(400, "fr", "z", (100, 500, 0, 0, 0, 5)), (401, "fr", "z", (100, 500, 0, 0, 0, 5)), (402, None, None, (0, 0, 0, 0, 0, 0))]  # repeated rows of a group of two
+    counted = spark.createDataFrame(rows, f"doc_id long, lang string, source string, stats {quality_rules.KIND}").withColumn("distance", F.lit("x"))
+    got = {r.doc_id: (r.distance, r.kept) for r in quality_rules.judge(counted).collect()}
+    again = {r.doc_id: (r.distance, r.kept) for r in quality_rules.judge(counted.repartition(7)).collect()}
+    want = plain_verdicts(rows)
+    assert got == again and got.keys() == want.keys()
+    assert all(abs(got[i][0] - want[i][0]) <= 1e-3 * max(1, want[i][0]) and got[i][1] == want[i][1] for i in want)
+    assert got[400] == got[401] and 0 < sum(not k for _, k in got.values()) < 200
+
+
 def test_repeated_lines_are_outliers(spark):
     rows = [(i, "en", "s", (80, 400, 0, 0, 0, 9)) for i in range(150)] + [(150, "en", "s", (80, 400, 0, 6, 0, 9))]
     counted = spark.createDataFrame(rows, f"doc_id long, lang string, source string, stats {quality_rules.KIND}")

@@ -28,7 +28,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -53,7 +53,7 @@ DIM = 4
 #: Share of a normal group's rows that are let be.
 ALONE = 0.9999
 #: Grids: width for medians of rates, and steps a power of e for distances.
-WIDTH, FINE = 1 / 512, 16
+WIDTH, FINE = 1 / 128, 16
 #: Broadcast estimates up to this many groups; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 
@@ -179,10 +179,18 @@ def _moments(x: list[Column]) -> list[Column]:
 
 
 def _middle(counts: DataFrame, by: list[str], bin_: str, share: float) -> DataFrame:
-    """For each group of ``counts`` (by, bin, rows) the bin up to which ``share`` of its rows lie."""
-    order = Window.partitionBy(*by).orderBy(bin_)
-    run = counts.select(*by, bin_, F.sum("rows").over(order).alias("_upto"), F.sum("rows").over(Window.partitionBy(*by)).alias("_all"))
-    return run.where(F.col("_upto") >= share * F.col("_all")).groupBy(*by).agg(F.min(bin_).alias("edge"))
+    """For each group of ``counts`` (by, bin, rows) the bin (``edge``) up to which ``share`` of its rows lie.
+
+    A group has as many bins as the grid, whatever its size."""
+    bins = F.array_sort(F.collect_list(F.struct(F.col(bin_).cast("int").alias("bin"), F.col("rows").cast("double").alias("rows"))))
+    sums = counts.groupBy(*by).agg(bins.alias("_bins"), F.sum(F.col("rows").cast("double")).alias("_all"))
+    begin = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("int").alias("edge"))
+
+    def step(acc: Column, b: Column) -> Column:
+        upto = acc["upto"] + b["rows"]
+        return F.struct(upto.alias("upto"), F.coalesce(acc["edge"], F.when(upto >= share * F.col("_all"), b["bin"])).alias("edge"))
+
+    return sums.select(*by, F.aggregate("_bins", begin, step, lambda acc: acc["edge"]).alias("edge"))
 
 
 def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float = PRIOR) -> DataFrame:
@@ -206,9 +214,10 @@ def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float
         value = ((F.col("edge") + 0.5) * WIDTH).alias("v")
         total = lambda by: counts.groupBy(*by, "i", "bin").agg(F.sum("rows").alias("rows"))
         every = _middle(total([]), ["i"], "bin", 0.5).select("i", value.alias("va"))
+        in_lang = groups.groupBy("_lang").agg(F.sum("size").alias("in_lang"))
         lang = _middle(total(["_lang"]), ["_lang", "i"], "bin", 0.5).select("_lang", "i", value.alias("vl"))
         own = _middle(counts, ["_lang", "_key", "i"], "bin", 0.5).select("_lang", "_key", "i", value)
-        size = groups.select("_key", "size", F.sum("size").over(Window.partitionBy("_lang")).alias("in_lang"))
+        size = groups.join(in_lang, "_lang").select("_key", "size", "in_lang")
         wide = (F.col("in_lang") * F.col("vl") + prior * F.col("va")) / (F.col("in_lang") + prior)
         got = own.join(lang, ["_lang", "i"]).join(every, "i").join(size, "_key").select("_key", "i", ((F.col("size") * F.col("v") + prior * wide) / (F.col("size") + prior)).alias("v"))
         out = store.table(one(got.groupBy("_key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(DIM)])), name)
