@@ -170,7 +170,7 @@ def test_conversation_parts(spark):
 
 def test_running_totals(spark):
     rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    got = {r.k: r.total_v for r in incremental.running_total(rows, "k", ["v"], buckets=16).collect()}
+    got = {r.k: r.total_v for r in incremental.running_total(rows, "k", ["v"]).collect()}
     total = 0
     for k in range(1000):
         total += k % 7

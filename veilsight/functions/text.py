@@ -134,6 +134,11 @@ def digits_of_speech(text: Column) -> Column:
     return spoken.tokens(text)["text"]
 
 
+def confidence_of(score: Column) -> Column:
+    """high from 0.8, medium from 0.45, else low."""
+    return F.when(score >= 0.8, "high").when(score >= 0.45, "medium").when(score.isNotNull(), "low")
+
+
 def confidence_rank(c: Column) -> Column:
     return F.when(c == "high", 2).when(c == "medium", 1).when(c == "low", 0)
 

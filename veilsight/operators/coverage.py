@@ -20,9 +20,41 @@ def merge(runs: DataFrame, key: Sequence[str], counters: Sequence[str], last: Se
     return runs.groupBy(*key).agg(*[F.sum(c).alias(c) for c in counters], *[F.max_by(c, order).alias(c) for c in last])
 
 
-def settle(read: Column, errors: Column, skipped: Column, backlog: Column) -> Column:
-    """A store's status from its sources' counters; the first that holds."""
-    return F.when((errors > 0) & (read == 0), "failed").when((errors > 0) | (backlog > 0), "partial").when((read == 0) & (skipped > 0), "skipped").when(read > 0, "scanned").otherwise("empty")
+# What a source's note says of its store, and errors that mean that access is denied.
+NOTES = {
+    "export_pending": ("deferred", "export_pending"), "no_grant": ("skipped", "no_grant"), "budget": ("deferred", "budget"), "no_snapshot": ("skipped", "no_snapshot"), "export_failed": ("error", "export_failed"),
+    "vpc_only": ("skipped", "vpc_only"), "no_read_path": ("skipped", "no_read_path"), "user_can_write": ("skipped", "user_can_write"), "db_user_can_write": ("skipped", "db_user_can_write"),
+    "grants_unverifiable": ("skipped", "grants_unverifiable"), "network": ("skipped", "network"), "access_denied": ("error", "access_denied"), "driver_missing": ("skipped", "driver_missing"),
+    "requester_pays": ("skipped", "requester_pays"), "row_level_policy": ("skipped", "row_level_policy"), "scope_unverified": ("skipped", "scope_unverified"), "unscoped_grant": ("skipped", "unscoped_grant"),
+    "protected_api": ("skipped", "protected_api"), "not_provisioned": ("skipped", "not_provisioned"), "throttled": ("deferred", "throttled"), "not_a_member": ("skipped", "not_a_member"), "not_implemented": ("skipped", "not_implemented"),
+}
+ACCESS_DENIED = ("AccessDenied", "AccessDeniedException", "UnauthorizedOperation", "AllAccessDisabled", "AuthorizationFailed", "AuthorizationPermissionMismatch", "Forbidden", "PERMISSION_DENIED", "ErrorAccessDenied", "Authorization_RequestDenied")
+
+
+def settle(sources: DataFrame, store: Sequence[str], order: str = "source") -> DataFrame:
+    """One row a store, from the coverage of its sources in a run: status (scanned, error, deferred or skipped), reason,
+    error, backlog and gaps (a map of counts).
+
+    sources: the store's key, ``order``, note, error, scanned, kms_denied, unreadable, unsupported, not_allowed, disguised and
+    backlog.  The first known note decides; a store is in error if all of its sources are, and skipped formats are its reason if
+    nothing else was there to read."""
+    known = F.create_map(*[F.lit(x) for k, v in NOTES.items() for x in (k, F.struct(F.lit(v[0]).alias("status"), F.lit(v[1]).alias("reason")))])
+    note = F.when(F.col("note").isin(*NOTES), F.col("note"))
+    # of all notes the first one counts, known or not
+    first = lambda value, when: F.min_by(value, F.when(when, F.col(order)))
+    counters = ("scanned", "kms_denied", "unreadable", "unsupported", "not_allowed", "disguised")
+    rows = sources.groupBy(*store).agg(
+        F.count(F.lit(1)).alias("_n"), F.count("error").alias("_errors"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters], F.max("backlog").alias("backlog"),
+        first(note, F.col("note").isNotNull()).alias("_note"), first(F.struct("error", "kms_denied"), F.col("error").isNotNull()).alias("_error"),
+    )
+    said = known[F.col("_note")]
+    failed = F.col("_errors") == F.col("_n")
+    named = F.when(F.coalesce(F.col("_error.kms_denied"), F.lit(0)) > 0, "kms_access").when(F.col("_error.error").isin(*ACCESS_DENIED), "access_denied").otherwise("error")
+    status = F.when(F.col("_note").isNotNull(), said["status"]).when(failed, "error").otherwise("scanned")
+    reason = F.when(F.col("_note").isNotNull(), said["reason"]).when(failed, named).when((F.col("scanned") == 0) & (F.col("unsupported") > 0) & (F.col("unreadable") == 0), "unsupported_format")
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("notAllowed", "not_allowed"), ("disguised", "disguised"), ("kmsDenied", "kms_denied"), ("unreadable", "unreadable"), ("unsupportedFormat", "unsupported"))]), lambda e: e["value"] > 0)
+    gaps_ = F.map_from_entries(F.when(F.col("_note").isNull(), pairs).otherwise(F.slice(pairs, F.lit(1), F.lit(0))))
+    return rows.select(*store, status.alias("status"), reason.alias("reason"), F.when(status == "error", F.col("_error.error")).alias("error"), "backlog", gaps_.alias("gaps"))
 
 
 def summary(stores: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +85,20 @@ def first_per(items: DataFrame, group: str, order: Sequence[str], n: int) -> Dat
     return items.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= n)
 
 
-def running_total(items: DataFrame, order: str, values: Sequence[str], buckets: int = 256) -> DataFrame:
+def running_total(items: DataFrame, order: str, values: Sequence[str]) -> DataFrame:
     """Adds ``total_<value>`` for each value: its sum over the items up to this one by ``order``.
 
-    ``order`` is a number without nulls, and distinct.  Items are cut into ranges of it; the
-    ranges' sums are added up first, and each range then runs on its own, so no task has all items."""
-    cuts = items.agg(F.percentile_approx(order, F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 10_000).alias("c")).first()[0] or []
-    cuts = sorted(set(cuts))
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    rows = items.withColumn("_range", number)
-    sums = rows.groupBy("_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    start = sums.select("_range", *[F.coalesce(F.sum(f"_s_{v}").over(ahead), F.lit(0)).alias(f"_a_{v}") for v in values])
+    Items are cut into ranges of ``order`` by Spark, as many as the session's shuffles have partitions; the ranges'
+    sums are added up first, and each range then runs on its own, so no task has all items."""
+    ranged = items.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values]).collect()  # one row a range
+    begin, so_far = {}, dict.fromkeys(values, 0)
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        begin[r["_range"]] = dict(so_far)
+        so_far = {v: so_far[v] + (r[f"_s_{v}"] or 0) for v in values}
+    ahead = lambda v: F.get(F.array(*[F.lit(begin.get(k, {}).get(v, 0)) for k in range(max(begin, default=0) + 1)]), F.col("_range"))
     own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.join(F.broadcast(start), "_range")  # at most `buckets` rows
-    return out.select(*items.columns, *[(F.col(f"_a_{v}") + F.sum(v).over(own)).alias(f"total_{v}") for v in values])
+    return ranged.select(*items.columns, *[(ahead(v) + F.sum(v).over(own)).alias(f"total_{v}") for v in values])
 
 
 def admit(items: DataFrame, order: str, size: str, max_items: int, max_bytes: int) -> DataFrame:
@@ -174,3 +174,21 @@ def write_grants(grants: DataFrame, reads: Sequence[str], principal: str = "prin
     name = F.upper(F.trim(F.coalesce(F.col(privilege), F.lit("unknown"))))
     rows = grants.select(F.col(principal), name.alias("_p")).where(~F.col("_p").isin(*[r.upper() for r in reads]))
     return rows.groupBy(principal).agg(F.array_sort(F.collect_set("_p")).alias("writes"))
+
+
+def fingerprint_of(listed: Column) -> Column:
+    """A listing's MD5 as ``md5:<hex>``, from hex (an entity tag, quoted or not) or base64; null if it is neither."""
+    plain = F.lower(F.regexp_replace(F.trim(listed), '^"+|"+$', ""))
+    based = F.lower(F.hex(F.try_to_binary(F.trim(listed), F.lit("base64"))))
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), F.concat(F.lit("md5:"), plain)).when(F.length(based) == 32, F.concat(F.lit("md5:"), based))
+
+
+def segment(items: DataFrame, key: str, percent: int) -> DataFrame:
+    """One of the round(100 / percent) segments that a key-value store's items are read by."""
+    n = max(1, round(100 / percent))
+    return items.where(F.pmod(F.xxhash64(key), F.lit(n)) == 0)
+
+
+def carried(previous: DataFrame, read: DataFrame, key: Sequence[str], this_pass: Column) -> DataFrame:
+    """Rows of the last pass whose places haven't changed, as members of this one; ``read`` has the places read anew."""
+    return previous.join(read.select(*key).distinct(), list(key), "left_anti").withColumn("pass", this_pass)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import spec
+from . import registry, spec
 from .functions import text as T
 from .functions import validators as V
 from .operators import conversation, coverage, export, findings, incremental
@@ -16,22 +14,8 @@ from .plans import scan
 from .sources import files, json_leaves, tables, tagged, transcripts, vendor
 from .streaming import logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
+query, _read = registry.query, registry.read
 
 
 # SQL that several queries share: card runs without lookaround, by whole runs of digits
@@ -62,7 +46,7 @@ cards AS (SELECT *, length(list_distinct(string_split(d, ''))) <= {spec.CARD_TES
 @query()
 def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the first findings of all documents, by severity, number of values and id."""
-    found = scan.documents(_read(spark, sf_dir, "documents"), "doc_id")
+    found = scan.documents(registry.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     return findings.top(found).select("doc_id", "cls", "severity", "count", "occurrences", "confidence", "n_high", "n_medium", "n_low", F.array_join("via", ",").alias("via"), "id")
 
 
@@ -77,7 +61,7 @@ FROM cards WHERE NOT test GROUP BY doc_id ORDER BY count DESC, id LIMIT 5000"""
 WITH {_cards_sql("pages", "page_id", "html")}
 SELECT page_id, count(DISTINCT d) AS values, count(*) AS occurrences FROM cards WHERE NOT test GROUP BY page_id""")
 def page_card_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(_read(spark, sf_dir, "pages").select("page_id", "html"), text="html").where((F.col("cls") == "card") & (F.col("status") == "finding"))
+    found = detect(registry.spread(_read(spark, sf_dir, "pages").select("page_id", "html")), text="html", classes=("card",)).where("status = 'finding'")
     return found.groupBy("page_id").agg(F.count_distinct("value_key").alias("values"), F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -86,7 +70,7 @@ WITH {_cards_sql("documents", "doc_id", "text")}
 SELECT brand, length(d) AS digits, count(*) AS numbers, count(DISTINCT d) AS values FROM cards GROUP BY brand, length(d)""")
 def card_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers of all documents by brand and length."""
-    docs = _read(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]{4}"))
+    docs = registry.spread(_read(spark, sf_dir, "documents").select("text")).where(F.col("text").rlike("[0-9](?:[ -]?[0-9]){12}"))
     raw = docs.select(F.explode(F.transform(T.spans(F.col("text"), T.CARD_RUN), lambda s: V.card_head(s["raw"]))).alias("head")).where("head is not null")
     d = F.regexp_replace("head", "[ -]", "")
     return raw.select(V.card_brand(d).alias("brand"), F.length(d).alias("digits"), d.alias("_d")).groupBy("brand", "digits").agg(F.count(F.lit(1)).alias("numbers"), F.count_distinct("_d").alias("values"))
@@ -97,7 +81,7 @@ SELECT source, lang, count(*) AS items, count(*) FILTER (regexp_matches(text, '[
   sum(length(text))::BIGINT AS chars FROM documents GROUP BY source, lang""")
 def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with something to look at, by source and language."""
-    return scan.coverage(_read(spark, sf_dir, "documents"), ["source", "lang"])
+    return scan.coverage(registry.spread(_read(spark, sf_dir, "documents").select("source", "lang", "text")), ["source", "lang"])
 
 
 @query(f"""
@@ -105,7 +89,7 @@ WITH {_cards_sql("documents", "doc_id", "text")}
 SELECT source, lang, 'card' AS cls, count(*) AS locations, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, count(*) AS n FROM cards WHERE NOT test GROUP BY doc_id) JOIN documents USING (doc_id) GROUP BY source, lang""")
 def findings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations and occurrences by source, language and class."""
-    found = detect(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    found = detect(registry.spread(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")))
     rows = findings.summarize(found, ["doc_id", "source", "lang"])
     return rows.groupBy("source", "lang", "cls").agg(F.count(F.lit(1)).alias("locations"), F.sum("occurrences").alias("occurrences"))
 
@@ -178,52 +162,6 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", speaker.alias("speaker"), conversation.is_menu_or_question(F.col("text")).cast("int").alias("question"))
 
 
-_TALK = [
-    ("c1", 0, "bot", "Please say your card number."), ("c1", 1, "customer", "4539 1488 0343 6467"),
-    ("c2", 0, "bot", "Please enter your nine digit social security number"), ("c2", 1, "customer", "two one nine oh nine nine nine nine eight"),
-    ("c3", 0, "agent", "What is your pin?"), ("c3", 1, "customer", "it is 12345"), ("c4", 0, "customer", "my ssn is 219 09 9998"),
-    ("c5", 0, "bot", "What is your date of birth?"), ("c5", 1, "bot", "Sorry, I didn't get that."), ("c5", 2, "customer", "01/31/1985"),
-    ("c6", 0, "bot", "Account number please"), ("c6", 1, "customer", "12345"), ("c6", 2, "customer", "678"),
-]
-
-
-@query("""
-SELECT * FROM (VALUES ('c1', 1, 1, 'card', 'prompt', 'high'), ('c2', 1, 1, 'us_ssn', 'prompt', 'high'), ('c3', 1, 1, 'pin', 'prompt', 'high'), ('c4', 0, 0, 'us_ssn', 'context', 'high'),
-  ('c5', 2, 2, 'dob', 'prompt', 'high'), ('c6', 1, 2, 'account_number', 'prompt', 'high')) AS t(conv_id, turn, end_turn, cls, via, confidence)""")
-def conversation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of made-up conversations, which the given ones lack."""
-    return conversation.classify(spark.createDataFrame(_TALK, "conv_id string, turn int, speaker string, text string"), 2026).select("conv_id", "turn", "end_turn", "cls", "via", "confidence")
-
-
-_NUMBERS = ["4539148803436467", "4111111111111111", "6221260000000000", "378282246310005", "219099998", "078051120", "000123456", "666123456", "912701234", "912661234", "01311985", "02301985", "013185", "12", "", "4539148803436468"]
-
-
-@query(
-    "WITH n AS (SELECT unnest(["
-    + ",".join(f"'{d}'" for d in _NUMBERS)
-    + f"""]) AS d)
-SELECT d AS number, length(d) > 0 AND ({_LUHN}) AS luhn, CASE WHEN length(d) BETWEEN 13 AND 19 THEN {_brand_sql()} END AS brand,
-  length(d) = 9 AND left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' AS ssn,
-  length(d) = 9 AND left(d, 1) = '9' AND (substr(d, 4, 2) BETWEEN '50' AND '65' OR substr(d, 4, 2) BETWEEN '70' AND '88' OR substr(d, 4, 2) BETWEEN '90' AND '92' OR substr(d, 4, 2) BETWEEN '94' AND '99') AS itin,
-  coalesce(CASE length(d) WHEN 6 THEN try_strptime(left(d, 4) || '19' || right(d, 2), '%m%d%Y') WHEN 8 THEN try_strptime(d, '%m%d%Y') END IS NOT NULL, false) AS birth
-FROM n"""
-)
-def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validators over a list of made-up numbers."""
-    d = F.col("number")
-    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "number string")
-    return rows.select("number", V.luhn_valid(d).alias("luhn"), V.card_brand(d).alias("brand"), V.ssn_valid(d).alias("ssn"), V.itin_valid(d).alias("itin"), V.date_digits(d, 2026).alias("birth"))
-
-
-_FIELDS = ["createdAt", "updated_at", "startTime", "hire_date", "birthDate", "dob_date", "name", "eventTimestamp", "date", "", "card_number"]
-
-
-@query("SELECT * FROM (VALUES " + ",".join(f"('{n}', {v})" for n, v in zip(_FIELDS, (True, True, True, True, False, False, False, True, True, False, False), strict=True)) + ") AS t(name, timestamp_like)")
-def timestamp_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field names of points in time."""
-    return spark.createDataFrame([(n,) for n in _FIELDS], "name string").select("name", T.timestamp_name(F.col("name")).alias("timestamp_like"))
-
-
 @query("""
 SELECT o_orderstatus AS class, count(*) AS objects, sum(floor(o_totalprice))::BIGINT AS bytes, sum(CASE WHEN o_orderpriority LIKE '1%' THEN floor(o_totalprice) ELSE 0 END)::BIGINT AS planned FROM orders GROUP BY o_orderstatus""")
 def class_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,12 +241,6 @@ def sampled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sample_share(_read(spark, sf_dir, "pages").select("page_id", "url"), "url", [("*.org/*", 10), ("https:*", 80)], 50).select("page_id", "sampled")
 
 
-@query("SELECT doc_id, ((sum(n_chars) OVER (ORDER BY doc_id) - 1) // 200000)::BIGINT AS part FROM documents")
-def push_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows cut into parts of bounded size."""
-    return export.parts(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars").select("doc_id", "part")
-
-
 @query("""
 WITH r AS (SELECT * FROM (VALUES ('f1', '1-URGENT'), ('f1', '2-HIGH'), ('f2', '2-HIGH'), ('f2', '5-LOW')) AS t(framework, cls))
 SELECT framework, count(DISTINCT o_orderkey) AS locations, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END) AS unencrypted FROM orders JOIN r ON o_orderpriority = cls GROUP BY framework""")
@@ -334,23 +266,6 @@ def latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.latest(_read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id")
 
 
-_SPOKEN = {
-    "four five uh three nine": "4539",
-    "double five triple oh seven": "550007",
-    "January first, nineteen eighty five": "1985-01-01",
-    "4 5 3 9, 1 4 8 8": "45391488",
-    "123456789#": "123456789",
-    "on 7/4/1981 1 2": "on 7/4/1981 12",
-    "nothing here": "nothing here",
-}
-
-
-@query("SELECT * FROM (VALUES " + ",".join(f"('{a}', '{b}')" for a, b in _SPOKEN.items()) + ") AS t(said, value)")
-def spoken_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up turns with their digits."""
-    return spark.createDataFrame([(s,) for s in _SPOKEN], "said string").select("said", T.digits_of_speech(F.col("said")).alias("value"))
-
-
 @query("""
 SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS lines, list_aggregate([length(l) FOR l IN string_split(text, chr(10))], 'max')::INT AS longest FROM documents""")
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,30 +349,6 @@ def write_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.write_grants(grants, ["building", "machinery"]).select("principal", F.array_join("writes", ",").alias("writes"))
 
 
-_STORED = [
-    ("s3", None, None, None, "STANDARD", None),
-    ("s3", "glacier", None, False, "GLACIER", "needs_restore"),
-    ("s3", "GLACIER", None, True, "GLACIER_RESTORED", None),
-    ("s3", "GLACIER_IR", None, None, "GLACIER_IR", "archive_class"),
-    ("s3", "INTELLIGENT_TIERING", "archive_access", None, "INTELLIGENT_TIERING_ARCHIVE_ACCESS", "needs_restore"),
-    ("s3", "INTELLIGENT_TIERING", None, None, "INTELLIGENT_TIERING", None),
-    ("azure", "cold", None, None, "Cold", "cold_tier"),
-    ("azure", "Hot", None, None, "Hot", None),
-    ("azure", "Hot", "rehydrate-pending-to-hot", None, "Archive", "needs_rehydration"),
-    ("azure", "", None, None, "Premium", None),
-    ("gcs", "archive", None, None, "ARCHIVE", "archive_class"),
-    ("gcs", None, None, None, "STANDARD", None),
-]
-
-
-@query("SELECT * FROM (VALUES " + ",".join("(" + ",".join("NULL" if v is None else f"'{v}'" for v in (r[0], r[4], r[5])) + ")" for r in _STORED) + ") AS t(platform, cls, reason)")
-def storage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storage classes by listing, and why objects of them aren't read."""
-    rows = spark.createDataFrame([r[:4] for r in _STORED], "platform string, listed string, tier string, restored boolean")
-    named = rows.select("platform", coverage.storage_class(F.col("platform"), F.col("listed"), F.col("tier"), F.col("restored")).alias("cls"))
-    return named.withColumn("reason", coverage.storage_rule(F.col("platform"), F.col("cls")))
-
-
 @query("""
 SELECT o_orderkey, o_orderpriority AS cls, CASE WHEN o_orderkey % 3 > 0 THEN 'old' ELSE 'new' END AS first_seen FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, o_orderpriority, 'old' FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 2 > 0 AND o_orderkey % 5 > 0""")
@@ -525,16 +416,6 @@ def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.score(count(items.where("l_linenumber <= 3")), count(items.where("l_linenumber >= 2")), ["l_orderkey"])
 
 
-@query("""
-SELECT CASE WHEN e > 0 AND r = 0 THEN 'failed' WHEN e > 0 OR b > 0 THEN 'partial' WHEN r = 0 AND s > 0 THEN 'skipped' WHEN r > 0 THEN 'scanned' ELSE 'empty' END AS status, count(*) AS stores
-FROM (SELECT o_custkey % 3 AS r, o_orderkey % 2 AS e, o_custkey % 5 AS s, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS b FROM orders) GROUP BY 1""")
-def settled_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores by the status that their counters give."""
-    c, k = F.col("o_custkey"), F.col("o_orderkey")
-    status = coverage.settle(c % 3, k % 2, c % 5, F.when(k % 7 == 0, 1).otherwise(0))
-    return _read(spark, sf_dir, "orders").select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("stores"))
-
-
 @query("""
 SELECT row_number() OVER (ORDER BY n DESC, source) AS at, '<tr><td>' || source || '</td><td>' || n || '</td></tr>' AS line FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,23 +431,6 @@ def _values(rows: list[tuple], columns: str) -> str:
     return "SELECT * FROM (VALUES " + ",".join("(" + ",".join(map(said, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-_PLACED = [
-    ({"type": "s3_object", "bucket": "b", "key": "k.zip", "archiveEntry": "a.csv", "column": "c"}, "s3", "b", "k.zip > a.csv > column c"),
-    ({"type": "s3_object", "bucket": "b", "key": "k", "catalog": "t"}, "glue_table", "b", "k"),
-    ({"type": "rds_column", "cluster": "x", "database": "d", "table": "t", "column": "c"}, "rds", "x", "d.t.c"),
-    ({"type": "blob_object", "account": "a", "container": "", "blob": "p"}, "azure_blob", "a", "p"),
-    ({"type": "store_field", "service": "redshift", "store": "s", "table": "t"}, "redshift", "s", "t"),
-    ({"type": "queue", "b": "2", "a": "1"}, "queue", "", "a=1, b=2"),
-    ({}, "", "", ""),
-]
-
-
-@query(_values([r[1:] for r in _PLACED], "kind, store, location"))
-def report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind, store and location of findings, by their resources."""
-    return spark.createDataFrame([(r[0],) for r in _PLACED], "r map<string,string>").select(findings.place(F.col("r")).alias("p")).select("p.*")
-
-
 @query("""
 WITH f AS (SELECT o_orderkey::VARCHAR AS id, o_custkey, o_orderstatus AS source, CASE WHEN o_orderpriority LIKE '5%' THEN 'other' ELSE 'card' END AS cls FROM orders),
 o AS (SELECT a.id, len(list(b.id) FILTER (b.id IS NOT NULL)) AS n, min(b.id) AS first_id FROM f a LEFT JOIN f b ON a.o_custkey = b.o_custkey AND a.source <> b.source
@@ -579,34 +443,6 @@ def loose_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.link_loose(rows, ["o_custkey"], ["O"]).select("id", F.size("linked_by_place").alias("links"), F.get("linked_by_place", F.lit(0)).alias("first_id"))
 
 
-_FILES = [
-    ("a.pdf", "255044462D312E34", "pdf", 0),
-    ("a.txt", "504B030400", "zip", 1),
-    ("b.csv", "612C620A", "text", 0),
-    ("c.docx", "504B030400", "zip", 0),
-    ("d.png", "612C620A", "text", 1),
-    ("e", "00010203", "binary", 0),
-    ("f.txt", "", "empty", 0),
-]
-
-
-@query(_values([(r[0], r[2], r[3]) for r in _FILES], "path, kind, hidden"))
-def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by their first bytes, and those that aren't what their name claims."""
-    rows = spark.createDataFrame([r[:2] for r in _FILES], "path string, x string").withColumn("kind", files.sniff(F.unhex("x")))
-    return rows.select("path", "kind", files.disguised(files.named(F.col("path")), F.col("kind")).cast("int").alias("hidden"))
-
-
-_LOGGED = [('{"a": 1}', "json", '{"a": 1}'), ('INFO {"a": 1}', "head", "INFO "), ('INFO {"a": 1}', "json", '{"a": 1}'), ("INFO {a", "line", "INFO {a"), ("plain", "line", "plain"), ("", "line", ""), (None, "line", None)]
-
-
-@query(_values(_LOGGED, "message, form, text"))
-def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines, cut where they end in JSON."""
-    lines = spark.createDataFrame([(m,) for m in dict.fromkeys(r[0] for r in _LOGGED)], "message string")
-    return lines.select("message", F.explode(logs.parts(F.col("message"))).alias("p")).select("message", "p.form", "p.text")
-
-
 @query("""
 SELECT 'd' || o_orderkey AS location, CASE o_orderstatus WHEN 'F' THEN 'card' ELSE 'other' END AS cls, CASE o_orderstatus WHEN 'F' THEN NULL ELSE 'TYPE_' || o_orderstatus END AS vendor_type, o_custkey AS count FROM orders
 UNION ALL SELECT 'd' || o_orderkey, 'other', 'custom:mine', 2 FROM orders""")
@@ -619,15 +455,6 @@ def vendor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor.findings(_read(spark, sf_dir, "orders").select(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("location"), doc.alias("doc"))).select("location", "cls", "vendor_type", "count")
 
 
-_CELLS = [("plain", "plain"), ("=1+1", "'=1+1"), ("+x", "'+x"), ("-x", "'-x"), ("@x", "'@x"), (None, "")]
-
-
-@query(_values(_CELLS, "value, cell"))
-def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that no spreadsheet reads as formulas."""
-    return spark.createDataFrame([(v,) for v, _ in _CELLS], "value string").select("value", export.cell(F.col("value")).alias("cell"))
-
-
 @query("""
 SELECT o_orderkey::VARCHAR AS conv_id, 0 AS turn, 'bot' AS speaker, 'speech' AS channel, o_orderpriority AS text FROM orders
 UNION ALL SELECT o_orderkey::VARCHAR, 1, 'customer', 'dtmf', o_custkey::VARCHAR FROM orders""")
@@ -635,3 +462,7 @@ def flow_log_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow log events as a prompt and its keyed answer."""
     doc = F.to_json(F.struct(F.lit("GetInput").alias("ContactFlowModuleType"), F.lit("c").alias("ContactId"), F.struct(F.col("o_orderpriority").alias("Text")).alias("Parameters"), F.col("o_custkey").cast("string").alias("Results")))
     return transcripts.flow_turns(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("conv_id"), doc.alias("doc"))).select("conv_id", "turn", "speaker", "channel", "text")
+
+
+# the other modules register their queries when they are read
+from . import queries_files, queries_values  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def entries_of(content: bytes, max_entries: int, max_inflated: int) -> list[tupl
                         with z.open(info) as f:
                             out.append((info.filename, i, *inflate(f)))
             return out
-        for mark, opener in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open)):
+        for mark, opener in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open), (b"\x28\xb5\x2f\xfd", _zstd)):
             if content.startswith(mark):
                 raw, skipped = inflate(opener(io.BytesIO(content)))
                 inner = entries_of(raw, max_entries, max_inflated) if raw and raw[257:262] == b"ustar" else []
@@ -51,22 +53,48 @@ def entries_of(content: bytes, max_entries: int, max_inflated: int) -> list[tupl
                         break
                     out.append((m.name, i, *inflate(t.extractfile(m))))
             return out
+    except ImportError:
+        return [("", 0, None, "no_reader")]
     except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, NotImplementedError):
         return [("", 0, None, "unreadable")]
     return []
 
 
-def entries(files: DataFrame, max_entries: int = MAX_ENTRIES, max_inflated: int = MAX_INFLATED) -> DataFrame:
-    """path, entry, entry_index, content and skipped of the archives among binary files (path, content).
+def _zstd(stream):
+    import zstandard
+
+    return zstandard.ZstdDecompressor().stream_reader(stream)
+
+
+_MARKS = (b"PK\x03\x04", b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+
+
+def deep_entries(content: bytes, max_entries: int, max_inflated: int, depth: int, path: str = "", place: str = "") -> Iterator[tuple[str, str, bytes | None, str | None]]:
+    """(path, place, content, skipped) of an archive's entries and, down to ``depth``, of the archives among these.
+
+    Paths are joined by `` > ``, places (numbers from 0) by ``/``."""
+    for name, at, raw, skipped in entries_of(content, max_entries, max_inflated):
+        inner, where = " > ".join(p for p in (path, name) if p), f"{place}/{at}" if place else str(at)
+        packed = raw is not None and (raw.startswith(_MARKS) or raw[257:262] == b"ustar")
+        if packed and depth > 1:
+            yield from deep_entries(raw, max_entries, max_inflated, depth - 1, inner, where)
+        else:
+            yield inner, where, raw, "depth" if packed and not skipped else skipped
+
+
+def entries(files: DataFrame, max_entries: int = MAX_ENTRIES, max_inflated: int = MAX_INFLATED, depth: int = 1) -> DataFrame:
+    """path, entry, place, entry_index (the outermost place), content and skipped of the archives among binary files (path, content).
 
-    One level is opened; apply it again to its result for archives inside archives."""
+    Archives inside archives are opened down to ``depth``; what is packed deeper is given as it is and marked ``depth``
+    (at a depth of 1 that isn't said)."""
 
-    @F.udtf(returnType="entry: string, entry_index: int, entry_content: binary, skipped: string")
+    @F.udtf(returnType="entry: string, place: string, entry_content: binary, skipped: string")
     class Open:
         def eval(self, content: bytes):
-            yield from entries_of(bytes(content or b""), max_entries, max_inflated)
+            for entry, place, raw, skipped in deep_entries(bytes(content or b""), max_entries, max_inflated, depth):
+                yield entry, place, raw, None if skipped == "depth" and depth == 1 else skipped
 
     files.sparkSession.udtf.register("veilsight_entries", Open)
     view = "veilsight_archives"
     files.select("path", "content").createOrReplaceTempView(view)
-    return files.sparkSession.sql(f"SELECT a.path, e.entry, e.entry_index, e.entry_content AS content, e.skipped FROM {view} a, LATERAL veilsight_entries(a.content) e")
+    return files.sparkSession.sql(f"SELECT a.path, e.entry, e.place, int(substring_index(e.place, '/', 1)) AS entry_index, e.entry_content AS content, e.skipped FROM {view} a, LATERAL veilsight_entries(a.content) e")

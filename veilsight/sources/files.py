@@ -80,3 +80,21 @@ def office_text(entries: DataFrame) -> DataFrame:
         text = F.replace(text, F.lit(mark), F.lit(ch))
     rows = entries.where(part & F.col("content").isNotNull() & ~xml.contains("<!DOCTYPE")).select("path", "entry", text.alias("text"))
     return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "text"))), lambda p: p["text"]), "\n").alias("text"))
+
+
+# The stream that an encrypted office file is, as its container writes the name; names that office files go by.
+OLE_MARK = "EncryptedPackage"
+OFFICE = ("docx", "xlsx", "pptx", "doc", "xls", "ppt")
+
+
+def encrypted_office(path: Column, content: Column) -> Column:
+    """Whether a file with the old container's mark is an encrypted office file: its name says office, or the container's
+    first bytes or its directory's first sectors name the stream."""
+    mark = "".join(f"{b:02X}" for b in OLE_MARK.encode("utf-16le"))
+    number = lambda at, n: F.conv(F.array_join(F.transform(F.sequence(F.lit(n - 1), F.lit(0)), lambda i: F.hex(F.substring(content, at + i, F.lit(1)))), ""), 16, 10).cast("long")
+    size = F.when(number(31, 2).isin(9, 12), F.pow(F.lit(2), number(31, 2)).cast("long"))
+    first = number(49, 4)
+    directory = F.substring(content, F.when(first < 0xFFFFFFFA, (first + 1) * size + 1).cast("int"), (4 * size).cast("int"))
+    named = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(*OFFICE)
+    ole = F.hex(F.substring(content, 1, 8)) == "D0CF11E0A1B11AE1"
+    return F.coalesce(ole & (named | F.hex(F.substring(content, 1, HEAD)).contains(mark) | F.coalesce(F.hex(directory).contains(mark), F.lit(False))), F.lit(False))

@@ -20,16 +20,16 @@ def parts(message: Column) -> Column:
     return F.when(F.try_parse_json(message).isNotNull() | (ends & (at == 1)), F.array(part("json", message))).when(ends, F.array(part("head", message.substr(F.lit(1), at - 1)), part("json", tail))).otherwise(F.array(part("line", message)))
 
 
-def found(events: DataFrame, text: str = "message", ts: str = "ts") -> DataFrame:
+def found(events: DataFrame, text: str = "message", **how) -> DataFrame:
     """Detections of a stream (or table) of events, by the event's columns and the part (``form``) they are in."""
     each = events.withColumn("_part", F.explode(parts(F.col(text)))).withColumn("form", F.col("_part.form")).withColumn(text, F.col("_part.text")).drop("_part")
-    return detect(each, text=text)
+    return detect(each, text=text, **how)
 
 
-def counts(events: DataFrame, by: list[str], text: str = "message", ts: str = "ts", late: str = LATE, length: str = PASS) -> DataFrame:
+def counts(events: DataFrame, by: list[str], text: str = "message", ts: str = "ts", late: str = LATE, length: str = PASS, **how) -> DataFrame:
     """Occurrences by group, class and tumbling window; events later than ``late`` are left out
     once their window is closed."""
-    rows = found(events.withWatermark(ts, late), text, ts).where(F.col("status") == "finding")
+    rows = found(events.withWatermark(ts, late), text, **how).where(F.col("status") == "finding")
     return rows.groupBy(F.window(ts, length).alias("window"), *by, "cls").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
