@@ -207,8 +207,9 @@ def test_coverage(spark):
 def test_json_leaves(spark):
     df = spark.createDataFrame([(1, '{"a/b": {"c": [1, "x", null, true]}, "d": 2.5}'), (2, "no json"), (3, None), (4, '"top"')], "id int, j string")
     got = sorted((r.id, r.pointer, r.name, r.text) for r in json_leaves.leaves(df, ["id"], "j").where("pointer <> ''").collect())
-    assert [g[:3] for g in got] == [(1, "/a~1b/c/0", "c"), (1, "/a~1b/c/1", "c"), (1, "/a~1b/c/3", "c"), (1, "/d", "d")]
-    assert [g[3] for g in got][:2] == ["1", "x"]
+    assert got == [(1, "/a~1b/c/0", "c", "1"), (1, "/a~1b/c/1", "c", "x"), (1, "/d", "d", "2.5")]  # neither nulls nor booleans
+    deep = spark.createDataFrame([(1, "[" * 40 + "7" + "]" * 40), (2, "[1, 2, 3]")], "id int, j string")
+    assert {r.id: (len(r.json.leaves), r.json.left_out) for r in json_leaves.opened(deep, ["id"], "j", max_leaves=2).collect()} == {1: (0, 1), 2: (2, 1)}
 
 
 def test_table_units_and_plan(spark):
@@ -298,8 +299,9 @@ def test_csv(spark, tmp_path):
     assert [r.severity for r in rows] == ["high", "low"] and rows[0].store == "'=cmd()" and rows[0].location == "card ################" and [r.console_link for r in rows] == ["", "https://a.example/b"]
     export.write_csv(frame, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == list(export.CSV_COLUMNS)
-    sizes = spark.range(10).select("id", F.lit(60).alias("n"))
-    assert [r.part for r in export.parts(sizes, "id", "n", 100).orderBy("id").collect()] == [0, 1, 1, 2, 2, 3, 4, 4, 5, 5]
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate((60, 40, 1, 250, 60, 30, 10, 1))], "id int, n long")
+    assert [r.part for r in export.parts(sizes, "id", "n", 100).orderBy("id").collect()] == [0, 0, 1, 2, 3, 3, 3, 4]
+    assert [r.part for r in export.parts(sizes.limit(3), "id", "n", 100, fixed=50).orderBy("id").collect()] == [0, 1, 1] and export.parts(sizes.limit(0), "id", "n").count() == 0
 
 
 def test_vendor_reports(spark):
