@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests_plain import brute_classes, plain_targets
 from veilsight.llm import jaccard_join, mixing, mpeg_audio, packing, quality_rules, queries, token_files, url_filter
 from veilsight.llm.arrays import utf8
 
@@ -379,30 +380,6 @@ def test_audio_duration_and_offsets(spark):
 # ---- 8: near duplicates
 
 
-def brute_classes(rows):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for _, t in rows:
-        w = WORD.findall((t or "").translate(low))
-        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    ids = collections.defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        ids[find(i)].append(d)
-    return collections.Counter((d, len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows))
-
-
 @pytest.mark.parametrize("blocks", [400_000, 2000, 300])
 def test_classes_match_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", blocks)
@@ -462,22 +439,6 @@ def test_flight_keeps_totals():
         assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and q.min() > -1e-9 and q.max() < 1 + 1e-9
 
 
-def plain_targets(sizes, weights=(3, 1, 2), budget=150, most=2):
-    """Targets by the rule as it is told: the excess of a full source goes to the others by weight."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % 3] for i, s in enumerate(order)}
-    out, open_, left = {}, set(order), Fraction(budget * sum(sizes.values()), 100)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
-        if not full:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: Fraction(most * sizes[s]) for s in full}
-        left -= sum(most * sizes[s] for s in full)
-        open_ -= full
-    return out
-
-
 @pytest.mark.parametrize("sizes", [{"b": 100, None: 100, "a": 100}, {"a": 1, "b": 10**6, "é": 3, "Z": 500, None: 7}, {"x": 5}, {"x": 0, "y": 0}, {f"s{i}": (i * 7919) % 1000 for i in range(60)}])
 def test_targets_match_plain_sharing(spark, sizes):
     units = spark.createDataFrame([(i, s, n, 1) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long, n long")

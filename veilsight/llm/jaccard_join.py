@@ -658,11 +658,11 @@ class Tree:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """The documents with one of each class: the one with the smallest id (then text hash).
+    """The documents with one of each class: the one with the smallest id (then text hash), one without an id last.
 
     Documents without words are all kept."""
     found = store.table(classes(docs, percent=percent, k=k), "found")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"), F.count(F.lit(1)).alias("n"))
     keep = store.table(first.select("f.doc_id", "f.text_hash"), "keep")
     again = found.join(keep, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").count().where("count > 1")
     repeated = not again.isEmpty()
