@@ -56,6 +56,8 @@ ALONE = 0.9999
 WIDTH, FINE = 1 / 128, 16
 #: Broadcast estimates up to this many groups; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
+#: Tables of up to this many groups (by a grid of some hundred bins) are one partition.
+TASK_GROUPS = 2_000
 
 
 def _within(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -203,14 +205,22 @@ def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float
     named = lambda df: df.select("*", F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}).alias("_lang"), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("_key"))
     rows = named(docs.select("lang", "source", *[v.alias(f"_x{i}") for i, v in enumerate(vector(s))]))
     groups = store.table(rows.groupBy("_lang", "_key").agg(F.count(F.lit(1)).alias("size")), "groups")
-    few = groups.count() <= BROADCAST_GROUPS
-    near = F.broadcast if few else (lambda df: df)
-    one = (lambda df: df.coalesce(1)) if few else (lambda df: df)  # few groups make one small file
+    n_groups = groups.count()
+    near = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
+    one = (lambda df: df.coalesce(1)) if n_groups <= TASK_GROUPS else (lambda df: df)
+    made = [groups]
+
+    def small(df: DataFrame, name: str) -> DataFrame:
+        """A table of groups, written; of few groups it is one file and one partition, so what is made of it needs no shuffles."""
+        made.append(store.table(one(df), name))
+        return one(made[-1])
+
+    groups = one(groups)
 
     def medians(values: list[Column], rows: DataFrame, name: str) -> DataFrame:
         """Medians of each group, shrunk towards the language's, and these towards those of all."""
         bins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(v / WIDTH).cast("int").alias("bin")) for i, v in enumerate(values)]))
-        counts = store.table(rows.select("_lang", "_key", bins.alias("b")).groupBy("_lang", "_key", "b.i", "b.bin").agg(F.count(F.lit(1)).alias("rows")), "counts")
+        counts = small(rows.select("_lang", "_key", bins.alias("b")).groupBy("_lang", "_key", "b.i", "b.bin").agg(F.count(F.lit(1)).alias("rows")), "counts")
         value = ((F.col("edge") + 0.5) * WIDTH).alias("v")
         total = lambda by: counts.groupBy(*by, "i", "bin").agg(F.sum("rows").alias("rows"))
         every = _middle(total([]), ["i"], "bin", 0.5).select("i", value.alias("va"))
@@ -220,19 +230,16 @@ def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float
         size = groups.join(in_lang, "_lang").select("_key", "size", "in_lang")
         wide = (F.col("in_lang") * F.col("vl") + prior * F.col("va")) / (F.col("in_lang") + prior)
         got = own.join(lang, ["_lang", "i"]).join(every, "i").join(size, "_key").select("_key", "i", ((F.col("size") * F.col("v") + prior * wide) / (F.col("size") + prior)).alias("v"))
-        out = store.table(one(got.groupBy("_key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(DIM)])), name)
-        store.drop(counts)
-        return out
+        return small(got.groupBy("_key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(DIM)]), name)
 
     middle = medians(x, rows, "m")
     off = [F.abs(c - F.col(f"m{i}")) for i, c in enumerate(x)]
     spread = medians(off, rows.join(near(middle), "_key"), "a")
     start = middle.join(spread, "_key").select("_key", F.struct(F.array(*[F.col(f"m{i}") for i in range(DIM)]).alias("mean"), F.array(*[(1 / ((1.4826 * F.col(f"a{i}")) ** 2 + FLOOR**2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]).alias("inv"), F.lit(float("inf")).alias("logdet")).alias("e"))
-    now = store.table(one(start), "estimates")
-    made = [middle, spread, groups]
+    now = small(start, "estimates")
     while True:
         bin_ = F.floor(F.log(_distance(x, "e") + 1e-3) * FINE).cast("int").alias("bin")
-        cells = store.table(rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(*_moments(x)), "cells")
+        cells = small(rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(*_moments(x)), "cells")
         edge = _middle(cells.withColumnRenamed("n", "rows"), ["_lang", "_key"], "bin", SUPPORT)
         inside = cells.join(edge, ["_lang", "_key"]).where(F.col("bin") <= F.col("edge")).groupBy("_lang", "_key").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
         lang = inside.groupBy("_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in _MOMENTS])
@@ -243,19 +250,16 @@ def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float
         new = sums.select("_key", own["n"].alias("n"), F.array(*[own[f"s{i}"] for i in range(DIM)]).alias("sums"), F.array(*[own[f"p{i}_{j}"] for i, j in _TRI]).alias("products"))
         new = new.select("_key", F.arrow_udf(_solved, _ESTIMATE)("n", "sums", "products").alias("e")).join(now.select("_key", F.col("e.logdet").alias("was")), "_key")
         # a step can't raise a group's determinant but by what it is shrunk with; then it has come to rest
-        after = store.table(one(new.select("_key", "e", ((F.col("was") - F.col("e.logdet")) > MOVES).alias("moved"))), "estimates")
-        store.drop(cells)
-        made.append(now)
+        after = small(new.select("_key", "e", ((F.col("was") - F.col("e.logdet")) > MOVES).alias("moved")), "estimates")
         now = after.select("_key", "e")
         if after.where("moved").isEmpty():
-            made.append(after)
             break
     bin_ = F.floor(F.log(_distance(x, "e") + 1e-3) * FINE).cast("int").alias("bin")
-    counts = rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(F.count(F.lit(1)).alias("rows"))
+    counts = small(rows.join(near(now), "_key").groupBy("_lang", "_key", bin_).agg(F.count(F.lit(1)).alias("rows")), "counts")
     half = _middle(counts, ["_lang", "_key"], "bin", 0.5).join(groups.select("_key", "size"), "_key")
     # rows whose typical distance is below what chance gives aren't blown up by it
     scale = F.greatest((F.col("size") * F.exp((F.col("edge") + 0.5) / FINE) / chi2_quantile(0.5) + prior) / (F.col("size") + prior), F.lit(1.0))
-    final = store.table(one(half.select("_key", scale.alias("_scale")).join(now, "_key").withColumnRenamed("e", "_e")), "final")
+    final = one(store.table(one(half.select("_key", scale.alias("_scale")).join(now, "_key").withColumnRenamed("e", "_e")), "final"))
     for t in made:
         store.drop(t)
     return (
