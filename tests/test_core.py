@@ -290,6 +290,14 @@ def test_archives(spark):
     assert {r.skipped for r in archives.entries(files_.where("path = 'z'"), max_entries=1).collect()} == {None, "entries"}
 
 
+def test_what_is_cut_is_told(spark):
+    df = spark.createDataFrame([(1, "x" * 5000), (2, "y")], "k int, t string")
+    assert {r.k: (len(r.text), r.cut) for r in tables.cells(df, ["k"]).collect()} == {1: (4096, True), 2: (1, False)}
+    raw = spark.createDataFrame([(bytearray(b"number 12345678 " * 8),)], "b binary")
+    r = raw.select(files.printable_runs(F.col("b"), 100).alias("t"), files.printable_left_out(F.col("b"), 100).alias("n")).first()
+    assert len(r.t) == 100 and r.n == 28
+
+
 def test_csv(spark, tmp_path):
     from veilsight.operators import export
 

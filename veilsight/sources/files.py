@@ -58,13 +58,23 @@ def units(files: DataFrame, max_bytes: int = 20 << 20) -> DataFrame:
 BLOCK_CHARS = 64 << 10
 
 
-def printable_runs(content: Column) -> Column:
-    """Runs of six or more printable characters (ASCII, then UTF-16LE) that could hold a value, one a line."""
+def printable_runs(content: Column, most: int = BLOCK_CHARS) -> Column:
+    """Runs of six or more printable characters (ASCII, then UTF-16LE) that could hold a value, one a line; of at most ``most``
+    characters in all (``printable_left_out`` says how many more there are)."""
+    return F.left(_printable(content), F.lit(most))
+
+
+def printable_left_out(content: Column, most: int = BLOCK_CHARS) -> Column:
+    """How many characters of its printable runs a block has beyond those that are read."""
+    return F.greatest(F.length(_printable(content)) - most, F.lit(0))
+
+
+def _printable(content: Column) -> Column:
     raw = F.decode(content, "ISO-8859-1")
     plain = F.regexp_extract_all(raw, F.lit(r"([\x20-\x7E\t]{6,})"), 1)
     wide = F.transform(F.regexp_extract_all(raw, F.lit(r"((?:[\x20-\x7E]\x00){6,})"), 1), lambda r: F.replace(r, F.lit("\x00"), F.lit("")))
     kept = F.filter(F.concat(plain, wide), lambda r: r.rlike(r"[0-9]|(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b"))
-    return F.left(F.array_join(kept, "\n"), F.lit(BLOCK_CHARS))
+    return F.array_join(kept, "\n")
 
 
 def office_text(entries: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import types as t
 CELL_CHARS = 4096
 
 
-def cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The readable cells of a table: keys, column and text.
+def cells(df: DataFrame, keys: list[str], most: int = CELL_CHARS) -> DataFrame:
+    """The readable cells of a table: keys, column, text and cut.
 
     Floats, doubles and booleans aren't read (floats have lost digits); numbers, decimals and dates
-    are as printed, timestamps in ISO form, nested values as JSON; text is cut at ``CELL_CHARS``."""
+    are as printed, timestamps in ISO form, nested values as JSON.  Texts end after ``most`` characters; ``cut`` says of
+    which cells that is true, to be counted as read in part."""
     parts = []
     for f in df.schema:
         if f.name in keys or isinstance(f.dataType, t.FloatType | t.DoubleType | t.BooleanType | t.BinaryType):
@@ -24,5 +25,5 @@ def cells(df: DataFrame, keys: list[str]) -> DataFrame:
             text = F.to_json(f.name)
         else:
             text = F.col(f.name).cast("string")
-        parts.append(F.struct(F.lit(f.name).alias("column"), F.left(text, F.lit(CELL_CHARS)).alias("text")))
-    return df.select(*keys, F.explode(F.array(*parts)).alias("_c")).select(*keys, "_c.column", "_c.text").where(F.col("text").isNotNull())
+        parts.append(F.struct(F.lit(f.name).alias("column"), F.left(text, F.lit(most)).alias("text"), (F.length(text) > most).alias("cut")))
+    return df.select(*keys, F.explode(F.array(*parts)).alias("_c")).select(*keys, "_c.column", "_c.text", "_c.cut").where(F.col("text").isNotNull())
