@@ -164,22 +164,24 @@ class _Run:
     shingle look shared: no set is lost by it."""
 
     def __init__(self, n: int):
-        self.n, self.keys, self.sizes, self.items, self.held = n, [], [], [], 0
+        self.n, self.keys, self.sizes, self.items, self.held, self.sets = n, [], [], [], 0, 0
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> None:
         self.keys.append(keys)
         self.sizes.append(sizes)
         self.items.append(items)
         self.held += len(items)
+        self.sets += len(keys)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
         keys, sizes, items = np.concatenate(self.keys), np.concatenate(self.sizes).astype(np.int64), np.concatenate(self.items)
-        self.keys, self.sizes, self.items, self.held = [], [], [], 0
-        owner = np.repeat(np.arange(len(keys)), sizes)
-        order = np.argsort(items, kind="stable")
-        items, owner = items[order], owner[order]
+        self.keys, self.sizes, self.items, self.held, self.sets = [], [], [], 0, 0
+        # a shingle and its set's number (of 16 bits) in one word: sorting the words sorts by shingle
+        packed = items << np.uint64(16) | np.repeat(np.arange(len(keys), dtype=np.uint64), sizes)
+        packed.sort()
+        items, owner = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
         first = _new(items)
         many = np.diff(np.append(np.flatnonzero(first), len(items)))
         shared = np.bincount(owner[np.repeat(many, many) > 1], minlength=len(keys))
@@ -204,15 +206,15 @@ def _shared_keys(sent: DataFrame, percent: int, n: int) -> DataFrame:
         keys, items = _joined(table, "keys", np.uint64), _joined(table, "items", np.uint32)
         length = [len(x.as_py()) // 4 for x in table.column("items")]
         run = np.repeat(np.array(table.column("run")), length)
-        order = np.lexsort((keys, items))
-        keys, items, run = keys[order], items[order], run[order]
-        first = _new(items)
-        group = np.cumsum(first) - 1
+        packed = items.astype(np.uint64) << np.uint64(32) | np.arange(len(items), dtype=np.uint64)
+        packed.sort()
+        order = (packed & _LOW32).astype(np.int64)
+        keys, run = keys[order], run[order]
+        first = _new(packed >> np.uint64(32))
+        edge = np.flatnonzero(first)
         # shared: a marker, or two sets
-        several = np.zeros(int(first.sum()), bool)
-        several[group[keys == 0]] = True
-        several[group[1:][(keys[1:] != keys[:-1]) & ~first[1:]]] = True
-        hit = several[group] & (keys != 0)
+        least, most = (f.reduceat(keys, edge) if len(edge) else keys for f in (np.minimum, np.maximum))
+        hit = ((least == 0) | (least != most))[np.cumsum(first) - 1] & (keys != 0)
         said = [_joined(table, "sets", np.uint64), _joined(table, "sizes", np.uint32).reshape(-1, 2)]
         runs_of = np.repeat(np.array(table.column("run")), [len(x.as_py()) // 8 for x in table.column("sets")])
         k = np.concatenate([keys[hit], said[0]])
@@ -266,6 +268,8 @@ def _shingled(docs: DataFrame, k: int, n: int) -> DataFrame:
                     if size[i] and x not in seen:
                         seen.add(x)
                         new[i] = True
+                if out.sets + int(new.sum()) > 1 << 16:  # sets' numbers take 16 bits in a run
+                    yield from out.flush()
                 out.add(keys[new], size[new], shingles[np.repeat(new, size)])
                 if out.held >= FLUSH:
                     yield from out.flush()
