@@ -290,6 +290,29 @@ def test_archives(spark):
     assert {r.skipped for r in archives.entries(files_.where("path = 'z'"), max_entries=1).collect()} == {None, "entries"}
 
 
+def test_avro_of_odd_files(spark):
+    from veilsight import queries_files
+    from veilsight.sources import avro
+
+    good = queries_files._avro(spark.createDataFrame([("a", "x\ny\nz\nu")], "path string, text string")).first().content
+    files_ = spark.createDataFrame([("good", good), ("cut", good[:-20]), ("text", bytearray(b"plain")), ("none", None), ("empty", bytearray())], "path string, content binary")
+    got = {}
+    for r in avro.rows(files_).collect():
+        got.setdefault(r.path, []).append((r.row, r.error))
+    assert got["good"] == [(k, None) for k in range(4)] and got["cut"][:2] == [(0, None), (1, None)] and got["cut"][-1][1]
+    assert all(len(got[k]) == 1 and got[k][0][1] for k in ("text", "none", "empty"))
+
+
+def test_cells_of_odd_texts(spark):
+    from veilsight.sources import delimited
+
+    odd = [(1, None), (2, ""), (3, "a,b"), (4, 'a,b\n"x ""1"", y",2\r\n,"open'), (5, "h\n1,2")]
+    rows = delimited.cells(spark.createDataFrame(odd, "id int, text string"), ["id"]).collect()
+    said = sorted((r.id, r.row, r.at, str(r.column), r.text) for r in rows if r.row)
+    assert said == [(4, 1, 0, "a", 'x ""1"", y'), (4, 1, 1, "b", "2"), (4, 2, 1, "b", "open"), (5, 1, 0, "h", "1"), (5, 1, 1, "None", "2")]
+    assert all(dict(odd)[r.id][r.start : r.end] == r.text for r in rows)
+
+
 def test_what_is_cut_is_told(spark):
     df = spark.createDataFrame([(1, "x" * 5000), (2, "y")], "k int, t string")
     assert {r.k: (len(r.text), r.cut) for r in tables.cells(df, ["k"]).collect()} == {1: (4096, True), 2: (1, False)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import coverage, export, findings, incremental
 from .registry import query, read
-from .sources import archives, delimited, files
+from .sources import archives, avro, delimited, files, json_leaves
 from .streaming import logs
 
 _STORED = (
@@ -139,6 +139,17 @@ def tsv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.cells(_csv(spark, sf_dir, "\t"), ["c_nationkey"], delimiter="\t").where("row > 0").groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("""
+WITH s AS (SELECT *, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS row FROM supplier)
+SELECT s_nationkey, row, 'id' AS "column", s_suppkey::VARCHAR AS text FROM s UNION ALL SELECT s_nationkey, row, 'called', s_name FROM s""")
+def catalog_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of texts without a header, with the columns that a catalog names."""
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(";"), "s_name")
+    rows = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))).alias("l"))
+    texts = rows.select("s_nationkey", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    return delimited.cells(texts, ["s_nationkey"], delimiter=";", names=["id", "called"]).select("s_nationkey", "row", "column", "text")
+
+
 @query("""
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS line FROM customer)
 SELECT c_nationkey, '/' || line || '/name' AS pointer, 'name' AS name, c_name AS text FROM c UNION ALL SELECT c_nationkey, '/' || line || '/of/0/k~1y', 'k/y', c_custkey::VARCHAR FROM c""")
@@ -209,6 +220,50 @@ def office_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.office_text(archives.entries(_packed("docx", _names(spark, sf_dir)))).select("path", "text")
 
 
+def _avro(texts: DataFrame) -> DataFrame:
+    """Lines of texts (path, text) as container files of records, by turns of each codec."""
+
+    def number(n: int) -> bytes:
+        n, out = n << 1 ^ n >> 63, b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def string(t: str) -> bytes:
+        return number(len(t.encode())) + t.encode()
+
+    def pack(text: str) -> bytes:
+        import bz2
+        import json
+        import lzma
+        import zlib
+
+        kind = {"type": "record", "name": "r", "fields": [{"name": "name", "type": ["null", "string"]}, {"name": "n", "type": "long"}, {"name": "f", "type": "double"}, {"name": "of", "type": {"type": "array", "items": {"type": "map", "values": "int"}}}]}
+        rows = [number(1) + string(line) + number(-i) + bytes(8) + number(1) + number(1) + string("k") + number(i) + number(0) + number(0) for i, line in enumerate(text.split("\n"))]
+        codec = ("null", "deflate", "snappy", "bzip2", "xz")[len(text) % 5]
+        head = b"Obj\x01" + number(2) + string("avro.schema") + string(json.dumps(kind)) + string("avro.codec") + string(codec) + number(0) + bytes(16)
+        for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+            data = b"".join(part)
+            squeezed = {"null": lambda d: d, "deflate": lambda d: zlib.compress(d)[2:-4], "snappy": lambda d: pa.compress(d, "snappy", asbytes=True) + bytes(4), "bzip2": bz2.compress, "xz": lzma.compress}[codec](data)
+            head += number(len(part)) + number(len(squeezed)) + squeezed + bytes(16)
+        return head
+
+    @F.arrow_udf("binary")
+    def packed(parts: pa.Array) -> pa.Array:
+        return pa.array([pack(t) for t in parts.to_pylist()], pa.binary())
+
+    return texts.select("path", packed(F.col("text")).alias("content"))
+
+
+@query("""
+WITH l AS (SELECT 'n' || c_nationkey AS path, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS row FROM customer)
+SELECT path, row, '/name' AS pointer, c_name AS text FROM l UNION ALL SELECT path, row, '/n', (-row)::VARCHAR FROM l UNION ALL SELECT path, row, '/of/0/k', row::VARCHAR FROM l""")
+def avro_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of Avro container files of five codecs; doubles aren't read."""
+    rows = avro.rows(_avro(_names(spark, sf_dir)))
+    return json_leaves.leaves(rows, ["path", "row"], "doc").select("path", "row", "pointer", "text")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE 'number ' || (100000 + p_partkey) END AS text, p_partkey % 4 = 2 AS encrypted FROM part""")
 def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printable runs of binary files, narrow and wide, and encrypted office files."""

@@ -6,7 +6,7 @@ cells behind the header's end have no name; lines that aren't JSON give no leave
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +44,11 @@ def split_cells(text: str, mark: str) -> Iterator[tuple[int, int, int, int]]:
         i = stop + 1
 
 
-def cells(texts: DataFrame, keys: list[str], text: str = "text", delimiter: Column | str = ",") -> DataFrame:
+def cells(texts: DataFrame, keys: list[str], text: str = "text", delimiter: Column | str = ",", names: Sequence[str] | None = None) -> DataFrame:
     """keys, row (1 is the first behind the header), at, column (the header's name), start, end (code points of the text) and
-    text of each cell that isn't empty; the header's own cells are row 0."""
+    text of each cell that isn't empty; the header's own cells are row 0.
+
+    With ``names``, the columns that a catalog has of texts without a header, row 0 is the first row."""
     mark = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
 
     @F.arrow_udf(CELLS)
@@ -55,8 +57,8 @@ def cells(texts: DataFrame, keys: list[str], text: str = "text", delimiter: Colu
         return pa.array([[{"row": r, "at": c, "start": a, "end": b, "text": t[a:b]} for r, c, a, b in split_cells(t, m)] if t else [] for t, m in zip(parts.to_pylist(), marks.to_pylist(), strict=True)], kind)
 
     rows = texts.select(*keys, read(F.col(text), mark).alias("_c"))
-    names = F.transform(F.filter("_c", lambda c: c["row"] == 0), lambda c: c["text"])
-    rows = rows.withColumn("_names", names).select(*keys, "_names", F.inline("_c").alias("row", "at", "start", "end", "text"))
+    header = F.transform(F.filter("_c", lambda c: c["row"] == 0), lambda c: c["text"])
+    rows = rows.withColumn("_names", header if names is None else F.array(*[F.lit(n) for n in names])).select(*keys, "_names", F.inline("_c").alias("row", "at", "start", "end", "text"))
     return rows.select(*keys, "row", "at", F.get("_names", F.col("at")).alias("column"), "start", "end", "text").where(F.col("end") > F.col("start"))
 
 
