@@ -249,9 +249,9 @@ def plain_verdicts(rows):
             t = own[k] + q.PRIOR * wide / wide[0]
             mean, inv, logdet = q.solve(t[0], t[1:5], t[5:])
             new[k] = (mean, inv, round(logdet, 6))
-        moved = any(e[k][2] - new[k][2] > q.MOVES for k in groups)
-        e = new
-        if not moved:
+        falls = {k for k in groups if new[k][2] < e[k][2] - q.MOVES}
+        e = {k: new[k] if k in falls else e[k] for k in groups}
+        if not falls:
             break
     b = bins()
     out = {}

@@ -5,7 +5,7 @@ space), their code points, symbols, repeated lines, and words that stand in an e
 which the text has twice or more.  ``judge`` turns the counts into a vector of transformed rates
 and estimates its location and scatter by the minimum covariance determinant, for each language
 and source: from medians and median deviations, concentration steps keep the ``SUPPORT`` share of rows
-nearest to the estimate, until no group's determinant changes any more.  A document is rejected if its
+nearest to the estimate, and a group takes a step's estimate if its determinant falls by it; they end when none does.  A document is rejected if its
 Mahalanobis distance, scaled by its group's median distance, is over the chi-square quantile of ``ALONE``.
 
 Each group's moments are shrunk towards its language's as if ``PRIOR`` typical rows of the language were in it,
@@ -45,7 +45,7 @@ KIND = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",n_lines:bigint>"
 SUPPORT = 0.75
 #: Rows of the wider group that each group is shrunk by.
 PRIOR = 30
-#: Least change of a log determinant that counts as one.
+#: Least fall of a log determinant that counts as one.
 MOVES = 1e-3
 #: Least standard deviation of a transformed rate: differences below it are nobody's fault.
 FLOOR = 0.15
@@ -248,9 +248,10 @@ def judge(docs: DataFrame, s: str = "stats", alone: float = ALONE, prior: float
         own = {c: F.col(c) + prior * wide[c] / wide["n"] for c in _MOMENTS}
         sums = inside.join(lang, "_lang").withColumn("_all", F.lit(1)).join(F.broadcast(every), "_all")  # one row
         new = sums.select("_key", own["n"].alias("n"), F.array(*[own[f"s{i}"] for i in range(DIM)]).alias("sums"), F.array(*[own[f"p{i}_{j}"] for i, j in _TRI]).alias("products"))
-        new = new.select("_key", F.arrow_udf(_solved, _ESTIMATE)("n", "sums", "products").alias("e")).join(now.select("_key", F.col("e.logdet").alias("was")), "_key")
-        # a step can't raise a group's determinant but by what it is shrunk with; then it has come to rest
-        after = small(new.select("_key", "e", ((F.col("was") - F.col("e.logdet")) > MOVES).alias("moved")), "estimates")
+        new = new.select("_key", F.arrow_udf(_solved, _ESTIMATE)("n", "sums", "products").alias("new")).join(now, "_key")
+        # an estimate is taken only if its determinant is smaller than the group's last: so each group comes to rest
+        falls = F.col("new.logdet") < F.col("e.logdet") - MOVES
+        after = small(new.select("_key", F.when(falls, F.col("new")).otherwise(F.col("e")).alias("e"), falls.alias("moved")), "estimates")
         now = after.select("_key", "e")
         if after.where("moved").isEmpty():
             break
