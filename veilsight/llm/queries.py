@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, mpeg_audio, packing, quality_classifier, quality_rules, store, token_files, toxicity, url_filter
+from . import exact_topk, jaccard_join, language_id, mixing, mpeg_audio, packing, quality_classifier, quality_rules, store, token_files, toxicity, url_filter, vector_codes, whitening
 from .training import fold
 
 
@@ -83,8 +83,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-_ALL = (op1_quality_classifier, op2_token_files, op3_packing, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op8_jaccard_join, op9_mixing, op10_language_id)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_quality_classifier, op2_token_files, op3_packing, op4_toxicity, op5_url_filter, op6_quality_rules, op7_mpeg_audio, op8_jaccard_join, op9_mixing, op10_language_id, op11_vector_codes, op12_exact_topk, op13_whitening)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op5_url_filter": url_filter.oracle(RULES)}
+ORACLE: dict[str, str] = {"op5_url_filter": url_filter.oracle(RULES), "op11_vector_codes": vector_codes.oracle(), "op12_exact_topk": exact_topk.oracle()}
