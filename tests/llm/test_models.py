@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilsight.llm import language_id, quality_classifier, toxicity
+from veilsight.llm import language_id, quality_classifier, subword, toxicity, training
 from veilsight.llm.arrays import MASK64, RADIX_INV, Laid, mix, utf8
 from veilsight.llm.subword import GRAMS, STUTTER
 from veilsight.llm.subword import fit as fit_subword
@@ -142,8 +142,9 @@ def plain_worst(model, text):
     """The worst window's probability, state by state."""
     read = toxicity.Read(*utf8(pa.array([text])))
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
-    h_, best = toxicity.HIDDEN, -np.inf
-    for _, b, n in zip(*read.windows(), strict=True):
+    h_ = toxicity.HIDDEN
+
+    def logit(b, n):
         x = []
         for k in range(b, b + n):
             rows = np.concatenate([g[c[k] : c[k + 1]] for g, c in zip(read.gram, read.cuts, strict=True)])
@@ -160,7 +161,12 @@ def plain_worst(model, text):
         e = np.array([sum(states[d][t] @ model.attend[d] for d in range(2)) for t in range(n)])
         v = np.array([sum(states[d][t] @ model.out[d] for d in range(2)) for t in range(n)])
         a = np.exp(e - e.max(initial=0))
-        best = max(best, (a * v).sum() / a.sum() + model.bias if n else model.bias)
+        return (a * v).sum() / a.sum() + model.bias if n else model.bias
+
+    coarse = [(logit(b, n), -b) for _, b, n in zip(*read.windows(), strict=True)]
+    at = -max(coarse)[1]
+    near = [b for b in range(at - toxicity.STRIDE + toxicity.FINE, at + toxicity.STRIDE, toxicity.FINE) if 0 < b < len(read.word) - toxicity.WINDOW]
+    best = max([max(coarse)[0], *(logit(b, toxicity.WINDOW) for b in near)])
     return sigmoid(best * model.scale[0] + model.scale[1])
 
 
@@ -220,6 +226,44 @@ def test_gradients_match_differences():
     assert checked == 6 * 12
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    """Parts give what the whole text gives: features, windows, scores and what is learned."""
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "é日本", "x", "  ", "\n", "delta" * 30]
+    text = " ".join(rng.choice(words, 4000)) + "  "
+    whole = np.bincount(plain_features(text, 12, True), minlength=1 << 12)
+    model = toxicity.fit([text, "vile words here"] * 4, [0, 1] * 4, rounds=1, epochs=1)
+    data = utf8(pa.array(["one", text, "two vile", text[:50]]))
+    want = model.worst(*data)
+    sub = fit_subword([text, "bad words"] * 3, [0, 1] * 3, bits=12, epochs=2)
+    plain = sub.probabilities(*data)
+    monkeypatch.setattr(subword, "RUN_BYTES", 700)
+    monkeypatch.setattr(toxicity, "RUN_BYTES", 900)
+    assert np.array_equal(subword.counts(np.frombuffer(text.encode(), np.uint8), 12, True), whole)
+    got = model.worst(*data)
+    # finer steps are taken around each part's worst window, so a part may find a worse one
+    assert (got[0] >= want[0] - 1e-6).all() and np.allclose(got[0][[0, 2, 3]], want[0][[0, 2, 3]])
+    assert np.allclose(sub.probabilities(*data), plain, atol=1e-6)
+    seen = np.concatenate([begin + base for i, base, read in toxicity.reads(*data) if i == 1 for _, begin, _ in [read.windows()]])
+    assert list(seen) == list(range(0, 8 * len(seen), 8)) and seen[-1] + toxicity.WINDOW >= len(re.findall(r"\w+", text))
+    again = fit_subword([text, "bad words"] * 3, [0, 1] * 3, bits=12, epochs=2)
+    assert np.allclose(again.table, sub.table, atol=1e-4)
+    toxicity.fit([text, "vile words here"] * 4, [0, 1] * 4, rounds=2, epochs=1)
+
+
+@pytest.mark.parametrize("place", [0, 3, 11])
+def test_one_huge_text_costs_no_other_its_place(spark, place):
+    """All of the first rows are learned from, whatever the length of one of them."""
+    rows = [(i, "good plain words " * 3 if i % 2 else "bad ### words " * 3) for i in range(12)]
+    rows[place] = (place, "long text of words " * 1_600_000)  # 30 MB
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    sample = training.labelled(docs, labels, "quality", F.lit(True), 10)
+    seen = training.fitted(sample, 10, lambda texts, y: (len(texts), [len(t) for t in texts], y))
+    kept = {r.doc_id for r in labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("training"))).limit(10).collect()}
+    assert seen[0] == 10 and len(seen[2]) == 10 and (max(seen[1]) > 30_000_000) == (place in kept)
+
+
 def test_fold_matches_contract(spark):
     import zlib
 

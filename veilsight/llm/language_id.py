@@ -2,7 +2,7 @@
 
 Learned from the text and the non-null language of a bounded sample of documents;
 language, source and id are never inputs of a prediction.  Probabilities are calibrated
-by a temperature fitted on held-back documents, and a prediction whose probability is below the
+by a temperature fitted on what models of half of the documents say of the other half, and a prediction whose probability is below the
 calibrated threshold is marked as rejected.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected;
@@ -22,22 +22,22 @@ from pyspark.sql import functions as F
 from . import store
 from .arrays import utf8
 from .subword import SubwordModel, fit, sharpen
-from .training import TRAIN_BYTES, fitted
+from .training import crossed, fitted
 
-#: Most documents that the model is trained on (and at most ``TRAIN_BYTES`` of text).
+#: Most documents that the model is trained on.
 TRAIN_ROWS = 6000
 
 
 def fit_texts(texts: list[str], langs: list[str]) -> SubwordModel:
-    """Learns from seven texts of eight and calibrates on the others."""
-    held = [k % 8 == 7 for k in range(len(texts))]  # a sample comes in hash order
-    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
-    model = fit(pick(texts, False), pick(langs, False), lower=True, epochs=3)
-    sharpen(model, pick(texts, True), pick(langs, True))
+    """Learns from all texts; temperature and threshold from what models of one half say of the other."""
+    learn = lambda x, y: fit(x, y, lower=True, epochs=3)
+    model = learn(texts, langs)
+    if len(model.classes) > 1:
+        sharpen(model, crossed(texts, langs, learn, lambda m, x: m.log_odds(x, model.classes)), langs)
     return model
 
 
-def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> SubwordModel:
+def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> SubwordModel:
     """``keep`` is a condition over ``docs`` that says which rows may be learned from."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
     usable = docs.where(F.lit(True) if keep is None else keep).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -46,7 +46,7 @@ def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, m
     place = F.struct(order.alias("o"), F.col("doc_id").cast("string").alias("d"), F.xxhash64("text").alias("t"), F.col("lang").alias("l"))
     picked = usable.where(order <= F.lit(last)).select(place.alias("place"), "text", F.col("lang").alias("label"))
     sample = store.table(picked, "sample")
-    model = fitted(sample, rows, max_bytes, fit_texts)
+    model = fitted(sample, rows, fit_texts)
     store.drop(sample)
     return model
 

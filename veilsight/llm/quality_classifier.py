@@ -22,27 +22,28 @@ from pyspark.sql import functions as F
 from . import store
 from .arrays import utf8
 from .subword import SubwordModel, fit, sharpen
-from .training import TRAIN_BYTES, fitted, labelled
+from .training import crossed, fitted, labelled
 
-#: Most labelled documents that the model is trained on (and at most ``TRAIN_BYTES`` of text).
+#: Most labelled documents that the model is trained on.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.7
+EPOCHS = 10
 
 
 def fit_texts(texts: list[str], labels: list[int]) -> SubwordModel:
-    """Learns from seven texts of eight and calibrates on the others."""
-    held = [k % 8 == 7 for k in range(len(texts))]  # a sample comes in hash order
-    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
-    model = fit(pick(texts, False), pick(labels, False))
-    sharpen(model, pick(texts, True), pick(labels, True))
-    model.temperature = float(np.clip(model.temperature, 0.5, 2.0))
+    """Learns from all texts, with a temperature from what models of one half say of the other."""
+    learn = lambda x, y: fit(x, y, epochs=EPOCHS)
+    model = learn(texts, labels)
+    if len(model.classes) == 2:
+        sharpen(model, crossed(texts, labels, learn, lambda m, x: m.log_odds(x, model.classes)), labels)
+        model.temperature = float(np.clip(model.temperature, 0.5, 2.0))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> SubwordModel:
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> SubwordModel:
     """``keep`` (a condition over ``labels``) says which labels may be learned."""
     sample = store.table(labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, rows), "sample")
-    model = fitted(sample, rows, max_bytes, fit_texts)
+    model = fitted(sample, rows, fit_texts)
     store.drop(sample)
     return model
 

@@ -41,6 +41,10 @@ class SubwordModel:
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offsets) - 1, len(self.classes)))
         for i, j in runs(offsets, RUN_BYTES):
+            if offsets[j] - offsets[i] > RUN_BYTES:  # one long text
+                count = counts(data[offsets[i] : offsets[j]], self.bits, self.lower)
+                out[i] = self.table.astype(np.float64) @ count / max(1, count.sum()) + self.bias
+                continue
             part = Laid(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.lower)
             out[i:j] = self._logits(part)
         out /= self.temperature
@@ -48,6 +52,13 @@ class SubwordModel:
         np.exp(out, out=out)
         return out / out.sum(axis=1, keepdims=True)
 
+    def log_odds(self, texts: list[str], classes: list) -> np.ndarray:
+        """Log probabilities of ``classes`` at temperature 1; one that the model doesn't know is unlikely."""
+        out = np.full((len(texts), len(classes)), -30.0)
+        if texts and self.classes:
+            out[:, [classes.index(c) for c in self.classes]] = np.log(np.maximum(self.probabilities(*raw_texts(texts)), 1e-13))
+        return out
+
     def _logits(self, part: Laid) -> np.ndarray:
         sums, count = np.zeros((part.n, len(self.classes))), np.zeros(part.n)
         for segments, buckets in features(part, self.bits):
@@ -82,6 +93,37 @@ def features(part: Laid, bits: int):
         yield np.searchsorted(at, first), (pairs[at] >> shift).astype(np.intp)
 
 
+def counts(text: np.ndarray, bits: int, lower: bool) -> np.ndarray:
+    """How often a long text has each bucket, read in parts of ``RUN_BYTES`` that are cut between words.
+
+    A part begins with the last word of the one before, so that no pair is lost; what that word has alone is taken off."""
+    space = SPACE[text]
+    total, at, again = np.zeros(1 << bits, np.int64), 0, 0
+
+    def add(a: int, b: int, sign: int) -> None:
+        part = Laid(text[a:b], np.array([0, b - a]), lower)
+        for _, buckets in features(part, bits):
+            total[:] += sign * np.bincount(buckets, minlength=1 << bits)
+
+    while at < len(text):
+        rest = np.flatnonzero(space[min(len(text), at + RUN_BYTES) :][:RUN_BYTES])
+        end = min(len(text), at + RUN_BYTES) + (int(rest[0]) if len(rest) else RUN_BYTES)
+        while end < len(text) and not space[end]:
+            end += 1
+        end = min(end, len(text))
+        add(again, end, 1)
+        if again < at:
+            add(again, at, -1)
+        last = end
+        while last > at and space[last - 1]:
+            last -= 1
+        begin = last
+        while begin > at and not space[begin - 1]:
+            begin -= 1
+        again, at = (begin if begin < last else again), end
+    return total
+
+
 @dataclass
 class Bags:
     """Each text's distinct buckets and their weights, which add up to 1, in chunks of texts."""
@@ -108,6 +150,14 @@ def bags(texts: list[str], bits: int, lower: bool) -> Bags:
     data, offsets = raw_texts(texts)
     out = Bags([], [], [], np.zeros(len(texts), np.intp), np.zeros(len(texts), np.intp))
     for c, (i, j) in enumerate(runs(offsets, RUN_BYTES)):
+        if offsets[j] - offsets[i] > RUN_BYTES:  # one long text
+            many = counts(data[offsets[i] : offsets[j]], bits, lower)
+            rows = np.flatnonzero(many)
+            out.cuts.append(np.array([0, len(rows)]))
+            out.rows.append(rows.astype(np.uint32))
+            out.share.append((many[rows] / max(1, many.sum())).astype(np.float32))
+            out.chunk[i], out.place[i] = c, 0
+            continue
         part = Laid(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
         keyed = [(np.repeat(np.arange(part.n), np.diff(s)) << bits) + b for s, b in features(part, bits)]
         key, count = np.unique(np.concatenate(keyed), return_counts=True)
@@ -167,16 +217,13 @@ def fit(
     return SubwordModel(classes, np.ascontiguousarray((emb @ out.T).T), bias.astype(np.float64), bits, lower)
 
 
-def sharpen(model: SubwordModel, texts: list[str], labels: list, error: float = 0.01) -> None:
-    """Sets the temperature that makes held-back texts likeliest, and the probability below
-    which a prediction is rejected so that at most ``error`` of the accepted ones are wrong
+def sharpen(model: SubwordModel, logits: np.ndarray, labels: list, error: float = 0.01) -> None:
+    """Sets the temperature that makes the labels of held-back texts likeliest, given their ``logits``, and the probability
+    below which a prediction is rejected so that at most ``error`` of the accepted ones are wrong
     (no more than a twentieth of the right ones are rejected for that)."""
-    if not texts or len(model.classes) < 2:
+    if not len(logits) or len(model.classes) < 2:
         return
-    data, offsets = raw_texts(texts)
     y = np.array([model.classes.index(x) if x in model.classes else -1 for x in labels])
-    model.temperature = 1.0
-    logits = np.log(np.maximum(model.probabilities(data, offsets), 1e-30))
     known = y >= 0
 
     def loss(t: float) -> float:
@@ -186,7 +233,8 @@ def sharpen(model: SubwordModel, texts: list[str], labels: list, error: float =
 
     if known.any():
         model.temperature = min(np.exp(np.linspace(-2.5, 2.5, 51)), key=loss)
-    p = model.probabilities(data, offsets)
+    p = np.exp(logits / model.temperature - (logits / model.temperature).max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
     order = np.argsort(-top, kind="stable")
     wrong = np.cumsum(~right[order]) / np.arange(1, len(y) + 1)

@@ -4,7 +4,7 @@ A text's words are its runs of letters and digits (ASCII letters lower-cased; by
 other scripts count as letters).  A word's input is a learned row for the hashed word,
 beside the mean of learned rows for its character 3-grams and 4-grams, ends included.
 Overlapping windows of ``WINDOW`` words, one each ``STRIDE`` words until the text ends (so any
-17 words in a row stand whole in one), run through a forward and a backward gated recurrent layer; attention weights pool the states,
+17 words in a row stand whole in one) and one each ``FINE`` words around the worst of these, run through a forward and a backward gated recurrent layer; attention weights pool the states,
 and a logistic output scores the window.  A document's score is that of its worst window.
 
 Training is numpy in one task, over a bounded sample of labelled documents.  A label
@@ -12,6 +12,9 @@ speaks of a document, so the windows that teach are chosen: from a toxic documen
 the words most typical of toxic documents in the sample, then again those that the network itself
 finds worst; from a clean one its worst by either, and others at random.
 
+The network is learned twice on half of the sample, to calibrate on what each half hasn't seen, and then on all of
+it.  All of the sample's texts are learned from whole, long ones in parts that overlap by a window.
+
 Edge cases: a null or empty text, or one without words, scores as an empty window;
 null labels and labels other than 0 and 1 teach nothing; equal texts score equally; without
 labels of both kinds every score is that kind's (0.5 without any); all columns are kept.
@@ -29,16 +32,18 @@ from pyspark.sql import functions as F
 
 from . import store
 from .arrays import LOWER, Laid, char_grams, runs, utf8
-from .training import TRAIN_BYTES, fitted, labelled
+from .training import crossed, fitted, labelled
 
-#: Most labelled documents that the network is trained on (and at most ``TRAIN_BYTES`` of text).
+#: Most labelled documents that the network is trained on.
 TRAIN_ROWS = 5000
 THRESHOLD = 0.5
 
-WINDOW, STRIDE = 24, 8
+WINDOW, STRIDE, FINE = 24, 8, 2
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 8, 8
-WORD_BITS, CHAR_BITS = 15, 15
+WORD_BITS, CHAR_BITS = 15, 16
+#: Lengths of the character n-grams, word ends included.
+GRAMS = (3, 4, 5)
 RUN_BYTES = 1 << 19
 BATCH = 1024
 #: Training steps of each round at least, however few the documents.
@@ -74,23 +79,31 @@ class ToxicModel:
         n = len(offsets) - 1
         if self.constant is not None:
             return np.full(n, self.constant), np.zeros(n, np.int64)
-        out, where = np.zeros(n), np.zeros(n, np.int64)
-        for i, j in runs(offsets, RUN_BYTES):
-            read = Read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            owner, begin, length = read.windows()
-            logits = np.empty(len(owner), np.float32)
+        out, where = np.full(n, -np.inf), np.zeros(n, np.int64)
+        for i, base, read in reads(data, offsets):
             x = self.inputs(read)
-            for k in range(0, len(owner), BATCH):
-                logits[k : k + BATCH] = self.run(x, begin[k : k + BATCH], length[k : k + BATCH])
-            first = np.searchsorted(owner, np.arange(read.n))
-            top = np.maximum.reduceat(logits, first)
-            out[i:j] = top
-            best = np.flatnonzero(logits == np.repeat(top, np.diff(np.append(first, len(owner)))))
-            _, at = np.unique(owner[best], return_index=True)
-            where[i:j] = begin[best[at]] - read.first[:-1]
+            owner, begin, length = read.windows()
+            logits = self.all(x, begin, length)
+            best = read.best(owner, logits)
+            # finer steps around each text's worst window
+            steps = np.array([d for d in range(FINE - STRIDE, STRIDE, FINE) if d])
+            near = begin[best][:, None] + steps
+            first, last = read.first[:-1, None], np.maximum(read.first[:-1], read.first[1:] - WINDOW)[:, None]
+            text, k = np.nonzero((near > first) & (near < last))
+            fine = self.all(x, near[text, k], np.full(len(text), WINDOW))
+            owner, begin, logits = np.append(owner, text), np.append(begin, near[text, k]), np.append(logits, fine)
+            order = np.lexsort((begin, owner))
+            owner, begin, logits = owner[order], begin[order], logits[order]
+            best = read.best(owner, logits)
+            better = np.flatnonzero(logits[best] > out[i : i + read.n])
+            out[i + better], where[i + better] = logits[best[better]], base + begin[best[better]] - read.first[better]
         z = np.clip(out * self.scale[0] + self.scale[1], -40, 40)
         return 1 / (1 + np.exp(-z)), where
 
+    def all(self, x: list[np.ndarray], begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Logits of windows, some at a time."""
+        return np.concatenate([self.run(x, begin[k : k + BATCH], length[k : k + BATCH]) for k in range(0, len(begin), BATCH)] or [np.zeros(0, np.float32)])
+
     def inputs(self, read: Read) -> list[np.ndarray]:
         """Every word's share in both directions' gates; one row of zeros more, for padding."""
         x = np.concatenate([self.words[read.word], read.mean_rows(self.grams)], axis=1)
@@ -140,7 +153,7 @@ class Read:
         starts, ends = laid.bounds(~space)
         self.first = laid.first_of(starts)
         self.word = (laid.span_hash(starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.intp)
-        found = [char_grams(laid, space, k, CHAR_BITS) for k in (3, 4)]
+        found = [char_grams(laid, space, k, CHAR_BITS) for k in GRAMS]
         # an n-gram belongs to the word with its second character
         self.gram = [bucket for _, _, bucket in found]
         self.cuts = [np.append(np.searchsorted(second, starts), len(second)) for _, second, _ in found]
@@ -165,6 +178,36 @@ class Read:
         begin = self.first[owner] + step * STRIDE
         return owner, begin, np.minimum(WINDOW, self.first[owner + 1] - begin)
 
+    def best(self, owner: np.ndarray, logits: np.ndarray) -> np.ndarray:
+        """The first of each text's highest windows; ``owner`` is sorted and has every text."""
+        first = np.searchsorted(owner, np.arange(self.n))
+        top = np.maximum.reduceat(logits, first)
+        high = np.flatnonzero(logits == np.repeat(top, np.diff(np.append(first, len(owner)))))
+        return high[np.unique(owner[high], return_index=True)[1]]
+
+
+def reads(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Read]]:
+    """The texts in short runs: the first one's number, the run's first word and the run.  A text over ``RUN_BYTES`` comes
+    in parts that share a window's words, so that its windows are the same."""
+    for i, j in runs(offsets, RUN_BYTES):
+        text = data[offsets[i] : offsets[j]]
+        if len(text) <= RUN_BYTES:
+            yield i, 0, Read(text, offsets[i : j + 1] - offsets[i])
+            continue
+        letter = LETTER[LOWER[text]]
+        starts = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+        at = 0
+        while True:  # a part starts at a multiple of the stride
+            limit = (starts[at] if at < len(starts) else 0) + RUN_BYTES
+            stop = max(at + STRIDE, at + (int(np.searchsorted(starts, limit)) - at) // STRIDE * STRIDE)
+            end = stop + WINDOW - STRIDE
+            begin = 0 if at == 0 else starts[at]
+            part = text[begin : starts[end] if end < len(starts) else len(text)]
+            yield i, at, Read(part, np.array([0, len(part)]))
+            if end >= len(starts):
+                break
+            at = stop
+
 
 def _fresh(seed: int) -> ToxicModel:
     rng = np.random.default_rng(seed)
@@ -286,16 +329,10 @@ def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def _reads(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Read]]:
-    """The texts in short runs, so that the features of only one run are in memory."""
-    for i, j in runs(offsets, RUN_BYTES):
-        yield i, Read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-
-
 def _pick(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> Picked:
     """The windows with these (sorted) numbers."""
-    words, grams, sizes, lengths, seen = [], [[], []], [[], []], [], 0
-    for _, read in _reads(data, offsets):
+    words, grams, sizes, lengths, seen = [], [[] for _ in GRAMS], [[] for _ in GRAMS], [], 0
+    for _, _, read in reads(data, offsets):
         _, begin, length = read.windows()
         mine = chosen[np.searchsorted(chosen, seen) : np.searchsorted(chosen, seen + len(begin))] - seen
         seen += len(begin)
@@ -303,7 +340,7 @@ def _pick(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> Picked:
         at = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         words.append(read.word[at])
         lengths.append(length)
-        for k in range(2):
+        for k in range(len(GRAMS)):
             size = read.cuts[k][at + 1] - read.cuts[k][at]
             pos = np.repeat(read.cuts[k][at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             grams[k].append(read.gram[k][pos])
@@ -337,8 +374,13 @@ def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3,
     rng = np.random.default_rng(seed)
     # how typical a hashed word is of toxic documents: log of smoothed document rates
     has = np.zeros((2, 1 << WORD_BITS), np.int64)
-    for i, read in _reads(data, offsets):
+    before, seen = -1, np.zeros(0, np.int64)
+    for i, _, read in reads(data, offsets):
         key = np.unique(np.repeat(np.arange(read.n), np.diff(read.first)) << WORD_BITS | read.word)
+        if i == before:  # another part of the same text
+            key, seen = np.setdiff1d(key, seen), np.union1d(key, seen)
+        else:
+            before, seen = i, key
         for label in range(2):
             has[label] += np.bincount(key[y[i + (key >> WORD_BITS)] == label] & (1 << WORD_BITS) - 1, minlength=1 << WORD_BITS)
     n1, n0 = int(y.sum()), int((1 - y).sum())
@@ -347,12 +389,12 @@ def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3,
     adam, losses = _Adam(rate), []
     for turn in range(rounds):
         owners, scores = [], []
-        for i, read in _reads(data, offsets):
+        for i, _, read in reads(data, offsets):
             owner, begin, length = read.windows()
             owners.append(owner + i)
             if turn:
                 x = model.inputs(read)
-                scores += [model.run(x, begin[k : k + BATCH], length[k : k + BATCH]) for k in range(0, len(owner), BATCH)]
+                scores.append(model.all(x, begin, length))
             else:
                 of_word = odds[read.word]
                 scores.append(np.array([of_word[b : b + k].max(initial=-9) for b, k in zip(begin, length, strict=True)]))
@@ -373,14 +415,19 @@ def fit(texts: list[str], labels: list[int], *, seed: int = 11, rounds: int = 3,
     return model
 
 
-def calibrate(model: ToxicModel, texts: list[str], labels: list[int], steps: int = 300) -> None:
+def logits(model: ToxicModel, texts: list[str]) -> np.ndarray:
+    """Each text's worst window's logit as the network gives it."""
+    if model.constant is not None or not texts:
+        return np.zeros(len(texts))
+    p = np.clip(model.probabilities(*_texts(texts)), 1e-12, 1 - 1e-12)
+    return (np.log(p / (1 - p)) - model.scale[1]) / model.scale[0]
+
+
+def calibrate(model: ToxicModel, z: np.ndarray, labels: list[int], steps: int = 300) -> None:
     """Fits the logistic map from a document's worst logit to its probability."""
     y = np.array(labels, np.float64)
     if model.constant is not None or not len(y) or y.min() == y.max():
         return
-    model.scale = (1.0, 0.0)
-    p = np.clip(model.probabilities(*_texts(texts)), 1e-9, 1 - 1e-9)
-    z = np.log(p / (1 - p))
     a, b = 1.0, 0.0
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(steps):
@@ -397,18 +444,17 @@ def calibrate(model: ToxicModel, texts: list[str], labels: list[int], steps: int
 
 
 def fit_texts(texts: list[str], labels: list[int]) -> ToxicModel:
-    """Learns from five texts of six and calibrates on the others."""
-    held = [k % 6 == 5 for k in range(len(texts))]  # a sample comes in hash order
-    pick = lambda rows, back: [x for x, h in zip(rows, held, strict=True) if h == back]
-    model = fit(pick(texts, False), pick(labels, False))
-    calibrate(model, pick(texts, True), pick(labels, True))
+    """Learns from all texts, calibrated on what networks learned from half of them say of the other half."""
+    model = fit(texts, labels)
+    if model.constant is None:
+        calibrate(model, crossed(texts, labels, fit, logits), labels)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> ToxicModel:
     """``keep`` (a condition over ``labels``) says which labels may be learned."""
     sample = store.table(labelled(docs, labels, "toxic", F.lit(True) if keep is None else keep, rows), "sample")
-    model = fitted(sample, rows, max_bytes, fit_texts)
+    model = fitted(sample, rows, fit_texts)
     store.drop(sample)
     return model
 

@@ -1,8 +1,7 @@
 """Bounded, repeatable training samples for the learned operators, and training away from the driver.
 
-A sample is bounded by rows and by bytes of text: the rows come in the order of a hash of their
-id, and the sample ends before the text that would take it over ``max_bytes`` (its first text is in
-whatever its length).  Texts in it are whole, and no length is left out of it.
+A sample is bounded by rows alone: the first ones in the order of a hash of their id, whole and whatever
+their lengths.  The task that learns holds these texts once; their features are made in runs of bounded size.
 
 Training runs in one task on an executor, which reads the sample from a written table; the driver gets the
 model alone.  A lost executor costs that task.
@@ -13,15 +12,13 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 
-#: Most bytes of text in a sample.
-TRAIN_BYTES = 24 << 20
-
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
@@ -45,20 +42,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows:
     return texts.join(F.broadcast(known), "doc_id").select(F.struct(order.alias("o"), F.col("doc_id").cast("string").alias("d"), F.xxhash64("text").alias("t"), F.col("label").alias("l")).alias("place"), "text", "label")
 
 
-def fitted(sample: DataFrame, rows: int, max_bytes: int, fit: Callable[[list[str], list], object]):
-    """What ``fit`` makes of the sample's first texts and labels (columns place, text, label)."""
-    # at most `rows` places and lengths
-    sizes = sample.select("place", F.octet_length("text").alias("n")).orderBy("place").limit(rows).collect()
-    total, last = 0, 0
-    for last, r in enumerate(sizes):
-        total += r["n"]
-        if total > max_bytes and last:
-            break
-    else:
-        last = len(sizes)
-    if not last:
+def crossed(texts: list[str], labels: list, fit: Callable, say: Callable) -> np.ndarray:
+    """What models learned from each half of a sample say of the other half's texts."""
+    half = np.arange(len(texts)) % 2  # a sample comes in hash order
+    pick = lambda rows, k: [x for x, h in zip(rows, half, strict=True) if h == k]
+    said = [say(fit(pick(texts, 1 - k), pick(labels, 1 - k)), pick(texts, k)) for k in range(2)]
+    out = np.zeros((len(texts), *said[0].shape[1:]))
+    for k in range(2):
+        out[half == k] = said[k]
+    return out
+
+
+def fitted(sample: DataFrame, rows: int, fit: Callable[[list[str], list], object]):
+    """What ``fit`` makes of the sample's first ``rows`` texts and labels (columns place, text, label)."""
+    # the place of the last of them, from places alone
+    end = sample.select("place").orderBy("place").limit(rows).agg(F.max("place").alias("place"), F.count("*").alias("n")).first()
+    if not end["n"]:
         return fit([], [])
-    end = sizes[last - 1]["place"]
+    last, end = end["n"], end["place"]
     within = sample.where(F.col("place") <= F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, sample.schema["place"].dataType.fields, strict=True)]))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
