@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +337,21 @@ def test_csv(spark, tmp_path):
     assert [r.part for r in export.parts(sizes.limit(3), "id", "n", 100, fixed=50).orderBy("id").collect()] == [0, 1, 1] and export.parts(sizes.limit(0), "id", "n").count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 64])
+def test_parts_as_one_walk(spark, block):
+    """Blocks of any size give what filling one part after the other gives."""
+    rng = random.Random(block)
+    for sizes in ([rng.choice([0, 1, 5, 40, 99, 100, 101, 250]) for _ in range(40)], [None, -3, 0, 0, 100]):
+        df = spark.createDataFrame([(i * 2, n) for i, n in enumerate(sizes)], "id long, n int").repartition(3)
+        want, part, used, some = [], 0, 10, False
+        for n in (max(0, x or 0) for x in sizes):
+            if some and used + n > 100:
+                part, used = part + 1, 10
+            used, some = used + n, True
+            want.append(part)
+        assert [r.part for r in export.parts(df, "id", "n", 100, 10, block).orderBy("id").collect()] == want
+
+
 def test_vendor_reports(spark):
     import json
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as T
 from ..functions.validators import any_of
 
@@ -90,7 +90,7 @@ def running_total(items: DataFrame, order: str, values: Sequence[str]) -> DataFr
 
     Items are cut into ranges of ``order`` by Spark, as many as the session's shuffles have partitions; the ranges'
     sums are added up first, and each range then runs on its own, so no task has all items."""
-    ranged = items.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = shared.written(items.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values]).collect()  # one row a range
     begin, so_far = {}, dict.fromkeys(values, 0)
     for r in sorted(sums, key=lambda r: r["_range"]):
