@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import text as T
 from ..functions.validators import any_of
+from .joins import attach
 
 
 def glob(pattern: str) -> str:
@@ -64,12 +65,12 @@ def absent(index: DataFrame, listing: DataFrame, key: str = "key") -> DataFrame:
 def duplicates(items: DataFrame, content: Column, order: str, alike: Sequence[str] = ()) -> DataFrame:
     """Adds fingerprint and duplicate_of: the first item (by ``order``) with the same content.
 
-    The first is found by a reduced aggregate and joined back, so a content that a third of all
-    items share needs no window over them.  Null contents are nobody's copy."""
+    The first is found by a reduced aggregate; a content that a third of all items share is joined back where its
+    items are (``joins.attach``).  Null contents are nobody's copy."""
     rows = items.withColumn("fingerprint", F.md5(content.cast("binary")))
     by = ["fingerprint", *alike]
-    first = rows.where(F.col("fingerprint").isNotNull()).groupBy(*by).agg(F.min(order).alias("_first"))
-    out = rows.join(first, by, "left")
+    first = rows.where(F.col("fingerprint").isNotNull()).groupBy(*by).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    out = attach(rows, first, by, "_n")
     return out.withColumn("duplicate_of", F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_first")
 
 

@@ -465,4 +465,4 @@ def flow_log_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other modules register their queries when they are read
-from . import queries_files, queries_streams, queries_values  # noqa: E402, F401
+from . import queries_files, queries_index, queries_streams, queries_values  # noqa: E402, F401
