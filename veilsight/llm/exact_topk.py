@@ -197,7 +197,7 @@ def _next(counts: DataFrame, state: DataFrame, width: int) -> DataFrame:
         return F.struct(F.when(done, acc["bin"]).when(here, b["bin"]).otherwise(-1).alias("bin"), F.when(done | here, acc["need"]).otherwise(acc["need"] - b["n"]).alias("need"))
 
     found = at.withColumn("f", F.aggregate("bins", F.struct(F.lit(-1).alias("bin"), F.col("need").alias("need")), step))
-    return found.select("block", "q", (F.col("low") + F.col("f.bin") * F.lit(width)).alias("low"), F.col("f.need").alias("need"))
+    return found.select("block", "q", (F.col("low") + F.col("f.bin").cast("long") * F.lit(width)).alias("low"), F.col("f.need").alias("need"))
 
 
 def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = K, scale: int = SCALE) -> DataFrame:

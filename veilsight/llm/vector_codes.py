@@ -61,17 +61,18 @@ class Book:
             while at < len(c) and len(rows):
                 width = max(16, 4096 // len(rows))
                 reach = (first[rows] + np.sqrt(least[rows].astype(np.float64))) * (1 + 1e-12) + 1e-6
-                rows = rows[self.root[a, at] <= reach]
-                if not len(rows):
+                stop = min(at + width, int(np.searchsorted(self.root[a], reach.max(), "right")))
+                if stop <= at:
                     break
-                near = self.order[a, at : at + width]
+                rows = rows[self.root[a, at] <= reach]
+                near = self.order[a, at:stop]
                 d = xx[rows, None] - 2 * (x[rows] @ c[near].T) + cc[near]
                 low = d.min(1)
                 index = np.where(d == low[:, None], near, len(c)).min(1)
                 better = (low < least[rows]) | ((low == least[rows]) & (index < best[rows]))
                 best[rows[better]], least[rows[better]] = index[better], low[better]
                 taken += d.size
-                at += width
+                at = stop
         return best, least.astype(np.int64), taken
 
 
