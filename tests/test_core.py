@@ -337,6 +337,23 @@ def test_csv(spark, tmp_path):
     assert [r.part for r in export.parts(sizes.limit(3), "id", "n", 100, fixed=50).orderBy("id").collect()] == [0, 1, 1] and export.parts(sizes.limit(0), "id", "n").count() == 0
 
 
+def test_spoken_values_have_their_piece_as_context(spark):
+    """A context word 340,000 characters before is none, as long texts are cut before anything is looked at."""
+    said = "five two three, four five, six seven eight nine"
+    far = "my ssn\n" + "plain words go on and on\n" * 13_600 + said + "\n"
+    near = "plain words go on and on\n" * 13_600 + "my ssn is " + said + "\n"
+    rows = detect(spark.createDataFrame([(1, far), (2, near)], "k int, text string"), now_year=2025).collect()
+    assert [(r.k, r.cls, r.via, r.status) for r in rows] == [(2, "us_ssn", "context", "finding")]
+    assert near[rows[0].start : rows[0].end].startswith("five two") and rows[0].end <= len(near)
+
+
+def test_detection_is_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "card 4242 4242 4242 4242")], "k int, text string").write.parquet(str(tmp_path / "t"))
+    df = detect(spark.read.parquet(str(tmp_path / "t")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan and "Union" not in plan
+
+
 @pytest.mark.parametrize("block", [3, 64])
 def test_parts_as_one_walk(spark, block):
     """Blocks of any size give what filling one part after the other gives."""

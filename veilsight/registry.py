@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import shared
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table too small to have a split a core, dealt to all cores; large ones are as they are."""
+    """A table too small to have a split a core, written again as one file a core; large ones are as they are.
+
+    Dealing it out in the plan alone wouldn't help, as filters are pushed below that."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return shared.written(df.repartition(cores), "spread") if size < cores * SPLIT_BYTES else df
 
 
 def query(sql: str | None = None):
