@@ -128,6 +128,38 @@ ORDINALS = {
 }
 FILLERS = ("uh", "um", "umm", "er", "erm", "ah", "hmm", "mm")
 
+
+
+def any_word(words) -> str:
+    """A pattern of any of some words, longer ones first."""
+    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+# How dates, numbers and what lies between their digits are said in a turn (patterns of the ``re`` syntax, ASCII).
+_W, _NEXT = r"[ \t\r\n]+", r"(?:-|[ \t\r\n]+)"
+_UNIT, _TEEN, _TEN = any_word(w for w in NUMBER_WORDS if w != "zero"), any_word(TEENS), any_word(TENS)
+_TENS_OF_DAYS = "(?:twenty|thirty)"
+_MONTHS = "(?:" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + r"|sept)\.?"
+_DAY = f"(?:{_TENS_OF_DAYS}{_NEXT}(?:{any_word(w for w, v in ORDINALS.items() if v < 10)}|{_UNIT})|{any_word(ORDINALS)}|{_TEEN}|{_UNIT}|{_TENS_OF_DAYS}|[0-9]{{1,2}}(?:st|nd|rd|th)?)"
+_BELOW_100 = f"{_TEEN}|{_TEN}(?:{_NEXT}{_UNIT})?"
+_YEAR = f"(?:[0-9]{{4}}|(?:nineteen|twenty){_NEXT}(?:{_BELOW_100}|(?:oh|o){_NEXT}{_UNIT}|hundred)|two{_W}thousand(?:(?:{_W}and)?{_W}(?:{_BELOW_100}|{_UNIT}))?)"
+DATE_SAID = rf"\b(?:(?P<m1>{_MONTHS}),?{_W}(?:the{_W})?(?P<d1>{_DAY}),?{_W}(?P<y1>{_YEAR})|(?:the{_W})?(?P<d2>{_DAY}){_W}(?:of{_W})?(?P<m2>{_MONTHS}),?{_W}(?P<y2>{_YEAR}))\b"
+_DIGIT, _TIMES = any_word([*NUMBER_WORDS, *ZERO_WORDS]), any_word(MULTIPLIERS)
+DIGIT_SAID = rf"(?<![A-Za-z])(?:(?P<times>{_TIMES})(?![A-Za-z])(?:[ \t\r\n]*(?:(?P<word>{_DIGIT})(?![A-Za-z])|(?P<one>(?<![0-9])[0-9])(?![0-9])))|(?P<digit>{_DIGIT})(?![A-Za-z]))"
+MORE_DIGITS = rf"[ \t\r\n]*(?:[0-9]|(?:{_DIGIT}|{_TIMES})(?![A-Za-z]))"
+FILLER_SAID = rf"(?<![A-Za-z]){any_word(FILLERS)}(?![A-Za-z])"
+DATE_IN_DIGITS = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2}))(?![0-9])"
+KEYPAD_END = "(?<=[0-9])[#*]+(?![A-Za-z0-9#*])|(?<=[0-9])[#*]+(?=[#*])"
+
+# What is masked in names and cells, and what makes a match a slice of a longer run of digits.
+CARD_MASKED = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
+NINE_MASKED = (
+    (r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "###-##-####"),
+    (r"(?<![0-9])[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9])", "### ## ####"),
+    (r"(?<![0-9])[0-9]{9}(?![0-9])", "#########"),
+)
+RUN_BEFORE, RUN_BEHIND = "[0-9][ -]?$", "^[ -]?[0-9]{4}"
+
 # Characters of context before and after a stored value.
 WINDOW_BEFORE, WINDOW_AFTER = 64, 32
 # Limits of a findings document.
