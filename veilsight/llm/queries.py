@@ -71,7 +71,7 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), mpeg_audio.to_media("text").alias("media"))
     stored = store.table(docs, "media", codec="zstd")  # what is read below are the stored bytes
     read = mpeg_audio.with_features(stored)
-    return read.select("doc_id", "n_bytes", *[f"audio.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration", "error")])
+    return read.select("doc_id", "n_bytes", *[f"audio.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration", "offsets", "error")])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
