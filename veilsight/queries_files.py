@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .operators import coverage, export, findings, incremental
 from .registry import query, read
 from .sources import archives, avro, delimited, files, json_leaves
-from .streaming import logs
+from .streaming import logs, versions
 
 _STORED = (
     ("s3", None, None, None, "STANDARD", None), ("s3", "glacier", None, False, "GLACIER", "needs_restore"), ("s3", "GLACIER", None, True, "GLACIER_RESTORED", None), ("s3", "GLACIER_IR", None, None, "GLACIER_IR", "archive_class"),
@@ -299,16 +298,10 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = F.when(F.col("event_id") % 3 == 0, F.lit("card 4539148803436467")).otherwise(F.lit("card 4111111111111111"))
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", card.alias("message"))
     counted = logs.counts(events, ["event_type"], late="3650 days", length="1 day", classes=("card",))
-    folder = _folder(spark)
-    out = counted.writeStream.outputMode("complete").format("memory").queryName("veilsight_counts").option("checkpointLocation", folder).trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.table("veilsight_counts").select(F.unix_millis("window.start").alias("day_ms"), "event_type", "occurrences")
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; where none is named, as on one machine, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}" if named else "file://" + tempfile.mkdtemp(prefix="veilsight-stream-")
+    table = versions.Versions(spark, shared.new_path(spark, "counts"), counted.schema)
+    stream = counted.writeStream.outputMode("complete").foreachBatch(table.write).option("checkpointLocation", shared.new_path(spark, "counts-state"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return table.read().select(F.unix_millis("window.start").alias("day_ms"), "event_type", "occurrences")
 
 
 @query("""

@@ -25,7 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
     Dealing it out in the plan alone wouldn't help, as filters are pushed below that."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return shared.written(df.repartition(cores), "spread") if size < cores * SPLIT_BYTES else df
+    return shared.written(df.repartition(cores), "spread") if size < cores * SPLIT_BYTES and shared.available(df.sparkSession) else df
 
 
 def query(sql: str | None = None):

@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
+def available(spark: SparkSession) -> bool:
+    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir", None)) or spark.sparkContext.master.split("[")[0] == "local"
+
+
 def folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
+    if not available(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="veilsight-core-"))
