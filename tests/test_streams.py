@@ -1,12 +1,14 @@
 """Streams with state: whatever is run again, cut off or cut otherwise gives the same."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilsight import shared
-from veilsight.streaming import late, sessions, versions
+from veilsight.operators import conversation
+from veilsight.streaming import conversations, late, sessions, versions
 
 T0 = datetime.datetime(2024, 5, 1, tzinfo=datetime.UTC).replace(tzinfo=None)
 at = lambda minutes: T0 + datetime.timedelta(minutes=minutes)
@@ -88,3 +90,58 @@ def test_sessions_whatever_the_cut(spark, cuts):
     got = sorted(map(tuple, spark.read.schema(found.schema).parquet(out).collect()))
     want = sorted(tuple(r) for r in sessions.turns_of_table(df, "key", "item", gap=1800).collect() if r.item != 11)  # the last event waits
     assert got == want
+
+
+def _talks(seed, most=24):
+    """Conversations of phrases that arm, end, go on and are keyed, at random."""
+    r = random.Random(seed)
+    asks = ["Your card number?", "your pin please", "Account number please", "What is your date of birth?", "Sorry, I didn't get that", "Press one for more.", "ok", "mm-hmm", "", None]
+    says = ["4539 1488", "0343 6467", "4539 1488 0343 6467", "one two", "3", "123", "12 and 34", "well", "my card is 4539", "078 05", "05/06/1985", "", None]
+    turns = []
+    for c in range(40):
+        now = 0
+        for t in range(r.randrange(1, most)):
+            who = r.choice(["customer", "customer", "customer", "bot", "agent"])
+            now += r.choice([500, 1000, 3000, 16_000])
+            begin = r.choice([now, now, now, None])
+            turns.append((f"c{c}", t, who, r.choice(says if who == "customer" or r.random() < 0.3 else asks), r.choice(["speech", "dtmf", None]), begin, None if begin is None else begin + 200))
+    return turns
+
+
+_TURN = "conv_id string, turn int, speaker string, text string, channel string, begin_ms long, end_ms long"
+
+
+@pytest.mark.parametrize("seed, cuts", [(1, 2), (2, 5)])
+def test_conversations_whatever_the_cut(spark, tmp_path, seed, cuts):
+    turns, r = _talks(seed), random.Random(seed)
+    want = conversation.classify(spark.createDataFrame(turns, _TURN), 2026).collect()
+    assert len(want) > 30 and any(len(v.parts) > 2 for v in want)
+    batches = [[] for _ in range(cuts)]
+    for c in {t[0] for t in turns}:
+        own = [t for t in turns if t[0] == c]
+        places = sorted(r.randrange(cuts) for _ in own)
+        for t, b in zip(own, places, strict=True):
+            batches[b].append(t)
+    stream = conversations.Conversations(spark, f"file://{tmp_path}/c", 2026)
+    for n, rows in enumerate(batches):
+        stream.apply(spark.createDataFrame(rows, _TURN), n)
+        if n == 1:  # a batch that is run again
+            stream.apply(spark.createDataFrame(rows, _TURN), n)
+    most = stream.held.read().groupBy("conv_id").count().agg({"count": "max"}).first()[0]
+    stream.finish()
+    assert sorted(map(str, stream.findings().collect())) == sorted(map(str, want))
+    assert most < 24 and stream.held.read().count() == 0 and stream.late.all().count() == 0
+
+
+def test_conversations_late_and_idle(spark, tmp_path):
+    rows = lambda *turns: spark.createDataFrame(turns, _TURN)
+    stream = conversations.Conversations(spark, f"file://{tmp_path}/c", 2026, idle_ms=60_000)
+    stream.apply(rows(("a", 0, "bot", "Your pin?", None, 0, 10), ("a", 1, "customer", "12", None, 20, 30), ("b", 0, "bot", "Your pin?", None, 0, 10)), 0)
+    assert stream.findings().count() == 0  # the customer may go on
+    stream.apply(rows(("a", 1, "customer", "99", None, 40, 50), ("a", None, "customer", "98", None, 40, 50), ("a", 2, "customer", "34", None, 60, 70)), 1)
+    assert sorted(r.text for r in stream.late.all().collect()) == ["98", "99"]
+    stream.apply(rows(("z", 0, "bot", "hello", None, 100_000, 100_010)), 2)  # a and b are over
+    got = stream.findings().collect()
+    assert [(v.conv_id, v.turn, v.end_turn, v.cls) for v in got] == [("a", 1, 2, "pin")] and [r.conv_id for r in stream.held.read().collect()] == ["z"]
+    stream.apply(rows(), 3)
+    assert [r.conv_id for r in stream.held.read().collect()] == ["z"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
-from .registry import query, read
-from .streaming import late, sessions, versions
+from . import queries_values, shared
+from .registry import ORACLE, query, read
+from .streaming import conversations, late, sessions, versions
 
 
 def _cut(df: DataFrame, by: str, pieces: int, name: str) -> str:
@@ -106,3 +106,16 @@ def watermarked_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
             passes.commit(chunk)
         passes.complete()
     return passes.reads.all().groupBy("key", "marker").agg(F.max("pass").alias("pass"), F.count("*").alias("reads"))
+
+
+@query(ORACLE["conversation_values"])
+def streamed_conversation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the same conversations, whose turns come in four micro-batches: every value that goes on in a later one is held."""
+    turns = queries_values._turns(spark, sf_dir)
+    path = shared.new_path(spark, "talk")
+    for k in range(4):
+        turns.where(F.col("turn") == k).coalesce(1).write.mode("append").parquet(path)
+    stream = conversations.Conversations(spark, shared.new_path(spark, "talks"), queries_values.YEAR)
+    stream.start(_stream(spark, path, turns), shared.new_path(spark, "talks-state")).awaitTermination()
+    stream.finish()
+    return stream.findings().select("conv_id", "turn", F.col("orig_start").alias("start"), "end_turn", F.col("orig_end").alias("end"), "cls", "via", "confidence", F.size("parts").alias("parts"))
