@@ -222,6 +222,32 @@ def test_table_units_and_plan(spark):
     assert found == {("ssn", "us_ssn", "high"), ("pan", "card", "medium"), ("date_of_birth", "dob", "high")}
 
 
+def test_neighbouring_cells(spark):
+    rows = [(0, "ssn of 12"), (1, "219109998"), (2, "x" * 80 + " 1"), (3, "219109997"), (4, "y" * 40 + " 2"), (5, "ssn 3"), (None, "219109996"), (6, "4539 1488"), (7, "0343 6467"), (7, "0343 6467"), (8, ""), (9, None), (500, "219109995")]
+    df = spark.createDataFrame(rows, "r int, code string").withColumn("f", F.lit(None).cast("string"))
+    got = scan.table_places(df, ["f"], "r")
+    # row 3's is 82 characters behind the first word and 42 before the second; row 500 is in another block, or else 36 behind the second
+    assert [(r.r, r.pointer, r.cls, r.start, r.end, r.status) for r in got.collect()] == [(1, "/1/code", "us_ssn", 0, 9, "finding")]
+    wide = scan.table_places(df, ["f"], "r", batch=1000).select("r").collect()
+    assert sorted(r.r for r in wide) == [1, 500] and scan.table_places(df.limit(0), ["f"], "r").count() == 0
+    many = spark.range(1300).select(F.lit("f").alias("f"), F.col("id").alias("r"), F.format_string("ssn 21910%04d", F.col("id") + 1).alias("code"))
+    assert {(r.r, r.start) for r in scan.table_places(many, ["f"], "r", classes=["us_ssn"]).collect()} == {(k, 4) for k in range(1300)}
+
+
+def test_coverage_tells_what_is_left_out(spark):
+    df = spark.createDataFrame([(1, "a" * 12, "[1, [2, [3, 4]]]"), (2, "7", None)], "k int, t string, j string")
+    assert {(r.column, r.cells, r.candidates, r.cut, r.chars) for r in scan.table_coverage(df.select("k", "t"), ["k"], most=10).collect()} == {("t", 2, 1, 1, 11)}
+    read = lambda **how: {(r.k, r.leaves, r.left_out) for r in scan.json_coverage(df, ["k"], "j", **how).collect()}
+    assert read(max_depth=2) == {(1, 2, 1), (2, 0, 0)} and read(max_depth=100, max_leaves=1 << 30) == {(1, 4, 0), (2, 0, 0)}
+
+
+def test_rules_over_tags(spark):
+    stores = spark.createDataFrame([("s3", "a", {"scan": "false"}), ("s3", "b", {"team": "data-x"}), ("s3", "c", {}), ("s3", "d", None), ("db", "e", None)], "kind string, name string, tags map<string,string>")
+    names = lambda **how: sorted(r.name for r in incremental.allowed(stores, **how).where("allowed").collect())
+    assert names(deny=[("s3", "scan", "false")]) == ["b", "c", "e"] and names(deny=[("*", "team", None)]) == ["a", "c"]
+    assert names(allow=[("s3", "team", "data*")]) == ["b", "e"] and names(allow=[("s3", "team", None), ("s3", "c")], deny=[("s3", "b*")]) == ["c", "e"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("card 4539148803436467")
     (tmp_path / "b.txt").write_bytes(b"%PDF-1.7 x")

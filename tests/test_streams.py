@@ -111,7 +111,7 @@ def _talks(seed, most=24):
 _TURN = "conv_id string, turn int, speaker string, text string, channel string, begin_ms long, end_ms long"
 
 
-@pytest.mark.parametrize("seed, cuts", [(1, 2), (2, 5)])
+@pytest.mark.parametrize("seed, cuts", [(1, 2), (2, 3)])
 def test_conversations_whatever_the_cut(spark, tmp_path, seed, cuts):
     turns, r = _talks(seed), random.Random(seed)
     want = conversation.classify(spark.createDataFrame(turns, _TURN), 2026).collect()

@@ -21,14 +21,25 @@ def glob(pattern: str) -> str:
     return f"^(?s:{out})$"
 
 
-def allowed(stores: DataFrame, allow: Sequence[tuple[str, str]] = (), deny: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Adds ``allowed``: (kind, glob) rules; a deny rule wins, and a kind with allow rules needs one that fits.
-
-    A kind of * holds for all."""
-    fits = lambda rules: any_of([((F.lit(k) == "*") | (F.col("kind") == k)) & F.col("name").rlike(glob(g)) for k, g in rules])
-    kinds = [k for k, _ in allow]
+def allowed(stores: DataFrame, allow: Sequence[tuple] = (), deny: Sequence[tuple] = ()) -> DataFrame:
+    """Adds ``allowed``: rules are (kind, glob of the name) or (kind, tag, glob of its value, None for any); a deny rule
+    wins, and a kind with allow rules needs one that fits.
+
+    A kind of * holds for all.  Tags are the map ``tags``; where it is null they couldn't be read, so a store that a tag rule might deny
+    isn't allowed, and no allow rule over tags fits."""
+    of_kind = lambda r: (F.lit(r[0]) == "*") | (F.col("kind") == r[0])
+
+    def fits(r: tuple) -> Column:
+        if len(r) == 2:
+            return of_kind(r) & F.col("name").rlike(glob(r[1]))
+        value = F.try_element_at("tags", F.lit(r[1]))
+        good = F.array_contains(F.map_keys("tags"), r[1]) if r[2] is None else value.rlike(glob(r[2]))
+        return of_kind(r) & F.coalesce(good, F.lit(False))
+
+    kinds = [r[0] for r in allow]
     restricted = F.lit("*" in kinds) | F.col("kind").isin(*kinds) if kinds else F.lit(False)
-    return stores.withColumn("allowed", ~fits(deny) & (~restricted | fits(allow)))
+    unsure = any_of([of_kind(r) & F.col("tags").isNull() for r in deny if len(r) == 3])
+    return stores.withColumn("allowed", ~any_of([fits(r) for r in deny]) & ~unsure & (~restricted | any_of([fits(r) for r in allow])))
 
 
 def sample_share(items: DataFrame, key: str, rules: Sequence[tuple[str, int]], default: int = 100) -> DataFrame:

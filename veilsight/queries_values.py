@@ -14,6 +14,7 @@ from .functions import text as T
 from .functions import validators as V
 from .operators import conversation, export, findings
 from .operators.detect import detect
+from .plans import scan
 from .registry import query, read
 
 YEAR = 2026
@@ -171,6 +172,28 @@ def spoken_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", T.digits_of_speech(F.expr(said)).alias("value"))
 
 
+# a table's cells: bare numbers, which count beside a word, in one column with notes of several lengths
+_NOTE = "concat('ssn of ', {k}, repeat('.', cast({k} % 40 AS INT)))"
+_CELL = f"CASE WHEN {{k}} % 3 = 0 THEN {_NOTE} WHEN {{k}} % 3 = 1 THEN concat('no ', {{nine}}) ELSE concat(repeat('-', cast({{k}} % 25 AS INT)), {{nine}}) END"
+_BARE = "concat('219', lpad(cast(10 + {k} % 80 AS {s}), 2, '0'), lpad(cast(1 + {k} % 9000 AS {s}), 4, '0'))"
+
+
+@query(f"""
+WITH k AS (SELECT o_custkey % 5 AS file, o_orderkey AS k, {_BARE.format(k="o_orderkey", s="VARCHAR")} AS nine FROM orders),
+c AS (SELECT *, {_CELL.format(k="k", nine="nine")} AS cell, k // 500 AS block FROM k),
+p AS (SELECT *, sum(length(cell) + 1) OVER w - length(cell) - 1 AS pos FROM c WINDOW w AS (PARTITION BY file, block ORDER BY k)),
+t AS (SELECT file, block, string_agg(cell, chr(10) ORDER BY k) AS chunk FROM c GROUP BY ALL),
+v AS (SELECT file, k, pos, length(cell) - 9 AS b, chunk FROM p JOIN t USING (file, block) WHERE k % 3 <> 0)
+SELECT file, k, '/' || k || '/code' AS pointer, b::INT AS start, (b + 9)::INT AS "end" FROM v
+WHERE regexp_matches(chunk[greatest(pos + b - 64, 0)::INT + 1 : (pos + b)::INT], '\\bssn\\b') OR regexp_matches(chunk[(pos + b + 9)::INT + 1 : (pos + b + 9 + 32)::INT], '\\bssn\\b')""")
+def neighbouring_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare social security numbers of a table's column that count by what the cells next to them say, within the windows' reach."""
+    cell = _CELL.format(k="k", nine=_BARE.format(k="k", s="STRING"))
+    rows = read(spark, sf_dir, "orders").selectExpr("o_custkey % 5 AS file", "o_orderkey AS k").select("file", "k", F.expr(cell).alias("code"))
+    found = scan.table_places(rows, ["file"], "k", classes=["us_ssn"]).where("status = 'finding'")
+    return found.select("file", "k", "pointer", "start", "end")
+
+
 # conversations: kinds of talk by key, each a list of (speaker, text); d is the key as six digits
 _CONVERSATIONS = (
     (("bot", "'Please say your card number.'"), ("customer", f"concat('it is ', {_CARD})")),
