@@ -76,3 +76,22 @@ def test_a_moved_original_is_no_original(spark):
     assert sorted(r.fingerprint for r in left.collect()) == ["f", "f", "h", "i"]
     assert {r.key: r.original and r.original.source for r in index.originals(items, kept, rows, ["b"], ["p"])[0].collect()}[11] == "b"
     assert sorted(map(tuple, index.pointers(rows).collect())) == [("f", "a", 1), ("f", "b", 2), ("g", "b", 3), ("i", "b", 6)]
+
+
+def test_items_with_parts(spark):
+    from veilsight.operators import parts
+
+    listing = spark.createDataFrame([("s", "a", "m", 5), ("s", "a", "m", 5), ("s", "b", "m2", 5), ("s", "c", None, 5), ("s", "big", "m", 99), ("s", "none", "m", 0), ("s", None, "m", 5), ("s", "old", "m", 5)], "source string, part string, marker string, size int").withColumn("sample", F.lit("x"))
+    known = spark.createDataFrame([("s", "b", "m", "p"), ("s", "c", None, "p"), ("s", "old", "m", "p0"), ("s", "gone", "m", "p"), ("t", "gone", "m", "p")], "source string, part string, marker string, profile string")
+    due = parts.stale(listing, known, "p", max_bytes=50)
+    assert {(r.part, r.why) for r in due.collect()} == {("a", "new"), ("b", "changed"), ("old", "profile")}
+    assert parts.stale(listing, known, "p", percent=0).count() == 0 and [r.part for r in parts.stretch(due, 1, 100).collect()] == ["a"]
+    kept = spark.createDataFrame([("s", "b", "1", "l2", 1), ("s", "b", "2", "l1", 1), ("s", None, "body", "l1", 1), ("t", "b", "1", "l9", 1)] + [("s", "hot", str(i), "h", 1) for i in range(3000)], "source string, part string, id string, location string, first_seen int")
+    new = spark.createDataFrame([("s", "b", "2", "f"), ("s", "b", "3", "f"), ("s", "a", "4", "f")] + [("s", "hot", str(i), "f") for i in range(1500, 4000)], "source string, part string, id string, fallback string")
+    hot = due.select("source", "part").unionByName(spark.createDataFrame([("s", "hot")], "source string, part string"))
+    got = {tuple(r) for r in parts.replaced(kept, hot, new, 2).collect()}
+    want = {("s", "b", "2", "l1", 1), ("s", "b", "3", "l1", 2), ("s", "a", "4", "f", 2), ("s", None, "body", "l1", 1), ("t", "b", "1", "l9", 1)}
+    assert got == want | {("s", "hot", str(i), "h", 1 if i < 3000 else 2) for i in range(1500, 4000)}
+    assert parts.replaced(kept.limit(0), hot, new.limit(0), 2).count() == 0
+    after = {(r.source, r.part, r.marker, r.profile) for r in parts.recorded(known, due, "p", listing).collect()}
+    assert after == {("s", "a", "m", "p"), ("s", "b", "m2", "p"), ("s", "c", None, "p"), ("s", "old", "m", "p"), ("t", "gone", "m", "p")}

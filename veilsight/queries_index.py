@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index
+from . import shared
+from .operators import index, parts
 from .registry import query, read
 
 
@@ -57,3 +58,26 @@ def shared_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, left = index.originals(docs.select("source", "key", "fingerprint"), pointers, rows, sources, ["p2"])
     dropped = pointers.agg(F.count("*").alias("_a")).crossJoin(left.agg(F.count("*").alias("_b"))).select((F.col("_a") - F.col("_b")).alias("dropped"))  # one row each
     return found.select(F.col("key").alias("doc_id"), F.col("original.source").alias("original_source"), F.col("original.key").alias("original_key")).crossJoin(dropped)
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS k, o_custkey AS c, (k % 11 = 0 OR k % 5 = 0 OR k % 7 = 0) AND k % 17 <> 0 AS reads FROM orders)
+SELECT k || '/card' AS id, CASE WHEN reads AND k % 11 = 0 THEN 'f' WHEN reads AND k % 2 = 0 THEN 'b' ELSE 'c' END || c AS location, CASE WHEN reads AND k % 11 = 0 THEN 2 ELSE 1 END AS first_seen FROM k WHERE reads OR k % 11 <> 0
+UNION ALL SELECT k || '/pin', 'b' || c, 1 FROM k WHERE NOT reads AND k % 11 <> 0 AND k % 2 = 0
+UNION ALL SELECT k || '/body', 'c' || c, 1 FROM k WHERE k % 13 = 0""")
+def replaced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of items and their attachments after a pass over the attachments in two stretches: new, changed and outdated ones are read
+    again, those too large aren't; their findings are replaced, all others and the bodies' stay (H5, H6)."""
+    k = F.col("k")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("c"), F.lit("s").alias("source"), F.col("o_orderkey").cast("string").alias("part"))
+    finding = lambda rows, part, cls, place: rows.select("source", part.alias("part"), F.concat(k.cast("string"), F.lit("/" + cls)).alias("id"), F.concat(F.lit(place), "c").alias("location"), F.lit(1).alias("first_seen"))
+    had = orders.where(k % 11 != 0)
+    kept = finding(had, F.col("part"), "card", "c").unionByName(finding(had.where(k % 2 == 0), F.col("part"), "pin", "b")).unionByName(finding(orders.where(k % 13 == 0), F.lit(None).cast("string"), "body", "c"))
+    known = had.select("source", "part", F.lit("m").alias("marker"), F.when(k % 7 == 0, "p0").otherwise("p1").alias("profile"))
+    listing = orders.select("source", "part", F.when(k % 5 == 0, "m2").otherwise("m").alias("marker"), F.when(k % 17 == 0, 1000).otherwise(100).alias("size"), F.col("part").alias("sample"))
+    total = listing.count()
+    for budget in (total // 5, total):  # the first stretch is cut off by its budget
+        now = shared.written(parts.stretch(parts.stale(listing, known, "p1", max_bytes=500), max(budget, 1), 1 << 60), "parts")
+        new = now.join(orders.select("source", "part", "c"), ["source", "part"]).select("source", "part", F.concat("part", F.lit("/card")).alias("id"), F.concat(F.lit("f"), "c").alias("fallback"))
+        kept, known = shared.written(parts.replaced(kept, now, new, 2), "kept"), shared.written(parts.recorded(known, now, "p1"), "known")
+    return kept.select("id", "location", "first_seen")
