@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENTRIES, MAX_RATIO, RATIO_FROM, MAX_INFLATED = 1000, 200, 1 << 20, 100 << 20
+MAX_RATIO, RATIO_FROM, MAX_INFLATED = 200, 1 << 20, 100 << 20
 
 
-def entries_of(content: bytes, max_entries: int, max_inflated: int) -> list[tuple[str, int, bytes | None, str | None]]:
-    """(path, index, content, skipped) of a zip, tar, gzip, bzip2 or xz file; unknown files have none."""
+def entries_of(content: bytes, max_entries: int | None, max_inflated: int) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+    """(path, index, content, skipped) of a zip, tar, gzip, bzip2 or xz file, one after the other; unknown files have none."""
     import bz2
     import gzip
     import io
@@ -25,39 +25,47 @@ def entries_of(content: bytes, max_entries: int, max_inflated: int) -> list[tupl
             return None, "bomb"
         return raw, None
 
+    most, read = float("inf") if max_entries is None else max_entries, 0
     try:
         if content[:4] == b"PK\x03\x04":
-            out = []
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
-                    if i >= max_entries:
-                        out.append((info.filename, i, None, "entries"))
-                        break
+                    if i >= most:
+                        yield info.filename, i, None, "entries"
+                        return
                     if info.flag_bits & 1:
-                        out.append((info.filename, i, None, "encrypted"))
+                        yield info.filename, i, None, "encrypted"
                     else:
                         with z.open(info) as f:
-                            out.append((info.filename, i, *inflate(f)))
-            return out
+                            raw = inflate(f)
+                        yield info.filename, i, *raw
+                    read = i + 1
+            return
         for mark, opener in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open), (b"\x28\xb5\x2f\xfd", _zstd)):
             if content.startswith(mark):
                 raw, skipped = inflate(opener(io.BytesIO(content)))
-                inner = entries_of(raw, max_entries, max_inflated) if raw and raw[257:262] == b"ustar" else []
-                return inner or [("", 0, raw, skipped)]
+                if raw and raw[257:262] == b"ustar":
+                    for entry in entries_of(raw, max_entries, max_inflated):
+                        read += 1
+                        yield entry
+                if not read:
+                    yield "", 0, raw, skipped
+                return
         if content[257:262] == b"ustar":
-            out = []
             with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                for i, m in enumerate(x for x in t if x.isreg()):
-                    if i >= max_entries:
-                        out.append((m.name, i, None, "entries"))
-                        break
-                    out.append((m.name, i, *inflate(t.extractfile(m))))
-            return out
+                while (m := t.next()) is not None:
+                    t.members = []  # else it keeps all of them
+                    if not m.isreg():
+                        continue
+                    if read >= most:
+                        yield m.name, read, None, "entries"
+                        return
+                    yield m.name, read, *inflate(t.extractfile(m))
+                    read += 1
     except ImportError:
-        return [("", 0, None, "no_reader")]
+        yield "", read, None, "no_reader"
     except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, NotImplementedError):
-        return [("", 0, None, "unreadable")]
-    return []
+        yield "", read, None, "unreadable"
 
 
 def _zstd(stream):
@@ -69,7 +77,7 @@ def _zstd(stream):
 _MARKS = (b"PK\x03\x04", b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
 
 
-def deep_entries(content: bytes, max_entries: int, max_inflated: int, depth: int, path: str = "", place: str = "") -> Iterator[tuple[str, str, bytes | None, str | None]]:
+def deep_entries(content: bytes, max_entries: int | None, max_inflated: int, depth: int, path: str = "", place: str = "") -> Iterator[tuple[str, str, bytes | None, str | None]]:
     """(path, place, content, skipped) of an archive's entries and, down to ``depth``, of the archives among these.
 
     Paths are joined by `` > ``, places (numbers from 0) by ``/``."""
@@ -82,11 +90,12 @@ def deep_entries(content: bytes, max_entries: int, max_inflated: int, depth: int
             yield inner, where, raw, "depth" if packed and not skipped else skipped
 
 
-def entries(files: DataFrame, max_entries: int = MAX_ENTRIES, max_inflated: int = MAX_INFLATED, depth: int = 1) -> DataFrame:
+def entries(files: DataFrame, max_entries: int | None = None, max_inflated: int = MAX_INFLATED, depth: int = 1) -> DataFrame:
     """path, entry, place, entry_index (the outermost place), content and skipped of the archives among binary files (path, content).
 
     Archives inside archives are opened down to ``depth``; what is packed deeper is given as it is and marked ``depth``
-    (at a depth of 1 that isn't said)."""
+    (at a depth of 1 that isn't said).  All entries are given, one at a time, unless ``max_entries`` is; what breaks off
+    has the entries before the break and then one that is ``unreadable``."""
 
     @F.udtf(returnType="entry: string, place: string, entry_content: binary, skipped: string")
     class Open:
