@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def agrees(spark, name, folder):
     con = duckdb.connect()
-    for table in ("orders", "customer", "documents"):
+    for table in ("orders", "customer", "documents", "pages"):
         if (folder / f"{table}.parquet").exists():
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
     got = queries.QUERIES[name](spark, str(folder))
@@ -54,3 +54,36 @@ def test_planted_rows_are_dealt_out(spark, made):
 def test_keys_beyond_six_digits(spark, tmp_path, name):
     spark.range(8_999_900, 9_000_020).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
     agrees(spark, name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["top_findings", "card_brands", "findings_by_source", "report_by_store", "page_card_findings"])
+def test_cards_are_whole_runs_as_in_the_sql(spark, tmp_path, name):
+    texts = [(1, "pay 4451718024887799 27.65.93.188 now"), (2, "4028005252517056. 27"), (3, "a 4539 1488 0343 6467, 4028005252517056")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source", "'en' AS lang")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    rows.selectExpr("doc_id AS page_id", "text AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    agrees(spark, name, tmp_path)
+
+
+def test_whole_runs_are_asked_for(spark):
+    rows = spark.createDataFrame([(1, "card 4539 1488 0343 6467 04/29")], "k int, text string")
+    assert [(r.start, r.end) for r in detect(rows, now_year=2026).collect()] == [(5, 24)] and detect(rows, now_year=2026, whole_runs=True).count() == 0
+
+
+def test_archives_of_many_entries(spark):
+    import io
+    import tarfile
+
+    from veilsight.sources import archives
+
+    t = io.BytesIO()
+    with tarfile.open(fileobj=t, mode="w") as f:
+        for k in range(1200):
+            info = tarfile.TarInfo(f"f{k}.txt")
+            info.size = 1
+            f.addfile(info, io.BytesIO(b"x"))
+    raw = t.getvalue()
+    files_ = spark.createDataFrame([("whole", bytearray(raw)), ("cut", bytearray(raw[: 1024 * 3 + 700]))], "path string, content binary")
+    got = {p: [(r.entry, r.skipped) for r in archives.entries(files_).orderBy("entry_index").collect() if r.path == p] for p in ("whole", "cut")}
+    assert got["whole"] == [(f"f{k}.txt", None) for k in range(1200)] and got["cut"][:3] == [(f"f{k}.txt", None) for k in range(3)]
+    assert [e[3] for e in archives.entries_of(raw, 2, 100)] == [None, None, "entries"]
