@@ -87,3 +87,12 @@ def test_archives_of_many_entries(spark):
     got = {p: [(r.entry, r.skipped) for r in archives.entries(files_).orderBy("entry_index").collect() if r.path == p] for p in ("whole", "cut")}
     assert got["whole"] == [(f"f{k}.txt", None) for k in range(1200)] and got["cut"][:3] == [(f"f{k}.txt", None) for k in range(3)]
     assert [e[3] for e in archives.entries_of(raw, 2, 100)] == [None, None, "entries"]
+
+
+def test_items_are_dealt_out_and_leaves_have_what_is_asked_for(spark):
+    from veilsight.sources import tagged
+
+    items = queries._items(spark, SF)
+    some, all_ = tagged.leaves(items, ["o_orderkey"], "doc", only=("path", "text")), tagged.leaves(items, ["o_orderkey"], "doc")
+    assert items.rdd.getNumPartitions() >= 4 and some.columns == ["o_orderkey", "path", "text"]
+    assert some.exceptAll(all_.select(*some.columns)).count() == 0 and some.count() == all_.count()

@@ -10,19 +10,34 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import by_slices
 from .json_leaves import MAX_DEPTH
 
 _PATH = re.compile(r"[^.\[\]]+(?:\.[^.\[\]]+|\[[^\]]*\])*")
-_LEAF = (
-    "array<struct<ord: bigint, pointer: string, path: string, name: string, list_id: string, position: bigint, "
-    "fields: map<string, string>, steps: array<struct<key: string, position: bigint, fields: map<string, string>>>, text: string>>"
-)
+_TEXTS = pa.map_(pa.string(), pa.string())
+_STEPS = pa.list_(pa.struct([("key", pa.string()), ("position", pa.int64()), ("fields", _TEXTS)]))
+#: What is known of a leaf: its type in Spark and in Arrow, and how it is worked out of its number, steps and text.
+_LEAF = {
+    "ord": ("bigint", pa.int64(), lambda n, steps, text: n),
+    "pointer": ("string", pa.string(), lambda n, steps, text: _pointer(steps)),
+    "path": ("string", pa.string(), lambda n, steps, text: _path(steps)),
+    "name": ("string", pa.string(), lambda n, steps, text: next(s[0] for s in reversed(steps) if s[0] is not None)),
+    "list_id": ("string", pa.string(), lambda n, steps, text: _pointer(steps[: i]) if (i := _last_list(steps)) is not None else None),
+    "position": ("bigint", pa.int64(), lambda n, steps, text: steps[i][1] if (i := _last_list(steps)) is not None else None),
+    "fields": ("map<string, string>", _TEXTS, lambda n, steps, text: steps[i][2] if (i := _last_list(steps)) is not None else {}),
+    "steps": ("array<struct<key: string, position: bigint, fields: map<string, string>>>", _STEPS, lambda n, steps, text: [{"key": k, "position": at, "fields": None if fields is None else list(fields.items())} for k, at, fields in steps]),
+    "text": ("string", pa.string(), lambda n, steps, text: text),
+}
+
+
+def _last_list(steps: list[tuple]) -> int | None:
+    return next((i for i in range(len(steps) - 1, -1, -1) if steps[i][0] is None), None)
 
 
 def _text(value: object) -> str | None:
@@ -65,32 +80,27 @@ def _open(value: object, steps: list[tuple], max_depth: int) -> Iterator[tuple[l
             yield [*steps, (None, at, {})], str(inner)
 
 
-def _item(doc: str | None, max_depth: int) -> list[dict]:
+def _item(doc: str | None, max_depth: int, only: Sequence[str] = tuple(_LEAF)) -> list[dict]:
     try:
         item = json.loads(doc) if doc else None
     except (ValueError, RecursionError):
         item = None
     if not isinstance(item, dict):
         return []
-    out = []
-    for steps, text in _open({"M": item}, [], max_depth):
-        lists = [i for i, s in enumerate(steps) if s[0] is None]
-        names = [s[0] for s in steps if s[0] is not None]
-        last = steps[lists[-1]] if lists else (None, None, {})
-        step = [dict(zip(("key", "position", "fields"), s, strict=True)) for s in steps]
-        where = _pointer(steps[: lists[-1]]) if lists else None
-        out.append(dict(ord=len(out), pointer=_pointer(steps), path=_path(steps), name=names[-1], list_id=where, position=last[1], fields=last[2], steps=step, text=text))
-    return out
-
-
-def leaves(df: DataFrame, keys: list[str], column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    made = [(c, _LEAF[c][2]) for c in only]
+    return [{c: f(n, steps, text) for c, f in made} for n, (steps, text) in enumerate(_open({"M": item}, [], max_depth))]
+
+
+def leaves(df: DataFrame, keys: list[str], column: str, max_depth: int = MAX_DEPTH, only: Sequence[str] = tuple(_LEAF)) -> DataFrame:
     """keys and one row a string or number: ord (from 0 in the item), pointer, path (with [] for a
     list's elements), name, text, steps, and of the innermost list list_id (its pointer), position
-    and fields (the element's own strings and numbers)."""
+    and fields (the element's own strings and numbers).  ``only``: those of these columns that are asked for."""
+    kind = pa.list_(pa.struct([(c, _LEAF[c][1]) for c in only]))
 
-    @F.pandas_udf(_LEAF)
-    def opened(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: _item(d, max_depth), na_action=None)
+    @F.arrow_udf("array<struct<" + ", ".join(f"{c}: {_LEAF[c][0]}" for c in only) + ">>")
+    def opened(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield by_slices(part, lambda docs: [[{c: list(v.items()) if isinstance(v, dict) else v for c, v in leaf.items()} for leaf in _item(d, max_depth, only)] for d in docs], kind)
 
     return df.select(*keys, F.explode(opened(F.col(column).cast("string"))).alias("_leaf")).select(*keys, "_leaf.*")
 
