@@ -96,3 +96,68 @@ def test_items_are_dealt_out_and_leaves_have_what_is_asked_for(spark):
     some, all_ = tagged.leaves(items, ["o_orderkey"], "doc", only=("path", "text")), tagged.leaves(items, ["o_orderkey"], "doc")
     assert items.rdd.getNumPartitions() >= 4 and some.columns == ["o_orderkey", "path", "text"]
     assert some.exceptAll(all_.select(*some.columns)).count() == 0 and some.count() == all_.count()
+
+
+class Held:
+    """States of one key, which count how often the list is read, and its timers."""
+
+    def __init__(self):
+        self.states, self.timers, self.reads = {}, set(), 0
+
+    def getListState(self, name, schema):
+        return State(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class State:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return bool(self.held.states.get(self.name))
+
+    def get(self):
+        self.held.reads += self.name == "waiting"
+        value = self.held.states[self.name]
+        return iter(list(value)) if self.name == "waiting" else value
+
+    def put(self, value):
+        self.held.states[self.name] = list(value)
+
+    def update(self, value):
+        self.held.states[self.name] = tuple(value)
+
+    def appendList(self, value):
+        self.held.states.setdefault(self.name, []).extend(value)
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+    def clear(self):
+        self.held.states.pop(self.name, None)
+
+
+def test_events_of_a_key_are_read_once_a_batch():
+    from types import SimpleNamespace
+
+    from veilsight.streaming.sessions import Turns
+
+    held, turns, out = Held(), Turns(1000), []
+    turns.init(held)
+    events = [(600 * i + (5000 if i >= 1500 else 0), i) for i in range(2000)]
+    for some, mark in ((events[:1000][::-1], 500_000), (events[1000:], 900_000), ([], 10**9)):
+        list(turns.handleInputRows((7,), iter([SimpleNamespace(at=a, item=i) for a, i in some]), None))
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m)
+        for at in sorted(t for t in held.timers if t <= mark):
+            if at in held.timers:
+                held.timers.discard(at)
+                out += turns.handleExpiredTimer((7,), now, None)
+    assert [(r.begin, r.turn, r.at, r.item) for r in out] == [((0, i) if i < 1500 else (events[1500][0], i - 1500)) + events[i] for i in range(2000)]
+    assert held.reads <= 3 and not held.timers and not held.states

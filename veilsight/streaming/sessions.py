@@ -2,13 +2,15 @@
 
 Events may come out of order within the watermark's delay: they wait in the key's state until the watermark has passed
 them, and are then numbered in the order of their times.  A gap longer than ``gap`` begins a session.  What a key's state
-holds is the events that wait and one row for its open session, which a timer drops when nothing can go on with it.
+holds is the events that wait and one row for its open session, which a timer drops when nothing can go on with it.  A key has
+one timer at a time, for its first event or its open session, so its events are read once a micro-batch and not once an event.
 
 However the input is cut into micro-batches, the turns are those of one batch; events behind the watermark are left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -43,17 +45,31 @@ class Turns(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at bigint, item bigint")
         self.open = handle.getValueState("open", "begin bigint, last bigint, turn bigint")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wake(self, at: int) -> None:
+        """The key's one timer: at ``at``, unless it goes off before."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is not None and due <= at:
+            return
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue((r.at, r.item))
-            self.handle.registerTimer(r.at + 1)
+        events = [(r.at, r.item) for r in rows]
+        if events:
+            self.waiting.appendList(events)
+            self._wake(min(events)[0] + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        events = sorted((at, item) for at, item in self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [e for e in events if e[0] < mark], [e for e in events if e[0] >= mark]
+        self.due.clear()
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        k = bisect_left(events, (mark,))
+        ready, later = events[:k], events[k:]
         begin, last, turn = self.open.get() if self.open.exists() else (None, None, None)
         for at, item in ready:
             if last is None or at - last > self.gap:
@@ -66,9 +82,12 @@ class Turns(StatefulProcessor):
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
-            self.handle.registerTimer(last + self.gap + 1)
-        elif last is not None and last + self.gap < mark and not later:
+        if later:
+            self._wake(later[0][0] + 1)
+        elif last is not None and last + self.gap < mark:
             self.open.clear()
+        elif last is not None:
+            self._wake(last + self.gap + 1)
 
     def close(self) -> None:
         pass
