@@ -98,6 +98,22 @@ def test_items_are_dealt_out_and_leaves_have_what_is_asked_for(spark):
     assert some.exceptAll(all_.select(*some.columns)).count() == 0 and some.count() == all_.count()
 
 
+def test_what_is_made_of_a_batch_is_given_back_in_slices(spark):
+    from pyspark.sql import functions as F
+
+    from veilsight.sources import json_leaves
+
+    import pyarrow as pa
+
+    made = spans.each_slice(pa.array(["a 1 b 2"] * 5000), lambda texts: [[t] * 50 for t in texts], pa.list_(pa.string()))
+    sizes = [len(x) for x in made]
+    assert sum(sizes) == 5000 and max(sizes) <= spans.ROWS
+    rows = spark.range(5000).coalesce(1).select("id", F.concat(F.lit('{"a":'), "id", F.lit("}")).alias("doc"))
+    assert json_leaves.leaves(rows, ["id"], "doc").where("text = cast(id AS STRING)").count() == 5000
+    found = rows.select(F.explode(spans.find(F.col("doc"), ["[0-9]+"], 3, 1)).alias("f"), "id")
+    assert found.where("f.raw = cast(id AS STRING)").count() == 5000
+
+
 class Held:
     """States of one key, which count how often the list is read, and its timers."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import by_slices
+from ..functions.spans import each_slice
 from .json_leaves import MAX_DEPTH
 
 _PATH = re.compile(r"[^.\[\]]+(?:\.[^.\[\]]+|\[[^\]]*\])*")
@@ -100,7 +100,7 @@ def leaves(df: DataFrame, keys: list[str], column: str, max_depth: int = MAX_DEP
     @F.arrow_udf("array<struct<" + ", ".join(f"{c}: {_LEAF[c][0]}" for c in only) + ">>")
     def opened(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield by_slices(part, lambda docs: [[{c: list(v.items()) if isinstance(v, dict) else v for c, v in leaf.items()} for leaf in _item(d, max_depth, only)] for d in docs], kind)
+            yield from each_slice(part, lambda docs: [[{c: list(v.items()) if isinstance(v, dict) else v for c, v in leaf.items()} for leaf in _item(d, max_depth, only)] for d in docs], kind)
 
     return df.select(*keys, F.explode(opened(F.col(column).cast("string"))).alias("_leaf")).select(*keys, "_leaf.*")
 
