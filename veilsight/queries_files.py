@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,8 +250,10 @@ def _avro(texts: DataFrame) -> DataFrame:
         return head
 
     @F.arrow_udf("binary")
-    def packed(parts: pa.Array) -> pa.Array:
-        return pa.array([pack(t) for t in parts.to_pylist()], pa.binary())
+    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            for t in part:  # a file at a time
+                yield pa.array([pack(t.as_py())], pa.binary())
 
     return texts.select("path", packed(F.col("text")).alias("content"))
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import each_slice
+
 MAX_DEPTH, MAX_LEAVES = 32, 20_000
 _LEAF = "struct<leaves:array<struct<pointer:string,name:string,text:string>>,left_out:int>"
 
@@ -40,16 +42,19 @@ def opened(df: DataFrame, keys: list[str], column: str, max_depth: int = MAX_DEP
     """keys and ``json``: a document's leaves, and how many were left out."""
 
     @F.arrow_udf(_LEAF)
-    def read(docs: pa.Array) -> pa.Array:
-        out = []
-        for doc in docs.to_pylist():
+    def read(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("leaves", pa.list_(pa.struct([(c, pa.string()) for c in ("pointer", "name", "text")]))), ("left_out", pa.int32())])
+
+        def one(doc: str | None) -> dict:
             try:
                 found = list(_scalars(json.loads(doc), "", None, max_depth)) if doc else []
             except (ValueError, RecursionError):
                 found = []
             good = [f for f in found if f[2] is not None]
-            out.append({"leaves": [{"pointer": p, "name": n, "text": t} for p, n, t in good[:max_leaves]], "left_out": len(found) - len(good) + max(0, len(good) - max_leaves)})
-        return pa.array(out, pa.struct([("leaves", pa.list_(pa.struct([(c, pa.string()) for c in ("pointer", "name", "text")]))), ("left_out", pa.int32())]))
+            return {"leaves": [{"pointer": p, "name": n, "text": t} for p, n, t in good[:max_leaves]], "left_out": len(found) - len(good) + max(0, len(good) - max_leaves)}
+
+        for part in parts:
+            yield from each_slice(part, lambda docs: [one(d) for d in docs], kind)
 
     return df.select(*keys, read(F.col(column)).alias("json"))
 
