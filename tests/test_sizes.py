@@ -177,3 +177,21 @@ def test_events_of_a_key_are_read_once_a_batch():
                 out += turns.handleExpiredTimer((7,), now, None)
     assert [(r.begin, r.turn, r.at, r.item) for r in out] == [((0, i) if i < 1500 else (events[1500][0], i - 1500)) + events[i] for i in range(2000)]
     assert held.reads <= 3 and not held.timers and not held.states
+
+
+def test_conversations_without_a_turn_are_not_looked_at_again(spark, tmp_path):
+    from veilsight.operators import conversation
+    from veilsight.streaming.conversations import Conversations
+
+    schema = "conv_id string, turn int, speaker string, text string"
+    first = [("a", 0, "bot", "Your card number?"), ("b", 0, "bot", "Account number?"), ("b", 1, "customer", "123"), ("c", 0, "bot", "Account number?")]
+    second = [("a", 1, "customer", "4539148803436467")]
+    stream = Conversations(spark, str(tmp_path / "talks"), 2026)
+    for number, rows in enumerate((first, second)):
+        stream.apply(spark.createDataFrame(rows, schema).coalesce(1), number)
+    assert {r["conv_id"] for r in stream.work.read().collect()} == {"a"}
+    assert {r["conv_id"] for r in stream.held.read().collect()} == {"a", "b", "c"}
+    stream.finish()
+    assert {r["conv_id"] for r in stream.work.read().collect()} == {"a", "b"}
+    want = conversation.classify(spark.createDataFrame(first + second, schema), 2026)
+    assert sorted(map(repr, stream.findings().collect())) == sorted(map(repr, want.collect())) != []
