@@ -195,3 +195,25 @@ def test_conversations_without_a_turn_are_not_looked_at_again(spark, tmp_path):
     assert {r["conv_id"] for r in stream.work.read().collect()} == {"a", "b"}
     want = conversation.classify(spark.createDataFrame(first + second, schema), 2026)
     assert sorted(map(repr, stream.findings().collect())) == sorted(map(repr, want.collect())) != []
+
+
+def test_stale_parts_are_found_once(spark):
+    from pyspark.sql import functions as F
+
+    from veilsight.operators import parts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marker(k):
+        seen.add(1)
+        return "m"
+
+    rows = spark.range(400).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("part"), marker("id").alias("marker"), F.lit(1).alias("size"), F.when(F.col("id") % 4 > 0, F.col("id").cast("string")).alias("sample"))
+    index = spark.createDataFrame([], "source string, part string, marker string, profile string")
+    found = parts.stale(rows, index, "p")
+    assert found.count() == 300 and "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert parts.stale(rows, index, "p", percent=99).count() < 300
+    seen.value = 0
+    assert parts.stretch(found, 200, 1 << 60).count() == 200
+    assert seen.value == 400

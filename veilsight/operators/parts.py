@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as T
 from .incremental import admit
 from .joins import attach
@@ -24,7 +25,9 @@ _PART = ["source", "part"]
 def stale(listing: DataFrame, index: DataFrame, profile: str, percent: int = 100, max_bytes: int = 1 << 62) -> DataFrame:
     """The parts to read, with ``why``: new, changed (another marker) or profile (read with what isn't current)."""
     once = listing.where(F.col("part").isNotNull()).groupBy(*_PART).agg(F.max(F.struct("marker", "size", "sample")).alias("_l")).select(*_PART, "_l.*")
-    once = once.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & (T.sample_point(F.col("sample")) < percent))
+    # every point is below 100: all that have one are in, and none needs to be worked out
+    sampled = F.col("sample").isNotNull() if percent >= 100 else T.sample_point(F.col("sample")) < percent
+    once = once.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & sampled)
     known = index.select(*_PART, F.col("marker").alias("_marker"), F.col("profile").alias("_profile"), F.lit(True).alias("_known"))
     rows = once.join(known, _PART, "left")
     why = F.when(F.col("_known").isNull(), "new").when(~F.col("marker").eqNullSafe(F.col("_marker")), "changed").when(~F.col("_profile").eqNullSafe(F.lit(profile)), "profile")
@@ -32,8 +35,11 @@ def stale(listing: DataFrame, index: DataFrame, profile: str, percent: int = 100
 
 
 def stretch(parts: DataFrame, max_items: int, max_bytes: int) -> DataFrame:
-    """As many of the parts, by source and id, as the budget admits."""
-    return admit(parts.withColumn("_o", F.concat_ws("\u0000", *_PART)), "_o", "size", max_items, max_bytes).drop("_o")
+    """As many of the parts, by source and id, as the budget admits.
+
+    They are written first: cutting them into ranges reads them twice, and what found them (joins, groups) would run as often."""
+    rows = shared.written(parts.withColumn("_o", F.concat_ws("\u0000", *_PART)), "stale-parts")
+    return admit(rows, "_o", "size", max_items, max_bytes).drop("_o")
 
 
 def replaced(kept: DataFrame, read: DataFrame, new: DataFrame, seen: object) -> DataFrame:
