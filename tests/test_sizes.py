@@ -217,3 +217,16 @@ def test_stale_parts_are_found_once(spark):
     seen.value = 0
     assert parts.stretch(found, 200, 1 << 60).count() == 200
     assert seen.value == 400
+
+
+def _runs(spark, tmp_path):
+    # eighteen and nineteen digits in no printed groups; fillers and number words beside a card; a card digit by digit
+    texts = [(1, "call 36 4366089147969129 or 36 4366089147969128"), (2, "er 4539148803436467 um 53, o 4539148803436467"), (3, "two 4539148803436467 one"), (4, "a 4 5 3 9 1 4 8 8 0 3 4 3 6 4 6 7."), (5, "x 6011 0000 0000 12345 6011-000000001234564")]
+    for a in range(10):
+        texts.append((10 + a, f"n 36 436608914796{a}128, 655 3329641322646528{a}"))
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+
+
+def test_card_brands_counts_runs_however_grouped(spark, tmp_path):
+    _runs(spark, tmp_path)
+    agrees(spark, "card_brands", tmp_path)
