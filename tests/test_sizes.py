@@ -236,3 +236,24 @@ def test_card_brands_counts_runs_however_grouped(spark, tmp_path):
 def test_documents_cards_are_written_runs(spark, tmp_path, name):
     _runs(spark, tmp_path)
     agrees(spark, name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["set_aside_values"])
+def test_no_text_waits_beside_a_function_that_is_given_few(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "looked(" in plan
+
+
+def test_stretches_are_those_of_a_plain_cut(spark):
+    texts = ["", "\n", "ab\n" + "x" * 40, "x" * 40, "x" * 39 + "\n" + "y" * 41, "\n" * 50, "é\U0001f600 5\n" * 30 + "z" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for size, before, after in ((20, 8, 5), (33, 4, 9), (6, 40, 17)):
+        got = {r.i: [tuple(p) for p in r.p] for r in df.select("i", spans.pieces(df.t, size, before, after).alias("p")).collect()}
+        assert got == {i: [(max(0, a - before), a, b, t[max(0, a - before) : b + after]) for a, b in spans.cut(t, size)] if len(t) > size else [(0, 0, len(t), t)] for i, t in enumerate(texts)}
+
+
+def test_values_of_long_texts_have_their_places(spark):
+    text = "".join(f"{'word ' * (k % 9)}visa {4539148803436467}, {'x' * (k % 130)} ssn one two three four five six seven eight nine\n" if k % 4 else f"{'y' * 70} " for k in range(300))
+    want = [m.start() for m in re.finditer("4539148803436467", text)]
+    rows = detect(spark.createDataFrame([(1, text)], "k int, text string"), now_year=2026, chunk=200).where("status = 'finding'").collect()
+    assert len(text) > 200 * 16 * 3 and sorted(r.start for r in rows if r.cls == "card") == want
