@@ -257,3 +257,10 @@ def test_values_of_long_texts_have_their_places(spark):
     want = [m.start() for m in re.finditer("4539148803436467", text)]
     rows = detect(spark.createDataFrame([(1, text)], "k int, text string"), now_year=2026, chunk=200).where("status = 'finding'").collect()
     assert len(text) > 200 * 16 * 3 and sorted(r.start for r in rows if r.cls == "card") == want
+
+
+@pytest.mark.parametrize("name", ["class_totals"])
+def test_values_of_each_row_count_where_they_come_again(spark, tmp_path, name):
+    # keys so far apart plant the same nine digits in the same place
+    spark.range(120).selectExpr("id % 60 + 120000 * (id DIV 60) AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    agrees(spark, name, tmp_path)
