@@ -259,7 +259,7 @@ def test_values_of_long_texts_have_their_places(spark):
     assert len(text) > 200 * 16 * 3 and sorted(r.start for r in rows if r.cls == "card") == want
 
 
-@pytest.mark.parametrize("name", ["class_totals"])
+@pytest.mark.parametrize("name", ["class_totals", "planted_findings"])
 def test_values_of_each_row_count_where_they_come_again(spark, tmp_path, name):
     # keys so far apart plant the same nine digits in the same place
     spark.range(120).selectExpr("id % 60 + 120000 * (id DIV 60) AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
