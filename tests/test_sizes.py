@@ -238,7 +238,7 @@ def test_documents_cards_are_written_runs(spark, tmp_path, name):
     agrees(spark, name, tmp_path)
 
 
-@pytest.mark.parametrize("name", ["set_aside_values", "stored_values"])
+@pytest.mark.parametrize("name", ["set_aside_values", "stored_values", "class_totals"])
 def test_no_text_waits_beside_a_function_that_is_given_few(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "looked(" in plan
