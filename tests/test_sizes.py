@@ -264,3 +264,9 @@ def test_values_of_each_row_count_where_they_come_again(spark, tmp_path, name):
     # keys so far apart plant the same nine digits in the same place
     spark.range(120).selectExpr("id % 60 + 120000 * (id DIV 60) AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     agrees(spark, name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["planted_findings"])
+def test_values_are_counted_by_hash_tables(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "collect_set" not in plan and "SortAggregate" not in plan and "ArrowEvalPython" not in plan
