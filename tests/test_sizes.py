@@ -270,3 +270,30 @@ def test_values_of_each_row_count_where_they_come_again(spark, tmp_path, name):
 def test_values_are_counted_by_hash_tables(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "collect_set" not in plan and "SortAggregate" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_tar_files_come_in_blocks(spark):
+    import io
+    import tarfile
+
+    from veilsight import queries_files
+    from veilsight.sources import archives
+
+    t = io.BytesIO()
+    with tarfile.open(fileobj=t, mode="w") as f:
+        for name, size in (("a", 0), ("d/b", 5000), ("c", 512), ("long" * 60, 70_000)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            f.addfile(info, io.BytesIO(b"x" * size))
+        link = tarfile.TarInfo("link")
+        link.type, link.linkname = tarfile.SYMTYPE, "a"
+        f.addfile(link)
+    whole = t.getvalue()
+    cases = {"whole": whole, "cut": whole[:9000], "other": b"no archive" * 100, "empty": b""}
+    blocks = [(p, i, raw[i * 700 : i * 700 + 700]) for p, raw in cases.items() for i in range(max(1, -(-len(raw) // 700)))]
+    got = archives.tar_entries(spark.createDataFrame(blocks, "path string, block int, content binary").repartition(3), 60_000).collect()
+    for p, raw in cases.items():
+        want = [(n, i, c, s) for n, i, c, s in archives.entries_of(raw, None, 60_000)]
+        assert sorted(((r.entry, r.entry_index, None if r.content is None else bytes(r.content), r.skipped) for r in got if r.path == p), key=lambda x: x[1]) == want, p
+    made = queries_files._tar_blocks(spark, "/root/testdata/sf0.1").selectExpr("length(content) AS n").collect()
+    assert len(made) > 200 and max(r.n for r in made) <= archives.BLOCK + 1024

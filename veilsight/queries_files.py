@@ -162,30 +162,22 @@ def json_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(kind: str, texts: DataFrame) -> DataFrame:
-    """Texts (path, text) as archives: a zip with a gzip inside, a tar, or an office document."""
+    """Texts (path, text) as archives: a zip with a gzip inside, or an office document."""
 
     def pack(text: str) -> bytes:
         import gzip
         import io
-        import tarfile
         import zipfile
 
         out = io.BytesIO()
-        if kind == "tar":
-            with tarfile.open(fileobj=out, mode="w") as t:
-                for i, line in enumerate(text.split("\n")):
-                    info = tarfile.TarInfo(f"f{i}.txt")
-                    info.size = len(line.encode())
-                    t.addfile(info, io.BytesIO(line.encode()))
-        else:
-            with zipfile.ZipFile(out, "w") as z:
-                if kind == "zip":
-                    z.writestr("all.txt.gz", gzip.compress(text.encode(), mtime=0))
-                    z.writestr("plain.txt", text)
-                else:
-                    rows = "".join(f"<w:p><w:r><w:t>{line.replace('&', '&amp;').replace('<', '&lt;')}</w:t></w:r></w:p>" for line in text.split("\n"))
-                    z.writestr("word/document.xml", f"<w:document><w:body>{rows}</w:body></w:document>")
-                    z.writestr("word/styles.xml", "<x>not text</x>")
+        with zipfile.ZipFile(out, "w") as z:
+            if kind == "zip":
+                z.writestr("all.txt.gz", gzip.compress(text.encode(), mtime=0))
+                z.writestr("plain.txt", text)
+            else:
+                rows = "".join(f"<w:p><w:r><w:t>{line.replace('&', '&amp;').replace('<', '&lt;')}</w:t></w:r></w:p>" for line in text.split("\n"))
+                z.writestr("word/document.xml", f"<w:document><w:body>{rows}</w:body></w:document>")
+                z.writestr("word/styles.xml", "<x>not text</x>")
         return out.getvalue()
 
     @F.arrow_udf("binary")
@@ -195,6 +187,31 @@ def _packed(kind: str, texts: DataFrame) -> DataFrame:
     return texts.select("path", packed(F.col("text")).alias("content"))
 
 
+def _tar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tar for each nation with a file for each customer's name, in blocks."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tarfile
+        from itertools import groupby
+
+        schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("content", pa.binary())])
+        size, names = archives.BLOCK, ((path.as_py(), name.as_py()) for b in batches for path, name in zip(b.column(0), b.column(1), strict=True))
+        for path, group in groupby(names, key=lambda x: x[0]):
+            held, block = bytearray(), 0
+            for i, (_, name) in enumerate(group):
+                info, raw = tarfile.TarInfo(f"f{i}.txt"), name.encode()
+                info.size = len(raw)
+                held += info.tobuf() + raw + bytes(-len(raw) % 512)
+                while len(held) >= size:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "block": block, "content": bytes(held[:size])}], schema)
+                    del held[:size]
+                    block += 1
+            yield pa.RecordBatch.from_pylist([{"path": path, "block": block, "content": bytes(held) + bytes(1024)}], schema)
+
+    rows = read(spark, sf_dir, "customer").where("c_name IS NOT NULL").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), "c_name")
+    return rows.repartition("path").sortWithinPartitions("path", "c_name").mapInArrow(packed, "path string, block long, content binary")
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("l"))
     return rows.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), F.array_join("l", "\n").alias("text"))
@@ -212,7 +229,7 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'n' || c_nationkey AS path, 'f' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1) || '.txt' AS entry, c_name AS text FROM customer""")
 def tar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular files of tar archives."""
-    return archives.entries(_packed("tar", _names(spark, sf_dir))).select("path", "entry", F.decode("content", "UTF-8").alias("text"))
+    return archives.tar_entries(_tar_blocks(spark, sf_dir)).select("path", "entry", F.decode("content", "UTF-8").alias("text"))
 
 
 @query(f"""WITH {_LINES} SELECT path, text || chr(10) AS text FROM l""")

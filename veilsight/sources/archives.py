@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +108,72 @@ def entries(files: DataFrame, max_entries: int | None = None, max_inflated: int
     view = "veilsight_archives"
     files.select("path", "content").createOrReplaceTempView(view)
     return files.sparkSession.sql(f"SELECT a.path, e.entry, e.place, int(substring_index(e.place, '/', 1)) AS entry_index, e.entry_content AS content, e.skipped FROM {view} a, LATERAL veilsight_entries(a.content) e")
+
+
+#: Bytes of a block of a file, and about as many of entries that are given back at once.
+BLOCK, GIVEN = 64 << 10, 4 << 20
+
+
+class _Blocks:
+    """Blocks of one file, as a stream."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.left = blocks, memoryview(b"")
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n > 0 and (len(self.left) or self._more()):
+            out.append(bytes(self.left[:n]))
+            self.left = self.left[len(out[-1]) :]
+            n -= len(out[-1])
+        return b"".join(out)
+
+    def _more(self) -> bool:
+        self.left = memoryview(next(self.blocks, b""))
+        return len(self.left) > 0
+
+
+def streamed_entries(blocks: Iterator[bytes], max_inflated: int) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+    """The same of a tar that comes in blocks, of which one entry at a time is held."""
+    import tarfile
+
+    stream, read = _Blocks(blocks), 0
+    head = stream.read(512)
+    if head[257:262] != b"ustar":
+        return
+    stream.left = memoryview(head + bytes(stream.left))
+    try:
+        with tarfile.open(fileobj=stream, mode="r|") as t:
+            while (m := t.next()) is not None:
+                t.members = []  # else it keeps all of them
+                if m.isreg():
+                    raw = t.extractfile(m).read(max_inflated + 1)
+                    yield (m.name, read, raw, None) if len(raw) <= max_inflated else (m.name, read, None, "bomb")
+                    read += 1
+    except (OSError, EOFError, ValueError, tarfile.TarError):
+        yield "", read, None, "unreadable"
+
+
+def tar_entries(blocks: DataFrame, max_inflated: int = MAX_INFLATED) -> DataFrame:
+    """path, entry, entry_index, content and skipped of tar files of any size that come as blocks (path, block, content; blocks are numbered).
+
+    One shuffle by path, sorted by block; a task holds a batch of blocks and one entry, never a file."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby
+
+        schema = pa.schema([("path", pa.string()), ("entry", pa.string()), ("entry_index", pa.int32()), ("content", pa.binary()), ("skipped", pa.string())])
+        rows, size = [], 0
+        each = ((path.as_py(), content.as_py()) for b in batches for path, content in zip(b.column(0), b.column(1), strict=True))
+        for path, group in groupby(each, key=lambda x: x[0]):
+            for entry, at, content, skipped in streamed_entries((c for _, c in group if c), max_inflated):
+                rows.append((path, entry, at, content, skipped))
+                size += 200 + len(content or b"")
+                if size >= GIVEN:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+    placed = blocks.repartition("path").sortWithinPartitions("path", "block").select("path", "content")
+    return placed.mapInArrow(opened, "path string, entry string, entry_index int, content binary, skipped string")
